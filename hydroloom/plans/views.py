@@ -6,6 +6,7 @@ deployment replaces this module by its own tables with the schemas of `hydroloom
 
 from __future__ import annotations
 
+import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from hydroloom.grid import GridSpec
 
 GRID_COLS = 50
+DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 VIEW_SQL = {
     "cell": """select p_partkey as cell_id, (p_partkey // 50)::int as row, (p_partkey % 50)::int as col,
@@ -45,8 +47,8 @@ VIEW_SQL = {
         ('AO', 'Lake discharge', 'MS', 'Lakes', 'Output'), ('RO', 'Lake storage', 'M3', 'Lakes', 'Storage'))
         t(variable, label, unit_class, section, role)""",
     "pairs": """select l_suppkey as station_id, l_shipdate::date as date,
-        sum(l_extendedprice * (1 - l_discount)) / 1000 as s,
-        case when dayofyear(l_shipdate::date) % 17 = 0 then null else sum(l_extendedprice) / 1000 end as o
+        sum(l_extendedprice * (1 - l_discount)) / 777 as s,
+        case when dayofyear(l_shipdate::date) % 17 = 0 then null else sum(l_extendedprice) / 777 end as o
         from lineitem group by 1, 2""",
     "runs": """select l_linenumber as run_id, l_suppkey as station_id, l_shipdate::date as date,
         sum(l_extendedprice) as q from lineitem group by 1, 2, 3""",
@@ -76,6 +78,23 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def sql(self, text: str) -> DataFrame:
+        """Derive an input by SQL that both engines read; views and tables are named after FROM or JOIN."""
+        used: dict[str, DataFrame] = {}
+
+        def bind(match: re.Match) -> str:
+            word, name = match.group(1), match.group(2)
+            if name in VIEW_SQL:
+                used[name] = getattr(self, name)
+            elif name in DRIVER_TABLES:
+                used[name] = self.table(name)
+            else:
+                return match.group(0)
+            return f"{word} {{{name}}}"
+
+        bound = re.sub(r"(?i)\b(from|join)\s+([a-z_]+)\b", bind, text)
+        return self.spark.sql(bound, **used)
+
     @cached_property
     def grid(self) -> GridSpec:
         """Geometry of the `part` grid; the row count comes from parquet footers."""
@@ -174,8 +193,8 @@ class Views:
             self.table("lineitem")
             .groupBy(F.col("l_suppkey").alias("station_id"), day.alias("date"))
             .agg(
-                (F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))) / 1000).alias("s"),
-                (F.sum("l_extendedprice") / 1000).alias("o"),
+                (F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))) / 777).alias("s"),
+                (F.sum("l_extendedprice") / 777).alias("o"),
             )
         )
         return sums.withColumn("o", F.when(F.dayofyear("date") % 17 != 0, F.col("o")))
