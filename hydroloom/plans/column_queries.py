@@ -1 +1,429 @@
+"""Column-formula queries on derived weather, land and channel inputs."""
 
+from pyspark.sql import functions as F
+
+from hydroloom.functions import channel, clean, dates, evaporation as ev, land
+from hydroloom.plans.registry import query
+
+C = F.col
+
+
+def _meteo(v):
+    return v.meteo
+
+
+def _out(df, cols, digits=8):
+    return df.select("cell_id", "date", *[F.round(c, digits).alias(n) for n, c in cols.items()])
+
+
+SAT = "(0.6108 * exp(17.27 * tmin / (tmin + 237.3)) + 0.6108 * exp(17.27 * tmax / (tmax + 237.3))) / 2"
+TERMS = f"""t as (select *, {SAT} as esat, 2.501 - 0.002361 * tavg as heat,
+  4.903e-9 * (pow(tmin + 273.16, 4) + pow(tmax + 273.16, 4)) / 2 as up, 0.665e-3 * psurf as psy, dayofyear(date) as doy from meteo),
+u as (select *, 4098 * esat / pow(tavg + 237.3, 2) as delta, psurf * qair / (0.378 * qair + 0.622) as ea, up - rsdl as rl,
+  lat * pi() / 180 as rad, 0.409 * sin(2 * pi() * doy / 365 - 1.39) as decl, 1 + 0.033 * cos(2 * pi() * doy / 365) as dist from t),
+w as (select *, acos(-tan(rad * tan(decl))) as ws from u),
+x as (select *, 24 * 60 / pi() * 0.082 * dist * (ws * sin(rad) * sin(decl) + cos(rad) * cos(decl) * sin(ws)) as ra from w),
+y as (select *, ra * (0.75 + 2e-5 * elev) as rso from x),
+z as (select *, up * (0.34 - 0.14 * sqrt(eact)) * least(greatest(1.35 * rsds / rso - 0.35, 0.05), 1) as rl2,
+  0.00163 * (101.3 / heat) * pow((293 - 0.0065 * elev) / 293, 5.26) as psy2 from y)"""
+
+
+def _rna(albedo, rl="rl"):
+    return f"greatest(((1 - {albedo}) * rsds - {rl}) / heat, 0)"
+
+
+def _pm(albedo, drag="0.34", rl="rl", psy="psy", ea="ea"):
+    den = f"(delta + {psy} * (1 + {drag} * wind))"
+    return f"0.001 * ({_rna(albedo, rl)} * delta / {den} + 900 * wind / (tavg + 273.16) * greatest(esat - {ea}, 0) * {psy} / {den})"
+
+
+def _pm_args(radiation=False):
+    tmin, tmax, tavg = C("tmin"), C("tmax"), C("tavg")
+    up = ev.longwave_up(tmin, tmax)
+    if radiation:
+        _, rso = ev.extraterrestrial_radiation(C("lat"), F.dayofyear("date"), C("elev"))
+        longwave = ev.net_longwave_from_radiation(up, C("rsds"), rso, C("eact"))
+        return longwave, ev.psychrometric_at(C("elev"), ev.latent_heat(tavg)), C("eact")
+    terms = ev.vapour_terms(tmin, tmax, tavg, C("psurf"), C("qair"))
+    return up - C("rsdl"), terms["psycon"], terms["eact"]
+
+
+def _penman(v, radiation=False, co2=None):
+    longwave, psy, eact = _pm_args(radiation)
+    return ev.pet_penman_monteith(
+        C("tmin"), C("tmax"), C("tavg"), C("rsds"), longwave, psy, eact, C("wind"), F.lit(0.23), F.lit(0.05), co2
+    )
+
+
+@query("pet_penman_monteith", f"with {TERMS} select cell_id, date, round({_pm(0.23)}, 8) as et_ref, round({_pm(0.05)}, 8) as ew_ref from z")
+def _(v):
+    return _out(_meteo(v), _penman(v))
+
+
+@query("pet_penman_monteith_radiation", f"""with {TERMS} select cell_id, date, round({_pm(0.23, rl='rl2', psy='psy2', ea='eact')}, 8) as et_ref,
+  round({_pm(0.05, rl='rl2', psy='psy2', ea='eact')}, 8) as ew_ref from z""")
+def _(v):
+    return _out(_meteo(v), _penman(v, radiation=True))
+
+
+CO2 = "select year(o_orderdate) as year, 340 + avg(o_totalprice) / 5000 as co2 from orders group by 1"
+
+
+@query("pet_co2", f"""with {TERMS}, c as ({CO2}), e as (select min(year) as a, max(year) as b from c)
+select cell_id, date, round({_pm(0.23, '(0.34 + 0.00024 * (co2 - 300))')}, 8) as et_ref, round({_pm(0.05, '(0.34 + 0.00024 * (co2 - 300))')}, 8) as ew_ref
+from z, e join c on true where c.year = greatest(a, least(b, year(z.date)))""")
+def _(v):
+    from hydroloom.operators.joins import clamp_period_key
+
+    co2 = v.sql(CO2)
+    first, last = (co2.select(f("year")).scalar() for f in (F.min, F.max))
+    m = _meteo(v).withColumn("year", clamp_period_key(C("date"), first, last, "year")).join(co2, "year")
+    return _out(m, _penman(v, co2=C("co2")))
+
+
+@query("pet_energy_only", f"with {TERMS} select cell_id, date, round(0.0008 * {_rna(0.23)}, 8) as et_ref, round(0.0008 * {_rna(0.05)}, 8) as ew_ref from z")
+def _(v):
+    longwave, _, _ = _pm_args()
+    return _out(_meteo(v), ev.pet_energy_only(C("rsds"), longwave, C("tavg"), F.lit(0.23), F.lit(0.05)))
+
+
+@query("pet_priestley_taylor", f"""with {TERMS} select cell_id, date, round(0.001 * 1.1 * delta / (delta + psy) * {_rna(0.23)}, 8) as et_ref,
+  round(0.001 * 1.26 * delta / (delta + psy) * {_rna(0.05)}, 8) as ew_ref from z""")
+def _(v):
+    longwave, psy, _ = _pm_args()
+    return _out(_meteo(v), ev.pet_priestley_taylor(C("tmin"), C("tmax"), C("tavg"), C("rsds"), longwave, psy, F.lit(0.23), F.lit(0.05)))
+
+
+@query("extraterrestrial_radiation", f"with {TERMS} select cell_id, date, round(ra, 6) as ra, round(rso, 6) as rso from z")
+def _(v):
+    ra, rso = ev.extraterrestrial_radiation(C("lat"), F.dayofyear("date"), C("elev"))
+    return _out(_meteo(v), {"ra": ra, "rso": rso}, 6)
+
+
+@query("vapour_terms", f"""with {TERMS} select cell_id, date, round(esat, 9) as esat, round(ea, 9) as eact, round(psy, 9) as psycon, round(delta, 9) as delta,
+  round(greatest(esat - ea, 0), 9) as deficit from z""")
+def _(v):
+    return _out(_meteo(v), ev.vapour_terms(C("tmin"), C("tmax"), C("tavg"), C("psurf"), C("qair")), 9)
+
+
+DZ = [f"(elev * {k}e-2)" for k in (1, 5, 10, 20, 30, 40, 50, 60, 70, 80, 90, 100)]
+BANDS = (11, 9, 7, 5, 3)
+
+
+def _dz():
+    return F.array(*[C("elev") * (k / 100) for k in (1, 5, 10, 20, 30, 40, 50, 60, 70, 80, 90, 100)])
+
+
+def _t(i):
+    return f"(tavg - 0.065 * ({DZ[i]} - {DZ[7]}))"
+
+
+@query("rain_snow_split", f"""select cell_id, date, round(({' + '.join(f'case when {_t(i)} < 3 then 1.1 * precip else 0 end' for i in BANDS)}) / 5, 8) as snow,
+  round(({' + '.join(f'case when {_t(i)} >= 3 then precip else 0 end' for i in BANDS)}) / 5, 8) as rain from meteo""")
+def _(v):
+    out = ev.rain_snow_split(C("tavg"), C("precip"), _dz(), 5, F.lit(0.065), F.lit(1.1), F.lit(3.0))
+    return _out(_meteo(v), out)
+
+
+@query("rain_snow_linear", f"""with b as (select cell_id, date, precip, [{', '.join(f'greatest(0, least(1, 1 - ({_t(i)} - 1) / (6 - 1)))' for i in BANDS)}] as f from meteo)
+select cell_id, date, round(list_sum(f) / 5 * 1.1 * precip, 11) as snow, round((5 - list_sum(f)) / 5 * precip, 11) as rain from b""")
+def _(v):
+    out = ev.rain_snow_split(C("tavg"), C("precip"), _dz(), 5, F.lit(0.065), F.lit(1.1), F.lit(0.0), F.lit(1.0), F.lit(6.0))
+    return _out(_meteo(v), out, 11)
+
+
+COEF = "(1.5 * sin(radians((dayofyear(date) - 81) * (360 / 365.25::double))) + 4)"
+
+
+@query("potential_degree_day_melt", f"""select cell_id, date, round(({' + '.join(
+  f'greatest(0, (({_t(i)} - 0.5) * {COEF} + 0.3 * (rsds - (4.903e-9 * pow({_t(i)} + 273.16, 4) - rsdl)) / 334) * (1 + 0.01 * case when {_t(i)} >= 3 then precip else 0 end))' for i in BANDS)}) / 5, 6) as melt from meteo""")
+def _(v):
+    coef = ev.melt_coefficient(F.dayofyear("date"), F.lit(1.5), F.lit(4.0))
+    melt = ev.potential_degree_day_melt(
+        C("tavg"), C("precip"), _dz(), 5, F.lit(0.065), F.lit(1.1), F.lit(3.0), F.lit(0.5), coef, F.lit(0.3), C("rsds"), C("rsdl")
+    )
+    return _out(_meteo(v), {"melt": melt}, 6)
+
+
+@query("meteo_units", """select cell_id, date, round(greatest(precip * 0.7 - 0.001, 0), 8) as precip, round(tavg + 300 - 273.15, 8) as temperature,
+  round(rsds * 10 * 0.0864, 8) as radiation, round(psurf * 10 * 0.1, 8) as pressure from meteo""")
+def _(v):
+    out = ev.meteo_units(C("precip") - 0.001 / 0.7, C("tavg") + 300, C("rsds") * 10, C("psurf") * 10, conversion=0.7, kelvin=True, strict=True)
+    return _out(_meteo(v), out)
+
+
+@query("kc_interpolate", """with d as (select cell_id, date, dayofyear(date) as doy, area from cell_day join cell using (cell_id)),
+k as (select *, (doy - 1) // 30 as s, case when (doy - 1) // 30 + 1 > 12 then 0 else (doy - 1) // 30 + 1 end as f from d)
+select cell_id, date, round(((0.3 + f * area / 7000) - (0.3 + s * area / 7000)) / 30 * (doy % 30) + 0.3 + s * area / 7000, 8) as kc from k""")
+def _(v):
+    d = v.cell_day.join(v.cell.select("cell_id", "area"), "cell_id")
+    kc = F.array(*[0.3 + i * C("area") / 7000 for i in range(13)])
+    return _out(d, {"kc": land.kc_interpolate(kc, F.dayofyear("date"))})
+
+
+CROPS = """select l_partkey as cell_id, cast(l_shipdate as date) as date, l_quantity / 500e0 as fraction, 0.4e0 + l_discount * 7 as kc from lineitem"""
+CLASS = """select cell_id, date, 0.1e0 as general, 0.9e0 as general_kc, 0.05e0 as fallow, 0.2e0 as min_kc, value / 300 as class_fraction from cell_day"""
+
+
+@query("kc_weighted", f"""with c as ({CROPS}), k as ({CLASS}), p as (select cell_id, date, sum(fraction * kc) as planted from c group by 1, 2)
+select cell_id, date, round(case when class_fraction > 0 then (0.1 * 0.9 + coalesce(planted, 0) + 0.05 * 0.2) / class_fraction else 0 end, 7) as kc from k left join p using (cell_id, date)""")
+def _(v):
+    return _out(land.kc_weighted(v.sql(CROPS), v.sql(CLASS)), {"kc": C("kc")}, 7)
+
+
+@query("yield_ratio", """with d as (select cell_id, date, value, tavg * 3 as pot, 0.7 as fraction, 0.8 + wind / 10 as ky, (cell_id % 4) as counter
+  from cell_day join meteo using (cell_id, date))
+select cell_id, date, round(case when counter > 0 and value > 0 then greatest(1 - ky * (1 - case when pot * fraction > 0 then value / (pot * fraction) else 0 end), 0) else 0 end, 7) as yield from d""")
+def _(v):
+    d = v.cell_day.join(_meteo(v), ["cell_id", "date"])
+    y = land.yield_ratio(C("value"), C("tavg") * 3, F.lit(0.7), 0.8 + C("wind") / 10, C("cell_id") % 4)
+    return _out(d, {"yield": y}, 7)
+
+
+FRAC = """select cell_id, 0.1e0 + (zone % 5) / 2e1 as f0, 0.15e0 + (zone % 3) / 1e1 as f1, 0.1e0 as f2, (zone % 4) / 1.3e1 as f3, (zone % 6) / 1.7e1 as f4, 0.05e0 as f5 from cell"""
+NORM = """n1 as (select *, greatest(0, f1 + 1 - (f0 + f1 + f2 + f3 + f4 + f5)) as g1 from f),
+n as (select *, greatest(0, f0 + 1 - (f0 + g1 + f2 + f3 + f4 + f5)) as g0 from n1)"""
+
+
+def _frac(v):
+    return v.sql(FRAC), [C(f"f{i}") for i in range(6)]
+
+
+def _cells(df, cols, digits=7):
+    return df.select("cell_id", *[F.round(c, digits).alias(n) for n, c in cols.items()])
+
+
+@query("cover_normalise", f"""with f as ({FRAC}), {NORM} select cell_id, round(g0, 7) as c0, round(g1, 7) as c1, round(f2, 7) as c2,
+  round(f3, 7) as c3, round(f4, 7) as c4, round(f5, 7) as c5 from n""")
+def _(v):
+    df, f = _frac(v)
+    return _cells(df, {f"c{i}": c for i, c in enumerate(land.cover_normalise(f))})
+
+
+@query("cover_remove_glacier", f"""with f as ({FRAC}), g as (select *, f4 - (cell_id % 13) / 13.7 as a4 from f),
+h as (select *, f1 + least(a4, 0) as a1, greatest(a4, 0) as r4 from g), i as (select *, f0 + least(a1, 0) as a0, greatest(a1, 0) as r1 from h),
+j as (select *, f5 + least(a0, 0) as a5, greatest(a0, 0) as r0 from i), k as (select *, f2 + least(a5, 0) as a2, greatest(a5, 0) as r5 from j),
+l as (select *, f3 + least(a2, 0) as r3, greatest(a2, 0) as r2 from k)
+select cell_id, round(r0, 7) as c0, round(r1, 7) as c1, round(r2, 7) as c2, round(r3, 7) as c3, round(r4, 7) as c4, round(r5, 7) as c5 from l""")
+def _(v):
+    df, f = _frac(v)
+    out = land.cover_remove_glacier(f, (C("cell_id") % 13) / 13.7)
+    return _cells(df, {f"c{i}": c for i, c in enumerate(out)})
+
+
+@query("cover_without_irrigation", f"""with f as ({FRAC}) select cell_id, round(f0, 7) as c0, round(f1 + f2 + f3, 7) as c1, 0::double as c2, 0::double as c3,
+  round(f4, 7) as c4, round(f5, 7) as c5 from f""")
+def _(v):
+    df, f = _frac(v)
+    return _cells(df, {f"c{i}": c for i, c in enumerate(land.cover_without_irrigation(f))})
+
+
+@query("land_remainder", f"""with f as ({FRAC}) select cell_id, round(f1 - f2 / 2, 7) as remainder_nonirr, round(f3 - f2 / 3, 7) as remainder_irr,
+  round(f1 - (f2 / 2 + f5), 7) as fallow_nonirr, round(f3 - (f2 / 3 + f5 / 2), 7) as fallow_irr, round(f3 - (f2 / 3 + f5 / 2) + f1 - f2 / 2, 7) as available from f""")
+def _(v):
+    df, f = _frac(v)
+    return _cells(df, land.land_remainder(f[1], f[3], f[2] / 2, f[2] / 3, f[5], f[5] / 2))
+
+
+@query("channel_geometry", """select cell_id, round(depth * width, 6) as bankfull_area, round(width + depth, 6) as wetted_perimeter,
+  round(pow(0.04 / sqrt(greatest(grad, 0.0001)), 0.6) * pow(width + depth, 0.4) * 2.5, 6) as alpha
+  from (select cell_id, 1 + zone / 7.0 as depth, 10 + area / 33.0 as width, (zone - 5) / 900.0 as grad from cell)""")
+def _(v):
+    out = channel.channel_geometry(1 + C("zone") / 7.0, 10 + C("area") / 33.0, F.lit(0.04), (C("zone") - 5) / 900.0, F.lit(0.0001), F.lit(0.6))
+    return _cells(v.cell, out, 6)
+
+
+@query("channel_travel_time", """with d as (select cell_id, date, value, greatest(value, 0.0001) as dis, 5000 + area as len, 0.5 * (area / 90) as half from cell_day join cell using (cell_id)),
+e as (select *, 1.22 * pow(dis, 0.557) as width, 0.4148 * pow(dis, 0.898) as ca from d),
+f as (select *, greatest(least(value / ca, 0.36 * pow(dis, 0.24)), 10 * 0.0011575) as vel from e)
+select cell_id, date, round(vel, 7) as velocity, round(vel * 86400, 4) as travel_distance, round(least(len / vel, 200000), 5) as travel_time,
+  round(least(ca, half) / width + greatest(ca - half, 0) / (2 * width), 7) as water_level from f""")
+def _(v):
+    d = v.cell_day.join(v.cell.select("cell_id", "area"), "cell_id")
+    o = channel.channel_travel_time(C("value"), 5000 + C("area"), C("area") / 90)
+    digits = {"velocity": 7, "travel_distance": 4, "travel_time": 5, "water_level": 7}
+    return d.select("cell_id", "date", *[F.round(o[n], k).alias(n) for n, k in digits.items()])
+
+
+@query("water_temperature", "select cell_id, date, round(3 + 25 / (1 + exp(0.18 * (14 - tavg))), 7) as t from meteo")
+def _(v):
+    return _out(_meteo(v), {"t": channel.water_temperature(C("tavg"))}, 7)
+
+
+@query("env_flow_depth", "select cell_id, date, round(1.7 * 500 * pow(value, 0.6) / area, 7) as depth from cell_day join cell using (cell_id)")
+def _(v):
+    d = v.cell_day.join(v.cell.select("cell_id", "area"), "cell_id")
+    return _out(d, {"depth": channel.env_flow_depth(C("value"), F.lit(1.7), F.lit(500.0), C("area"))}, 7)
+
+
+SHARES = (0.01, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
+
+
+def _cap_case():
+    out = f"least(1, 1 - ({DZ[11]} - h) * 0.1 / greatest(1e-3, {DZ[11]} - {DZ[10]}))"
+    whens = []
+    for i, s in enumerate(SHARES):
+        below = DZ[i - 1] if i else "0"
+        whens.append(f"when h < {DZ[i]} then {s} - ({DZ[i]} - h) * 0.1 / greatest(1e-3, {DZ[i]} - {below})")
+    return f"case {' '.join(whens)} else {out} end"
+
+
+@query("capillary_fraction", f"""select cell_id, date, round(greatest(0, least(1, {_cap_case()})), 6) as fraction
+  from (select cell_id, date, elev, tavg / 0.3 + 5 as h from meteo)""")
+def _(v):
+    return _out(_meteo(v), {"fraction": channel.capillary_fraction(C("tavg"), F.lit(0.3), F.lit(5.0), _dz())}, 6)
+
+
+@query("peak_time", """select cell_id, round(least(greatest(2.5 * (0.5 + 30000 / (86400 * sqrt(greatest(s, 0.00001)))), 0.5), 3), 7) as surface,
+  round(least(greatest(4 * (0.5 + 30000 / (86400 * sqrt(greatest(s, 0.00001)))), 0.5), 5), 7) as baseflow from (select cell_id, zone / 70.0 as s from cell)""")
+def _(v):
+    s = C("zone") / 70.0
+    return _cells(v.cell, {"surface": channel.peak_time(s, F.lit(2.5)), "baseflow": channel.peak_time(s, F.lit(4.0), "baseflow")})
+
+
+@query("triangular_lag", """with d as (select cell_id, date, value as flow, 0.5 + (cell_id % 26) / 10.0::double as p from cell_day), l as (select unnest(range(6)) as lag),
+c as (select d.*, lag, case when lag + 0 <= 0 then 0 when 2 * p - lag < 1 then 1 when lag > p then 1 - pow(2 * p - lag, 2) / (2 * p * p) else lag * lag / (2 * p * p) end as a,
+  case when 2 * p - (lag + 1) < 1 then 1 when lag + 1 > p then 1 - pow(2 * p - lag - 1, 2) / (2 * p * p) else (lag + 1) * (lag + 1) / (2 * p * p) end as b from d, l)
+select cell_id, (date + lag::int)::date as date, round(sum(flow * (b - a)), 6) as flow from c where b - a > 0 group by 1, 2""")
+def _(v):
+    d = v.cell_day.select("cell_id", "date", C("value").alias("flow"), (0.5 + (C("cell_id") % 26) / F.lit(10.0)).alias("peak"))
+    return channel.triangular_lag(d, 3.0).withColumn("flow", F.round("flow", 6))
+
+
+@query("root_depth_layers", """select cell_id, round(s1::double, 6) as d1, round(least(s2 + s3 - 0.05, greatest(s2, r - s1)), 6) as d2,
+  round(greatest(0.05, s2 + s3 - least(s2 + s3 - 0.05, greatest(s2, r - s1))), 6) as d3, round(s2, 6) as g2, round(s3, 6) as g3
+  from (select cell_id, 0.05 as s1, 0.2 + zone / 70.0 as s2, 0.4 + (zone % 9) / 11.0 as s3, area / 600.0 as r from cell)""")
+def _(v):
+    s1, s2, s3 = F.lit(0.05), 0.2 + C("zone") / 70.0, 0.4 + (C("zone") % 9) / 11.0
+    d = land.root_depth_layers(s1, s2, s3, C("area") / 600.0, grassland=False)
+    g = land.root_depth_layers(s1, s2, s3, C("area") / 600.0, grassland=True)
+    return _cells(v.cell, {"d1": d[0], "d2": d[1], "d3": d[2], "g2": g[1], "g3": g[2]}, 6)
+
+
+@query("soil_water_limits", """with p as (select cell_id, 0.4 + zone / 500.0 as ts, 0.05 + zone / 1000.0 as tr, 0.01 + zone / 3000.0 as al, 0.2 + zone / 200.0 as lam, 0.3 + zone / 70.0 as ks, area / 900.0 as dep from cell),
+q as (select *, lam + 1 as n, lam / (lam + 1) as m, ts * dep as ws, tr * dep as wres, ts * dep - tr * dep as span from p),
+r as (select *, wres + span / pow(1 + pow(al * 100, n), m) as wfc, wres + span / pow(1 + pow(al * pow(10, 4.2), n), m) as wwp from q),
+s as (select *, greatest(0, wfc - wres) / span as sat from r)
+select cell_id, round(ws, 7) as ws, round(wres, 7) as wres, round(wfc, 7) as wfc, round(wwp, 7) as wwp,
+  round(ks * sqrt(sat) * pow(1 - pow(1 - pow(sat, 1 / m), m), 2), 9) as k_fc from s""")
+def _(v):
+    z = C("zone")
+    out = land.soil_water_limits(0.4 + z / 500.0, 0.05 + z / 1000.0, 0.01 + z / 3000.0, 0.2 + z / 200.0, 0.3 + z / 70.0, C("area") / 900.0)
+    return v.cell.select("cell_id", *[F.round(out[n], 9 if n == "k_fc" else 7).alias(n) for n in ("ws", "wres", "wfc", "wwp", "k_fc")])
+
+
+@query("waterbody_attributes", """select cell_id, (case when vol <= 0 and kind in (2, 3) then 1 else kind end)::int as body_type, ar * 1e6 as lake_area,
+  round(7.1 * pow(greatest(dis, 0.1), 0.539), 7) as outlet_width, round(1.1 * 0.612 * 2 / 3 * 7.1 * pow(greatest(dis, 0.1), 0.539) * sqrt(19.62), 6) as weir,
+  case when vol > 0 then vol * 1e6 else ar * 1e7 end as res_volume
+  from (select cell_id, zone % 5 as kind, greatest(zone - 20, 0)::double as vol, zone::double as ar, area / 100 - 9.02 as dis from cell)""")
+def _(v):
+    vol = F.greatest(C("zone") - 20, F.lit(0)).cast("double")
+    o = channel.waterbody_attributes(C("zone") % 5, vol, C("zone").cast("double"), C("area") / 100 - 9.02, F.lit(1.1))
+    return v.cell.select(
+        "cell_id", o["body_type"].cast("int").alias("body_type"), o["lake_area"].alias("lake_area"), F.round(o["outlet_width"], 7).alias("outlet_width"),
+        F.round(o["weir"], 6).alias("weir"), o["res_volume"].alias("res_volume"),
+    )
+
+
+@query("body_type_in_year", """select cell_id, year, (case when built > year and kind in (2, 4) then 0 when built > year and kind = 3 then 1 else kind end)::int as body_type
+  from (select cell_id, zone % 5 as kind, 1990 + zone % 12 as built, year from cell, (select distinct year(o_orderdate)::int as year from orders))""")
+def _(v):
+    years = v.table("orders").select(F.year("o_orderdate").alias("year")).distinct()
+    bodies = v.cell.select("cell_id", "zone", F.explode(F.sequence(years.select(F.min("year")).scalar(), years.select(F.max("year")).scalar())).alias("year"))
+    kind = channel.body_type_in_year(C("zone") % 5, 1990 + C("zone") % 12, C("year"))
+    return bodies.select("cell_id", "year", kind.alias("body_type"))
+
+
+@query("surface_share", """with a as (select cell_id, area, zone, avg(area / 10) over (partition by zone) as base from cell)
+select cell_id, round(greatest(0, least(1, (zone * 3.0) / greatest(1e-20, zone * 3.0 + base))), 7) as share from a""")
+def _(v):
+    from hydroloom.operators.zonal import zone_average
+
+    a = zone_average(v.cell.withColumn("b", C("area") / 10), ["zone"], "b", "base")
+    return _cells(a, {"share": land.surface_share(C("zone") * 3.0, C("base"))})
+
+
+@query("irrigation_demand", """with m as (select cell_id, date, tavg, wind, rsds, tavg / 100 as w1, tavg / 40 as w2 from meteo),
+n as (select *, w1 + w2 as w, 0.5 + 0.9 as cap, pow(greatest((w1 + w2) / (0.5 + 0.9), 0), 0.3) as sat0, (0.5 + 0.9) / 1.3 as store,
+  greatest(0, w1 - 0.08) + greatest(0, w2 - 0.15) as ready, least(0.1 * wind * 1.3, 1) as et from m),
+o as (select *, greatest(least(sat0, 1), 0) as sat, greatest(least(1 / (0.76 + 1.5 * et) - 0.4 + (et - 0.6) / 4, 1), 0) as p from n),
+q as (select *, store - store * (1 - pow(1 - sat, 1.3 / 0.3)) as inf, greatest(0, (1 - p) * (0.3 - 0.08)) + greatest(0, (1 - p) * (0.6 - 0.15)) as crit from o),
+r as (select *, least(case when wind / 2 > 0.2 and ready < 0.9 * crit then greatest(0, 0.9 * 0.8 - ready) else 0 end, inf) as need,
+  case when wind / 2 > 0.75 then greatest(0, 0.9 * 0.05 - (w1 / 10 + 0.001)) else 0 end as pneed from q)
+select cell_id, date, round(case when need > 0.0001 then need else 0 end / 0.7, 7) as nonpaddy, round(case when pneed > 0.0001 then pneed else 0 end / 0.8, 7) as paddy from r""")
+def _(v):
+    m = _meteo(v)
+    lit = F.lit
+    w = [C("tavg") / 100, C("tavg") / 40]
+    non = land.irrigation_nonpaddy(
+        C("wind") / 2, w, [lit(0.08), lit(0.15)], [lit(0.3), lit(0.6)], [lit(0.5), lit(0.9)], C("wind") * 1.3 / 1000, lit(0.8),
+        lit(0.9), lit(0.3), lit(0.0001), lit(0.7),
+    )
+    paddy = land.irrigation_paddy(C("wind") / 2, w[0] / 10, lit(0.05), lit(0.001), lit(0.9), lit(0.0001), lit(0.8))
+    return _out(m, {"nonpaddy": non, "paddy": paddy}, 7)
+
+
+@query("null_sentinels", """select l_orderkey, l_linenumber, case when v > 1e15 or isnan(v) then null else v end as meteo, case when v = 1e31 or isnan(v) then null else v end as series,
+  case when v < 0 or isnan(v) then null else v end as observed, case when v < -900 or isnan(v) then null else v end as run, case when v = -9999 or isnan(v) then null else v end as decompress
+  from (select l_orderkey, l_linenumber, case l_linenumber % 7 when 0 then 1e31 when 1 then 'nan'::double when 2 then -9999 when 3 then -5 when 4 then 1e20 else l_quantity end as v from lineitem)""")
+def _(v):
+    k = C("l_linenumber") % 7
+    x = F.when(k == 0, 1e31).when(k == 1, F.lit(float("nan"))).when(k == 2, -9999.0).when(k == 3, -5.0).when(k == 4, 1e20).otherwise(C("l_quantity"))
+    t = v.table("lineitem").select("l_orderkey", "l_linenumber", x.alias("v"))
+    rules = ("meteo", "series", "observed", "run", "decompress")
+    return t.select("l_orderkey", "l_linenumber", *[clean.null_sentinels(C("v"), r).alias(r) for r in rules])
+
+
+@query("safe_divide", """select l_orderkey, l_linenumber, case when l_discount = 0 then 0 else l_quantity / l_discount end as q from lineitem""")
+def _(v):
+    return v.table("lineitem").select("l_orderkey", "l_linenumber", clean.safe_divide(C("l_quantity"), C("l_discount")).alias("q"))
+
+
+@query("clamp_fraction", "select l_orderkey, l_linenumber, greatest(0, least(1, (l_quantity - 20) / 16)) as f from lineitem")
+def _(v):
+    return v.table("lineitem").select("l_orderkey", "l_linenumber", clean.clamp_fraction((C("l_quantity") - 20) / 16).alias("f"))
+
+
+@query("normalise_station_name", r"""select s_suppkey, regexp_replace(translate(replace(replace(s_name || ' (Gößl. Süd)', 'ö', 'oe'), 'ß', 'ss').replace('ü', 'ue'), '.() ', '____'), '_+', '_', 'g') as name from supplier""")
+def _(v):
+    name = F.concat(C("s_name"), F.lit(" (Gößl. Süd)"))
+    return v.table("supplier").select("s_suppkey", clean.normalise_station_name(name).alias("name"))
+
+
+@query("station_numeric_id", "select s_suppkey, s_suppkey::int as n from supplier")
+def _(v):
+    text = F.concat(F.lit("G"), F.lpad(C("s_suppkey").cast("string"), 4, "0"))
+    return v.table("supplier").select("s_suppkey", clean.station_numeric_id(text).alias("n"))
+
+
+@query("number_format", "select o_orderkey, format('{:,.2f}', o_totalprice) as t from orders")
+def _(v):
+    return v.table("orders").select("o_orderkey", clean.number_format(C("o_totalprice")).alias("t"))
+
+
+@query("split_inflow_ids", "select o_custkey, o_orderkey as inflow_id from orders")
+def _(v):
+    from hydroloom.sources.text import join_ids, split_ids
+
+    lists = join_ids(v.table("orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey", "ids")
+    return split_ids(lists, "ids", "inflow_id").select("o_custkey", C("inflow_id").cast("long").alias("inflow_id"))
+
+
+@query("coord_pair_list", "select s_nationkey as nation, s_suppkey as gauge_id, s_suppkey % 50 + 0.5::double as lon, s_suppkey % 40 + 0.25::double as lat from supplier")
+def _(v):
+    from hydroloom.sources.text import coord_pairs, coord_text
+
+    s = v.table("supplier").select(
+        C("s_nationkey").alias("nation"), C("s_suppkey").alias("gauge_id"), (C("s_suppkey") % 50 + 0.5).alias("lon"), (C("s_suppkey") % 40 + 0.25).alias("lat")
+    )
+    text = coord_text(s, ["nation"], "gauge_id")
+    pairs = coord_pairs(text, "coords")
+    ids = s.groupBy("nation").agg(F.array_sort(F.collect_list("gauge_id")).alias("ids"))
+    return pairs.join(ids, "nation").select("nation", F.get("ids", C("pos")).alias("gauge_id"), "lon", "lat")
+
+
+@query("pin_demand_year", "select o_orderkey, make_date(2000, month(o_orderdate), 1) as date from orders")
+def _(v):
+    from hydroloom.operators.demand import pin_demand_year
+
+    return v.table("orders").select("o_orderkey", pin_demand_year(C("o_orderdate"), 2000).alias("date"))
