@@ -200,14 +200,14 @@ FLOW = """f as (select cell_id, date, value / 11 as recharge, case when cell_id
 
 
 @query("linear_reservoir", f"""with recursive {FLOW}, r(cell_id, date, n, store, outflow) as (
-  select cell_id, date, n, greatest(0, s - least(s, 0.05 * s)), least(s, 0.05 * s) from (select *, greatest(0, recharge)::double as s from f where n = 1)
-  union all select f.cell_id, f.date, f.n, greatest(0, x.s - least(x.s, 0.05 * x.s)), least(x.s, 0.05 * x.s)
+  select cell_id, date, n, greatest(0, s - least(s, 0.0513 * s)), least(s, 0.0513 * s) from (select *, greatest(0, recharge)::double as s from f where n = 1)
+  union all select f.cell_id, f.date, f.n, greatest(0, x.s - least(x.s, 0.0513 * x.s)), least(x.s, 0.0513 * x.s)
   from r join f on f.cell_id = r.cell_id and f.n = r.n + 1, lateral (select greatest(0, greatest(0, r.store - f.abstraction) + f.recharge) as s) x)
 select cell_id, date, round(store, 6) as store, round(outflow, 6) as outflow from r""")
 def _(v):
     take = F.when(C("cell_id") % 3 == 0, C("value") / 13).otherwise(0.5)
     flows = v.cell_day.select("cell_id", "date", (C("value") / 11).alias("recharge"), take.alias("abstraction"))
-    return folds.linear_reservoir(flows, 0.05).withColumn("store", F.round("store", 6)).withColumn("outflow", F.round("outflow", 6))
+    return folds.linear_reservoir(flows, 0.0513).withColumn("store", F.round("store", 6)).withColumn("outflow", F.round("outflow", 6))
 
 
 @query("frost_index", """with recursive d as (select cell_id, date, tavg - 14 as t, precip * 10 as snow, row_number() over (partition by cell_id order by date) as n from meteo),

@@ -28,6 +28,7 @@ def local_session(cpus: int | str = 8, memory: str = "8g", app: str = "hydroloom
         .appName(app)
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(cpus))
     )
     for key, value in ENGINE_CONF.items():
