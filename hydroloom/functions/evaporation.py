@@ -71,6 +71,11 @@ def extraterrestrial_radiation(lat: Column, doy: Column, elevation: Column) -> t
     return ra, ra * (0.75 + 2e-5 * elevation)
 
 
+def fixed_day_radiation(elevation: Column) -> tuple[Column, Column]:
+    """(Ra, clear-sky radiation) of one latitude and day for all rows, only to repeat runs that did so."""
+    return extraterrestrial_radiation(F.lit(PARITY_LATITUDE), F.lit(PARITY_DOY), elevation)
+
+
 def net_longwave_from_radiation(up: Column, rsds: Column, rso: Column, eact: Column) -> Column:
     cloud = F.least(F.greatest(1.35 * rsds / rso - 0.35, F.lit(0.05)), F.lit(1.0))
     return up * (0.34 - 0.14 * F.sqrt(eact)) * cloud

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from hydroloom.functions.clean import safe_divide
+from hydroloom.operators.keyed import lookup, with_group
 
 SECONDS_PER_DAY = 86400
 LITERAL_LIMIT = 10_000
@@ -30,7 +31,7 @@ def unit_to_volume(value: Column, area: Column, unit_class: Column) -> Column:
 
 def daily_sums(series: DataFrame, cell: DataFrame) -> DataFrame:
     """Per variable and day, the sums every unit class needs, in one pass over the cells."""
-    weighted = series.join(cell.select("cell_id", "area"), "cell_id")
+    weighted = lookup(series, cell, ["cell_id"], ["area"])
     return weighted.groupBy("variable", "date").agg(
         F.sum(F.col("value") * F.col("area")).alias("depth_volume"),
         F.sum("value").alias("plain_sum"),
@@ -165,8 +166,6 @@ def flow_hierarchy(
 
 def share_of_parent(rows: DataFrame, value: str = "value", parent: str = "parent") -> DataFrame:
     """Share of a value in the total of its parent, as number and as text like `12.5%`."""
-    from hydroloom.operators.keyed import with_group
-
     total = with_group(rows, [parent], _total=F.sum(value))
     share = safe_divide(F.col(value), F.col("_total"))
     return total.withColumn("share", share).withColumn("share_text", F.format_string("%.1f%%", share * 100)).drop("_total")
@@ -207,7 +206,7 @@ def day_table(daily: DataFrame, variables: list[str]) -> DataFrame:
 def land_class_area(cover: DataFrame, cell: DataFrame) -> DataFrame:
     """Area of each class per month end: fraction x cell area."""
     return (
-        cover.join(cell.select("cell_id", "area"), "cell_id")
+        lookup(cover, cell, ["cell_id"], ["area"])
         .groupBy("cover", "month")
         .agg(F.sum(F.col("fraction") * F.col("area")).alias("class_area"))
     )
@@ -247,7 +246,7 @@ def balance_residual_max(residuals: DataFrame, keys: list[str] = ()) -> DataFram
 def balance_residual_basin(residuals: DataFrame, label: DataFrame, cell: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Residual volume per basin: rows of (cell_id, residual) weighted by area."""
     return (
-        residuals.join(label, "cell_id").join(cell.select("cell_id", "area"), "cell_id")
+        lookup(residuals, label.join(cell.select("cell_id", "area"), "cell_id"), ["cell_id"], ["basin", "area"], rows=cell.count())
         .groupBy("basin", *keys)
         .agg(F.sum(F.col("residual") * F.col("area")).alias("residual"))
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hydroloom.functions.clean import safe_divide
+from hydroloom.operators.keyed import lookup
 
 
 def demand_to_depth(mcm: Column, area: Column, days: Column, scale: Column | None = None) -> Column:
@@ -38,7 +39,7 @@ def segment_crop_area(crops: DataFrame, cell: DataFrame) -> DataFrame:
 
     `crops(cell_id, segment, crop, irr, nonirr, rain, pet)`.
     """
-    joined = crops.join(cell.select("cell_id", "area"), "cell_id")
+    joined = lookup(crops, cell, ["cell_id"], ["area"])
     a = F.col("area")
     return joined.groupBy("segment", "crop").agg(
         F.sum(F.col("irr") * a).alias("irr_area"), F.sum(F.col("nonirr") * a).alias("nonirr_area"),
@@ -102,7 +103,7 @@ def plant_collection(sewage: DataFrame, cell: DataFrame, plants: DataFrame) -> D
     `joins.active_version`.
     """
     collected = (
-        sewage.join(cell.select("cell_id", "area"), "cell_id")
+        lookup(sewage, cell, ["cell_id"], ["area"])
         .groupBy("plant_id", "date").agg(F.sum(F.col("value") * F.col("area")).alias("collected"))
         .withColumn("year", F.year("date"))
     )
@@ -118,7 +119,7 @@ def plant_collection(sewage: DataFrame, cell: DataFrame, plants: DataFrame) -> D
 def exported_collection(sewage: DataFrame, cell: DataFrame, plants: DataFrame) -> DataFrame:
     """Sewage of areas whose plant is outside the basin; area 0 is none."""
     outside = sewage.filter(F.col("plant_id") > 0).join(plants.select("plant_id").distinct(), "plant_id", "left_anti")
-    return outside.join(cell.select("cell_id", "area"), "cell_id").groupBy("date").agg(
+    return lookup(outside, cell, ["cell_id"], ["area"]).groupBy("date").agg(
         F.sum(F.col("value") * F.col("area")).alias("exported")
     )
 

@@ -21,29 +21,38 @@ def semi_mask(df: DataFrame, mask: DataFrame, key: str = "cell_id") -> DataFrame
     return df.join(mask.select(key), key, "left_semi")
 
 
-def nearest_on_axis(points: DataFrame, axis: DataFrame, point_key: str, value: str, coordinate: str, index: str) -> DataFrame:
+def nearest_on_axis(
+    points: DataFrame, axis: DataFrame, point_key: str, value: str, coordinate: str, index: str, width: float = 1.0
+) -> DataFrame:
     """Index of the nearest coordinate of an irregular axis, the smaller index on a tie.
 
-    Points and coordinates are merged in one order and each point looks at the last coordinate
-    before and the first one after it, so no point meets the whole axis. The order is cut into
-    blocks of unit width; only block ends are compared across blocks.
+    Each coordinate owns the interval up to half way to its neighbours. Intervals are cut into
+    blocks of `width`, points carry their block, and the two meet by an equality join: neither a
+    busy block nor the axis has to be sorted together with the points. Only the axis, as long as a
+    grid side, is ordered.
     """
-    p = points.select(F.col(point_key), F.col(value).alias("_x"), F.lit(None).cast("double").alias("_c"), F.lit(None).cast("long").alias("_i"))
-    a = axis.groupBy(F.col(coordinate).cast("double").alias("_x")).agg(F.min(F.col(index).cast("long")).alias("_i"))
-    a = a.select(F.lit(None).cast(points.schema[point_key].dataType).alias(point_key), "_x", F.col("_x").alias("_c"), "_i")
-    both = p.unionByName(a).withColumn("_b", F.floor("_x")).withColumn("_hit", F.when(F.col("_c").isNotNull(), F.struct("_c", "_i")))
-    ends = both.groupBy("_b").agg(F.max("_hit").alias("_last"), F.min("_hit").alias("_head"))
-    lower = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    upper = W.orderBy("_b").rowsBetween(1, W.unboundedFollowing)
-    ends = ends.select("_b", F.max("_last").over(lower).alias("_low"), F.min("_head").over(upper).alias("_high"))
-    before = W.partitionBy("_b").orderBy("_x").rangeBetween(W.unboundedPreceding, 0)
-    after = W.partitionBy("_b").orderBy("_x").rangeBetween(0, W.unboundedFollowing)
-    near = attach(both, ends, ["_b"]).select(
-        point_key, "_x", F.coalesce(F.max("_hit").over(before), "_low").alias("low"), F.coalesce(F.min("_hit").over(after), "_high").alias("high")
-    ).filter(F.col(point_key).isNotNull())
-    d_low, d_high = F.col("_x") - F.col("low._c"), F.col("high._c") - F.col("_x")
-    take_low = F.col("high").isNull() | (F.col("low").isNotNull() & ((d_low < d_high) | ((d_low == d_high) & (F.col("low._i") <= F.col("high._i")))))
-    return near.select(point_key, F.when(take_low, F.col("low._i")).otherwise(F.col("high._i")).alias(index))
+    x, i = F.col("_x"), F.col("_i")
+    own = axis.groupBy(F.col(coordinate).cast("double").alias("_x")).agg(F.min(F.col(index).cast("long")).alias("_i"))
+    line = W.orderBy("_x")
+    side = own.select(
+        "_x", "_i", F.lag("_x").over(line).alias("_px"), F.lag("_i").over(line).alias("_pi"),
+        F.lead("_x").over(line).alias("_nx"), F.lead("_i").over(line).alias("_ni"),
+    )
+    # Points beyond the axis fall into the blocks just outside it.
+    low, high = (own.select(F.floor(f("_x") / width) + d).scalar() for f, d in ((F.min, -1), (F.max, 1)))
+    start = F.coalesce(F.floor((F.col("_px") + x) / 2 / width), low)
+    end = F.coalesce(F.floor((F.col("_nx") + x) / 2 / width), high)
+    side = side.withColumn("_b", F.explode(F.sequence(start, end)))
+    v = F.col("_v")
+    placed = points.select(F.col(point_key), F.col(value).alias("_v")).withColumn(
+        "_b", F.least(F.greatest(F.floor(v / width), low), high)
+    )
+    here = F.abs(v - x)
+    before, after = F.abs(v - F.col("_px")), F.abs(v - F.col("_nx"))
+    wins = (F.col("_px").isNull() | (here < before) | ((here == before) & (i < F.col("_pi")))) & (
+        F.col("_nx").isNull() | (here < after) | ((here == after) & (i < F.col("_ni")))
+    )
+    return placed.join(side, "_b").filter(wins).select(point_key, i.alias(index))
 
 
 def nearest_on_grid(x: Column, origin: float, cellsize: float, n: int) -> Column:

@@ -15,9 +15,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+# Largest lookup side to broadcast, in bytes; the session setting of this name overrides it.
+LOOKUP_SETTING, LOOKUP_BYTES = "spark.hydroloom.lookupBytes", 256 * 1024**2
+
 _FOLD = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
 
 
+def lookup(df: DataFrame, table: DataFrame, keys: list[str], columns: list[str], rows: int | None = None, how: str = "inner") -> DataFrame:
+    """Inner or left join of a long table with a per-key table that is broadcast only after its rows were counted.
+
+    A grid's attributes or a network's observations are small next to the series they describe:
+    sent to the executors, they spare a shuffle of the series. Beyond the limit both sides are
+    shuffled. `rows` gives a known bound, so that `table` need not be counted.
+    """
+    side = table.select(*keys, *columns)
+    limit = int(df.sparkSession.conf.get(LOOKUP_SETTING, str(LOOKUP_BYTES)))
+    # A hashed row costs about 16 bytes besides its fields; text counts as 32 bytes.
+    width = 16 + sum(32 if kind == "string" else 8 for _, kind in side.dtypes)
+    n = side.count() if rows is None else rows
+    return df.join(F.broadcast(side) if n * width <= limit else side, keys, how)
+
+
 def with_group(df: DataFrame, keys: list[str], **aggs: Column) -> DataFrame:
     """Every row of `df` with the aggregates of its key group; NULL keys form a group."""
     grouped = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])

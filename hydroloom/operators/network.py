@@ -171,20 +171,24 @@ def gauge_tree(ldd: DataFrame, gauge: DataFrame, nearest: DataFrame) -> DataFram
 
 
 def gauge_closure(tree: DataFrame) -> DataFrame:
-    """(gauge_id, below_id): every gauge with itself and all gauges below it."""
-    pairs = tree.select("gauge_id", F.col("gauge_id").alias("below_id"))
-    ptr = tree.select("gauge_id", F.col("parent_id").alias("ptr"))
+    """(gauge_id, below_id): every gauge with itself and all gauges below it.
+
+    Pairs carry their distance. Each round joins the one farthest pair of a gauge with the pairs
+    of the gauge it reached, which doubles the reach.
+    """
+    own = tree.select("gauge_id", F.col("gauge_id").alias("below_id"), F.lit(0).alias("distance"))
+    step = tree.filter(F.col("parent_id").isNotNull()).select("gauge_id", F.col("parent_id").alias("below_id"), F.lit(1).alias("distance"))
+    reach = 1
+    pairs, active = _cut_and_count(own.unionByName(step), "closure", F.col("distance") == reach)
     for _ in range(MAX_ROUNDS):
-        live = ptr.filter(F.col("ptr").isNotNull())
-        more = live.join(pairs.withColumnRenamed("gauge_id", "ptr"), "ptr").select("gauge_id", "below_id")
-        pairs = cut_lineage(pairs.unionByName(more), "closure")
-        jump = ptr.select(F.col("gauge_id").alias("ptr"), F.col("ptr").alias("_next"))
-        ptr, active = _cut_and_count(
-            live.join(jump, "ptr", "left").select("gauge_id", F.col("_next").alias("ptr")), "closure-ptr", F.col("ptr").isNotNull()
-        )
         if active == 0:
             break
-    return pairs
+        far = pairs.filter(F.col("distance") == reach).select("gauge_id", F.col("below_id").alias("_via"))
+        onward = pairs.filter(F.col("distance") > 0).select(F.col("gauge_id").alias("_via"), "below_id", "distance")
+        more = far.join(onward, "_via").select("gauge_id", "below_id", (F.col("distance") + reach).alias("distance"))
+        reach *= 2
+        pairs, active = _cut_and_count(pairs.unionByName(more), "closure", F.col("distance") == reach)
+    return pairs.select("gauge_id", "below_id")
 
 
 def gauge_membership(nearest: DataFrame, closure: DataFrame) -> DataFrame:
@@ -277,19 +281,30 @@ def ldd_repair(edges: DataFrame) -> DataFrame:
     A cycle is cut at the last cell met by a walk that starts at the smallest cell leading into it:
     the predecessor, on the cycle, of the cell where that walk enters.
     """
-    rounds = 1
-    n = edges.count()
-    while 2**rounds < n:
-        rounds += 1
-    state = edges.filter(F.col("down_id").isNotNull()).select("cell_id", F.col("down_id").alias("ptr"), F.col("down_id").alias("low"))
-    for _ in range(rounds + 1):
+    edges = cut_lineage(edges, "edges")
+    state = edges.filter(F.col("down_id").isNotNull()).select(
+        "cell_id", F.col("down_id").alias("ptr"), F.least("cell_id", "down_id").alias("low"), F.lit(True).alias("changed")
+    )
+    alive = ends = -1
+    for _ in range(MAX_ROUNDS):
         jump = state.select(F.col("cell_id").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("low").alias("_low"))
         # Paths that end at a pit drop out; what stays leads into a cycle.
-        state, alive = _cut_and_count(
-            state.join(jump, "ptr").select("cell_id", F.col("_ptr").alias("ptr"), F.least("low", "_low").alias("low")), "cycle", F.lit(True)
+        moved = state.join(jump, "ptr").select(
+            "cell_id", F.col("_ptr").alias("ptr"), F.least("low", "_low").alias("low"), (F.col("_low") < F.col("low")).alias("changed")
         )
-        if alive == 0:
+        seen = Observation()
+        counted = moved.observe(seen, F.count(F.lit(1)).alias("alive"), F.count_if("changed").alias("changed"))
+        state = cut_lineage(counted, "cycle")
+        now = seen.get
+        if now["alive"] == 0:
             return edges.select("cell_id", "down_id", F.lit(False).alias("cut"))
+        if now["alive"] == alive and now["changed"] == 0:
+            # No path drains any more and every minimum is final. The cells still pointed at are
+            # the cycles as soon as their number stands still.
+            before, ends = ends, state.select("ptr").distinct().count()
+            if ends == before:
+                break
+        alive = now["alive"]
     on_cycle = state.select(F.col("ptr").alias("cell_id")).distinct()
     cycle = state.join(on_cycle, "cell_id", "left_semi").select("cell_id", F.col("low").alias("cycle_id"))
     stuck = state.join(cycle.withColumnRenamed("cell_id", "ptr"), "ptr").select("cell_id", "cycle_id")

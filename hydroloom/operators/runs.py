@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from hydroloom.operators.keyed import row_index_by_block
+
 # Blend width, mutation spread and rate, and the shares of blends and mutations.
 BLEND_ALPHA, MUTATION_SIGMA, MUTATION_RATE = 0.15, 0.3, 0.3
 CROSSOVER_SHARE, MUTATION_SHARE = 0.7, 0.3
@@ -114,8 +116,10 @@ def front_table(scores: DataFrame, candidates: DataFrame, ranges: DataFrame, nam
     if last_generation:
         ranked = ranked.filter(F.floor(F.col("run_id") / 1000) == scores.select(F.max(F.floor(F.col("run_id") / 1000))).scalar())
     wide = denormalise_params(candidates, ranges).groupBy("station_id", "run_id").pivot("name", names).agg(F.first("param"))
-    place = F.row_number().over(W.partitionBy("station_id").orderBy(F.desc("effover"), "run_id"))
-    return ranked.join(wide, ["station_id", "run_id"]).withColumn("place", place)
+    # Places are counted in bands of efficiency, so the runs of one station are not sorted in one task.
+    order = F.struct((-F.col("effover")).alias("e"), F.col("run_id"))
+    placed = row_index_by_block(ranked.withColumn("_order", order), ["station_id"], "_order", F.floor((1 - F.col("effover")) * 100), "place")
+    return placed.drop("_order").join(wide, ["station_id", "run_id"])
 
 
 def select_best_k(scores: DataFrame, k: int, key: str = "station_id", score: str = "kge") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hydroloom.functions import skill as fn
-from hydroloom.operators.keyed import attach, row_index_by_block, with_group
+from hydroloom.operators.keyed import attach, lookup, row_index_by_block, with_group
 
 
 def filter_pairs(pairs: DataFrame) -> DataFrame:
@@ -89,8 +89,8 @@ def run_score(sim: DataFrame, obs: DataFrame, keys: list[str] = ("run_id",)) ->
 
     `sim(run keys, station_id, date, q)`, `obs(station_id, date, o)`.
     """
-    joined = sim.join(obs, ["station_id", "date"], "left")
     s, o = F.col("q") + 1e-5, F.col("o")
+    joined = lookup(sim, obs, ["station_id", "date"], ["o"], how="left")
     g = joined.groupBy(*keys).agg(
         fn.kge(s, o).alias("kge"), fn.correlation(s, o).alias("r"), fn.nse(s, o).alias("nse"),
         F.max(s).alias("_max_s"), F.max(o).alias("_max_o"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from hydroloom.functions import dates
 from hydroloom.functions.clean import safe_divide
+from hydroloom.operators.keyed import lookup
 
 # Kinds of output a request may name.
 MAP_KINDS = (
@@ -90,7 +91,7 @@ def agg_12month(series: DataFrame, keys: list[str], end: Column | None = None) -
 
 
 def agg_gauge_point(series: DataFrame, gauge: DataFrame, keys: list[str] = ("date",)) -> DataFrame:
-    return series.join(gauge, "cell_id").select("gauge_id", *keys, "value")
+    return lookup(series, gauge, ["cell_id"], ["gauge_id"]).select("gauge_id", *keys, "value")
 
 
 def agg_gauge_area(
@@ -102,8 +103,9 @@ def agg_gauge_area(
     gauges at or below it. Cells are summed once per nearest gauge; only these sums are handed down
     the gauge tree, so overlap multiplies gauges, never cells.
     """
+    labelled = nearest.join(cell.select("cell_id", "area"), "cell_id")
     local = (
-        series.join(nearest.join(cell.select("cell_id", "area"), "cell_id"), "cell_id")
+        lookup(series, labelled, ["cell_id"], ["gauge_id", "area"], rows=cell.count())
         .groupBy("gauge_id", *keys)
         .agg(F.sum(F.col("value") * F.col("area")).alias("local"))
     )

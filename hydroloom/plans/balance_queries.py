@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from hydroloom.operators import balance
+from hydroloom.operators.keyed import lookup
 from hydroloom.plans.registry import query
 
 DAILY = """d as (select variable, date, sum(value * area) as dv, sum(value) as ps, arg_min(value, cell_id) as fc
@@ -51,7 +52,7 @@ def _(v):
   when 'M3' then value when 'MS' then value * 86400 end, 4) as volume
   from cell_series join cell using (cell_id) join flux_catalog using (variable)""")
 def _(v):
-    joined = v.cell_series.join(v.cell.select("cell_id", "area"), "cell_id").join(v.flux_catalog, "variable")
+    joined = lookup(v.cell_series, v.cell, ["cell_id"], ["area"]).join(v.flux_catalog, "variable")
     volume = balance.unit_to_volume(F.col("value"), F.col("area"), F.col("unit_class"))
     return joined.select("variable", "section", "role", "date", "cell_id", F.round(volume, 4).alias("volume"))
 
@@ -67,7 +68,7 @@ def _(v):
 @query("join_cell_area", """select cell_id, round(sum(value * area), 4) as weighted
   from cell_series join cell using (cell_id) group by 1""")
 def _(v):
-    joined = v.cell_series.join(v.cell.select("cell_id", "area"), "cell_id")
+    joined = lookup(v.cell_series, v.cell, ["cell_id"], ["area"])
     return joined.groupBy("cell_id").agg(F.round(F.sum(F.col("value") * F.col("area")), 4).alias("weighted"))
 
 

@@ -87,6 +87,20 @@ def _(v):
     return _out(_meteo(v), ev.pet_energy_only(C("rsds"), longwave, C("tavg"), F.lit(0.23), F.lit(0.05)))
 
 
+PARITY = f"""{TERMS}, fx as (select *, 0.409 * sin(2 * pi() * 246 / 365 - 1.39) as fdecl, -20 * pi() / 180 as frad, 1 + 0.033 * cos(2 * pi() * 246 / 365) as fdist from z),
+fy as (select *, acos(-tan(frad * tan(fdecl))) as fws from fx),
+fz as (select *, 24 * 60 / pi() * 0.082 * fdist * (fws * sin(frad) * sin(fdecl) + cos(frad) * cos(fdecl) * sin(fws)) * (0.75 + 2e-5 * elev) as frso from fy),
+q as (select *, up * (0.34 - 0.14 * sqrt(eact)) * least(greatest(1.35 * rsds / frso - 0.35, 0.05), 1) as rl3 from fz)"""
+
+
+@query("pet_energy_only_fixed_day", f"""with {PARITY} select cell_id, date, round(0.0008 * {_rna(0.23, 'rl3')}, 8) as et_ref,
+  round(0.0008 * {_rna(0.05, 'rl3')}, 8) as ew_ref from q""")
+def _(v):
+    _, rso = ev.fixed_day_radiation(C("elev"))
+    longwave = ev.net_longwave_from_radiation(ev.longwave_up(C("tmin"), C("tmax")), C("rsds"), rso, C("eact"))
+    return _out(_meteo(v), ev.pet_energy_only(C("rsds"), longwave, C("tavg"), F.lit(0.23), F.lit(0.05)))
+
+
 @query("pet_priestley_taylor", f"""with {TERMS} select cell_id, date, round(0.001 * 1.1 * delta / (delta + psy) * {_rna(0.23)}, 8) as et_ref,
   round(0.001 * 1.26 * delta / (delta + psy) * {_rna(0.05)}, 8) as ew_ref from z""")
 def _(v):
@@ -427,3 +441,16 @@ def _(v):
     from hydroloom.operators.demand import pin_demand_year
 
     return v.table("orders").select("o_orderkey", pin_demand_year(C("o_orderdate"), 2000).alias("date"))
+
+
+@query("sql_functions", """select l_orderkey, l_linenumber, case when l_discount = 0 then 0 else l_quantity / l_discount end as divided, greatest(0, least(1, l_tax * 20)) as clamped,
+  (case when month(l_shipdate) = 12 and day(l_shipdate) = 31 then 2 when l_shipdate::date = last_day(l_shipdate::date) then 1 else 0 end)::int as flag,
+  round(3 + 25 / (1 + exp(0.18 * (14 - l_quantity))), 7) as t from lineitem""")
+def _(v):
+    from hydroloom.functions.sql import register
+
+    register(v.spark)
+    return v.table("lineitem").selectExpr(
+        "l_orderkey", "l_linenumber", "hl_safe_divide(l_quantity, l_discount) AS divided", "hl_clamp_fraction(l_tax * 20) AS clamped",
+        "hl_period_end(CAST(l_shipdate AS DATE)) AS flag", "round(hl_water_temperature(l_quantity), 7) AS t",
+    )

@@ -67,7 +67,7 @@ select station_id, run_id, round(effover, 6) as effover, round(a, 6) as p1, roun
 def _(v):
     out = runs.front_table(_scores(v), v.sql(CANDIDATES), v.sql(RANGES), ["Brand#1", "Brand#2"])
     return out.select(
-        "station_id", "run_id", F.round("effover", 6).alias("effover"), F.round("`Brand#1`", 6).alias("p1"), F.round("`Brand#2`", 6).alias("p2"), "place"
+        "station_id", "run_id", F.round("effover", 6).alias("effover"), F.round("`Brand#1`", 6).alias("p1"), F.round("`Brand#2`", 6).alias("p2"), C("place").cast("int").alias("place")
     )
 
 

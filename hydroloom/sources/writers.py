@@ -19,12 +19,16 @@ def stamp(series: DataFrame, kind: str) -> DataFrame:
 
 
 def write_cell_series(series: DataFrame, path: str, kind: str = "daily", mode: str = "append") -> None:
-    """Map stack, partitioned by variable and year; rows of a year are sorted by date and cell so
-    that row groups can be skipped. Salting by month spreads a large variable over tasks."""
+    """Map stack, partitioned by variable and year, with cells in ranges and days inside them.
+
+    Range partitioning samples the keys, so a variable that holds most rows is spread over many
+    files. A file has all days of its cells: month and year aggregates are complete before their
+    shuffle, and boxes of cells skip row groups.
+    """
     out = stamp(series, kind).withColumn("year", F.year("date"))
     (
-        out.repartition("variable", "year", F.month("date"))
-        .sortWithinPartitions("variable", "year", "date", "cell_id")
+        out.repartitionByRange("variable", "year", "cell_id")
+        .sortWithinPartitions("variable", "year", "cell_id", "date")
         .write.mode(mode).partitionBy("variable", "year").parquet(path)
     )
 
