@@ -75,6 +75,12 @@ def _block(n: int, ratio: GridRatio | None) -> tuple[Column, Column]:
     return F.floor((F.col("row") + dr) / n).cast("int"), F.floor((F.col("col") + dc) / n).cast("int")
 
 
+def coarse_cell(fine: DataFrame, ratio: GridRatio) -> DataFrame:
+    """Row and column of the coarse cell that holds each fine cell."""
+    row, col = _block(ratio.ratio, ratio)
+    return fine.withColumn("coarse_row", row).withColumn("coarse_col", col)
+
+
 def grid_refine(fine: DataFrame, coarse: DataFrame, n: int, value: str = "value", keys: list[str] = (), ratio: GridRatio | None = None) -> DataFrame:
     """Copy a coarse value to its fine cells; cells outside the coarse grid drop."""
     row, col = _block(n, ratio)

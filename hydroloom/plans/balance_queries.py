@@ -122,7 +122,7 @@ def _(v):
 
 
 @query("depth_table", f"""with {DAILY} select section, role, label,
-  round(sum(amount) / (select sum(area) from cell), 3) as depth from flows group by 1, 2, 3""")
+  round(sum(amount) / (select sum(area) from cell), 3) + 0 as depth from flows group by 1, 2, 3""")
 def _(v):
     totals = _flows(v).groupBy("section", "role", "label").agg(F.sum("amount").alias("amount"))
     return balance.depth_table(totals, v.cell).select("section", "role", "label", "depth")

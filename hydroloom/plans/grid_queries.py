@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from hydroloom.functions import clean
+from hydroloom.grid import GridSpec
 from hydroloom.operators import gridops, joins
 from hydroloom.plans.registry import query
 
@@ -190,3 +191,10 @@ select station_id, cell_id, date, value from cell_day join s using (cell_id)""")
 def _(v):
     p = v.station.select("station_id", (F.col("lat") + 0.3).alias("lat"), (F.col("lon") + 0.7).alias("lon"))
     return gridops.point_series(v.cell_day, p, v.grid).select("station_id", "cell_id", "date", "value")
+
+
+@query("resolution_ratio", "select cell_id, ((row + 2) // 4)::int as coarse_row, ((col + 3) // 4)::int as coarse_col from cell")
+def _(v):
+    fine = v.grid
+    coarse = GridSpec(rows=fine.rows // 4 + 1, cols=fine.cols // 4 + 1, cellsize=4.0, xul=fine.xul - 3, yul=fine.yul + 2)
+    return gridops.coarse_cell(v.cell, fine.ratio_to(coarse)).select("cell_id", "coarse_row", "coarse_col")

@@ -203,3 +203,18 @@ def _(v):
         v.cell_day, ["cell_id"], "date", F.year("date"), {"total": ("sum", F.col("value")), "peak": ("max", F.col("value"))}
     )
     return out.select("cell_id", "date", "total", "peak")
+
+
+@query("running_sum", """select gauge_id, epoch_us(ts) as micros, round(sum(value) over (partition by gauge_id order by ts), 6) as total from reading""")
+def _(v):
+    # Readings of a busy gauge are added up day by day.
+    out = keyed.running_by_block(v.reading, ["gauge_id"], "ts", F.to_date("ts"), {"total": ("sum", F.col("value"))})
+    return out.select("gauge_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), F.round("total", 6).alias("total"))
+
+
+@query("max_over_time", """with m as (select cell_id, date_trunc('month', date)::date as month, count(*) / 31.0::double as fraction from cell_day group by 1, 2)
+select cell_id, month, max(fraction) over (partition by cell_id order by month) as fraction_max from m""")
+def _(v):
+    m = v.cell_day.groupBy("cell_id", F.trunc("date", "MM").alias("month")).agg((F.count("*") / F.lit(31.0)).alias("fraction"))
+    out = keyed.running_by_block(m, ["cell_id"], "month", F.year("month"), {"fraction_max": ("max", F.col("fraction"))})
+    return out.select("cell_id", "month", "fraction_max")
