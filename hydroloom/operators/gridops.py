@@ -114,7 +114,7 @@ def _joined(fine: DataFrame, coarse: DataFrame, n: int) -> DataFrame:
     return _with_block_mean(fine, n, "climate").join(right, ["_r", "_c"]).drop("_r", "_c")
 
 
-def _patches(coarse: DataFrame, rows: int, cols: int, value: str) -> DataFrame:
+def _patches(coarse: DataFrame, rows: int, cols: int, value: str, keys: list[str]) -> DataFrame:
     """Per lower corner (r0, c0) the four values around a patch, edges repeated.
 
     Each coarse cell is sent to the few patches it is a corner of, so fine cells need one join.
@@ -131,13 +131,15 @@ def _patches(coarse: DataFrame, rows: int, cols: int, value: str) -> DataFrame:
     pick = {
         f"_v{i}{j}": F.max(F.when((F.col("_y.p") == i) & (F.col("_x.p") == j), F.col(value))) for i in (0, 1) for j in (0, 1)
     }
-    return spread.groupBy(F.col("_y.o").cast("int").alias("_r0"), F.col("_x.o").cast("int").alias("_c0")).agg(
+    return spread.groupBy(*keys, F.col("_y.o").cast("int").alias("_r0"), F.col("_x.o").cast("int").alias("_c0")).agg(
         *[c.alias(n) for n, c in pick.items()]
     )
 
 
-def interpolate(fine: DataFrame, coarse: DataFrame, n: int, rows: int, cols: int, value: str, alignment: str = "centre") -> DataFrame:
-    """Bilinear value of a coarse map at fine cells.
+def interpolate(
+    fine: DataFrame, coarse: DataFrame, n: int, rows: int, cols: int, value: str, alignment: str = "centre", keys: list[str] = ()
+) -> DataFrame:
+    """Bilinear value of a coarse map at fine cells, for each of its `keys` (a date, say).
 
     `centre` aligns cell centres and repeats the edges; `zoom` stretches the first and last cells
     onto each other.
@@ -153,7 +155,7 @@ def interpolate(fine: DataFrame, coarse: DataFrame, n: int, rows: int, cols: int
 
     y, x = position("row", rows), position("col", cols)
     placed = fine.withColumn("_r0", F.floor(y).cast("int")).withColumn("_c0", F.floor(x).cast("int"))
-    joined = placed.join(_patches(coarse, rows, cols, value), ["_r0", "_c0"])
+    joined = placed.join(_patches(coarse, rows, cols, value, list(keys)), ["_r0", "_c0"])
     fy, fx = y - F.col("_r0"), x - F.col("_c0")
     low = F.col("_v00") * (1 - fx) + F.col("_v01") * fx
     high = F.col("_v10") * (1 - fx) + F.col("_v11") * fx
@@ -161,20 +163,23 @@ def interpolate(fine: DataFrame, coarse: DataFrame, n: int, rows: int, cols: int
 
 
 def delta_interpolated(
-    fine: DataFrame, coarse: DataFrame, n: int, rows: int, cols: int, kind: str, alignment: str = "centre"
+    fine: DataFrame, coarse: DataFrame, n: int, rows: int, cols: int, kind: str, alignment: str = "centre", keys: list[str] = ()
 ) -> DataFrame:
-    """Correct a fine climate by an interpolated coarse difference (`temperature`) or ratio (`precip`)."""
+    """Correct a fine climate by an interpolated coarse difference (`temperature`) or ratio (`precip`).
+
+    `coarse(keys, row, col, value)`; the climate is one map, so its block means are joined once.
+    """
     from hydroloom.operators.zonal import grid_coarsen
 
     mean = grid_coarsen(fine.select("row", "col", "climate"), n, "climate")
-    both = coarse.select("row", "col", "value").join(mean, ["row", "col"])
+    both = coarse.select(*keys, "row", "col", "value").join(mean, ["row", "col"])
     if kind == "temperature":
-        factor = both.select("row", "col", (F.col("climate") - F.col("value")).alias("_delta"))
+        factor = both.select(*keys, "row", "col", (F.col("climate") - F.col("value")).alias("_delta"))
     elif kind == "precip":
-        factor = both.select("row", "col", safe_divide(F.col("value"), F.col("climate")).alias("_delta"))
+        factor = both.select(*keys, "row", "col", safe_divide(F.col("value"), F.col("climate")).alias("_delta"))
     else:
         raise ValueError(f"unknown kind {kind!r}")
-    smooth = interpolate(fine, factor, n, rows, cols, "_delta", alignment)
+    smooth = interpolate(fine, factor, n, rows, cols, "_delta", alignment, keys)
     value = F.col("climate") - F.col("_delta") if kind == "temperature" else F.col("climate") * F.col("_delta")
     return smooth.withColumn("value", value).drop("_delta")
 

@@ -123,13 +123,11 @@ def active_version(definitions: DataFrame, years: DataFrame, key: str = "plant_i
 def latest_by_year(capacities: DataFrame, first_year: int, last_year: int) -> DataFrame:
     """Capacity of the latest year <= y for each y of the run, 0 before the first entry.
 
-    Each entry is unrolled until the year before the next one; entries before the run are clipped
-    to it: only years of the run are looked up.
+    Only entries of the run's own years count; the table has one row per year.
     """
     spark = capacities.sparkSession
     spine = spark.range(first_year, last_year + 1).select(F.col("id").cast("int").alias("year"))
     merged = spine.join(capacities.filter(F.col("year").between(first_year, last_year)), "year", "left")
-    # One row per year of the run: bounded by the calendar.
     return merged.select(
         "year", F.coalesce(F.last("capacity", ignorenulls=True).over(W.orderBy("year").rowsBetween(W.unboundedPreceding, 0)), F.lit(0.0)).alias("capacity")
     )
@@ -161,9 +159,18 @@ def join_inflow_series(links: DataFrame, series: DataFrame) -> DataFrame:
     return rows.join(series.withColumnRenamed("station_id", "inflow_id"), ["inflow_id", "date"], "left")
 
 
-def inflow_table(rows: DataFrame, ids: list) -> DataFrame:
-    """Wide inflow table; naming the columns spares a pass to find them."""
-    return rows.groupBy("gauge_id", "date").pivot("inflow_id", ids).agg(F.first("q"))
+def inflow_table(links: DataFrame, series: DataFrame, slots: int = 20) -> DataFrame:
+    """Wide inflow table: `inflow_1`, `inflow_2`, ... hold the direct inflows of a gauge by id.
+
+    A gauge with more inflows than slots stops the job instead of losing one.
+    """
+    place = F.row_number().over(W.partitionBy("gauge_id").orderBy("inflow_id"))
+    numbered = links.withColumn("slot", place).withColumn(
+        "slot", F.when(F.col("slot") > slots, F.raise_error(F.lit("more inflows than slots"))).otherwise(F.col("slot"))
+    )
+    rows = join_inflow_series(links, series).join(numbered, ["gauge_id", "inflow_id"])
+    wide = rows.groupBy("gauge_id", "date").pivot("slot", list(range(1, slots + 1))).agg(F.first("q"))
+    return wide.select("gauge_id", "date", *[F.col(str(i)).alias(f"inflow_{i}") for i in range(1, slots + 1)])
 
 
 def merge_inflow_files(parts: list[DataFrame]) -> tuple[DataFrame, DataFrame]:

@@ -135,6 +135,25 @@ def _(v):
     return _interpolated(v, "temperature", "zoom")
 
 
+DAILYCOARSE = """select d.date, cast(floor(c.row / 4e0) as int) as row, cast(floor(c.col / 4e0) as int) as col, avg(d.value) / 7 as value
+  from cell c join cell_day d on d.cell_id = c.cell_id group by 1, 2, 3"""
+
+
+# A coarse cell without a value on a day leaves its share of the patches around it unknown.
+@query("delta_bilinear_daily", f"""with coarse as ({COARSE}), {SHAPE}, daily as ({DAILYCOARSE}), mean as (select row // 4 as row, col // 4 as col, avg(area - 890) as m from cell group by 1, 2),
+q as (select date, k.row, k.col, m - value as d from daily k join mean using (row, col)),
+f as (select c.cell_id, area - 890 as climate, (c.row + 0.5::double) / 4 - 0.5 as y, (c.col + 0.5::double) / 4 - 0.5 as x, nr, nc from cell c, sh),
+g as (select *, floor(y)::int as r0, floor(x)::int as c0 from f),
+n as (select cell_id, climate, y - r0 as fy, x - c0 as fx, a, b, greatest(0, least(nr - 1, r0 + a)) as row, greatest(0, least(nc - 1, c0 + b)) as col from g, (select unnest([0, 1]) as a), (select unnest([0, 1]) as b)),
+w as (select cell_id, date, any_value(climate) as climate, sum(d * case when a = 1 then fy else 1 - fy end * case when b = 1 then fx else 1 - fx end) as delta, count(*) as k
+  from n join q using (row, col) group by 1, 2)
+select cell_id, date, round(climate - delta, 6) as value from w where k = 4""")
+def _(v):
+    rows, cols = -(-v.grid.rows // 4), -(-v.grid.cols // 4)
+    out = gridops.delta_interpolated(_fine(v), v.sql(DAILYCOARSE), 4, rows, cols, "temperature", keys=["date"])
+    return out.filter(F.col("value").isNotNull()).select("cell_id", "date", F.round("value", 6).alias("value"))
+
+
 @query("map_step", "select cell_id, value from cell_day where date = (select max(date) from cell_day) - 19")
 def _(v):
     return gridops.map_step(v.cell_day, -20)

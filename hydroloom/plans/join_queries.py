@@ -31,12 +31,15 @@ def _(v):
     return joins.asof_period_map(v.cell_day, v.sql(YEARMAPS), ["cell_id"], "year").select("cell_id", "date", "value", "map_value")
 
 
-@query("asof_nearest_day", """with s as (select station_id, date, sum(q) as map_value from runs where run_id = 1 and day(date) <= 20 group by 1, 2),
+@query("asof_nearest_day", """with s as (select l_suppkey as station_id, l_shipdate::date as date, sum(l_extendedprice) as map_value from lineitem where l_linestatus = 'F' group by 1, 2),
 r as (select station_id, date from pairs where o is null),
 j as (select r.station_id, r.date, arg_min(s.date, (abs(datediff('day', s.date, r.date)), s.date)) as slice_date from r join s using (station_id) group by 1, 2)
 select j.station_id, j.date, slice_date, round(map_value, 3) as map_value from j join s on s.station_id = j.station_id and s.date = slice_date""")
 def _(v):
-    slices = v.runs.filter((F.col("run_id") == 1) & (F.dayofmonth("date") <= 20)).select("station_id", "date", F.col("q").alias("map_value"))
+    # Slices exist only for the days with shipped items.
+    slices = v.table("lineitem").filter("l_linestatus = 'F'").groupBy(F.col("l_suppkey").alias("station_id"), F.to_date("l_shipdate").alias("date")).agg(
+        F.sum("l_extendedprice").alias("map_value")
+    )
     rows = v.pairs.filter("o is null").select("station_id", "date")
     return joins.asof_nearest_day(rows, slices, ["station_id"]).withColumn("map_value", F.round("map_value", 3))
 
@@ -79,13 +82,13 @@ def _(v):
 
 @query("inflow_table", f"""with recursive {TREE}, s as (select station_id as inflow_id, date, sum(q) as q from runs group by 1, 2),
 f as (select gauge_id, min(inflow_id) as inflow_id from link group by 1), d as (select f.gauge_id, s.date from f join s using (inflow_id)),
-r as (select l.gauge_id, l.inflow_id, d.date, s.q from link l join d using (gauge_id) left join s on s.inflow_id = l.inflow_id and s.date = d.date)
-select gauge_id, date, {', '.join(f'round(max(q) filter (inflow_id = {i}), 3) as "{i}"' for i in range(1, 6))} from r group by 1, 2""")
+k as (select *, row_number() over (partition by gauge_id order by inflow_id) as slot from link),
+r as (select k.gauge_id, k.slot, d.date, s.q from k join d using (gauge_id) left join s on s.inflow_id = k.inflow_id and s.date = d.date)
+select gauge_id, date, {', '.join(f'round(max(q) filter (slot = {i}), 3) as inflow_{i}' for i in range(1, 21))} from r group by 1, 2""")
 def _(v):
     series = v.runs.groupBy("station_id", "date").agg(F.sum("q").alias("q"))
-    rows = joins.join_inflow_series(network.direct_links(_tree(v)), series)
-    names = [1, 2, 3, 4, 5]
-    return joins.inflow_table(rows, names).select("gauge_id", "date", *[F.round(f"`{n}`", 3).alias(str(n)) for n in names])
+    table = joins.inflow_table(network.direct_links(_tree(v)), series)
+    return table.select("gauge_id", "date", *[F.round(f"inflow_{i}", 3).alias(f"inflow_{i}") for i in range(1, 21)])
 
 
 @query("merge_inflow_files", """select name, count(distinct f) as n_files from (select l_linestatus as f, l_suppkey as name from lineitem) group by 1 having count(distinct f) > 1""")

@@ -59,15 +59,18 @@ def _(v):
     return out.select("station_id", "run_id", "name", F.round("param", 6).alias("param"), F.round(s, 6).alias("start01"))
 
 
+BRANDS = [f"Brand#{i}" for i in range(1, 26)]
+
+
 @query("front_table", f"""with {SCORES}, r as ({RANGES}), c as ({CANDIDATES}), d as (select station_id, run_id, name, value * (max - min) + min as param from c join r using (name)),
-w as (select station_id, run_id, max(param) filter (name = 'Brand#1') as a, max(param) filter (name = 'Brand#2') as b from d group by 1, 2),
+w as (select station_id, run_id, {', '.join(f"round(max(param) filter (name = '{b}'), 6) as p_{i}" for i, b in enumerate(BRANDS))} from d group by 1, 2),
 e as (select sc.*, 1 - sqrt((1 - kge) * (1 - kge)) as effover from sc)
-select station_id, run_id, round(effover, 6) as effover, round(a, 6) as p1, round(b, 6) as p2,
+select station_id, run_id, round(effover, 6) as effover, {', '.join(f'p_{i}' for i in range(len(BRANDS)))},
   row_number() over (partition by station_id order by effover desc, run_id)::int as place from e join w using (station_id, run_id)""")
 def _(v):
-    out = runs.front_table(_scores(v), v.sql(CANDIDATES), v.sql(RANGES), ["Brand#1", "Brand#2"])
+    out = runs.front_table(_scores(v), v.sql(CANDIDATES), v.sql(RANGES), BRANDS)
     return out.select(
-        "station_id", "run_id", F.round("effover", 6).alias("effover"), F.round("`Brand#1`", 6).alias("p1"), F.round("`Brand#2`", 6).alias("p2"), C("place").cast("int").alias("place")
+        "station_id", "run_id", F.round("effover", 6).alias("effover"), *[F.round(f"`{b}`", 6).alias(f"p_{i}") for i, b in enumerate(BRANDS)], C("place").cast("int").alias("place")
     )
 
 

@@ -81,21 +81,28 @@ def _(v):
     return skill.kge_by_column(v.pairs, K).select("station_id", *[F.round(c, 6).alias(c) for c in ("kge", "nse", "r", "pbias")])
 
 
-@query("align_sim_obs", """select station_id, date, round(q, 3) as q, round(o, 8) as o from
-  (select station_id, date, sum(q) as q from runs where run_id = 1 group by 1, 2) a
+# A simulated series with gaps: the shipped half of the line items.
+SIM = "sim as (select l_suppkey as station_id, l_shipdate::date as date, sum(l_extendedprice) as q from lineitem where l_linestatus = 'F' group by 1, 2)"
+
+
+def _gappy(v):
+    shipped = v.table("lineitem").filter("l_linestatus = 'F'")
+    sim = shipped.groupBy(F.col("l_suppkey").alias("station_id"), F.to_date("l_shipdate").alias("date")).agg(F.sum("l_extendedprice").alias("q"))
+    return sim, v.pairs.filter("o is not null").select("station_id", "date", "o")
+
+
+@query("align_sim_obs", f"""with {SIM} select station_id, date, round(q, 3) as q, round(o, 8) as o from sim
   full join (select station_id, date, o from pairs where o is not null) b using (station_id, date)""")
 def _(v):
-    sim = v.runs.filter("run_id = 1").groupBy("station_id", "date").agg(F.sum("q").alias("q"))
-    obs = v.pairs.filter("o is not null").select("station_id", "date", "o")
-    return skill.align_sim_obs(sim, obs).select("station_id", "date", F.round("q", 3).alias("q"), F.round("o", 8).alias("o"))
+    return skill.align_sim_obs(*_gappy(v)).select("station_id", "date", F.round("q", 3).alias("q"), F.round("o", 8).alias("o"))
 
 
-@query("length_mismatch", """select coalesce(a.station_id, b.station_id) as station_id, n_sim, n_obs from
-  (select station_id, count(*) as n_sim from runs where run_id = 1 group by 1) a full join
+@query("length_mismatch", f"""with {SIM} select coalesce(a.station_id, b.station_id) as station_id, n_sim, n_obs from
+  (select station_id, count(*) as n_sim from sim group by 1) a full join
   (select station_id, count(*) as n_obs from pairs where o is not null group by 1) b on a.station_id = b.station_id
   where n_sim is distinct from n_obs""")
 def _(v):
-    return skill.length_mismatch(v.runs.filter("run_id = 1"), v.pairs.filter("o is not null"))
+    return skill.length_mismatch(*_gappy(v))
 
 
 RUN = """j as (select r.run_id, r.station_id, r.q / 777 + 1e-5 as s, p.o from runs r left join pairs p using (station_id, date)),

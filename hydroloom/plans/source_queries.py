@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from hydroloom.functions.dates import date_schedule
 from hydroloom.operators import network
 from hydroloom.plans.registry import query
 from hydroloom.session import scratch_path
@@ -184,13 +185,14 @@ def _(v):
     return v.spark.read.parquet(path).groupBy("variable").agg(F.count("*").alias("n"))
 
 
-SNAP = "(select distinct date from cell_day where day(date) = 1 and month(date) % 3 = 1)"
+SNAP = "(select unnest(generate_series(timestamp '1995-04-01', timestamp '2002-01-01', interval 3 month))::date)"
 
 
 @query("snapshot_state", f"select variable, cell_id, value, date as snapshot_date from cell_series where date in {SNAP}")
 def _(v):
     path = scratch_path(v.spark, "snapshot")
-    days = v.cell_day.select("date").distinct().filter((F.dayofmonth("date") == 1) & (F.month("date") % 3 == 1))
+    schedule = date_schedule(F.lit("1995-04-01").cast("date"), F.lit("2002-01-01").cast("date"), 3, "m")
+    days = v.spark.range(1).select(F.explode(schedule).alias("date"))
     writers.snapshot_state(v.cell_series, days, path)
     return v.spark.read.parquet(path).select("variable", "cell_id", "value", C("snapshot_date").cast("date").alias("snapshot_date"))
 

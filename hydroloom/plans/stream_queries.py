@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from hydroloom import schemas
+from hydroloom.functions.dates import date_schedule
 from hydroloom.plans.registry import query
 from hydroloom.session import scratch_path
 from hydroloom.streaming import readings
@@ -73,10 +74,12 @@ def _(v):
     return _run(v, stream, "alarm").withColumn("month_to_date", F.round("month_to_date", 6))
 
 
-@query("stream_snapshot", f"with {DAYS} select gauge_id, variable, date, n, round(total, 6) as total from d where day(date) % 7 = 1")
+@query("stream_snapshot", f"""with {DAYS} select gauge_id, variable, date, n, round(total, 6) as total from d
+  where date in (select unnest(generate_series(timestamp '2024-01-01', timestamp '2024-12-31', interval 7 day))::date)""")
 def _(v):
     path, state = scratch_path(v.spark, "snap"), scratch_path(v.spark, "snap-state")
-    days = v.table("events").select(F.to_date("ts").alias("date")).distinct().filter(F.dayofmonth("date") % 7 == 1)
+    schedule = date_schedule(F.lit("2024-01-01").cast("date"), F.lit("2024-12-31").cast("date"), 7, "d")
+    days = v.spark.range(1).select(F.explode(schedule).alias("date"))
     stream = readings.stream_daily(_readings(v))
     readings.snapshot_batches(stream, days, path, state)
     return v.spark.read.parquet(path).select("gauge_id", "variable", "date", "n", F.round("total", 6).alias("total"))

@@ -192,12 +192,10 @@ def _(v):
     return v.table("orders").select("o_orderkey", dates.parse_date(text, F.lit("1990-01-01").cast("date")).alias("date"))
 
 
-@query("date_schedule", """select station_id, unnest(generate_series(min(date), max(date), interval 3 month))::date as date
-  from runs where day(date) <= 28 group by 1""")
+@query("date_schedule", """select station_id, unnest(generate_series(date_trunc('month', min(date)), max(date)::timestamp, interval 3 month))::date as date
+  from runs group by 1""")
 def _(v):
-    span = v.runs.filter(F.dayofmonth("date") <= 28).groupBy("station_id").agg(
-        F.min("date").alias("a"), F.max("date").alias("b")
-    )
+    span = v.runs.groupBy("station_id").agg(F.trunc(F.min("date"), "MM").alias("a"), F.max("date").alias("b"))
     return span.select("station_id", F.explode(dates.date_schedule(F.col("a"), F.col("b"), 3, "m")).alias("date"))
 
 

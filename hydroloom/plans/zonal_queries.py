@@ -165,10 +165,10 @@ def _(v):
 
 
 @query("forward_fill_year", """with y as (select range::int as year from range(1990, 2006)),
-c as (select year(o_orderdate)::int as year, max(o_totalprice) as capacity from orders where year(o_orderdate) % 2 = 0 group by 1)
+c as (select year(o_orderdate)::int as year, max(o_totalprice) as capacity from orders group by 1)
 select y.year, coalesce(arg_max(c.capacity, c.year), 0) as capacity from y left join c on c.year <= y.year group by 1""")
 def _(v):
-    caps = v.table("orders").filter(F.year("o_orderdate") % 2 == 0).groupBy(F.year("o_orderdate").alias("year")).agg(
+    caps = v.table("orders").groupBy(F.year("o_orderdate").alias("year")).agg(
         F.max("o_totalprice").alias("capacity")
     )
     return zonal.forward_fill(caps, 1990, 2005)

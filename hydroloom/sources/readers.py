@@ -148,7 +148,10 @@ def catalog_files(spark: SparkSession, path: str, start: str, end: str) -> DataF
     """
     from pyspark.sql import Window as W
 
-    spans = spark.read.parquet(path).select(F.col(_FILE).alias("file"), "variable", "date").groupBy("variable", "file").agg(
+    stack = spark.read.parquet(path)
+    if "year" in stack.columns:  # partitions outside the run are not even listed
+        stack = stack.filter(F.col("year").between(int(start[:4]), int(end[:4])))
+    spans = stack.select(F.col(_FILE).alias("file"), "variable", "date").groupBy("variable", "file").agg(
         F.min("date").alias("first_date"), F.max("date").alias("last_date")
     )
     kept = spans.filter((F.col("last_date") >= F.lit(start).cast("date")) & (F.col("first_date") <= F.lit(end).cast("date")))
