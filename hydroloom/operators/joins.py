@@ -159,18 +159,22 @@ def join_inflow_series(links: DataFrame, series: DataFrame) -> DataFrame:
     return rows.join(series.withColumnRenamed("station_id", "inflow_id"), ["inflow_id", "date"], "left")
 
 
-def inflow_table(links: DataFrame, series: DataFrame, slots: int = 20) -> DataFrame:
-    """Wide inflow table: `inflow_1`, `inflow_2`, ... hold the direct inflows of a gauge by id.
+def inflow_table(links: DataFrame, series: DataFrame) -> DataFrame:
+    """One row per gauge and date with the values of all its direct inflows, side by side by id:
+    arrays `inflow_ids` and `q`, as many entries as the gauge has inflows."""
+    entry = F.struct("inflow_id", "q")
+    wide = join_inflow_series(links, series).groupBy("gauge_id", "date").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    return wide.select(
+        "gauge_id", "date", F.transform("e", lambda x: x["inflow_id"]).alias("inflow_ids"), F.transform("e", lambda x: x["q"]).alias("q")
+    )
 
-    A gauge with more inflows than slots stops the job instead of losing one.
-    """
-    place = F.row_number().over(W.partitionBy("gauge_id").orderBy("inflow_id"))
-    numbered = links.withColumn("slot", place).withColumn(
-        "slot", F.when(F.col("slot") > slots, F.raise_error(F.lit("more inflows than slots"))).otherwise(F.col("slot"))
+
+def inflow_lines(table: DataFrame) -> DataFrame:
+    """The inflow table as text: names and values of a line, 1e31 for a missing value."""
+    text = F.transform("q", lambda x: F.when(x.isNull(), "1e31").otherwise(F.format_string("%.3f", x)))
+    return table.select(
+        "gauge_id", "date", F.array_join(F.transform("inflow_ids", lambda x: x.cast("string")), " ").alias("names"), F.array_join(text, " ").alias("line")
     )
-    rows = join_inflow_series(links, series).join(numbered, ["gauge_id", "inflow_id"])
-    wide = rows.groupBy("gauge_id", "date").pivot("slot", list(range(1, slots + 1))).agg(F.first("q"))
-    return wide.select("gauge_id", "date", *[F.col(str(i)).alias(f"inflow_{i}") for i in range(1, slots + 1)])
 
 
 def merge_inflow_files(parts: list[DataFrame]) -> tuple[DataFrame, DataFrame]:

@@ -72,6 +72,7 @@ def upstream_accumulate(ldd: DataFrame, weights: DataFrame, columns: list[str])
     state = ldd.join(weights.select("cell_id", *columns), "cell_id", "left").select(
         "cell_id", F.col("down_id").alias("ptr"), *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in columns]
     )
+    left = None
     for _ in range(MAX_ROUNDS):
         gain = (
             state.filter(F.col("ptr").isNotNull())
@@ -87,6 +88,9 @@ def upstream_accumulate(ldd: DataFrame, weights: DataFrame, columns: list[str])
         )
         if active == 0:
             break
+        if active == left:  # while paths still drain, every round ends some
+            raise ValueError("the network has a cycle; run ldd_repair first")
+        left = active
     return state.select("cell_id", *columns)
 
 
@@ -113,11 +117,11 @@ def downstream_one(ldd: DataFrame, weights: DataFrame, column: str) -> DataFrame
     )
 
 
-def root_of(ldd: DataFrame, roots: DataFrame | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def root_of(ldd: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """(cell_id, root_id, distance): first root on the way down, steps to it.
 
-    Roots are the pits and, if given, the cells of `roots`. A network with cycles needs
-    `ldd_repair` first: cells above a cycle get NULL after `max_rounds`.
+    Roots are the pits and, if given, the cells of `roots`. Cells that lead into a cycle and never
+    reach a root get NULL.
     """
     start = ldd
     if roots is not None:
@@ -129,7 +133,8 @@ def root_of(ldd: DataFrame, roots: DataFrame | None = None, max_rounds: int = MA
         "cell_id", F.coalesce("down_id", "cell_id").alias("ptr"),
         F.col("down_id").isNull().alias("done"), F.when(F.col("down_id").isNull(), 0).otherwise(1).cast("long").alias("distance"),
     )
-    for _ in range(max_rounds):
+    left = None
+    for _ in range(MAX_ROUNDS):
         jump = state.select(
             F.col("cell_id").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("done").alias("_done"), F.col("distance").alias("_far")
         )
@@ -137,8 +142,9 @@ def root_of(ldd: DataFrame, roots: DataFrame | None = None, max_rounds: int = MA
             "cell_id", F.col("_ptr").alias("ptr"), F.col("_done").alias("done"), (F.col("distance") + F.col("_far")).alias("distance")
         )
         state, active = _cut_and_count(moved.unionByName(state.filter("done")), "root", ~F.col("done"))
-        if active == 0:
+        if active in (0, left):  # while paths still drain, every round ends some
             break
+        left = active
     return state.select(
         "cell_id", F.when(F.col("done"), F.col("ptr")).alias("root_id"), F.when(F.col("done"), F.col("distance")).alias("distance")
     )

@@ -82,13 +82,12 @@ def _(v):
 
 @query("inflow_table", f"""with recursive {TREE}, s as (select station_id as inflow_id, date, sum(q) as q from runs group by 1, 2),
 f as (select gauge_id, min(inflow_id) as inflow_id from link group by 1), d as (select f.gauge_id, s.date from f join s using (inflow_id)),
-k as (select *, row_number() over (partition by gauge_id order by inflow_id) as slot from link),
-r as (select k.gauge_id, k.slot, d.date, s.q from k join d using (gauge_id) left join s on s.inflow_id = k.inflow_id and s.date = d.date)
-select gauge_id, date, {', '.join(f'round(max(q) filter (slot = {i}), 3) as inflow_{i}' for i in range(1, 21))} from r group by 1, 2""")
+r as (select l.gauge_id, l.inflow_id, d.date, s.q from link l join d using (gauge_id) left join s on s.inflow_id = l.inflow_id and s.date = d.date)
+select gauge_id, date, string_agg(inflow_id::varchar, ' ' order by inflow_id) as names,
+  string_agg(coalesce(printf('%.3f', q), '1e31'), ' ' order by inflow_id) as line from r group by 1, 2""")
 def _(v):
     series = v.runs.groupBy("station_id", "date").agg(F.sum("q").alias("q"))
-    table = joins.inflow_table(network.direct_links(_tree(v)), series)
-    return table.select("gauge_id", "date", *[F.round(f"inflow_{i}", 3).alias(f"inflow_{i}") for i in range(1, 21)])
+    return joins.inflow_lines(joins.inflow_table(network.direct_links(_tree(v)), series))
 
 
 @query("merge_inflow_files", """select name, count(distinct f) as n_files from (select l_linestatus as f, l_suppkey as name from lineitem) group by 1 having count(distinct f) > 1""")

@@ -59,7 +59,7 @@ d as (select gauge_id, variable, ts::date as date, count(*) as n, sum(value) as
 
 
 @query("stream_month_total", f"""with {STRETCH} select gauge_id, variable, date_trunc('month', date)::date as month, sum(n)::bigint as n, round(sum(total), 6) as total
-  from d, e where date_trunc('month', date) + interval 1 month <= closed group by 1, 2, 3""")
+  from d, e where date_trunc('month', date) + interval 1 month + interval 1 day <= closed group by 1, 2, 3""")
 def _(v):
     stream = readings.stream_month_total(_closed_days(v))
     return _run(v, stream, "months").withColumn("total", F.round("total", 6))

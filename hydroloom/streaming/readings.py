@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -34,7 +34,7 @@ def stream_daily(readings: DataFrame, lateness: str = LATENESS) -> DataFrame:
     )
 
 
-def slot_start(day, days: int):
+def slot_start(day: Column, days: int) -> Column:
     """First day of the 10- or 30-day slot of a date; slots start again each 1 January."""
     offset = F.floor((F.dayofyear(day) - 1) / days).cast("int") * days
     return F.date_add(F.trunc(day, "YYYY"), offset)
@@ -56,48 +56,41 @@ def _month_end_ms(month) -> int:
     return int((pd.Timestamp(month) + pd.offsets.MonthBegin(1)).value // 1_000_000)
 
 
-def _close_month(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Add closed days to the running total of (gauge, variable, month); emit once the month is closed.
+def closed_days(spark: SparkSession, daily_table: str, schema: T.StructType) -> DataFrame:
+    """Stream over the table that `stream_daily` appends to.
 
-    A month is no window of fixed length, so its end is an event-time timeout. The days that close
-    a month arrive with a watermark beyond its end: then the total is final at once.
+    Whole batches of closed days arrive in order, so no further lateness is allowed behind it. A
+    hot gauge reaches the state as days, not as readings. No bound on files here: a batch of the
+    daily stream must not be split, or its earlier days would count as late.
     """
-    n, total = state.get if state.exists else (0, 0.0)
-    if not state.hasTimedOut:
-        for batch in batches:
-            n += int(batch["n"].sum())
-            total += float(batch["total"].sum())
-        end = _month_end_ms(key[2])
-        if state.getCurrentWatermarkMs() < end:
-            state.update((n, total))
-            state.setTimeoutTimestamp(end)
-            return
-    if state.exists:
-        state.remove()
-    yield pd.DataFrame({"gauge_id": [key[0]], "variable": [key[1]], "month": [key[2]], "n": [n], "total": [total]})
+    return spark.readStream.schema(schema).parquet(daily_table)
 
 
-MONTH_SCHEMA = "gauge_id long, variable string, month date, n long, total double"
+MICROS_PER_DAY = 86_400_000_000
 
 
-def closed_days(spark: SparkSession, daily_table: str, schema: T.StructType) -> DataFrame:
-    """Stream over the table that `stream_daily` appends to.
+def month_axis(date: Column) -> Column:
+    """Event time on which every calendar month is exactly one day long.
 
-    Whole batches of closed days arrive in order, so no further lateness is allowed. A hot gauge
-    reaches the state behind it as days, not as readings. No bound on files here: a batch of the
-    daily stream must not be split, or its earlier days would count as late.
+    Months differ in length, so they are no windows of real time. On this axis, which runs in the
+    same order, month number k covers day k, and a one-day window is a month.
     """
-    days = spark.readStream.schema(schema).parquet(daily_table)
-    return days.withColumn("ts", F.date_add("date", 1).cast("timestamp")).withWatermark("ts", "0 seconds").withColumn(
-        "month", F.trunc("date", "MM")
-    )
+    month = F.year(date) * 12 + F.month(date) - 1
+    part = (F.dayofmonth(date) - 0.5) / F.dayofmonth(F.last_day(date))
+    return F.timestamp_micros(((month + part) * MICROS_PER_DAY).cast("long"))
 
 
 def stream_month_total(days: DataFrame) -> DataFrame:
-    """Month totals per gauge and variable from `closed_days`, each emitted once when its month is closed."""
-    return days.groupBy("gauge_id", "variable", "month").applyInPandasWithState(
-        _close_month, MONTH_SCHEMA, "n long, total double", "append", GroupStateTimeout.EventTimeTimeout
+    """Month totals per gauge and variable from `closed_days`, each emitted once, when a day of the
+    next month has closed."""
+    total = (
+        days.withColumn("axis", month_axis(F.col("date"))).withWatermark("axis", "0 seconds")
+        .groupBy(F.window("axis", "1 day").alias("w"), "gauge_id", "variable")
+        .agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+        .withColumn("k", (F.unix_micros("w.start") / MICROS_PER_DAY).cast("int"))
     )
+    month = F.make_date(F.floor(F.col("k") / 12).cast("int"), F.pmod("k", F.lit(12)) + 1, F.lit(1))
+    return total.select("gauge_id", "variable", month.alias("month"), "n", "total")
 
 
 def _watch_quota(quota: float):
@@ -131,7 +124,10 @@ ALARM_SCHEMA = "gauge_id long, month date, date date, month_to_date double"
 
 def stream_quota_alarm(days: DataFrame, quota: float) -> DataFrame:
     """First day of each gauge and month on which the withdrawals so far pass the quota, from `closed_days`."""
-    return days.groupBy("gauge_id", "month").applyInPandasWithState(
+    dated = days.withColumn("ts", F.date_add("date", 1).cast("timestamp")).withWatermark("ts", "0 seconds").withColumn(
+        "month", F.trunc("date", "MM")
+    )
+    return dated.groupBy("gauge_id", "month").applyInPandasWithState(
         _watch_quota(quota), ALARM_SCHEMA, "total double", "append", GroupStateTimeout.EventTimeTimeout
     )
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -148,3 +149,10 @@ def test_hot_outlet(spark):
     w = ldd.select("cell_id", F.lit(1.0).alias("w"))
     assert network.upstream_accumulate(ldd, w, ["w"]).filter("cell_id = 0").first()["w"] == n
     assert network.root_of(ldd).filter("root_id = 0").count() == n
+
+
+def test_cycles_are_noticed(spark):
+    ldd = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1), (5, 6), (6, None)], "cell_id long, down_id long")
+    assert dict(rows(network.root_of(ldd).select("cell_id", "root_id"))) == {1: None, 2: None, 3: None, 4: None, 5: 6, 6: 6}
+    with pytest.raises(ValueError, match="cycle"):
+        network.upstream_accumulate(ldd, ldd.select("cell_id", F.lit(1.0).alias("w")), ["w"])
