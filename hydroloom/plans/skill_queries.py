@@ -212,11 +212,11 @@ def _(v):
     return out.select("cell_id", "date", "total", "peak")
 
 
-@query("running_sum", """select gauge_id, epoch_us(ts) as micros, round(sum(value) over (partition by gauge_id order by ts), 6) as total from reading""")
+@query("running_sum", """select gauge_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as ts, round(sum(value) over (partition by gauge_id order by ts), 6) as total from reading""")
 def _(v):
     # Readings of a busy gauge are added up day by day.
     out = keyed.running_by_block(v.reading, ["gauge_id"], "ts", F.to_date("ts"), {"total": ("sum", F.col("value"))})
-    return out.select("gauge_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), F.round("total", 6).alias("total"))
+    return out.select("gauge_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), F.round("total", 6).alias("total"))
 
 
 @query("max_over_time", """with m as (select cell_id, date_trunc('month', date)::date as month, count(*) / 31.0::double as fraction from cell_day group by 1, 2)

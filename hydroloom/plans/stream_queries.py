@@ -42,9 +42,8 @@ def _(v):
 def _stretched(v):
     # The events cover one month; a day of the stream stands for six, so that months close.
     r = _readings(v)
-    start = F.lit("2024-01-01").cast("timestamp")
-    seconds = (F.unix_micros("ts") - F.unix_micros(start)) * 6
-    return r.withColumn("ts", F.timestamp_micros(F.unix_micros(start) + seconds))
+    start = F.lit(1_704_067_200_000_000)  # 2024-01-01 00:00 UTC
+    return r.withColumn("ts", F.timestamp_micros(start + (F.unix_micros("ts") - start) * 6))
 
 
 def _closed_days(v):

@@ -15,6 +15,17 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LATENESS = "2 days"
+MICROS_PER_DAY = 86_400_000_000
+
+
+def _day_of(instant: Column) -> Column:
+    """UTC day of an instant, whatever the session's time zone; windows are aligned to UTC as well."""
+    return F.date_from_unix_date(F.floor(F.unix_micros(instant) / MICROS_PER_DAY).cast("int"))
+
+
+def _midnight(day: Column) -> Column:
+    """First instant of a UTC day."""
+    return F.timestamp_micros(F.unix_date(day).cast("long") * MICROS_PER_DAY)
 
 
 def read_stream(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet", files_per_batch: int = 1000) -> DataFrame:
@@ -30,7 +41,7 @@ def stream_daily(readings: DataFrame, lateness: str = LATENESS) -> DataFrame:
         readings.withWatermark("ts", lateness)
         .groupBy(F.window("ts", "1 day").alias("w"), "gauge_id", "variable")
         .agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.avg("value").alias("mean"))
-        .select("gauge_id", "variable", F.to_date("w.start").alias("date"), "n", "total", "mean")
+        .select("gauge_id", "variable", _day_of(F.col("w.start")).alias("date"), "n", "total", "mean")
     )
 
 
@@ -66,9 +77,6 @@ def closed_days(spark: SparkSession, daily_table: str, schema: T.StructType) ->
     return spark.readStream.schema(schema).parquet(daily_table)
 
 
-MICROS_PER_DAY = 86_400_000_000
-
-
 def month_axis(date: Column) -> Column:
     """Event time on which every calendar month is exactly one day long.
 
@@ -124,7 +132,7 @@ ALARM_SCHEMA = "gauge_id long, month date, date date, month_to_date double"
 
 def stream_quota_alarm(days: DataFrame, quota: float) -> DataFrame:
     """First day of each gauge and month on which the withdrawals so far pass the quota, from `closed_days`."""
-    dated = days.withColumn("ts", F.date_add("date", 1).cast("timestamp")).withWatermark("ts", "0 seconds").withColumn(
+    dated = days.withColumn("ts", _midnight(F.date_add("date", 1))).withWatermark("ts", "0 seconds").withColumn(
         "month", F.trunc("date", "MM")
     )
     return dated.groupBy("gauge_id", "month").applyInPandasWithState(
