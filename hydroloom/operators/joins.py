@@ -90,20 +90,24 @@ def asof_nearest_day(series: DataFrame, slices: DataFrame, keys: list[str]) -> D
     Both tables are merged per key; positions before and after come from running aggregates that
     work year by year, so a long series is never ordered in one task.
     """
-    from hydroloom.operators.keyed import running_by_block
-
-    rows = series.withColumn("_row", F.lit(1)).withColumn("_at", F.lit(None).cast("struct<d:date,v:double>"))
+    rows = series.withColumn("_row", F.lit(True)).withColumn("_at", F.lit(None).cast("struct<d:date,v:double>"))
     marks = slices.select(*keys, "date", F.struct(F.col("date").alias("d"), F.col("map_value").cast("double").alias("v")).alias("_at"))
-    both = rows.unionByName(marks, allowMissingColumns=True)
-    # A slice of the same day must count as "before": order by date, slices first.
-    ordered = both.withColumn("_o", F.struct(F.col("date").alias("d"), F.coalesce("_row", F.lit(0)).alias("r")))
-    low = running_by_block(ordered, keys, "_o", F.year("date"), {"_low": ("max", F.col("_at"))})
-    reverse = low.withColumn("_ro", F.struct((-F.unix_date("date")).alias("d"), F.coalesce("_row", F.lit(0)).alias("r")))
-    high = running_by_block(reverse, keys, "_ro", -F.year("date"), {"_high": ("min", F.col("_at"))})
+    both = rows.unionByName(marks, allowMissingColumns=True).withColumn("_b", F.year("date"))
+    ends = both.groupBy(*keys, "_b").agg(F.max("_at").alias("_last"), F.min("_at").alias("_head"))
+    years = W.partitionBy(*keys).orderBy("_b")
+    ends = ends.select(
+        *keys, "_b", F.max("_last").over(years.rowsBetween(W.unboundedPreceding, -1)).alias("_low"),
+        F.min("_head").over(years.rowsBetween(1, W.unboundedFollowing)).alias("_high"),
+    )
+    # Frames by date: a slice of the same day is before and after alike.
+    inside = W.partitionBy(*keys, "_b").orderBy("date")
+    near = attach(both, ends, [*keys, "_b"]).withColumn(
+        "_low", F.coalesce(F.max("_at").over(inside.rangeBetween(W.unboundedPreceding, 0)), "_low")
+    ).withColumn("_high", F.coalesce(F.min("_at").over(inside.rangeBetween(0, W.unboundedFollowing)), "_high"))
     d_low = F.datediff("date", F.col("_low.d"))
     d_high = F.datediff(F.col("_high.d"), "date")
     take_low = F.col("_high").isNull() | (F.col("_low").isNotNull() & (d_low <= d_high))
-    return high.filter(F.col("_row") == 1).select(
+    return near.filter("_row").select(
         *series.columns, F.when(take_low, F.col("_low.d")).otherwise(F.col("_high.d")).alias("slice_date"),
         F.when(take_low, F.col("_low.v")).otherwise(F.col("_high.v")).alias("map_value"),
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from hydroloom.operators.keyed import row_index_by_block
+from hydroloom.session import cut_lineage
 
 # Blend width, mutation spread and rate, and the shares of blends and mutations.
 BLEND_ALPHA, MUTATION_SIGMA, MUTATION_RATE = 0.15, 0.3, 0.3
@@ -117,6 +118,8 @@ def front_table(scores: DataFrame, candidates: DataFrame, ranges: DataFrame, nam
         ranked = ranked.filter(F.floor(F.col("run_id") / 1000) == scores.select(F.max(F.floor(F.col("run_id") / 1000))).scalar())
     wide = denormalise_params(candidates, ranges).groupBy("station_id", "run_id").pivot("name", names).agg(F.first("param"))
     # Places are counted in bands of efficiency, so the runs of one station are not sorted in one task.
+    # Scores may stand for a pass over all simulated days; they are written once and read twice.
+    ranked = cut_lineage(ranked, "scores")
     order = F.struct((-F.col("effover")).alias("e"), F.col("run_id"))
     placed = row_index_by_block(ranked.withColumn("_order", order), ["station_id"], "_order", F.floor((1 - F.col("effover")) * 100), "place")
     return placed.drop("_order").join(wide, ["station_id", "run_id"])
