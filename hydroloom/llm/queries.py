@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import string
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hydroloom.llm import bpe
+from hydroloom.llm import bpe, exact, language, tokens
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -25,3 +27,31 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE: token counts and digests of ids and of the decoded bytes."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return bpe.encode_decode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
+
+
+@query
+def op5_unigram_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, unigram tokens and path score of every document."""
+    return tokens.count_tokens(documents(spark, sf_dir), tokens.rank_vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+@query
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts; the row with the largest doc_id stays."""
+    return exact.exact_groups(documents(spark, sf_dir))
+
+
+ORACLES["op6_exact_dedup"] = f"""
+WITH d AS (
+    SELECT doc_id, sha256(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')) AS text_sha256
+    FROM documents
+)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
+FROM d WINDOW w AS (PARTITION BY text_sha256)
+"""
+
+
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return language.identify(documents(spark, sf_dir))
