@@ -7,7 +7,7 @@ import string
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hydroloom.llm import bpe, exact, language, tokens
+from hydroloom.llm import bpe, exact, language, quality, tokens
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +55,9 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
     return language.identify(documents(spark, sf_dir))
+
+
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document and whether it is accepted."""
+    return quality.classify(documents(spark, sf_dir))
