@@ -7,7 +7,7 @@ import string
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hydroloom.llm import bpe, exact, language, quality, tokens
+from hydroloom.llm import bpe, exact, language, quality, secrets, tokens
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +61,9 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document and whether it is accepted."""
     return quality.classify(documents(spark, sf_dir))
+
+
+@query
+def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, by an incremental ledger of blobs."""
+    return secrets.document_secrets(documents(spark, sf_dir))
