@@ -7,7 +7,7 @@ import string
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hydroloom.llm import bpe, exact, language, quality, secrets, tokens
+from hydroloom.llm import bpe, exact, language, quality, secrets, substring, tokens
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -67,3 +67,9 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document, by an incremental ledger of blobs."""
     return secrets.document_secrets(documents(spark, sf_dir))
+
+
+@query
+def op1_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the sentences of repeated spans."""
+    return substring.dedup(documents(spark, sf_dir))
