@@ -7,7 +7,7 @@ import string
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hydroloom.llm import bpe, exact, language, quality, secrets, substring, tokens
+from hydroloom.llm import bpe, decontaminate, exact, language, quality, secrets, substring, tokens
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +73,9 @@ def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the sentences of repeated spans."""
     return substring.dedup(documents(spark, sf_dir))
+
+
+@query
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand in windows of benchmark items."""
+    return decontaminate.decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
