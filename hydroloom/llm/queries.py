@@ -7,7 +7,7 @@ import string
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hydroloom.llm import bpe, decontaminate, exact, language, quality, secrets, simhash, substring, tokens
+from hydroloom.llm import bpe, decontaminate, exact, language, quality, secrets, simhash, substring, suffix, tokens
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +85,9 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+@query
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of repeated strings of 200 bytes."""
+    return suffix.remove_repeats(documents(spark, sf_dir))
