@@ -96,19 +96,22 @@ def return_flow(irr_withdrawal: Column, irr_consumption: Column, nonirr_return:
     }
 
 
-def plant_collection(sewage: DataFrame, cell: DataFrame, plants: DataFrame) -> DataFrame:
+def plant_collection(sewage: DataFrame, cell: DataFrame, plants: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Sewage by treatment area and day against the plant's capacity (volume / shortest time).
 
     `sewage(cell_id, plant_id, date, value)`, `plants(plant_id, year, volume, min_hrt)` from
-    `joins.active_version`.
+    `joins.active_version`. `known(plant_id)` lists all plants of the basin (by default those of `plants`): what reaches one
+    of them in a year without a valid version overflows whole; other areas are `exported_collection`'s.
     """
+    ids = (plants if known is None else known).select("plant_id").distinct()
     collected = (
-        lookup(sewage, cell, ["cell_id"], ["area"])
+        lookup(sewage.join(ids, "plant_id", "left_semi"), cell, ["cell_id"], ["area"])
         .groupBy("plant_id", "date").agg(F.sum(F.col("value") * F.col("area")).alias("collected"))
         .withColumn("year", F.year("date"))
     )
-    joined = collected.join(plants, ["plant_id", "year"])
-    over = F.greatest(F.col("collected") - F.col("volume") / F.col("min_hrt"), F.lit(0.0))
+    joined = collected.join(plants, ["plant_id", "year"], "left")
+    capacity = F.coalesce(F.col("volume") / F.col("min_hrt"), F.lit(0.0))
+    over = F.greatest(F.col("collected") - capacity, F.lit(0.0))
     kept = F.col("collected") - over
     return joined.select(
         "plant_id", "date", "collected", over.alias("overflow"), kept.alias("treated"),

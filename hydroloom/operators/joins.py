@@ -75,13 +75,25 @@ def clamp_period_key(date: Column, first: Column, last: Column, unit: str) -> Co
     raise ValueError(f"unknown unit {unit!r}")
 
 
-def asof_period_map(series: DataFrame, maps: DataFrame, keys: list[str], unit: str = "month") -> DataFrame:
+def require_slices(joined: DataFrame, marker: str) -> DataFrame:
+    """Stop the query at the first row that found no slice (`marker` is NULL)."""
+    told = F.raise_error(F.concat(F.lit("no stored slice for "), F.coalesce(F.col("date").cast("string"), F.lit("a missing date"))))
+    return joined.withColumn(marker, F.when(F.col(marker).isNull(), told.cast("boolean")).otherwise(F.col(marker)))
+
+
+def asof_period_map(
+    series: DataFrame, maps: DataFrame, keys: list[str], unit: str = "month", strict: bool = False
+) -> DataFrame:
     """Join dated rows with the stored month or year slice that stands for their date.
 
-    `maps(keys, slot, map_value)`; the stored range is one small aggregate.
+    `maps(keys, slot, map_value)`; the stored range is one small aggregate. A row before the first slice or in a gap keeps
+    a NULL value; with `strict` it stops the query.
     """
     first, last = (maps.select(f("slot")).scalar() for f in (F.min, F.max))
-    return series.withColumn("slot", clamp_period_key(F.col("date"), first, last, unit)).join(maps, [*keys, "slot"])
+    keyed = series.withColumn("slot", clamp_period_key(F.col("date"), first, last, unit))
+    if not strict:
+        return keyed.join(maps, [*keys, "slot"], "left")
+    return require_slices(keyed.join(maps.withColumn("_stored", F.lit(True)), [*keys, "slot"], "left"), "_stored").filter("_stored").drop("_stored")
 
 
 def asof_nearest_day(series: DataFrame, slices: DataFrame, keys: list[str]) -> DataFrame:
@@ -137,9 +149,9 @@ def latest_by_year(capacities: DataFrame, first_year: int, last_year: int) -> Da
     )
 
 
-def doy_schedule_join(df: DataFrame, schedule: DataFrame, date: str = "date") -> DataFrame:
-    """Attach the entries of a 366-day schedule `(…, doy, release)` by day of year."""
-    return df.withColumn("doy", F.dayofyear(date)).join(schedule, "doy")
+def doy_schedule_join(df: DataFrame, schedule: DataFrame, keys: list[str], date: str = "date") -> DataFrame:
+    """Attach the entry of a 366-day schedule `(keys, doy, release)` by body and day of year."""
+    return df.withColumn("doy", F.dayofyear(date)).join(schedule, [*keys, "doy"])
 
 
 def growth_stage_join(months: DataFrame, stages: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from hydroloom.operators.keyed import row_index_by_block, with_group
 from hydroloom.session import cut_lineage
 
-MAX_ROUNDS = 64  # paths of up to 2**64 cells
+MAX_ROUNDS = 64  # paths of up to 2**64 cells; a loop that needs more raises
 
 # Keypad direction codes by row and column step; 5 is a pit, 0 is missing.
 UP_CODES, DOWN_CODES = (7, 8, 9), (1, 2, 3)
@@ -91,6 +91,8 @@ def upstream_accumulate(ldd: DataFrame, weights: DataFrame, columns: list[str])
         if active == left:  # while paths still drain, every round ends some
             raise ValueError("the network has a cycle; run ldd_repair first")
         left = active
+    else:
+        raise RuntimeError("accumulation did not end")
     return state.select("cell_id", *columns)
 
 
@@ -145,6 +147,8 @@ def root_of(ldd: DataFrame, roots: DataFrame | None = None) -> DataFrame:
         if active in (0, left):  # while paths still drain, every round ends some
             break
         left = active
+    else:
+        raise RuntimeError("the search for roots did not end")
     return state.select(
         "cell_id", F.when(F.col("done"), F.col("ptr")).alias("root_id"), F.when(F.col("done"), F.col("distance")).alias("distance")
     )
@@ -163,19 +167,65 @@ def topological_level(ldd: DataFrame) -> DataFrame:
     return root_of(ldd).select("cell_id", F.col("distance").alias("level"))
 
 
+def representatives(gauge: DataFrame) -> DataFrame:
+    """(gauge_id, rep_id): the smallest gauge on the cell of each gauge. Operators work on representatives."""
+    one = gauge.groupBy("cell_id").agg(F.min("gauge_id").alias("rep_id"))
+    return gauge.join(one, "cell_id").select("gauge_id", "rep_id")
+
+
+def for_all_gauges(per_gauge: DataFrame, gauge: DataFrame) -> DataFrame:
+    """Rows of representatives handed to every gauge on their cell."""
+    own = per_gauge.withColumnRenamed("gauge_id", "rep_id")
+    return representatives(gauge).join(own, "rep_id").select(*per_gauge.columns)
+
+
 def subcatchment(ldd: DataFrame, gauge: DataFrame) -> DataFrame:
-    """(cell_id, gauge_id) of the nearest gauge at or below each cell; cells without one are absent."""
+    """(cell_id, gauge_id) of the nearest gauge at or below each cell; cells without one are absent.
+
+    Of gauges that share a cell the smallest id stands for all; `for_all_gauges` gives the others their rows.
+    """
     one = gauge.groupBy("cell_id").agg(F.min("gauge_id").alias("gauge_id"))
     root = root_of(ldd, one)
     return root.join(one.select(F.col("cell_id").alias("root_id"), "gauge_id"), "root_id").select("cell_id", "gauge_id")
 
 
 def gauge_tree(ldd: DataFrame, gauge: DataFrame, nearest: DataFrame) -> DataFrame:
-    """(gauge_id, parent_id): the next gauge further down, NULL for the lowest."""
-    below = gauge.join(ldd, "cell_id", "left").select("gauge_id", F.col("down_id").alias("cell_id"))
+    """(gauge_id, parent_id) of each representative: the next gauge further down, NULL for the lowest."""
+    one = gauge.groupBy("cell_id").agg(F.min("gauge_id").alias("gauge_id"))
+    below = one.join(ldd, "cell_id", "left").select("gauge_id", F.col("down_id").alias("cell_id"))
     return below.join(nearest.withColumnRenamed("gauge_id", "parent_id"), "cell_id", "left").select("gauge_id", "parent_id")
 
 
+_FOLDS = {"sum": F.sum, "min": F.min, "max": F.max}
+
+
+def down_tree(tree: DataFrame, values: DataFrame, folds: dict[str, str], keys: list[str] = ()) -> DataFrame:
+    """Fold (sum, min or max) of `values(gauge_id, keys, columns)` over each gauge and all gauges above it.
+
+    After round k a gauge holds its own value and those less than 2**k steps above it: each round hands the values to the
+    gauge 2**k steps below and folds. So values are written about log2(depth) times, never once per pair of gauges.
+    """
+    aggs = [_FOLDS[how](c).alias(c) for c, how in folds.items()]
+    held = values.select("gauge_id", *keys, *folds).groupBy("gauge_id", *keys).agg(*aggs)
+    step, active = _cut_and_count(tree.select("gauge_id", F.col("parent_id").alias("ptr")), "tree", F.col("ptr").isNotNull())
+    for _ in range(MAX_ROUNDS):
+        if active == 0:
+            return held
+        given = held.join(step.filter(F.col("ptr").isNotNull()), "gauge_id").select(F.col("ptr").alias("gauge_id"), *keys, *folds)
+        held = cut_lineage(held.unionByName(given).groupBy("gauge_id", *keys).agg(*aggs), "tree-values")
+        jump = step.select(F.col("gauge_id").alias("ptr"), F.col("ptr").alias("_next"))
+        step, active = _cut_and_count(
+            step.join(jump, "ptr", "left").select("gauge_id", F.col("_next").alias("ptr")), "tree", F.col("ptr").isNotNull()
+        )
+    raise RuntimeError("the gauge tree has a cycle")
+
+
+def tree_roots(tree: DataFrame) -> DataFrame:
+    """(gauge_id, lowest_id, depth): the most downstream gauge of each, and how many gauges lie on the way, both included."""
+    root = root_of(tree.select(F.col("gauge_id").alias("cell_id"), F.col("parent_id").alias("down_id")))
+    return root.select(F.col("cell_id").alias("gauge_id"), F.col("root_id").alias("lowest_id"), (F.col("distance") + 1).alias("depth"))
+
+
 def gauge_closure(tree: DataFrame) -> DataFrame:
     """(gauge_id, below_id): every gauge with itself and all gauges below it.
 
@@ -197,16 +247,15 @@ def gauge_closure(tree: DataFrame) -> DataFrame:
     return pairs.select("gauge_id", "below_id")
 
 
-def gauge_membership(nearest: DataFrame, closure: DataFrame) -> DataFrame:
-    """All (cell_id, gauge_id) with the gauge at or below the cell."""
-    return nearest.join(closure, "gauge_id").select("cell_id", F.col("below_id").alias("gauge_id"))
+def gauge_membership(nearest: DataFrame, closure: DataFrame, gauge: DataFrame) -> DataFrame:
+    """All (cell_id, gauge_id) with the gauge at or below the cell; the result itself holds every pair."""
+    pairs = nearest.join(closure, "gauge_id").select("cell_id", F.col("below_id").alias("gauge_id"))
+    return for_all_gauges(pairs, gauge)
 
 
-def catchment(nearest: DataFrame, tree: DataFrame, closure: DataFrame) -> DataFrame:
-    """Label by the most downstream gauge on the flow path."""
-    lowest = tree.filter(F.col("parent_id").isNull()).select(F.col("gauge_id").alias("below_id"))
-    top = closure.join(lowest, "below_id", "left_semi")
-    return nearest.join(top, "gauge_id").select("cell_id", F.col("below_id").alias("gauge_id"))
+def catchment(nearest: DataFrame, tree: DataFrame) -> DataFrame:
+    """Label by the most downstream gauge on the flow path (the smallest id of those on its cell)."""
+    return nearest.join(tree_roots(tree), "gauge_id").select("cell_id", F.col("lowest_id").alias("gauge_id"))
 
 
 def interstation_regions(ldd: DataFrame, nearest: DataFrame) -> DataFrame:
@@ -216,30 +265,54 @@ def interstation_regions(ldd: DataFrame, nearest: DataFrame) -> DataFrame:
     )
 
 
-def sampling_frequency(ldd: DataFrame, nearest: DataFrame, closure: DataFrame) -> DataFrame:
-    """How many gauge basins hold a cell: the depth of its nearest gauge in the gauge tree."""
-    depth = closure.groupBy("gauge_id").agg(F.count("*").alias("frequency"))
+def sampling_frequency(ldd: DataFrame, nearest: DataFrame, tree: DataFrame, gauge: DataFrame) -> DataFrame:
+    """How many gauge basins hold a cell: all gauges on the cells of the tree path below its nearest gauge."""
+    shared = representatives(gauge).groupBy(F.col("rep_id").alias("gauge_id")).agg(F.count("*").alias("extra"))
+    roots = tree_roots(tree)
+    several = shared.filter("extra > 1")
+    if several.limit(1).count() == 0:
+        depth = roots.select("gauge_id", F.col("depth").alias("frequency"))
+    else:
+        # Depth counts cells with gauges; gauges beyond the first of a cell are summed down the path to the root.
+        depth = _path_sums(tree, shared).withColumnRenamed("extra", "frequency")
     inside = nearest.join(depth, "gauge_id")
     return ldd.select("cell_id").join(inside.select("cell_id", "frequency"), "cell_id", "left").na.fill(0, ["frequency"])
 
 
-def catchment_area_cells(nearest: DataFrame, closure: DataFrame) -> DataFrame:
+def _path_sums(tree: DataFrame, values: DataFrame) -> DataFrame:
+    """Sum of `values(gauge_id, extra)` over each gauge and all gauges below it, by doubling."""
+    state = tree.join(values, "gauge_id", "left").select("gauge_id", F.col("parent_id").alias("ptr"), F.coalesce("extra", F.lit(0)).alias("extra"))
+    state, active = _cut_and_count(state, "path", F.col("ptr").isNotNull())
+    for _ in range(MAX_ROUNDS):
+        if active == 0:
+            return state.select("gauge_id", "extra")
+        jump = state.select(F.col("gauge_id").alias("ptr"), F.col("ptr").alias("_next"), F.col("extra").alias("_more"))
+        moved = state.join(jump, "ptr", "left").select(
+            "gauge_id", F.col("_next").alias("ptr"), (F.col("extra") + F.coalesce("_more", F.lit(0))).alias("extra")
+        )
+        state, active = _cut_and_count(moved, "path", F.col("ptr").isNotNull())
+    raise RuntimeError("the gauge tree has a cycle")
+
+
+def catchment_area_cells(nearest: DataFrame, tree: DataFrame, gauge: DataFrame) -> DataFrame:
     """Number of cells in each gauge's basin."""
-    local = nearest.groupBy("gauge_id").agg(F.count("*").alias("n"))
-    return local.join(closure, "gauge_id").groupBy(F.col("below_id").alias("gauge_id")).agg(F.sum("n").alias("n_cells"))
+    local = nearest.groupBy("gauge_id").agg(F.count("*").alias("n_cells"))
+    return for_all_gauges(down_tree(tree, local, {"n_cells": "sum"}), gauge)
 
 
-def direct_links(tree: DataFrame) -> DataFrame:
-    """(gauge_id, inflow_id): gauges whose next gauge further down is `gauge_id`."""
-    return tree.filter(F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("gauge_id"), F.col("gauge_id").alias("inflow_id"))
+def direct_links(tree: DataFrame, gauge: DataFrame) -> DataFrame:
+    """(gauge_id, inflow_id): gauges whose next gauge further down is `gauge_id`; gauges on one cell share both roles."""
+    links = tree.filter(F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("gauge_id"), F.col("gauge_id").alias("_inflow"))
+    inflow = representatives(gauge).select(F.col("rep_id").alias("_inflow"), F.col("gauge_id").alias("inflow_id"))
+    return for_all_gauges(links.join(inflow, "_inflow").select("gauge_id", "inflow_id"), gauge)
 
 
-def link_lists(tree: DataFrame) -> DataFrame:
+def link_lists(tree: DataFrame, gauge: DataFrame) -> DataFrame:
     """Per gauge the count and the space-separated ids of its direct inflows."""
-    lists = direct_links(tree).groupBy("gauge_id").agg(
+    lists = direct_links(tree, gauge).groupBy("gauge_id").agg(
         F.count("*").alias("inflow"), F.array_join(F.transform(F.array_sort(F.collect_list("inflow_id")), lambda x: x.cast("string")), " ").alias("inflow_ids")
     )
-    return tree.select("gauge_id").join(lists, "gauge_id", "left").select(
+    return gauge.select("gauge_id").join(lists, "gauge_id", "left").select(
         "gauge_id", F.coalesce("inflow", F.lit(0)).alias("inflow"), F.coalesce("inflow_ids", F.lit("")).alias("inflow_ids")
     )
 
@@ -256,29 +329,32 @@ def walk_downstream(ldd: DataFrame, starts: DataFrame, steps: int) -> DataFrame:
     )
 
 
-def distinct_inlet_cells(ldd: DataFrame, links: DataFrame, gauge: DataFrame, steps: int = 11) -> DataFrame:
+def distinct_inlet_cells(ldd: DataFrame, links: DataFrame, gauge: DataFrame) -> DataFrame:
     """Inlet cell of each inflow: the first cell below its gauge that no earlier inflow took.
 
     Every inflow proposes its next cell, the one with the smallest id keeps it and the others move
     on, until no two agree. With one order for all cells this ends where serving the inflows one
-    by one would, in as many rounds as the longest chain of collisions.
+    by one would, in as many rounds as the longest chain of collisions. An inflow whose path ends before a free
+    cell keeps its row, with a NULL cell and the number of cells it tried.
     """
-    starts = links.join(gauge.withColumnRenamed("gauge_id", "inflow_id"), "inflow_id").select(
-        F.col("inflow_id").alias("start_id"), "cell_id"
-    )
-    path = cut_lineage(walk_downstream(ldd, starts, steps).withColumnRenamed("start_id", "inflow_id"), "inlet-path")
-    state = cut_lineage(links.select("gauge_id", "inflow_id", F.lit(1).alias("step")), "inlet")
-    for _ in range(steps):
-        placed = state.join(path, ["inflow_id", "step"])
-        first = with_group(placed, ["gauge_id", "cell_id"], _first=F.min("inflow_id"))
-        lost = F.col("inflow_id") != F.col("_first")
-        state, active = _cut_and_count(
-            first.select("gauge_id", "inflow_id", (F.col("step") + lost.cast("int")).alias("step"), lost.alias("lost")), "inlet", F.col("lost")
+    edges = ldd.select("cell_id", "down_id")
+
+    def below(rows: DataFrame) -> DataFrame:
+        return rows.join(edges, "cell_id", "left").select("gauge_id", "inflow_id", "step", F.col("down_id").alias("cell_id"))
+
+    starts = links.join(gauge.withColumnRenamed("gauge_id", "inflow_id"), "inflow_id")
+    state = below(starts.withColumn("step", F.lit(1)))
+    placed = F.col("cell_id").isNotNull()
+    state = cut_lineage(state.withColumn("step", F.when(placed, F.col("step")).otherwise(F.col("step") - 1)), "inlet")
+    while True:
+        first = with_group(state, ["gauge_id", "cell_id"], _first=F.min("inflow_id")).withColumn(
+            "lost", placed & (F.col("inflow_id") != F.col("_first"))
         )
-        state = state.drop("lost")
+        held, active = _cut_and_count(first.drop("_first"), "inlet", F.col("lost"))
         if active == 0:
-            break
-    return state.join(path, ["inflow_id", "step"]).select("gauge_id", "inflow_id", "step", "cell_id")
+            return held.select("gauge_id", "inflow_id", "step", "cell_id")
+        moved = below(held.filter("lost")).withColumn("step", F.col("step") + placed.cast("int"))
+        state = cut_lineage(held.filter("not lost").drop("lost").unionByName(moved), "inlet")
 
 
 def ldd_repair(edges: DataFrame) -> DataFrame:
@@ -293,7 +369,10 @@ def ldd_repair(edges: DataFrame) -> DataFrame:
     )
     alive = ends = -1
     for _ in range(MAX_ROUNDS):
-        jump = state.select(F.col("cell_id").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("low").alias("_low"))
+        # Whole basins point at the few cells of a cycle: the distinct pointers meet their cells, and the result, one row per
+        # pointer in a table of its own, is handed back by a join that adaptive execution can broadcast or split.
+        here = state.select(F.col("cell_id").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("low").alias("_low"))
+        jump = cut_lineage(here.join(state.select("ptr").distinct(), "ptr"), "cycle-jump")
         # Paths that end at a pit drop out; what stays leads into a cycle.
         moved = state.join(jump, "ptr").select(
             "cell_id", F.col("_ptr").alias("ptr"), F.least("low", "_low").alias("low"), (F.col("_low") < F.col("low")).alias("changed")
@@ -311,6 +390,8 @@ def ldd_repair(edges: DataFrame) -> DataFrame:
             if ends == before:
                 break
         alive = now["alive"]
+    else:
+        raise RuntimeError("the search for cycles did not end")
     on_cycle = state.select(F.col("ptr").alias("cell_id")).distinct()
     cycle = state.join(on_cycle, "cell_id", "left_semi").select("cell_id", F.col("low").alias("cycle_id"))
     stuck = state.join(cycle.withColumnRenamed("cell_id", "ptr"), "ptr").select("cell_id", "cycle_id")
@@ -373,14 +454,12 @@ def buffer_zone(bodies: DataFrame, size: int) -> DataFrame:
 def mask_from_point(ldd: DataFrame, cell: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Basins of points and the smallest box around each: (cell_id, gauge_id), (gauge_id, box)."""
     nearest = subcatchment(ldd, points)
-    closure = gauge_closure(gauge_tree(ldd, points, nearest))
+    tree = cut_lineage(gauge_tree(ldd, points, nearest), "point-tree")
     box = nearest.join(cell, "cell_id").groupBy("gauge_id").agg(
         F.min("row").alias("row0"), F.max("row").alias("row1"), F.min("col").alias("col0"), F.max("col").alias("col1")
     )
-    whole = box.join(closure, "gauge_id").groupBy(F.col("below_id").alias("gauge_id")).agg(
-        F.min("row0").alias("row0"), F.max("row1").alias("row1"), F.min("col0").alias("col0"), F.max("col1").alias("col1")
-    )
-    return gauge_membership(nearest, closure), whole
+    whole = down_tree(tree, box, {"row0": "min", "row1": "max", "col0": "min", "col1": "max"})
+    return gauge_membership(nearest, gauge_closure(tree), points), for_all_gauges(whole, points)
 
 
 def flow_distance_factor(code: Column, length: Column) -> Column:

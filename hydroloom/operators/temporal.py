@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from hydroloom.functions import dates
 from hydroloom.functions.clean import safe_divide
+from hydroloom.operators import network
 from hydroloom.operators.keyed import lookup
 
 # Kinds of output a request may name.
@@ -95,41 +96,31 @@ def agg_gauge_point(series: DataFrame, gauge: DataFrame, keys: list[str] = ("dat
 
 
 def agg_gauge_area(
-    series: DataFrame, cell: DataFrame, nearest: DataFrame, closure: DataFrame, keys: list[str] = ("date",), average: bool = False
+    series: DataFrame, cell: DataFrame, nearest: DataFrame, tree: DataFrame, gauge: DataFrame,
+    keys: list[str] = ("date",), average: bool = False,
 ) -> DataFrame:
     """Area-weighted sum (or mean) over everything upstream of each gauge; nested gauges overlap.
 
-    `nearest` labels each cell by its nearest downstream gauge, `closure` lists for each gauge all
-    gauges at or below it. Cells are summed once per nearest gauge; only these sums are handed down
-    the gauge tree, so overlap multiplies gauges, never cells.
+    `nearest` labels each cell by its nearest downstream gauge, `tree` gives each gauge the next one below. Cells are summed
+    once per nearest gauge; these sums go down the tree by doubling, so overlap multiplies gauges by log(depth) at most.
     """
     labelled = nearest.join(cell.select("cell_id", "area"), "cell_id")
     local = (
-        lookup(series, labelled, ["cell_id"], ["gauge_id", "area"], rows=cell.count())
+        lookup(series, labelled, ["cell_id"], ["gauge_id", "area"])
         .groupBy("gauge_id", *keys)
-        .agg(F.sum(F.col("value") * F.col("area")).alias("local"))
-    )
-    total = (
-        local.join(closure, "gauge_id")
-        .groupBy(F.col("below_id").alias("gauge_id"), *keys)
-        .agg(F.sum("local").alias("value"))
-    )
-    if not average:
-        return total
-    area = catchment_area(cell, nearest, closure)
-    return total.join(area, "gauge_id").withColumn("value", safe_divide(F.col("value"), F.col("catchment_area"))).drop(
-        "catchment_area"
+        .agg(F.sum(F.col("value") * F.col("area")).alias("value"))
     )
+    total = network.down_tree(tree, local, {"value": "sum"}, list(keys))
+    if average:
+        area = catchment_area(cell, nearest, tree)
+        total = total.join(area, "gauge_id").withColumn("value", safe_divide(F.col("value"), F.col("catchment_area"))).drop("catchment_area")
+    return network.for_all_gauges(total, gauge)
 
 
-def catchment_area(cell: DataFrame, nearest: DataFrame, closure: DataFrame) -> DataFrame:
-    return (
-        nearest.join(cell.select("cell_id", "area"), "cell_id")
-        .groupBy("gauge_id").agg(F.sum("area").alias("local"))
-        .join(closure, "gauge_id")
-        .groupBy(F.col("below_id").alias("gauge_id"))
-        .agg(F.sum("local").alias("catchment_area"))
-    )
+def catchment_area(cell: DataFrame, nearest: DataFrame, tree: DataFrame) -> DataFrame:
+    """(gauge_id, catchment_area) of each representative gauge."""
+    local = nearest.join(cell.select("cell_id", "area"), "cell_id").groupBy("gauge_id").agg(F.sum("area").alias("catchment_area"))
+    return network.down_tree(tree, local, {"catchment_area": "sum"})
 
 
 def check_request(variable: str, temporal: str, spatial: str, known: list[str] | None = None) -> None:
@@ -170,7 +161,7 @@ def aggregate_outputs(
     cell: DataFrame | None = None,
     gauge: DataFrame | None = None,
     nearest: DataFrame | None = None,
-    closure: DataFrame | None = None,
+    tree: DataFrame | None = None,
     known: list[str] | None = None,
 ) -> DataFrame:
     """Outputs for requests `(variable, temporal kind, spatial kind)`, as one long table.
@@ -190,7 +181,7 @@ def aggregate_outputs(
         elif spatial == "tss":
             placed, target = agg_gauge_point(chosen, gauge, ["variable", "date"]), "gauge_id"
         else:
-            placed = agg_gauge_area(chosen, cell, nearest, closure, ["variable", "date"], average=spatial == "areaavg")
+            placed = agg_gauge_area(chosen, cell, nearest, tree, gauge, ["variable", "date"], average=spatial == "areaavg")
             target = "gauge_id"
         out = _temporal(placed, temporal, ["variable", target], spin, end)
         parts.append(

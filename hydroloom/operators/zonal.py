@@ -39,15 +39,15 @@ def month_quota(withdrawals: DataFrame, quota: DataFrame, segment: str = "segmen
     """Month-to-date withdrawal against the quota of its segment and month.
 
     `withdrawals(segment, date, value)`, `quota(segment, quota)`. A day is `open` while the total
-    of the days before it has not passed the quota. Days are summed first, so a window holds at
-    most one month.
+    of the days before it has not passed the quota; a segment without quota is always open, its ratio
+    NULL. Days are summed first, so a window holds at most one month.
     """
     daily = withdrawals.groupBy(segment, "date").agg(F.sum("value").alias("value"))
     so_far = W.partitionBy(segment, F.trunc("date", "MM")).orderBy("date").rowsBetween(W.unboundedPreceding, 0)
-    total = daily.withColumn("month_to_date", F.sum("value").over(so_far)).join(quota, segment)
+    total = daily.withColumn("month_to_date", F.sum("value").over(so_far)).join(quota, segment, "left")
     return total.select(
         segment, "date", "value", "month_to_date",
-        (F.col("month_to_date") - F.col("value") <= F.col("quota")).alias("open"),
+        F.coalesce(F.col("month_to_date") - F.col("value") <= F.col("quota"), F.lit(True)).alias("open"),
         safe_divide(F.col("month_to_date"), F.col("quota")).alias("ratio"),
     )
 
@@ -55,18 +55,21 @@ def month_quota(withdrawals: DataFrame, quota: DataFrame, segment: str = "segmen
 def priority_cascade(demand: DataFrame, amount: DataFrame, keys: list[str], priority: dict[str, int], sector: str = "sector") -> DataFrame:
     """Give the amount of each key to its sectors in order of priority; the rest comes out as `other`.
 
-    `demand(keys, sector, demand)`, `amount(keys, amount)`. Sectors are summed first: a window
-    holds one row per sector.
+    `demand(keys, sector, demand)`, `amount(keys, amount)`. A sector without an amount is given 0; an amount without
+    demand goes to `other` whole. Sectors are summed first: a window holds one row per sector.
     """
     order = F.lit(len(priority))
     for name, rank in priority.items():
         order = F.when(F.col(sector) == name, rank).otherwise(order)
     rows = demand.groupBy(*keys, sector).agg(F.sum("demand").alias("demand")).withColumn("_p", order)
     upto = W.partitionBy(*keys).orderBy("_p", sector).rowsBetween(W.unboundedPreceding, 0)
-    served = rows.withColumn("_cum", F.sum("demand").over(upto)).join(amount, keys)
+    served = rows.withColumn("_cum", F.sum("demand").over(upto)).join(amount, keys, "left").na.fill(0.0, ["amount"])
     given = F.greatest(F.lit(0.0), F.least(F.col("demand"), F.col("amount") - (F.col("_cum") - F.col("demand"))))
-    served = served.select(*keys, sector, "demand", "amount", given.alias("given"))
-    rest = served.groupBy(*keys).agg((F.first("amount") - F.sum("given")).alias("given"))
+    served = served.select(*keys, sector, given.alias("given"))
+    wanted = demand.groupBy(*keys).agg(F.sum("demand").alias("_wanted"))
+    rest = amount.join(wanted, keys, "left").withColumn(
+        "given", F.greatest(F.lit(0.0), F.col("amount") - F.coalesce("_wanted", F.lit(0.0)))
+    )
     return served.select(*keys, sector, "given").unionByName(rest.select(*keys, F.lit("other").alias(sector), "given"))
 
 
@@ -105,12 +108,13 @@ def source_potential(rows: DataFrame, keys: list[str]) -> DataFrame:
 def zone_single_supply(cells: DataFrame, stores: DataFrame, zone: list[str], max_fraction: float = 0.98, efficiency: float = 1.0) -> DataFrame:
     """One store serves a zone: the largest of the zone's stores, up to a fraction of it.
 
-    `cells(zone keys, need)` and `stores(zone keys, store)` as volumes.
+    `cells(zone keys, need)` and `stores(zone keys, store)` as volumes. Cells of a zone without a store stay, with 0.
     """
     largest = stores.groupBy(*zone).agg(F.max("store").alias("store"))
     need = cells.groupBy(*zone).agg(F.sum("need").alias("_need"))
-    take = F.least(F.col("store") * max_fraction, F.col("_need") / efficiency)
-    per_zone = need.join(largest, zone).select(*zone, "_need", take.alias("take"))
+    # `least` skips NULL: a zone without a store must not take its whole need.
+    take = F.when(F.col("store").isNull(), 0.0).otherwise(F.least(F.col("store") * max_fraction, F.col("_need") / efficiency))
+    per_zone = need.join(largest, zone, "left").select(*zone, "_need", take.alias("take"))
     return attach(cells, per_zone, zone, "inner").withColumn(
         "share", F.col("need") * safe_divide(F.col("take"), F.col("_need"))
     ).drop("_need")

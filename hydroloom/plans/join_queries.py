@@ -16,7 +16,7 @@ def _maps(v):
 @query("asof_period_map", f"""with m as ({MAPS}), e as (select max(slot) as hi from m),
 k as (select cell_id, date, value, case when year(date) * 12 + month(date) - 1 > hi then hi - 11 + (year(date) * 12 + month(date) - 1 - hi - 1) % 12
   else year(date) * 12 + month(date) - 1 end as slot from cell_day, e)
-select cell_id, date, value, map_value from k join m using (cell_id, slot)""")
+select cell_id, date, value, map_value from k left join m using (cell_id, slot)""")
 def _(v):
     return joins.asof_period_map(v.cell_day, _maps(v), ["cell_id"]).select("cell_id", "date", "value", "map_value")
 
@@ -25,7 +25,7 @@ YEARMAPS = """select l_partkey as cell_id, year(l_shipdate) as slot, max(l_quant
   from lineitem where l_shipdate >= timestamp '1997-01-01' and l_shipdate < timestamp '1999-01-01' group by 1, 2"""
 
 
-@query("asof_period_map_year", f"""with m as ({YEARMAPS}) select d.cell_id, date, value, map_value from cell_day d join m
+@query("asof_period_map_year", f"""with m as ({YEARMAPS}) select d.cell_id, date, value, map_value from cell_day d left join m
   on m.cell_id = d.cell_id and m.slot = greatest(1997, least(1998, year(date)))""")
 def _(v):
     return joins.asof_period_map(v.cell_day, v.sql(YEARMAPS), ["cell_id"], "year").select("cell_id", "date", "value", "map_value")
@@ -76,7 +76,7 @@ d as (select f.gauge_id, s.date from f join s using (inflow_id))
 select l.gauge_id, l.inflow_id, d.date, round(s.q, 3) as q from link l join d using (gauge_id) left join s on s.inflow_id = l.inflow_id and s.date = d.date""")
 def _(v):
     series = v.runs.groupBy("station_id", "date").agg(F.sum("q").alias("q"))
-    out = joins.join_inflow_series(network.direct_links(_tree(v)), series)
+    out = joins.join_inflow_series(network.direct_links(_tree(v), v.gauge), series)
     return out.select("gauge_id", "inflow_id", "date", F.round("q", 3).alias("q"))
 
 
@@ -87,7 +87,7 @@ select gauge_id, date, string_agg(inflow_id::varchar, ' ' order by inflow_id) as
   string_agg(coalesce(printf('%.3f', q), '1e31'), ' ' order by inflow_id) as line from r group by 1, 2""")
 def _(v):
     series = v.runs.groupBy("station_id", "date").agg(F.sum("q").alias("q"))
-    return joins.inflow_lines(joins.inflow_table(network.direct_links(_tree(v)), series))
+    return joins.inflow_lines(joins.inflow_table(network.direct_links(_tree(v), v.gauge), series))
 
 
 @query("merge_inflow_files", """select name, count(distinct f) as n_files from (select l_linestatus as f, l_suppkey as name from lineitem) group by 1 having count(distinct f) > 1""")
@@ -134,7 +134,7 @@ DONE = "select s_suppkey as gauge_id from supplier where s_acctbal > 2000"
 w as (select l.gauge_id, bool_and(d.gauge_id is not null) as ok from link l left join done d on d.gauge_id = l.inflow_id group by 1)
 select g.gauge_id from gauge g left join w using (gauge_id) where coalesce(ok, true) and g.gauge_id not in (select gauge_id from done)""")
 def _(v):
-    return joins.ready_stations(v.gauge, network.direct_links(_tree(v)), v.sql(DONE))
+    return joins.ready_stations(v.gauge, network.direct_links(_tree(v), v.gauge), v.sql(DONE))
 
 
 @query("grid_align_check", """select (select min(row) = min(l_partkey // 50) and max(row) = max(l_partkey // 50) and min(col) = min(l_partkey % 50)
@@ -147,15 +147,19 @@ def _(v):
     return joins.grid_align_check(a, b)
 
 
-SCHEDULE = "select s_suppkey as station_id, cast(n_nationkey * 14 + 1 as int) as doy, s_acctbal / 10 as release from supplier join nation on n_nationkey >= s_nationkey"
+# Two entries a month for every station: 24 days of the year, spread by the station's number.
+SCHEDULE = """select s_suppkey as station_id, cast(1 + (k * 15 + s_suppkey) % 366 as int) as doy, s_acctbal / 10 + k as release
+  from (select s_suppkey, s_acctbal, unnest(range(24)) as k from supplier)"""
 
 
 @query("doy_schedule_join", f"""with s as ({SCHEDULE}) select p.station_id, p.date, s.release from (select station_id, date from pairs) p
   join s on s.station_id = p.station_id and s.doy = dayofyear(p.date)""")
 def _(v):
-    s = v.sql(SCHEDULE).withColumnRenamed("station_id", "_station")
-    out = joins.doy_schedule_join(v.pairs.select("station_id", "date"), s)
-    return out.filter(F.col("station_id") == F.col("_station")).select("station_id", "date", "release")
+    k = F.explode(F.sequence(F.lit(0), F.lit(23))).alias("k")
+    s = v.table("supplier").select(F.col("s_suppkey").alias("station_id"), "s_acctbal", k).select(
+        "station_id", (1 + (F.col("k") * 15 + F.col("station_id")) % 366).cast("int").alias("doy"), (F.col("s_acctbal") / 10 + F.col("k")).alias("release")
+    )
+    return joins.doy_schedule_join(v.pairs.select("station_id", "date"), s, ["station_id"]).select("station_id", "date", "release")
 
 
 STAGES = """select l_partkey as crop, cast(l_linenumber * 2 - 1 as int) as stage_start, cast(l_linenumber * 2 as int) as stage_end,

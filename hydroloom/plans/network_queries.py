@@ -18,7 +18,7 @@ tree as (select g.gauge_id, near.gauge_id as parent_id from gauge g join ldd usi
 def _gauges(v):
     nearest = network.subcatchment(v.ldd, v.gauge)
     tree = network.gauge_tree(v.ldd, v.gauge, nearest)
-    return nearest, tree, network.gauge_closure(tree)
+    return nearest, tree
 
 
 @query("ldd_edges", "select * from river")
@@ -113,8 +113,8 @@ def _(v):
 
 @query("gauge_membership", f"with recursive {MEMBER} select cell_id, gauge_id from up")
 def _(v):
-    nearest, _, closure = _gauges(v)
-    return network.gauge_membership(nearest, closure)
+    nearest, tree = _gauges(v)
+    return network.gauge_membership(nearest, network.gauge_closure(tree), v.gauge)
 
 
 @query("catchment", f"""with recursive {PATH} select path.cell_id, arg_max(g.gauge_id, n) as gauge_id
@@ -132,14 +132,12 @@ def _(v):
 @query("sampling_frequency", f"""with recursive {MEMBER} select l.cell_id, count(up.gauge_id) as frequency
   from ldd l left join up using (cell_id) group by 1""")
 def _(v):
-    nearest, _, closure = _gauges(v)
-    return network.sampling_frequency(v.ldd, nearest, closure)
+    return network.sampling_frequency(v.ldd, *_gauges(v), v.gauge)
 
 
 @query("catchment_area_cells", f"with recursive {MEMBER} select gauge_id, count(*) as n_cells from up group by 1")
 def _(v):
-    nearest, _, closure = _gauges(v)
-    return network.catchment_area_cells(nearest, closure).select("gauge_id", F.col("n_cells").cast("long").alias("n_cells"))
+    return network.catchment_area_cells(*_gauges(v), v.gauge).select("gauge_id", F.col("n_cells").cast("long").alias("n_cells"))
 
 
 @query("direct_links", f"""with recursive {NEAREST} select g.gauge_id, count(t.gauge_id) as inflow,
@@ -147,7 +145,7 @@ def _(v):
   from gauge g left join tree t on t.parent_id = g.gauge_id group by 1""")
 def _(v):
     nearest = network.subcatchment(v.ldd, v.gauge)
-    return network.link_lists(network.gauge_tree(v.ldd, v.gauge, nearest))
+    return network.link_lists(network.gauge_tree(v.ldd, v.gauge, nearest), v.gauge)
 
 
 @query("walk_downstream", f"""with recursive {PATH} select g.gauge_id as start_id, n::int as step, pos as cell_id
@@ -158,7 +156,7 @@ def _(v):
 
 def _inlets(v):
     nearest = network.subcatchment(v.ldd, v.gauge)
-    links = network.direct_links(network.gauge_tree(v.ldd, v.gauge, nearest))
+    links = network.direct_links(network.gauge_tree(v.ldd, v.gauge, nearest), v.gauge)
     return network.distinct_inlet_cells(v.ldd, links, v.gauge)
 
 
@@ -167,7 +165,7 @@ def _inlets(v):
 link as (select parent_id as gauge_id, gauge_id as inflow_id, row_number() over (partition by parent_id order by gauge_id) as k
   from tree where parent_id is not null),
 steps as (select l.gauge_id, l.inflow_id, l.k, p.n as step, p.pos as cell_id from link l join gauge g on g.gauge_id = l.inflow_id
-  join path p on p.cell_id = g.cell_id where p.n between 1 and 11),
+  join path p on p.cell_id = g.cell_id where p.n >= 1),
 served(k, gauge_id, taken, inflow_id, step, cell_id) as (
   select 0::bigint, gauge_id, []::bigint[], null::bigint, null::bigint, null::bigint from (select distinct gauge_id from link)
   union all
@@ -180,6 +178,37 @@ def _(v):
     return _inlets(v)
 
 
+# Chains of 64 cells that run down to a multiple of 64; the last 16 ids of a chain are inflows on one cell, 12 steps above the
+# pit: the k-th takes the k-th cell below, four find none.
+@query("distinct_inlet_cells_shared", """select cell_id // 64 as gauge_id, cell_id as inflow_id,
+  least(cell_id % 64 - 47, 12)::int as step, case when cell_id % 64 - 47 <= 12 then cell_id // 64 * 64 + 12 - (cell_id % 64 - 47) end as cell_id
+  from cell where cell_id % 64 >= 48 order by 1, 2""")
+def _(v):
+    c = F.col("cell_id")
+    chain = v.cell.select("cell_id", F.when(c % 64 > 0, c - 1).alias("down_id"))
+    inflow = v.cell.filter(c % 64 >= 48)
+    links = inflow.select(F.expr("cell_id div 64").alias("gauge_id"), c.alias("inflow_id"))
+    at = inflow.select(c.alias("gauge_id"), (c - c % 64 + 12).alias("cell_id"))
+    return network.distinct_inlet_cells(chain, links, at)
+
+
+# Two gauges on every gauge cell: each has the whole basin.
+@query("catchment_area_cells_shared", f"""with recursive {MEMBER}, n as (select gauge_id, count(*) as n_cells from up group by 1)
+  select gauge_id, n_cells from n union all select gauge_id + 1000000, n_cells from n""")
+def _(v):
+    twice = v.gauge.unionByName(v.gauge.withColumn("gauge_id", F.col("gauge_id") + 1_000_000))
+    nearest = network.subcatchment(v.ldd, twice)
+    return network.catchment_area_cells(nearest, network.gauge_tree(v.ldd, twice, nearest), twice)
+
+
+@query("sampling_frequency_shared", f"""with recursive {MEMBER} select l.cell_id, 2 * count(up.gauge_id) as frequency
+  from ldd l left join up using (cell_id) group by 1""")
+def _(v):
+    twice = v.gauge.unionByName(v.gauge.withColumn("gauge_id", F.col("gauge_id") + 1_000_000))
+    nearest = network.subcatchment(v.ldd, twice)
+    return network.sampling_frequency(v.ldd, nearest, network.gauge_tree(v.ldd, twice, nearest), twice)
+
+
 BODY = f"""{RIVER_PATH}, ups as (select pos as cell_id, count(*) as ups from path group by 1),
 b as (select cell_id, body, ups from water_body join ups using (cell_id) where body > 0),
 out1 as (select * from (select *, max(ups) over (partition by body) as m from b) where ups = m),

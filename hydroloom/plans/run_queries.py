@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from hydroloom.operators import balance, catalog, folds, network, runs, skill
+from hydroloom.operators import balance, catalog, network, runs, skill
 from hydroloom.plans.registry import query
 from hydroloom.plans.skill_queries import SQL as SCORE
 
@@ -121,8 +121,7 @@ def _(v):
 
 def _gauges(v):
     nearest = network.subcatchment(v.ldd, v.gauge)
-    tree = network.gauge_tree(v.ldd, v.gauge, nearest)
-    return nearest, network.gauge_closure(tree)
+    return nearest, network.gauge_tree(v.ldd, v.gauge, nearest)
 
 
 @query("order_by_area", f"""with recursive {MEMBER} select gauge_id, round(sum(area), 4) as catchment_area from up join cell using (cell_id) group by 1
@@ -130,7 +129,7 @@ def _gauges(v):
 def _(v):
     from hydroloom.operators.temporal import catchment_area
 
-    area = catchment_area(v.cell, *_gauges(v)).withColumn("catchment_area", F.round("catchment_area", 4))
+    area = network.for_all_gauges(catchment_area(v.cell, *_gauges(v)), v.gauge).withColumn("catchment_area", F.round("catchment_area", 4))
     return runs.order_by_area(area)
 
 
@@ -196,28 +195,3 @@ def _(v):
     chosen = catalog.for_variables(catalog.flux_catalog(v.spark, {"consumption", "withdrawals"}), series)
     totals = series.groupBy("variable").agg(F.sum("value").alias("total"))
     return totals.join(chosen, "variable").select("variable", "label", "unit_class", "section", "role", "total")
-
-
-FLOW = """f as (select cell_id, date, value / 11 as recharge, case when cell_id % 3 = 0 then value / 13 else 0.5 end as abstraction,
-  row_number() over (partition by cell_id order by date) as n from cell_day)"""
-
-
-@query("linear_reservoir", f"""with recursive {FLOW}, r(cell_id, date, n, store, outflow) as (
-  select cell_id, date, n, greatest(0, s - least(s, 0.0513 * s)), least(s, 0.0513 * s) from (select *, greatest(0, recharge)::double as s from f where n = 1)
-  union all select f.cell_id, f.date, f.n, greatest(0, x.s - least(x.s, 0.0513 * x.s)), least(x.s, 0.0513 * x.s)
-  from r join f on f.cell_id = r.cell_id and f.n = r.n + 1, lateral (select greatest(0, greatest(0, r.store - f.abstraction) + f.recharge) as s) x)
-select cell_id, date, round(store, 6) as store, round(outflow, 6) as outflow from r""")
-def _(v):
-    take = F.when(C("cell_id") % 3 == 0, C("value") / 13).otherwise(0.5)
-    flows = v.cell_day.select("cell_id", "date", (C("value") / 11).alias("recharge"), take.alias("abstraction"))
-    return folds.linear_reservoir(flows, 0.0513).withColumn("store", F.round("store", 6)).withColumn("outflow", F.round("outflow", 6))
-
-
-@query("frost_index", """with recursive d as (select cell_id, date, tavg - 14 as t, precip * 10 as snow, row_number() over (partition by cell_id order by date) as n from meteo),
-e as (select *, t * exp(-40 * case when t < 0 then 0.08 else 0.5 end * least(1, snow / 0.45)) as push from d),
-r(cell_id, date, n, f) as (select cell_id, date, n, greatest(0, -push)::double from e where n = 1
-  union all select e.cell_id, e.date, e.n, greatest(0, r.f - (1 - 0.97) * r.f - e.push) from r join e on e.cell_id = r.cell_id and e.n = r.n + 1)
-select cell_id, date, round(f, 6) as frost_index from r""")
-def _(v):
-    days = v.meteo.select("cell_id", "date", (C("tavg") - 14).alias("tavg"), (C("precip") * 10).alias("snow"))
-    return folds.frost_index(days, 0.97).withColumn("frost_index", F.round("frost_index", 6))

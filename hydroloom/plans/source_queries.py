@@ -151,7 +151,7 @@ def _keyed(kind):
     # Seven stored slices stand for months 1..7, slots 1..7, ...; dates without a slice drop.
     expr = {"month": "month(date)", "10day": "(dayofyear(date) - 1) // 10", "day": "dayofyear(date)", "year": "year(date) - 1994"}[kind]
 
-    @query(f"scan_keyed_maps_{kind}", f"""with m as ({SLOTS}) select d.cell_id, d.date, value, map_value from cell_day d join m on m.cell_id = d.cell_id and m.slot = {expr}""")
+    @query(f"scan_keyed_maps_{kind}", f"""with m as ({SLOTS}) select d.cell_id, d.date, value, map_value from cell_day d left join m on m.cell_id = d.cell_id and m.slot = {expr}""")
     def _(v):
         maps = v.sql(SLOTS)
         if kind == "year":
@@ -221,7 +221,7 @@ select gauge_id || coalesce(ids, '') || repeat(',', greatest(20 - n, 0)::int) as
 def _(v):
     path = scratch_path(v.spark, "links")
     nearest = network.subcatchment(v.ldd, v.gauge)
-    writers.write_links_csv(network.direct_links(network.gauge_tree(v.ldd, v.gauge, nearest)), v.gauge, path)
+    writers.write_links_csv(network.direct_links(network.gauge_tree(v.ldd, v.gauge, nearest), v.gauge), v.gauge, path)
     return v.spark.read.text(path).withColumnRenamed("value", "line")
 
 

@@ -97,7 +97,7 @@ MEMBER = """up(gauge_id, cell_id) as (select gauge_id, cell_id from gauge
 
 def _gauges(v):
     nearest = network.subcatchment(v.ldd, v.gauge)
-    return nearest, network.gauge_closure(network.gauge_tree(v.ldd, v.gauge, nearest))
+    return nearest, network.gauge_tree(v.ldd, v.gauge, nearest), v.gauge
 
 
 @query("agg_gauge_point", "select gauge_id, variable, date, value from cell_series join gauge using (cell_id)")
@@ -130,12 +130,12 @@ union all select variable, 'annualtot', 'areasum', gauge_id, date_trunc('year',
 union all select variable, 'totaltot', 'map', cell_id, null, round(sum(value), 3) from cell_series
   where variable = 'RO' and date >= date '{SPIN}' group by 1, 4""")
 def _(v):
-    nearest, closure = _gauges(v)
+    nearest, tree, gauge = _gauges(v)
     requests = [
         ("NO", "monthtot", "map"), ("NF", "monthtot", "map"), ("RF", "daily", "tss"),
         ("AF", "annualtot", "areasum"), ("AO", "annualtot", "areasum"), ("RO", "totaltot", "map"),
     ]
-    return _r(temporal.aggregate_outputs(v.cell_series, requests, _spin(), v.cell, v.gauge, nearest, closure), 3)
+    return _r(temporal.aggregate_outputs(v.cell_series, requests, _spin(), v.cell, gauge, nearest, tree), 3)
 
 
 @query("env_flow_stats", "select cell_id, round(avg(value), 6) as maf, round(quantile_cont(value, 0.1), 6) as q90 from cell_day group by 1")

@@ -39,25 +39,30 @@ def _(v):
 @query("month_quota", """with q as (select zone as segment, avg(value) as quota from cell_day join cell using (cell_id) group by 1),
 d as (select zone as segment, date, sum(value) as value from cell_day join cell using (cell_id) group by 1, 2),
 t as (select *, sum(value) over (partition by segment, date_trunc('month', date) order by date) as month_to_date from d)
-select segment, date, value, month_to_date, month_to_date - value <= round(quota, 3) * 8 as open,
-  round(month_to_date / (round(quota, 3) * 8), 6) as ratio from t join q using (segment)""")
+select segment, date, value, month_to_date, case when segment % 7 = 3 then true else month_to_date - value <= round(quota, 3) * 8 end as open,
+  case when segment % 7 <> 3 then round(month_to_date / (round(quota, 3) * 8), 6) end as ratio from t join q using (segment)""")
 def _(v):
     w = v.cell_day.join(v.cell.select("cell_id", F.col("zone").alias("segment")), "cell_id")
     quota = w.groupBy("segment").agg((F.round(F.avg("value"), 3) * 8).alias("quota"))
+    quota = quota.filter("segment % 7 <> 3")  # every seventh segment has no quota
     return zonal.month_quota(w, quota).withColumn("ratio", F.round("ratio", 6))
 
 
 PRIORITY = {"1-URGENT": 0, "2-HIGH": 1, "3-MEDIUM": 2, "4-NOT SPECIFIED": 3, "5-LOW": 4}
 
 
-@query("priority_cascade", """with a as (select region, month, 0.6 * sum(mm3) as amount from demand group by 1, 2),
+# Every fifth region has no amount; every region has an amount of 7 in a month without demand.
+@query("priority_cascade", """with a as (select region, month, case when region % 5 = 2 then 0 else 0.6 * sum(mm3) end as amount from demand group by 1, 2),
 c as (select d.*, a.amount, sum(mm3) over (partition by region, month order by sector) as cum from demand d join a using (region, month)),
 g as (select region, month, sector, greatest(0, least(mm3, amount - (cum - mm3))) as given, amount from c)
 select region, month, sector, round(given, 9) as given from g
-union all select region, month, 'other', round(greatest(any_value(amount) - sum(given), 0), 9) from g group by 1, 2""")
+union all select region, month, 'other', round(greatest(any_value(amount) - sum(given), 0), 9) from g where region % 5 <> 2 group by 1, 2
+union all select distinct region, date '2050-01-01', 'other', 7 from demand""")
 def _(v):
     demand = v.demand.withColumnRenamed("mm3", "demand")
-    amount = demand.groupBy("region", "month").agg((0.6 * F.sum("demand")).alias("amount"))
+    amount = demand.filter("region % 5 <> 2").groupBy("region", "month").agg((0.6 * F.sum("demand")).alias("amount"))
+    idle = demand.select("region").distinct().select("region", F.lit("2050-01-01").cast("date").alias("month"), F.lit(7.0).alias("amount"))
+    amount = amount.unionByName(idle)
     out = zonal.priority_cascade(demand, amount, ["region", "month"], PRIORITY)
     return out.withColumn("given", F.round(F.greatest("given", F.lit(0.0)), 9))
 
@@ -95,12 +100,14 @@ def _(v):
 @query("zone_single_supply", """with n as (select zone, date, cell_id, value as need from cell_day join cell using (cell_id)),
 s as (select zone, max(area) / 21 as store from cell group by 1),
 z as (select zone, date, sum(need) as total from n group by 1, 2)
-select zone, date, cell_id, round(least(0.98 * store, total / 0.9), 9) as take,
-  round(need * least(0.98 * store, total / 0.9) / nullif(total, 0), 9) as share from n join z using (zone, date) join s using (zone)""")
+select zone, date, cell_id, case when zone % 6 = 1 then 0 else round(least(0.98 * store, total / 0.9), 9) end as take,
+  case when zone % 6 = 1 then 0 else round(need * least(0.98 * store, total / 0.9) / nullif(total, 0), 9) end as share
+  from n join z using (zone, date) join s using (zone)""")
 def _(v):
     need = v.cell_day.join(v.cell.select("cell_id", "zone"), "cell_id").withColumnRenamed("value", "need")
     days = need.select("zone", "date").distinct()
     stores = v.cell.select("zone", (F.col("area") / 21).alias("store")).groupBy("zone").agg(F.max("store").alias("store"))
+    stores = stores.filter("zone % 6 <> 1")  # every sixth zone has no store
     out = zonal.zone_single_supply(need, days.join(stores, "zone"), ["zone", "date"], efficiency=0.9)
     return out.select("zone", "date", "cell_id", F.round("take", 9).alias("take"), F.round("share", 9).alias("share"))
 

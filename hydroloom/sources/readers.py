@@ -132,8 +132,8 @@ def slot_of(date: Column, kind: str) -> Column:
 
 
 def scan_keyed_maps(days: DataFrame, maps: DataFrame, kind: str, keys: list[str] = ("cell_id",)) -> DataFrame:
-    """Attach the slice `(keys, slot, map_value)` of each row's date."""
-    return days.withColumn("slot", slot_of(F.col("date"), kind)).join(maps, [*keys, "slot"])
+    """Attach the slice `(keys, slot, map_value)` of each row's date; NULL where none is stored."""
+    return days.withColumn("slot", slot_of(F.col("date"), kind)).join(maps, [*keys, "slot"], "left")
 
 
 def scan_static(cell: DataFrame, name: str, value: float | str) -> DataFrame:

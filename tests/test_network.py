@@ -112,12 +112,12 @@ def test_random_forests(spark):
     assert dict(rows(nearest)) == {c: g[0] for c, g in on_path.items() if g}
     tree = network.gauge_tree(ldd, gauge, nearest)
     closure = network.gauge_closure(tree)
-    assert rows(network.gauge_membership(nearest, closure)) == sorted((c, g) for c, gs in on_path.items() for g in gs)
-    assert dict(rows(network.catchment(nearest, tree, closure))) == {c: g[-1] for c, g in on_path.items() if g}
-    depth = dict(rows(network.sampling_frequency(ldd, nearest, closure)))
+    assert rows(network.gauge_membership(nearest, closure, gauge)) == sorted((c, g) for c, gs in on_path.items() for g in gs)
+    assert dict(rows(network.catchment(nearest, tree))) == {c: g[-1] for c, g in on_path.items() if g}
+    depth = dict(rows(network.sampling_frequency(ldd, nearest, tree, gauge)))
     assert depth == {c: len(g) for c, g in on_path.items()}
     # A direct inflow lies one level deeper than the gauge it feeds.
-    for g, inflow in rows(network.direct_links(tree)):
+    for g, inflow in rows(network.direct_links(tree, gauge)):
         assert depth[gauges[inflow]] == depth[gauges[g]] + 1
 
 

@@ -280,19 +280,3 @@ def test_catalog_options(spark):
     assert second[second.variable == "EvapoChannel"].unit_class.tolist() == ["M3"]
     with pytest.raises(ValueError):
         catalog.flux_catalog(spark, {"nothing"})
-
-
-def test_frost_and_reservoir_against_a_plain_loop(spark):
-    from hydroloom.operators import folds
-
-    data = [(c, day(i), float((i * 7 + c) % 11), float((i + c) % 3)) for c in range(40) for i in range(50)]
-    df = spark.createDataFrame(data, "cell_id long, date date, recharge double, abstraction double")
-    got = {(r[0], r[1]): (r[2], r[3]) for r in rows(folds.linear_reservoir(df, 0.1))}
-    for c in range(40):
-        store = 0.0
-        for _, d, recharge, take in (x for x in data if x[0] == c):
-            store = max(0.0, max(0.0, store - take) + recharge)
-            out = max(0.0, min(store, 0.1 * store))
-            store = max(0.0, store - out)
-            assert got[(c, d)] == (pytest.approx(store), pytest.approx(out))
-
