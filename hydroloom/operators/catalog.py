@@ -106,8 +106,11 @@ ROWS = [
 WITHDRAWAL_SOURCES = ("Channel", "Lake", "Res", "GW")
 WITHDRAWAL_SECTORS = ("Domestic", "Livestock", "Industry", "Irrigation")
 SECOND_EDITION_UNITS = {"EvapoChannel": "M3"}
+SECOND_EDITION_LABELS = {
+    "act_nonIrrConsumption": "non-Irrigation consumption", "dis_outlet": "Downstream outflow", "addtoevapotrans": "Evap. application loss",
+}
 OPTIONS = (
-    "coupled", "limited", "withdrawals", "consumption", "transfers", "lifts", "small_lakes", "ice", "crops",
+    "coupled", "limited", "unlimited", "withdrawals", "consumption", "transfers", "lifts", "small_lakes", "ice", "crops",
 )
 
 
@@ -118,11 +121,16 @@ def _split_role(role: str) -> tuple[str, str]:
 
 
 def flux_catalog(spark: SparkSession, options: set[str] = frozenset(), crops: int = 0, edition: int = 1) -> DataFrame:
-    """Catalogue rows that the options call for, as a broadcast table of known size."""
+    """Catalogue rows that the options call for, as a broadcast table of known size.
+
+    The second edition takes abstraction as limited unless `unlimited` is asked for.
+    """
     unknown = set(options) - set(OPTIONS)
     if unknown:
         raise ValueError(f"unknown options {sorted(unknown)}, expected some of {OPTIONS}")
-    active = set(options)
+    active = set(options) - {"unlimited"}
+    if edition == 2 and not {"coupled", "unlimited"} & set(options):
+        active.add("limited")
     if "coupled" not in active and "limited" not in active:
         active |= {"fossil", "fossil_withdrawals" if "withdrawals" in active else "fossil_no_withdrawals"}
     if "coupled" in active:
@@ -144,6 +152,7 @@ def flux_catalog(spark: SparkSession, options: set[str] = frozenset(), crops: in
         if wanted:
             if edition == 2:
                 unit = SECOND_EDITION_UNITS.get(variable, unit)
+                label = SECOND_EDITION_LABELS.get(variable, label)
             kind, section = _split_role(role)
             chosen.append((variable, label, unit, kind, section, needs))
     return small_table(spark, chosen, SCHEMA)

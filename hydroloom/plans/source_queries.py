@@ -33,11 +33,13 @@ NAMES = [str(i) for i in range(1, 8)]
 
 # Every (station, step) line holds all names; absent ones are written as 1e31 and read as 0.
 @query("read_tss", f"""with t as ({TSS}), s as (select distinct station, step from t), n as (select unnest(range(1, 8)) as name)
-select s.station, n.name::varchar as name, s.step, (date '1995-01-01' + s.step - 1)::date as date, coalesce(t.value, 0) as value
+select s.station, 'gauge ' || n.name as name, s.step, (date '1995-01-01' + s.step - 1)::date as date, coalesce(t.value, 0) as value
   from s cross join n left join t on t.station = s.station and t.step = s.step and t.name = n.name""")
 def _(v):
+    # A title that starts with a number and names with blanks must not be taken for data.
     path = scratch_path(v.spark, "tss")
-    writers.write_tss(_tss_rows(v), path, NAMES)
+    named = _tss_rows(v).withColumn("name", F.concat(F.lit("gauge "), C("name")))
+    writers.write_tss(named, path, [f"gauge {n}" for n in NAMES], "2024 run of gauges")
     out = readers.read_tss(v.spark, path, _start())
     return out.select(F.regexp_extract("file", r"file=(\d+)", 1).cast("long").alias("station"), "name", "step", "date", "value")
 

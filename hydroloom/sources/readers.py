@@ -28,17 +28,21 @@ def read_tss(spark: SparkSession, path: str, start: Column, fill: float | None =
     """Rows (file, name, step, date, value) of the old gauge text format.
 
     A file has a title, the number of columns N, `timestep`, N - 1 names on single lines, then lines
-    of a step and N - 1 values. Lines are parsed where they lie; only the few header lines of a
-    file are gathered. Unreadable values and 1e31 become `fill`.
+    of a step and N - 1 values. Lines are told apart by their number, so a title may start with a number and a name may hold
+    blanks; only the header lines of a file are gathered. Unreadable values and 1e31 become `fill`.
     """
     lines = _lines(spark, path)
-    parts = F.split("line", r"\s+")
-    short = lines.filter((F.size(parts) == 1) & (F.col("line") != ""))
-    header = short.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]).alias("h"))
-    # Single-word lines in order: (a one-word title), N, "timestep", names.
-    mark = F.array_position("h", F.lit("timestep")).cast("int")
-    header = header.select("file", F.slice("h", mark + 1, F.get("h", mark - 2).try_cast("int") - 1).alias("names"))
-    data = lines.withColumn("p", parts).filter((F.size("p") > 1) & F.get("p", F.lit(0)).rlike(r"^\d+$"))
+    # Row ids count up along a file inside its first block, which holds the header.
+    first = lines.filter("pos.b = 0").groupBy("file").agg(F.min("pos.i").alias("_first"))
+    numbered = lines.join(first, "file").withColumn("no", F.when(F.col("pos.b") == 0, F.col("pos.i") - F.col("_first")))
+    width = numbered.filter("no = 1").select("file", F.col("line").try_cast("int").alias("width"))
+    sized = numbered.join(width, "file")
+    header = (
+        sized.filter((F.col("no") >= 3) & (F.col("no") <= F.col("width") + 1)).groupBy("file")
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("no", "line"))), lambda x: x["line"]).alias("names"))
+    )
+    behind = F.col("no").isNull() | (F.col("no") > F.col("width") + 1)
+    data = sized.filter(behind).withColumn("p", F.split("line", r"\s+")).filter((F.size("p") > 1) & F.get("p", F.lit(0)).rlike(r"^\d+$"))
     rows = data.select("file", F.get("p", F.lit(0)).cast("int").alias("step"), F.posexplode(F.slice("p", 2, F.size("p"))).alias("k", "text"))
     value = F.coalesce(null_sentinels(F.col("text").try_cast("double"), "series"), F.lit(fill).cast("double"))
     return rows.join(header, "file").select(

@@ -278,5 +278,12 @@ def test_catalog_options(spark):
     assert (both.section == "Withdrawal").sum() == 18 and "irr_crop[1]" in set(both.variable)
     second = catalog.flux_catalog(spark, edition=2).toPandas()
     assert second[second.variable == "EvapoChannel"].unit_class.tolist() == ["M3"]
+    labels = dict(zip(second.variable, second.label, strict=True))
+    assert labels["act_nonIrrConsumption"] == "non-Irrigation consumption"
+    assert labels["dis_outlet"] == "Downstream outflow" and labels["addtoevapotrans"] == "Evap. application loss"
+    first = dict(zip(base.variable, base.label, strict=True))
+    assert {v for v in first if v in labels and first[v] != labels[v]} == {"act_nonIrrConsumption", "dis_outlet", "addtoevapotrans"}
+    assert "unmetDemand" not in set(second.variable)
+    assert "unmetDemand" in set(catalog.flux_catalog(spark, {"unlimited"}, edition=2).toPandas().variable)
     with pytest.raises(ValueError):
         catalog.flux_catalog(spark, {"nothing"})
