@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from hydroloom.functions.clean import safe_divide
 from hydroloom.operators.keyed import lookup, with_group
+from hydroloom.session import cut_lineage
 
 SECONDS_PER_DAY = 86400
 LITERAL_LIMIT = 10_000
@@ -131,7 +132,8 @@ def flow_hierarchy(
     """
     here = flows.filter(F.col("section") == section)
     below = [role for role, _ in nested]
-    leaf = here.groupBy("role", "label").agg(F.sum("amount").alias("amount"))
+    # The series is summed once; leaves, groups and shares come from this table of a few rows.
+    leaf = cut_lineage(here.groupBy("section", "role", "label").agg(F.sum("amount").alias("amount")), "hierarchy")
     parent = F.col("role")
     for role, above in nested:
         parent = F.when(F.col("role") == role, F.lit(above)).otherwise(parent)
@@ -143,7 +145,7 @@ def flow_hierarchy(
         F.when(F.col("role") == "Storage", F.abs("amount")).otherwise(F.col("amount")).alias("value"),
         sign.alias("sign"),
     )
-    b = section_balance(here.filter(~F.col("role").isin(below)) if below else here)
+    b = section_balance(leaf.filter(~F.col("role").isin(below)) if below else leaf)
     groups = b.select(
         F.explode(
             F.array(

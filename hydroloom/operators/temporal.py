@@ -12,6 +12,7 @@ from hydroloom.functions import dates
 from hydroloom.functions.clean import safe_divide
 from hydroloom.operators import network
 from hydroloom.operators.keyed import lookup
+from hydroloom.session import cut_lineage
 
 # Kinds of output a request may name.
 MAP_KINDS = (
@@ -135,23 +136,54 @@ def check_request(variable: str, temporal: str, spatial: str, known: list[str] |
         raise ValueError(f"variable {variable!r} is not defined; the closest name is {close[0]!r}")
 
 
-def _temporal(series: DataFrame, kind: str, keys: list[str], spin: Column, end: Column) -> DataFrame:
+def month_parts(series: DataFrame, keys: list[str], spin: Column) -> DataFrame:
+    """What all temporal kinds but the daily one need, per key and month: sums, counts and the last values."""
+    d = F.col("date")
+    after = d >= spin
+    return series.groupBy(*keys, dates.month_start(d).alias("month")).agg(
+        F.sum("value").alias("total"),
+        F.count("value").alias("n"),
+        F.sum(F.when(after, F.col("value"))).alias("since"),
+        F.count_if(after).alias("n_since"),
+        F.max_by("value", "date").alias("last"),
+        F.max("date").alias("last_date"),
+    )
+
+
+def from_months(parts: DataFrame, kind: str, keys: list[str], spin: Column, end: Column) -> DataFrame:
+    """`keys, date, value` of a temporal kind from its month parts; `date` is NULL for the whole run."""
+    month = F.col("month")
+    year = dates.year_start(month)
+    none = F.lit(None).cast("date")
+    at_end = parts.filter(F.col("last_date") == F.last_day(month))
+
+    def whole_months() -> DataFrame:
+        return parts.filter(F.last_day(month) <= end)
+
+    def years() -> DataFrame:
+        sums = parts.groupBy(*keys, year.alias("date")).agg(F.sum("total").alias("value"))
+        return sums.filter(dates.year_end(F.col("date")) <= end)
+
+    def run() -> DataFrame:
+        return parts.filter("n_since > 0").groupBy(*keys).agg(F.sum("since").alias("value"))
+
     make = {
-        "daily": lambda: agg_daily(series, keys),
-        "monthtot": lambda: agg_monthtot(series, keys, end),
-        "monthavg": lambda: agg_monthavg(series, keys, end),
-        "monthend": lambda: agg_monthend(series, keys),
-        "annualtot": lambda: agg_annualtot(series, keys, end),
-        "annualavg": lambda: agg_annualavg(series, keys, end),
-        "annualend": lambda: agg_annualend(series, keys),
-        "totaltot": lambda: agg_totaltot(series, keys, spin),
-        "totalavg": lambda: agg_totalavg(series, keys, spin, end),
-        "totalend": lambda: agg_totalend(series, keys),
-        "once": lambda: agg_totalend(series, keys),
-        "12month": lambda: agg_12month(series, keys, end),
+        "monthtot": lambda: whole_months().select(*keys, month.alias("date"), F.col("total").alias("value")),
+        "monthavg": lambda: whole_months().select(*keys, month.alias("date"), (F.col("total") / dates.days_in_month(month)).alias("value")),
+        "monthend": lambda: at_end.select(*keys, month.alias("date"), F.col("last").alias("value")),
+        "annualtot": years,
+        "annualavg": lambda: years().withColumn("value", F.col("value") / dates.days_in_year(F.col("date"))),
+        "annualend": lambda: at_end.filter(F.month(month) == 12).select(*keys, year.alias("date"), F.col("last").alias("value")),
+        "totaltot": run,
+        "totalavg": lambda: run().withColumn("value", F.col("value") / (F.datediff(end, spin) + 1)),
+        "totalend": lambda: parts.groupBy(*keys).agg(F.max_by("last", "last_date").alias("value")),
+        "once": lambda: parts.groupBy(*keys).agg(F.max_by("last", "last_date").alias("value")),
+        "12month": lambda: parts.groupBy(*keys, F.make_date(F.year(end), F.month(month), F.lit(1)).alias("date")).agg(
+            (F.sum("total") / F.nullif(F.sum("n"), F.lit(0))).alias("value")
+        ),
     }
     out = make[kind]()
-    return out if "date" in out.columns else out.withColumn("date", F.lit(None).cast("date"))
+    return out.select(*keys, F.col("date") if "date" in out.columns else none.alias("date"), "value")
 
 
 def aggregate_outputs(
@@ -166,30 +198,49 @@ def aggregate_outputs(
 ) -> DataFrame:
     """Outputs for requests `(variable, temporal kind, spatial kind)`, as one long table.
 
-    Requests of the same kinds share one pass over their variables. Every kind is linear over
-    cells, so a series at gauges is reduced in space first and in time afterwards.
+    The series is read once for the month parts of each place (cells, gauge cells, gauge basins), written as a table that
+    all kinds of periods read, and once more for daily maps; so the number of passes does not grow with the number of
+    requests. Sums and averages over basins share one pass, as every kind is linear over cells.
     """
     for request in requests:
         check_request(*request, known=known)
     end = run_end(series)
+    keys = ["variable", "target_id"]
     parts = []
-    for temporal, spatial in dict.fromkeys((t, s) for _, t, s in requests):
-        names = sorted({v for v, t, s in requests if (t, s) == (temporal, spatial)})
+
+    def place(names: list[str], spatial: str) -> DataFrame:
         chosen = series.filter(F.col("variable").isin(*names))
         if spatial == "map":
-            placed, target = chosen, "cell_id"
-        elif spatial == "tss":
-            placed, target = agg_gauge_point(chosen, gauge, ["variable", "date"]), "gauge_id"
+            return chosen.select("variable", F.col("cell_id").alias("target_id"), "date", "value")
+        if spatial == "tss":
+            placed = agg_gauge_point(chosen, gauge, ["variable", "date"])
         else:
-            placed = agg_gauge_area(chosen, cell, nearest, tree, gauge, ["variable", "date"], average=spatial == "areaavg")
-            target = "gauge_id"
-        out = _temporal(placed, temporal, ["variable", target], spin, end)
-        parts.append(
-            out.select(
-                "variable", F.lit(temporal).alias("temporal"), F.lit(spatial).alias("spatial"),
-                F.col(target).alias("target_id"), "date", "value",
+            placed = agg_gauge_area(chosen, cell, nearest, tree, gauge, ["variable", "date"])
+        return cut_lineage(placed.select("variable", F.col("gauge_id").alias("target_id"), "date", "value"), "gauge-series")
+
+    for place_kinds in (("map",), ("tss",), ("areasum", "areaavg")):
+        asked = [r for r in requests if r[2] in place_kinds]
+        if not asked:
+            continue
+        placed = place(sorted({v for v, _, _ in asked}), place_kinds[0])
+        months = None
+        if any(t != "daily" for _, t, _ in asked):
+            months = cut_lineage(month_parts(placed, keys, spin), "month-parts")
+        area = None
+        if any(s == "areaavg" for _, _, s in asked):
+            area = network.for_all_gauges(catchment_area(cell, nearest, tree), gauge).withColumnRenamed("gauge_id", "target_id")
+            area = cut_lineage(area, "gauge-areas")
+        for temporal, spatial in dict.fromkeys((t, s) for _, t, s in asked):
+            chosen = F.col("variable").isin(*{v for v, t, s in asked if (t, s) == (temporal, spatial)})
+            if temporal == "daily":
+                out = placed.filter(chosen)
+            else:
+                out = from_months(months.filter(chosen), temporal, keys, spin, end)
+            if spatial == "areaavg":
+                out = out.join(area, "target_id").withColumn("value", safe_divide(F.col("value"), F.col("catchment_area")))
+            parts.append(
+                out.select("variable", F.lit(temporal).alias("temporal"), F.lit(spatial).alias("spatial"), "target_id", "date", "value")
             )
-        )
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -138,6 +138,42 @@ def _(v):
     return _r(temporal.aggregate_outputs(v.cell_series, requests, _spin(), v.cell, gauge, nearest, tree), 3)
 
 
+# Each kind of period over a table t(variable, target_id, date, value); E is the end of the run.
+PERIODS = {
+    "daily": "select variable, target_id, date, value from {t}",
+    "monthtot": "select variable, target_id, date_trunc('month', date)::date, sum(value) from {t}, e group by 1, 2, 3 having last_day(any_value(date)) <= any_value(e)",
+    "monthavg": "select variable, target_id, date_trunc('month', date)::date, sum(value) / day(last_day(any_value(date))) from {t}, e group by 1, 2, 3 having last_day(any_value(date)) <= any_value(e)",
+    "monthend": "select variable, target_id, date_trunc('month', date)::date, value from {t} where date = last_day(date)",
+    "annualtot": "select variable, target_id, date_trunc('year', date)::date, sum(value) from {t}, e group by 1, 2, 3 having make_date(year(any_value(date)), 12, 31) <= any_value(e)",
+    "annualavg": "select variable, target_id, date_trunc('year', date)::date, sum(value) / dayofyear(make_date(year(any_value(date)), 12, 31)) from {t}, e group by 1, 2, 3 having make_date(year(any_value(date)), 12, 31) <= any_value(e)",
+    "annualend": "select variable, target_id, date_trunc('year', date)::date, value from {t} where date = make_date(year(date), 12, 31)",
+    "totaltot": "select variable, target_id, null::date, sum(value) from {t} where date >= date '{spin}' group by 1, 2",
+    "totalavg": "select variable, target_id, null::date, sum(value) / (datediff('day', date '{spin}', any_value(e)) + 1) from {t}, e where date >= date '{spin}' group by 1, 2",
+    "totalend": "select variable, target_id, null::date, arg_max(value, date) from {t} group by 1, 2",
+    "once": "select variable, target_id, null::date, arg_max(value, date) from {t} group by 1, 2",
+    "12month": "select variable, target_id, make_date(year(any_value(e)), month(date), 1), avg(value) from {t}, e group by variable, target_id, month(date)",
+}
+PAIRS = [(t, "map") for t in temporal.MAP_KINDS] + [(t, s) for s in temporal.GAUGE_KINDS for t in temporal.SERIES_KINDS]
+ALL_PAIRS = " union all ".join(
+    f"select variable, '{t}' as temporal, '{s}' as spatial, target_id, date, round(value, 5) as value from ({PERIODS[t].format(t=s, spin=SPIN)}) x(variable, target_id, date, value)"
+    for t, s in PAIRS
+)
+
+
+@query("aggregate_outputs_all", f"""with recursive {MEMBER}, e as (select max(date) as e from cell_series),
+map as (select variable, cell_id as target_id, date, value from cell_series),
+tss as (select variable, gauge_id as target_id, date, value from cell_series join gauge using (cell_id)),
+areasum as (select variable, gauge_id as target_id, date, sum(value * area) as value from cell_series join up using (cell_id) join cell using (cell_id) group by 1, 2, 3),
+total as (select gauge_id as target_id, sum(area) as total from up join cell using (cell_id) group by 1),
+areaavg as (select variable, target_id, date, value / total as value from areasum join total using (target_id))
+{ALL_PAIRS}""")
+def _(v):
+    nearest, tree, gauge = _gauges(v)
+    names = [r["variable"] for r in v.cell_series.select("variable").distinct().orderBy("variable").collect()]
+    requests = [(name, t, s) for name in names for t, s in PAIRS]
+    return _r(temporal.aggregate_outputs(v.cell_series, requests, _spin(), v.cell, gauge, nearest, tree), 5)
+
+
 @query("env_flow_stats", "select cell_id, round(avg(value), 6) as maf, round(quantile_cont(value, 0.1), 6) as q90 from cell_day group by 1")
 def _(v):
     return temporal.env_flow_stats(v.cell_day).select("cell_id", F.round("maf", 6).alias("maf"), F.round("q90", 6).alias("q90"))
