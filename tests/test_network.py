@@ -156,3 +156,54 @@ def test_cycles_are_noticed(spark):
     assert dict(rows(network.root_of(ldd).select("cell_id", "root_id"))) == {1: None, 2: None, 3: None, 4: None, 5: 6, 6: 6}
     with pytest.raises(ValueError, match="cycle"):
         network.upstream_accumulate(ldd, ldd.select("cell_id", F.lit(1.0).alias("w")), ["w"])
+
+
+def test_gauges_on_one_cell_share_their_basin(spark):
+    ldd = spark.createDataFrame([(c, c - 1 if c else None) for c in range(60)], "cell_id long, down_id long")
+    gauge = spark.createDataFrame([(1, 40), (2, 40), (3, 5)], "gauge_id long, cell_id long")
+    nearest = network.subcatchment(ldd, gauge)
+    tree = network.gauge_tree(ldd, gauge, nearest)
+    assert rows(network.catchment_area_cells(nearest, tree, gauge)) == [(1, 20), (2, 20), (3, 55)]
+    assert rows(network.direct_links(tree, gauge)) == [(3, 1), (3, 2)]
+    depth = dict(rows(network.sampling_frequency(ldd, nearest, tree, gauge)))
+    assert (depth[50], depth[20], depth[3]) == (3, 1, 0)
+    members = rows(network.gauge_membership(nearest, network.gauge_closure(tree), gauge))
+    assert members == sorted([(c, g) for c in range(40, 60) for g in (1, 2)] + [(c, 3) for c in range(5, 60)])
+
+
+def test_a_long_chain_of_gauges_is_folded_by_doubling(spark, monkeypatch):
+    n = 2000
+    tree = spark.createDataFrame([(g, g - 1 if g else None) for g in range(n)], "gauge_id long, parent_id long")
+    written = []
+    cut = network.cut_lineage
+
+    def counted(df, label):
+        table = cut(df, label)
+        written.append(table.count())
+        return table
+
+    monkeypatch.setattr(network, "cut_lineage", counted)
+    values = tree.selectExpr("gauge_id", "1 as n", "gauge_id as low", "gauge_id as high")
+    got = rows(network.down_tree(tree, values, {"n": "sum", "low": "min", "high": "max"}))
+    assert got == [(g, n - g, g, n - 1) for g in range(n)]
+    assert sum(written) <= 2 * n * 13
+
+
+def test_fifteen_inflows_on_one_cell(spark):
+    ldd = spark.createDataFrame([(c, c - 1 if c else None) for c in range(13)], "cell_id long, down_id long")
+    gauge = spark.createDataFrame([(i, 12) for i in range(1, 16)], "gauge_id long, cell_id long")
+    links = spark.createDataFrame([(99, i) for i in range(1, 16)], "gauge_id long, inflow_id long")
+    want = [(99, i, min(i, 12), 12 - i if i <= 12 else None) for i in range(1, 16)]
+    assert rows(network.distinct_inlet_cells(ldd, links, gauge), "inflow_id") == want
+
+
+def test_a_hot_cycle_is_cut(spark):
+    # 100,000 cells lead straight into the cycle 1 <-> 2; the smallest of all, 1, is on it.
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "false")
+    try:
+        ids = spark.range(3, 100_000).selectExpr("id as cell_id", "id % 2 + 1 as down_id")
+        ring = spark.createDataFrame([(1, 2), (2, 1)], "cell_id long, down_id long")
+        cut = network.ldd_repair(ids.unionByName(ring)).filter("cut")
+        assert rows(cut) == [(2, None, True)]
+    finally:
+        spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
