@@ -1,5 +1,7 @@
 """Source and sink queries: write driver data in a format, read it back, compare."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from hydroloom.functions.dates import date_schedule
@@ -146,19 +148,18 @@ def _(v):
     return v.spark.read.parquet(_stack(v)).groupBy("variable", "year").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-SLOTS = """select l_partkey as cell_id, l_linenumber as slot, sum(l_quantity) as map_value from lineitem group by 1, 2"""
+SLOT_OF = {"month": "month({d})", "10day": "floor((dayofyear({d}) - 1) / 10)", "day": "dayofyear({d})", "year": "year({d})"}
 
 
 def _keyed(kind):
-    # Seven stored slices stand for months 1..7, slots 1..7, ...; dates without a slice drop.
-    expr = {"month": "month(date)", "10day": "(dayofyear(date) - 1) // 10", "day": "dayofyear(date)", "year": "year(date) - 1994"}[kind]
+    # Slices of every cell from its shipped items; a date whose slot has none keeps its row.
+    slots = f"""select l_partkey as cell_id, cast({SLOT_OF[kind].format(d="l_shipdate")} as int) as slot, sum(l_quantity) as map_value
+      from lineitem where l_linestatus = 'F' group by 1, 2"""
 
-    @query(f"scan_keyed_maps_{kind}", f"""with m as ({SLOTS}) select d.cell_id, d.date, value, map_value from cell_day d left join m on m.cell_id = d.cell_id and m.slot = {expr}""")
+    @query(f"scan_keyed_maps_{kind}", f"""with m as ({slots}) select d.cell_id, d.date, value, map_value from cell_day d
+      left join m on m.cell_id = d.cell_id and m.slot = {SLOT_OF[kind].format(d="date")}""")
     def _(v):
-        maps = v.sql(SLOTS)
-        if kind == "year":
-            maps = maps.withColumn("slot", C("slot") + 1994)
-        return readers.scan_keyed_maps(v.cell_day, maps, kind).select("cell_id", "date", "value", "map_value")
+        return readers.scan_keyed_maps(v.cell_day, v.sql(slots), kind).select("cell_id", "date", "value", "map_value")
 
 
 for _kind in ("month", "10day", "day", "year"):
@@ -199,16 +200,37 @@ def _(v):
     return v.spark.read.parquet(path).select("variable", "cell_id", "value", C("snapshot_date").cast("date").alias("snapshot_date"))
 
 
-@query("load_state", """select c.cell_id, coalesce(s.value, 0.5) as store from cell c left join (select cell_id, max(value) as value from cell_series
-  where variable = 'NO' and year(date) = 1997 group by 1) s using (cell_id)""")
+@query("load_state", """with last as (select variable, cell_id, arg_max(value, date) as value from cell_series group by 1, 2),
+v as (select distinct variable from cell_series)
+select v.variable, c.cell_id, coalesce(l.value, 0.5) as store from cell c cross join v left join last l on l.cell_id = c.cell_id and l.variable = v.variable""")
+def _(v):
+    # The last state of every variable is stored under the run's last day and loaded again.
+    end = v.cell_series.select(F.max("date").alias("date"))
+    last = v.cell_series.groupBy("variable", "cell_id").agg(F.max_by("value", "date").alias("value")).withColumn("date", end.scalar())
+    path = scratch_path(v.spark, "state")
+    writers.snapshot_state(last, end, path)
+    stored = v.spark.read.parquet(path)
+    names = sorted(r[0] for r in stored.select("variable").distinct().collect())
+    loaded = [
+        readers.load_state(v.cell, stored, name, 0.5).select(F.lit(name).alias("variable"), "cell_id", C(f"`{name}`").alias("store")) for name in names
+    ]
+    return reduce(lambda a, b: a.unionByName(b), loaded)
+
+
+@query("dump_total_map", "select printf('%.3f', value * 1000) as line from (select cell_id, sum(value) as value from cell_day group by 1)")
 def _(v):
-    snap = v.cell_series.filter((C("variable") == "NO") & (F.year("date") == 1997)).groupBy("variable", "cell_id").agg(F.max("value").alias("value"))
-    return readers.load_state(v.cell, snap, "NO", 0.5).withColumnRenamed("NO", "store")
+    path = scratch_path(v.spark, "total-map")
+    writers.dump_total_map(v.cell_day.groupBy("cell_id").agg(F.sum("value").alias("value")), path)
+    return v.spark.read.text(path).withColumnRenamed("value", "line")
 
 
-@query("dump_total_map", "select cell_id, printf('%.3f', value * 1000) as line from (select cell_id, sum(value) as value from cell_day group by 1)")
+@query("write_point_series", "select gauge_id, variable, date, value from cell_series join gauge using (cell_id)")
 def _(v):
-    return writers.total_map_lines(v.cell_day.groupBy("cell_id").agg(F.sum("value").alias("value")))
+    from hydroloom.operators.temporal import agg_gauge_point
+
+    path = scratch_path(v.spark, "points")
+    writers.write_point_series(agg_gauge_point(v.cell_series, v.gauge, ["variable", "date"]), path)
+    return v.spark.read.option("header", "true").schema("gauge_id long, variable string, date date, value double").csv(path)
 
 
 NEAR = """path(cell_id, pos, n) as (select cell_id, cell_id, 0::bigint from ldd
@@ -234,20 +256,22 @@ def _(v):
     return v.spark.read.parquet(path).select("parameter", "cell_id", "value")
 
 
-WIDE = "select dayofyear(l_shipdate) as doy, sum(case when l_returnflag = 'A' then l_quantity end) as ra, sum(case when l_returnflag = 'N' then l_quantity end) as rb from lineitem group by 1"
+WIDE = """select dayofyear(l_shipdate) as doy, sum(case when l_returnflag = 'A' then l_quantity end) as ra,
+  sum(case when l_returnflag = 'N' then l_quantity end) as rb, sum(case when l_returnflag = 'R' then l_quantity end) as rc from lineitem group by 1"""
 
 
-@query("read_schedule_366", f"""with w as ({WIDE}) select 3 as from_id, 8 as to_id, doy::int as doy, ra as release from w union all select 0, 5, doy::int, rb from w""")
+@query("read_schedule_366", f"""with w as ({WIDE}) select 3 as from_id, 8 as to_id, doy::int as doy, ra as release from w union all select 0, 5, doy::int, rb from w
+  union all select 2, 7, doy::int, rc from w""")
 def _(v):
-    return readers.read_schedule_366(v.sql(WIDE), {"ra": (3, 8), "rb": (0, 5)})
+    return readers.read_schedule_366(v.sql(WIDE), {"ra": (3, 8), "rb": (0, 5), "rc": (2, 7)})
 
 
 @query("read_release_schedule", f"""with w as ({WIDE}), d as (select distinct body, unnest(range(1, 367))::int as doy from water_body where body > 0)
-select body, d.doy, coalesce(case when body = 1 then ra when body = 4 then rb end, -1) as release, coalesce(case when body = 4 then ra end, -1) as supply from d left join w on w.doy = d.doy""")
+select body, d.doy, coalesce(case when body = 1 then ra when body = 4 then rb end, -1) as release, coalesce(case when body = 4 then ra when body = 1 then rc end, -1) as supply from d left join w on w.doy = d.doy""")
 def _(v):
     wide = v.sql(WIDE)
     bodies = v.water_body.filter("body > 0").select(C("body").alias("body"))
     release = wide.select("doy", C("ra").alias("1"), C("rb").alias("4"), C("rb").alias("9999"))
-    supply = wide.select("doy", C("ra").alias("4"))
+    supply = wide.select("doy", C("ra").alias("4"), C("rc").alias("1"))
     out = readers.read_release_schedule(bodies, release, supply)
     return out.select(C("body").cast("int").alias("body"), "doy", "release", "supply")

@@ -102,20 +102,20 @@ def stream_month_total(days: DataFrame) -> DataFrame:
 
 
 def _watch_quota(quota: float):
-    """Month-to-date total per (gauge, month); a day is reported when the total first passes the quota."""
+    """Month-to-date total per (gauge, month) and whether it has passed the quota; only the first such day is reported."""
 
     def watch(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        (total,) = state.get if state.exists else (0.0,)
+        total, alarmed = state.get if state.exists else (0.0, False)
         # At most one row per variable and day of one month.
         days = pd.concat(list(batches)).groupby("date", as_index=False)["total"].sum().sort_values("date")
         upto = total + days["total"].cumsum()
-        passed = days[(upto > quota) & (upto - days["total"] <= quota)]
+        passed = days[upto > quota].head(0 if alarmed else 1)
         end = _month_end_ms(key[1])
         if state.getCurrentWatermarkMs() < end:
-            state.update((float(upto.iloc[-1]),))
+            state.update((float(upto.iloc[-1]), bool(alarmed or len(passed))))
             state.setTimeoutTimestamp(end)
         elif state.exists:
             state.remove()
@@ -136,7 +136,7 @@ def stream_quota_alarm(days: DataFrame, quota: float) -> DataFrame:
         "month", F.trunc("date", "MM")
     )
     return dated.groupBy("gauge_id", "month").applyInPandasWithState(
-        _watch_quota(quota), ALARM_SCHEMA, "total double", "append", GroupStateTimeout.EventTimeTimeout
+        _watch_quota(quota), ALARM_SCHEMA, "total double, alarmed boolean", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
