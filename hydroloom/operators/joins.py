@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from hydroloom.operators.keyed import attach, lag_by_block
+from hydroloom.session import cut_lineage
 
 
 def period_slice(series: DataFrame, periods: DataFrame, key: str = "station_id") -> DataFrame:
@@ -28,16 +29,21 @@ def nearest_on_axis(
 
     Each coordinate owns the interval up to half way to its neighbours. Intervals are cut into
     blocks of `width`, points carry their block, and the two meet by an equality join: neither a
-    busy block nor the axis has to be sorted together with the points. Only the axis, as long as a
-    grid side, is ordered.
+    busy block nor the axis has to be sorted together with the points, and no task orders the whole axis.
     """
     x, i = F.col("_x"), F.col("_i")
     own = axis.groupBy(F.col(coordinate).cast("double").alias("_x")).agg(F.min(F.col(index).cast("long")).alias("_i"))
-    line = W.orderBy("_x")
-    side = own.select(
-        "_x", "_i", F.lag("_x").over(line).alias("_px"), F.lag("_i").over(line).alias("_pi"),
-        F.lead("_x").over(line).alias("_nx"), F.lead("_i").over(line).alias("_ni"),
+    own = own.withColumn("_me", F.struct("_x", "_i")).withColumn("_back", -x)
+    block = F.floor(x / width)
+    # Neighbours are found block by block and once; all that follows reads this table.
+    both = lag_by_block(lag_by_block(own, [], "_x", block, "_me", "_p"), [], "_back", -block, "_me", "_n")
+    side = cut_lineage(
+        both.select(
+            "_x", "_i", F.col("_p._x").alias("_px"), F.col("_p._i").alias("_pi"), F.col("_n._x").alias("_nx"), F.col("_n._i").alias("_ni")
+        ),
+        "axis",
     )
+    own = side
     # Points beyond the axis fall into the blocks just outside it.
     low, high = (own.select(F.floor(f("_x") / width) + d).scalar() for f, d in ((F.min, -1), (F.max, 1)))
     start = F.coalesce(F.floor((F.col("_px") + x) / 2 / width), low)

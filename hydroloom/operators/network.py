@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from hydroloom.operators.keyed import row_index_by_block, with_group
-from hydroloom.session import cut_lineage
+from hydroloom.session import cut_lineage, drop_path
 
 MAX_ROUNDS = 64  # paths of up to 2**64 cells; a loop that needs more raises
 
@@ -57,10 +57,10 @@ def ldd_edges(codes: DataFrame) -> DataFrame:
     )
 
 
-def _cut_and_count(df: DataFrame, label: str, active: Column) -> tuple[DataFrame, int]:
-    """Write a round and count, in the same job, the rows that need another one."""
+def _cut_and_count(df: DataFrame, label: str, active: Column, before: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """Write a round and count, in the same job, the rows that need another one; the table of the round before goes."""
     seen = Observation()
-    table = cut_lineage(df.observe(seen, F.count_if(active).alias("active")), label)
+    table = cut_lineage(df.observe(seen, F.count_if(active).alias("active")), label, before)
     return table, seen.get["active"]
 
 
@@ -84,7 +84,7 @@ def upstream_accumulate(ldd: DataFrame, weights: DataFrame, columns: list[str])
         grown = moved.unionByName(state.filter(F.col("ptr").isNull())).join(gain, "cell_id", "left")
         state, active = _cut_and_count(
             grown.select("cell_id", "ptr", *[(F.col(c) + F.coalesce(F.col(f"_{c}"), F.lit(0.0))).alias(c) for c in columns]),
-            "accumulate", F.col("ptr").isNotNull(),
+            "accumulate", F.col("ptr").isNotNull(), state,
         )
         if active == 0:
             break
@@ -143,7 +143,7 @@ def root_of(ldd: DataFrame, roots: DataFrame | None = None) -> DataFrame:
         moved = state.filter(~F.col("done")).join(jump, "ptr").select(
             "cell_id", F.col("_ptr").alias("ptr"), F.col("_done").alias("done"), (F.col("distance") + F.col("_far")).alias("distance")
         )
-        state, active = _cut_and_count(moved.unionByName(state.filter("done")), "root", ~F.col("done"))
+        state, active = _cut_and_count(moved.unionByName(state.filter("done")), "root", ~F.col("done"), state)
         if active in (0, left):  # while paths still drain, every round ends some
             break
         left = active
@@ -212,10 +212,10 @@ def down_tree(tree: DataFrame, values: DataFrame, folds: dict[str, str], keys: l
         if active == 0:
             return held
         given = held.join(step.filter(F.col("ptr").isNotNull()), "gauge_id").select(F.col("ptr").alias("gauge_id"), *keys, *folds)
-        held = cut_lineage(held.unionByName(given).groupBy("gauge_id", *keys).agg(*aggs), "tree-values")
+        held = cut_lineage(held.unionByName(given).groupBy("gauge_id", *keys).agg(*aggs), "tree-values", held)
         jump = step.select(F.col("gauge_id").alias("ptr"), F.col("ptr").alias("_next"))
         step, active = _cut_and_count(
-            step.join(jump, "ptr", "left").select("gauge_id", F.col("_next").alias("ptr")), "tree", F.col("ptr").isNotNull()
+            step.join(jump, "ptr", "left").select("gauge_id", F.col("_next").alias("ptr")), "tree", F.col("ptr").isNotNull(), step
         )
     raise RuntimeError("the gauge tree has a cycle")
 
@@ -243,7 +243,7 @@ def gauge_closure(tree: DataFrame) -> DataFrame:
         onward = pairs.filter(F.col("distance") > 0).select(F.col("gauge_id").alias("_via"), "below_id", "distance")
         more = far.join(onward, "_via").select("gauge_id", "below_id", (F.col("distance") + reach).alias("distance"))
         reach *= 2
-        pairs, active = _cut_and_count(pairs.unionByName(more), "closure", F.col("distance") == reach)
+        pairs, active = _cut_and_count(pairs.unionByName(more), "closure", F.col("distance") == reach, pairs)
     return pairs.select("gauge_id", "below_id")
 
 
@@ -290,7 +290,7 @@ def _path_sums(tree: DataFrame, values: DataFrame) -> DataFrame:
         moved = state.join(jump, "ptr", "left").select(
             "gauge_id", F.col("_next").alias("ptr"), (F.col("extra") + F.coalesce("_more", F.lit(0))).alias("extra")
         )
-        state, active = _cut_and_count(moved, "path", F.col("ptr").isNotNull())
+        state, active = _cut_and_count(moved, "path", F.col("ptr").isNotNull(), state)
     raise RuntimeError("the gauge tree has a cycle")
 
 
@@ -350,11 +350,11 @@ def distinct_inlet_cells(ldd: DataFrame, links: DataFrame, gauge: DataFrame) ->
         first = with_group(state, ["gauge_id", "cell_id"], _first=F.min("inflow_id")).withColumn(
             "lost", placed & (F.col("inflow_id") != F.col("_first"))
         )
-        held, active = _cut_and_count(first.drop("_first"), "inlet", F.col("lost"))
+        held, active = _cut_and_count(first.drop("_first"), "inlet", F.col("lost"), state)
         if active == 0:
             return held.select("gauge_id", "inflow_id", "step", "cell_id")
         moved = below(held.filter("lost")).withColumn("step", F.col("step") + placed.cast("int"))
-        state = cut_lineage(held.filter("not lost").drop("lost").unionByName(moved), "inlet")
+        state = cut_lineage(held.filter("not lost").drop("lost").unionByName(moved), "inlet", held)
 
 
 def ldd_repair(edges: DataFrame) -> DataFrame:
@@ -379,7 +379,8 @@ def ldd_repair(edges: DataFrame) -> DataFrame:
         )
         seen = Observation()
         counted = moved.observe(seen, F.count(F.lit(1)).alias("alive"), F.count_if("changed").alias("changed"))
-        state = cut_lineage(counted, "cycle")
+        state = cut_lineage(counted, "cycle", state)
+        drop_path(state.sparkSession, jump._scratch_path)
         now = seen.get
         if now["alive"] == 0:
             return edges.select("cell_id", "down_id", F.lit(False).alias("cut"))

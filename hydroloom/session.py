@@ -56,12 +56,25 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(scratch_root(spark), f"{label}-{uuid.uuid4().hex}")
 
 
-def cut_lineage(df: DataFrame, label: str) -> DataFrame:
+def cut_lineage(df: DataFrame, label: str, instead_of: DataFrame | None = None) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
     A written table survives the loss of executors, keeps the plan of an iterative job small and
-    gives the next round true file sizes to plan its joins with.
+    gives the next round true file sizes to plan its joins with. `instead_of` names the table of the round before: if it
+    came from here too, its files are deleted once the new ones are complete.
     """
-    path = scratch_path(df.sparkSession, label)
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    old = getattr(instead_of, "_scratch_path", None)
+    if old is not None:
+        drop_path(spark, old)
+    return table
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

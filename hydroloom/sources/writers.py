@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hydroloom.functions import dates
+from hydroloom.session import cut_lineage
 
 
 def stamp(series: DataFrame, kind: str) -> DataFrame:
@@ -18,18 +19,21 @@ def stamp(series: DataFrame, kind: str) -> DataFrame:
     return series
 
 
-def write_cell_series(series: DataFrame, path: str, kind: str = "daily", mode: str = "append") -> None:
+def write_cell_series(
+    series: DataFrame, path: str, kind: str = "daily", mode: str = "errorifexists", partitions: str = "static"
+) -> None:
     """Map stack, partitioned by variable and year, with cells in ranges and days inside them.
 
     Range partitioning samples the keys, so a variable that holds most rows is spread over many
     files. A file has all days of its cells: month and year aggregates are complete before their
-    shuffle, and boxes of cells skip row groups.
+    shuffle, and boxes of cells skip row groups. A path that exists is an error unless `mode` says more, so that a
+    second run cannot double the rows.
     """
     out = stamp(series, kind).withColumn("year", F.year("date"))
     (
         out.repartitionByRange("variable", "year", "cell_id")
         .sortWithinPartitions("variable", "year", "cell_id", "date")
-        .write.mode(mode).partitionBy("variable", "year").parquet(path)
+        .write.mode(mode).option("partitionOverwriteMode", partitions).partitionBy("variable", "year").parquet(path)
     )
 
 
@@ -103,16 +107,19 @@ def write_point_series(series: DataFrame, path: str) -> None:
 def write_clip_catalog(series: DataFrame, target: str, skip: str = "RCP_CO2") -> None:
     """Add variables that the target does not hold yet, except those whose name contains `skip`.
 
-    One job for all variables; existing ones are found by their partitions.
+    A variable counts as held once its name is in the target's list, which is written after the data. Files that a failed
+    run left behind are replaced: partitions of the variables at hand are overwritten, others stay.
     """
     spark: SparkSession = series.sparkSession
     wanted = series.filter(~F.col("variable").contains(skip))
+    listed = f"{target}/_variables"
     try:
-        present = spark.read.parquet(target).select("variable").distinct()
-        wanted = wanted.join(present, "variable", "left_anti")
+        wanted = wanted.join(spark.read.schema("variable string").parquet(listed), "variable", "left_anti")
     except AnalysisException:
         pass  # nothing written yet
-    write_cell_series(wanted, target)
+    wanted = cut_lineage(wanted, "clip")
+    write_cell_series(wanted, target, mode="overwrite", partitions="dynamic")
+    wanted.select("variable").distinct().write.mode("append").parquet(listed)
 
 
 def snapshot_state(states: DataFrame, snapshot_dates: DataFrame, path: str) -> None:
