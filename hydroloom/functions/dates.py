@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,6 +95,19 @@ def date_schedule(start: Column, end: Column, every: int, unit: str) -> Column:
     return F.sequence(start, end, F.expr(f"interval {int(every)} {name}"))
 
 
+def date_list(words: list[str], start: Column, end: Column) -> Column:
+    """Array of the dates that words name: dates, step numbers from `start`, and as the last word a repetition such as
+    `2m`, which goes on from the first date up to `end`. Each date comes once, in order."""
+    repeat = re.fullmatch(r"(\d+)([dmy])", words[-1]) if len(words) > 1 else None
+    named = words[:-1] if repeat else words
+    dates = F.array(*[parse_date(F.lit(word), start) for word in named])
+    if repeat:
+        first = F.get(dates, F.lit(0))
+        more = F.when(first <= end, date_schedule(first, end, int(repeat[1]), repeat[2]))
+        dates = F.concat(dates, F.coalesce(more, F.array().cast("array<date>")))
+    return F.array_sort(F.array_distinct(dates))
+
+
 # Days before each month in a year of 365 days.
 DAYS_BEFORE_MONTH = (0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334)
 

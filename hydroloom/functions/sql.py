@@ -25,6 +25,18 @@ FUNCTIONS = {
     "hl_period_end": (
         "d DATE", "INT", "CASE WHEN month(d) = 12 AND day(d) = 31 THEN 2 WHEN d = last_day(d) THEN 1 ELSE 0 END",
     ),
+    "hl_month_start": ("d DATE", "DATE", "CAST(trunc(d, 'MM') AS DATE)"),
+    "hl_year_end": ("d DATE", "DATE", "make_date(year(d), 12, 31)"),
+    "hl_days_in_month": ("d DATE", "INT", "day(last_day(d))"),
+    "hl_days_in_year": ("d DATE", "INT", "dayofyear(make_date(year(d), 12, 31))"),
+    "hl_slot10": ("d DATE", "INT", "CAST(floor((dayofyear(d) - 1) / 10) AS INT)"),
+    "hl_slot30": ("d DATE", "INT", "CAST(floor((dayofyear(d) - 1) / 30) AS INT)"),
+    "hl_step_index": ("d DATE, start_day DATE", "INT", "datediff(d, start_day) + 1"),
+    "hl_flow_length": ("code INT, length DOUBLE", "DOUBLE", "CASE WHEN code IN (1, 3, 7, 9) THEN 1.414214D * length ELSE length END"),
+    "hl_infiltration_capacity": (
+        "water DOUBLE, capacity DOUBLE, shape DOUBLE", "DOUBLE",
+        "capacity / (shape + 1D) * pow(1D - greatest(0D, least(1D, pow(greatest(0D, water / capacity), shape))), (shape + 1D) / shape)",
+    ),
     "hl_denormalise": ("p DOUBLE, low DOUBLE, high DOUBLE", "DOUBLE", "p * (high - low) + low"),
 }
 

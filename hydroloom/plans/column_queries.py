@@ -443,6 +443,35 @@ def _(v):
     return v.table("orders").select("o_orderkey", pin_demand_year(C("o_orderdate"), 2000).alias("date"))
 
 
+@query("sql_date_functions", """select o_orderkey, date_trunc('month', o_orderdate)::date as month_start, make_date(year(o_orderdate), 12, 31) as year_end,
+  day(last_day(o_orderdate::date))::int as month_days, dayofyear(make_date(year(o_orderdate), 12, 31))::int as year_days,
+  ((dayofyear(o_orderdate) - 1) // 10)::int as slot10, ((dayofyear(o_orderdate) - 1) // 30)::int as slot30,
+  (datediff('day', date '1992-01-01', o_orderdate::date) + 1)::int as step,
+  round(500e0 / 1.3 * pow(1 - pow(least(1, o_totalprice / 5e5), 0.3), 1.3 / 0.3), 6) as room from orders""")
+def _(v):
+    from hydroloom.functions.sql import register
+
+    register(v.spark)
+    day = "CAST(o_orderdate AS DATE)"
+    return v.table("orders").selectExpr(
+        "o_orderkey", f"hl_month_start({day}) AS month_start", f"hl_year_end({day}) AS year_end", f"hl_days_in_month({day}) AS month_days",
+        f"hl_days_in_year({day}) AS year_days", f"hl_slot10({day}) AS slot10", f"hl_slot30({day}) AS slot30",
+        f"hl_step_index({day}, DATE'1992-01-01') AS step", "round(hl_infiltration_capacity(o_totalprice / 1000D, 500D, 0.3D), 6) AS room",
+    )
+
+
+@query("date_list", """with o as (select o_orderkey, o_orderdate::date as d from orders),
+n as (select o_orderkey, d + 4 as date from o union select o_orderkey, date '1998-12-31' from o
+  union select o_orderkey, (d + 4 + to_months(2 * k::int))::date from o, range(1, 5) t(k) where (d + 4 + to_months(2 * k::int))::date <= d + 200)
+select o_orderkey, date from n""")
+def _(v):
+    from hydroloom.functions.dates import date_list
+
+    d = F.to_date("o_orderdate")
+    listed = date_list(["5", "31/12/1998", "2m"], d, F.date_add(d, 200))
+    return v.table("orders").select("o_orderkey", F.explode(listed).alias("date"))
+
+
 @query("sql_functions", """select l_orderkey, l_linenumber, case when l_discount = 0 then 0 else l_quantity / l_discount end as divided, greatest(0, least(1, l_tax * 20)) as clamped,
   (case when month(l_shipdate) = 12 and day(l_shipdate) = 31 then 2 when l_shipdate::date = last_day(l_shipdate::date) then 1 else 0 end)::int as flag,
   round(3 + 25 / (1 + exp(0.18 * (14 - l_quantity))), 7) as t from lineitem""")

@@ -37,10 +37,12 @@ def _(v):
     return joins.semi_mask(v.cell_day, v.water_body.filter("body > 0")).select("cell_id", "date", "value")
 
 
-@query("mask_from_rectangle", "select cell_id, row, col from cell")
+@query("mask_from_rectangle", """select cell_id, row, col, count(d.date) as n_days from cell left join cell_day d using (cell_id) group by 1, 2, 3""")
 def _(v):
     g = v.grid
-    return gridops.mask_from_rectangle(v.spark, f"{g.cols} {g.rows} {g.cellsize} {g.xul} {g.yul}")
+    mask = gridops.mask_from_rectangle(v.spark, f"{g.cols} {g.rows} {g.cellsize} {g.xul} {g.yul}")
+    days = v.cell_day.groupBy("cell_id").agg(F.count("date").alias("n_days"))
+    return mask.join(days, "cell_id", "left").na.fill(0, ["n_days"])
 
 
 @query("cell_of_point", f"""with g as (select {ROWS}::double as yul), p as (select station_id, floor(yul - (lat + 0.25))::int as row,
