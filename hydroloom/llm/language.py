@@ -144,10 +144,10 @@ def build_filters(counts: DataFrame, min_share: float = MIN_SHARE) -> Filters:
 _known: dict = {}
 
 
-def _score(texts: list[str], filters: Filters, token: int) -> list[tuple[str, float]]:
+def _score(texts: list[str], filters: Filters) -> list[tuple[str, float]]:
     """Predictions; hits of words already seen by this worker come from a bounded cache."""
-    if _known.get("token") != token or len(_known["row"]) > CACHED_WORDS:
-        _known.update(token=token, row={}, table=np.zeros((0, len(filters.languages) + 1), np.int32))
+    if _known.get("filters") is not filters or len(_known["row"]) > CACHED_WORDS:
+        _known.update(filters=filters, row={}, table=np.zeros((0, len(filters.languages) + 1), np.int32))
     row = _known["row"]
     split = [_LETTERS.findall(text.lower()) for text in texts]
     fresh = list(set().union(*split).difference(row)) if split else []
@@ -178,7 +178,7 @@ def identify(docs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(ids: list, texts: list) -> dict[str, list]:
-        found = _score(texts, shared.value, id(shared.value))
+        found = _score(texts, shared.value)
         return {"doc_id": ids, "lang_pred": [lang for lang, _ in found], "score": [score for _, score in found]}
 
     scored = map_batches(docs, run, "doc_id long, lang_pred string, score double", slice_rows=200)

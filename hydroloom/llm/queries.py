@@ -41,11 +41,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(documents(spark, sf_dir))
 
 
+_LOWER = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+
 ORACLES["op6_exact_dedup"] = f"""
-WITH d AS (
-    SELECT doc_id, sha256(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')) AS text_sha256
-    FROM documents
-)
+WITH d AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
 FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
@@ -81,6 +80,25 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+ORACLES["op9_decontaminate"] = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{decontaminate.WORD}') AS own FROM documents),
+b AS (SELECT DISTINCT item_id, regexp_extract_all({_LOWER}, '{decontaminate.WORD}') AS item FROM benchmark),
+i AS (SELECT *, least(len(item), {decontaminate.WINDOW}) AS span FROM b WHERE len(item) > 0),
+w AS (SELECT DISTINCT item_id, span, array_to_string(item[k : k + span - 1], ' ') AS phrase
+      FROM (SELECT *, unnest(range(1, len(item) - span + 2)) AS k FROM i)),
+s AS (SELECT DISTINCT span FROM w),
+p AS (SELECT doc_id, span, k, array_to_string(own[k : k + span - 1], ' ') AS phrase
+      FROM (SELECT doc_id, own, span, unnest(range(1, len(own) - span + 2)) AS k FROM d, s WHERE len(own) >= span)),
+h AS (SELECT doc_id, item_id, k, p.span FROM p JOIN w USING (span, phrase)),
+n AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + span)) AS pos FROM h) GROUP BY 1),
+c AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+      FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM h) GROUP BY 1)
+SELECT doc_id, len(own)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND coalesce(n_hit, 0) * {decontaminate.MIN_HIT_SHARE} >= len(own) AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+
 @query
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
