@@ -44,15 +44,24 @@ def uniform(*parts: Column | str | int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / float(2**48)
 
 
+PARAMETER_LIMIT = 10_000
+
+
+def packed_ranges(ranges: DataFrame, *names: str):
+    """All parameters in one array value, which every row then unrolls in place; more than PARAMETER_LIMIT are refused."""
+    if ranges.limit(PARAMETER_LIMIT + 1).count() > PARAMETER_LIMIT:
+        raise ValueError(f"a parameter table has at most {PARAMETER_LIMIT} rows")
+    return ranges.agg(F.array_sort(F.collect_list(F.struct(*names))).alias("r")).scalar()
+
+
 def sample_params(stations: DataFrame, ranges: DataFrame, size: int, generation: int, seed: int) -> DataFrame:
     """`size` candidates per station, uniform on 0..1; candidate 0 holds the start values.
 
     Run numbers are gen * 1000 + 1, 2, ...; the start candidate has number 0.
     """
     candidates = stations.select("station_id", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("candidate"))
-    # The few ranges travel as one array value, so every candidate unrolls them in place.
-    packed = ranges.agg(F.array_sort(F.collect_list(F.struct("name", "min", "max", "start"))).alias("r"))
-    rows = candidates.select("*", F.explode(packed.scalar()).alias("r")).select("station_id", "candidate", "r.*")
+    packed = packed_ranges(ranges, "name", "min", "max", "start")
+    rows = candidates.select("*", F.explode(packed).alias("r")).select("station_id", "candidate", "r.*")
     first = F.col("candidate") == 0
     value = F.when(first, normalise_start(F.col("start"), F.col("min"), F.col("max"))).otherwise(
         uniform(seed, generation, F.col("station_id"), F.col("candidate"), F.col("name"))
@@ -158,8 +167,8 @@ def zone_param_assign(cells: DataFrame, best: DataFrame, ranges: DataFrame) -> D
 
     `cells(cell_id, region)`, `best(region, name, param)`.
     """
-    packed = ranges.agg(F.array_sort(F.collect_list(F.struct("name", "start"))).alias("r"))
-    rows = cells.select("cell_id", "region", F.explode(packed.scalar()).alias("r")).select("cell_id", "region", "r.*")
+    packed = packed_ranges(ranges, "name", "start")
+    rows = cells.select("cell_id", "region", F.explode(packed).alias("r")).select("cell_id", "region", "r.*")
     joined = rows.join(best, ["region", "name"], "left")
     value = F.when(F.col("region") == -1, F.col("start")).otherwise(F.coalesce("param", F.lit(0.0)))
     return joined.select("name", "cell_id", value.alias("value"))

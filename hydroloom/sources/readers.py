@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -109,20 +111,40 @@ def read_observation_folder(spark: SparkSession, folder: str, stations: DataFram
 
 def scan_cell_series(
     spark: SparkSession, path: str, variables: list[str] | None = None, start: str | None = None, end: str | None = None,
-    box: tuple[int, int, int, int] | None = None, zeros: float | None = None,
+    box: tuple[int, int, int, int] | None = None, zeros: float | None = None, buffer: int = 0, late_start: str = "allow",
 ) -> DataFrame:
     """Map stack by variable, dates and box. Variables and years prune partitions, the rest reaches
-    the parquet scan. `zeros` replaces missing values."""
+    the parquet scan. `zeros` replaces missing values, `buffer` widens the box by cells for an interpolation at its edge.
+
+    Data that begin after `start` are taken as they are (`late_start="allow"`), stop the call (`"raise"`), or are extended back
+    by the same days of their first year (`"extend"`; day 366 takes day 365).
+    """
+    if late_start not in ("allow", "raise", "extend"):
+        raise ValueError(f"late_start is allow, raise or extend, not {late_start!r}")
     df = spark.read.parquet(path)
     if variables is not None:
         df = df.filter(F.col("variable").isin(*variables))
+    if box is not None:
+        r0, r1, c0, c1 = box
+        df = df.filter(
+            (F.col("row") >= r0 - buffer) & (F.col("row") < r1 + buffer) & (F.col("col") >= c0 - buffer) & (F.col("col") < c1 + buffer)
+        )
+    whole = df
     if start is not None:
         df = df.filter((F.col("date") >= F.lit(start).cast("date")) & (F.col("year") >= int(start[:4])))
+    if start is not None and late_start != "allow":
+        first = df.agg(F.min("date")).first()[0]
+        if first is not None and first > dt.date.fromisoformat(start):
+            if late_start == "raise":
+                raise ValueError(f"the data begin on {first}, after {start}")
+            early = spark.range(1).select(
+                F.explode(F.sequence(F.lit(start).cast("date"), F.date_sub(F.lit(first), 1))).alias("_day")
+            )
+            model = whole.filter((F.col("date") >= F.lit(first)) & (F.col("date") < F.add_months(F.lit(first), 12)))
+            back = model.withColumn("_doy", F.dayofyear("date")).join(early.withColumn("_doy", F.least(F.dayofyear("_day"), F.lit(365))), "_doy")
+            df = df.unionByName(back.withColumn("date", F.col("_day")).withColumn("year", F.year("_day")).select(*df.columns))
     if end is not None:
         df = df.filter((F.col("date") <= F.lit(end).cast("date")) & (F.col("year") <= int(end[:4])))
-    if box is not None:
-        r0, r1, c0, c1 = box
-        df = df.filter((F.col("row") >= r0) & (F.col("row") < r1) & (F.col("col") >= c0) & (F.col("col") < c1))
     value = null_sentinels(F.col("value"))
     return df.withColumn("value", value if zeros is None else F.coalesce(value, F.lit(zeros)))
 

@@ -156,6 +156,9 @@ def write_links_csv(links: DataFrame, gauges: DataFrame, path: str) -> None:
     link_lines(links, gauges).orderBy("gauge_id").select("line").write.text(path)
 
 
-def write_param_maps(maps: DataFrame, path: str) -> None:
-    """Long parameter maps `(name, cell_id, value)`, one partition per parameter."""
+def write_param_maps(maps: DataFrame, path: str, scores: DataFrame | None = None, score: str = "KGE") -> None:
+    """Long parameter maps `(name, cell_id, value)`, one partition per parameter, and beside them the map of the score
+    `(cell_id, value)` if given."""
+    if scores is not None:
+        maps = maps.select("name", "cell_id", "value").unionByName(scores.select(F.lit(score).alias("name"), "cell_id", "value"))
     maps.withColumnRenamed("name", "parameter").write.partitionBy("parameter").parquet(path)

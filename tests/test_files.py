@@ -159,3 +159,22 @@ def test_months_close_once(spark, tmp_path, kind):
     else:
         # 21 days of 2.0 pass 41: the 30th in January, the 21st in February.
         assert sorted(r["date"] for r in table.collect()) == [dt.date(2024, 1, 30), dt.date(2024, 2, 21)]
+
+
+def test_a_stack_that_begins_late_or_is_cut_with_a_buffer(spark, tmp_path):
+    path = f"file://{tmp_path}/late"
+    data = [("a", dt.date(2001, 1, 1) + dt.timedelta(days=d), r * 10 + c, r, c, float(d)) for d in range(730) for r in range(4) for c in range(4)]
+    s = spark.createDataFrame(data, "variable string, date date, cell_id long, row int, col int, value double")
+    writers.write_cell_series(s, path)
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
+        writers.write_cell_series(s, path)
+    box = (1, 2, 1, 2)
+    assert readers.scan_cell_series(spark, path, box=box).select("cell_id").distinct().count() == 1
+    assert readers.scan_cell_series(spark, path, box=box, buffer=1).select("cell_id").distinct().count() == 9
+    with pytest.raises(ValueError, match="begin on 2001-01-01"):
+        readers.scan_cell_series(spark, path, start="2000-12-01", late_start="raise")
+    back = readers.scan_cell_series(spark, path, start="2000-12-01", end="2001-01-31", box=box, late_start="extend")
+    got = {r["date"]: r["value"] for r in back.collect()}
+    assert len(got) == 62 and got[dt.date(2001, 1, 5)] == 4.0
+    # 2000 is a leap year: its first of December is day 336, the second of December in 2001.
+    assert got[dt.date(2000, 12, 1)] == 335.0
