@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hydroloom.llm.components import components
-from hydroloom.llm.text import map_batches
+from hydroloom.llm.text import map_batches, whole_texts
 from hydroloom.session import cut_lineage
 
 CELL = 64
@@ -153,12 +153,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, groups
     )
 
 
-# Similar texts: the same grid over wider fingerprints.
+# Similar texts: the same grid over wider fingerprints, then the shingles themselves.
 
 LANES = 4
 WIDE_GROUPS = 16  # four groups of eight segments in each lane
 WIDE_CHOICES = 40
-SIMILAR_BITS = 44  # of 256: the mean at a Jaccard similarity of 0.8 is 39, with a deviation of 6
+NEAR_BITS = 64  # of 256: at a similarity of 0.8 the mean is 39, with a deviation of 6
+SIMILARITY = 0.8
+_COLUMNS = 4096
+
+
+def distinct_shingles(words: list[bytes], size: int) -> np.ndarray:
+    return np.unique(shingle_hashes(words, size))
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
@@ -170,41 +176,76 @@ def wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
         for text in texts:
             words = text.encode().lower().split()
             single = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in set(words)), np.uint64)
-            rows.append(lanes(single, LANES) + lanes(np.unique(shingle_hashes(words, shingle)), LANES))
+            rows.append(lanes(single, LANES) + lanes(distinct_shingles(words, shingle), LANES))
         return {"doc_id": ids} | {name: [row[k] for row in rows] for k, name in enumerate(names)}
 
     schema = "doc_id long, " + ", ".join(f"{kind}{k} long" for kind in "ws" for k in range(LANES))
     return map_batches(docs, run, schema, slice_rows=200)
 
 
+def shingle_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """`doc_id, shingles`: hashes of the distinct shingles."""
+
+    def run(ids: list, texts: list) -> dict[str, list]:
+        return {"doc_id": ids, "shingles": [distinct_shingles(t.encode().lower().split(), shingle).view(np.int64) for t in texts]}
+
+    return map_batches(docs, run, "doc_id long, shingles array<long>", slice_rows=200)
+
+
 def wide_choices() -> list[tuple[int, int]]:
     """Pairs of groups, dealt evenly over all groups."""
     pairs = sorted(combinations(range(WIDE_GROUPS), 2), key=lambda p: ((p[1] - p[0]) * 7 % 15, p))
     return pairs[:WIDE_CHOICES]
 
 
+def jaccard(sets: list[np.ndarray]) -> np.ndarray:
+    """Similarities of all pairs of some sets, by products of their incidence matrix, a slice of columns at a time."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    names, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = counts[column] > 1  # what one set has alone is in no intersection
+    owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(column.max(initial=-1)) + 1, _COLUMNS):
+        a, b = np.searchsorted(column, [low, low + _COLUMNS])
+        part = np.zeros((len(sets), _COLUMNS), np.float32)
+        part[owner[a:b], column[a:b] - low] = 1
+        both += part @ part.T
+    sizes = np.array([len(s) for s in sets], np.float32)
+    union = sizes[:, None] + sizes[None, :] - both
+    return np.where(union > 0, both / np.maximum(union, 1), 1.0)
+
+
 def _tile_links(rows: pd.DataFrame) -> pd.DataFrame:
     """Links inside one tile (two slots of a large cell): each point with the smallest one it is connected to in the tile."""
     rows = rows.sort_values("doc_id")
     marks = rows[[f"s{k}" for k in range(LANES)]].to_numpy(np.int64).view(np.uint64)
     apart = sum(np.bitwise_count(marks[:, None, k] ^ marks[None, :, k]).astype(np.int16) for k in range(LANES))
-    close = apart <= SIMILAR_BITS
-    label = np.arange(len(rows))
+    near = apart <= NEAR_BITS
+    some = np.flatnonzero(near.sum(axis=1) > 1)
+    ids = rows["doc_id"].to_numpy()[some]
+    if not len(some):
+        return pd.DataFrame({"u": ids, "v": ids})
+    sets = [np.asarray(s, np.int64) for s in rows["shingles"].iloc[some]]
+    close = near[np.ix_(some, some)] & (jaccard(sets) >= SIMILARITY)
+    np.fill_diagonal(close, True)
+    label = np.arange(len(some))
     while True:
-        moved = np.where(close, label[None, :], len(rows)).min(axis=1)
+        moved = np.where(close, label[None, :], len(some)).min(axis=1)
         if (moved == label).all():
             break
         label = moved
-    ids = rows["doc_id"].to_numpy()
-    far = label != np.arange(len(rows))
+    far = label != np.arange(len(some))
     return pd.DataFrame({"u": ids[far], "v": ids[label[far]]})
 
 
-def similar_links(marks: DataFrame) -> DataFrame:
-    """`u, v`: edges whose components are those of all pairs that share a cell and differ in at most SIMILAR_BITS shingle bits.
+def similar_links(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """`u, v`: edges whose components are those of all pairs that share a cell and are similar.
 
-    Large cells are dealt into slots; every pair of slots is a tile of at most about twice TILE points, compared in one task
-    and returned as a forest, so neither a task nor the output holds a whole cell's pairs.
+    A pair within NEAR_BITS, by the Manhattan bound first, is compared by its sets of shingles. Large cells are dealt into slots;
+    every pair of slots is a tile of at most about twice TILE points, compared in one task and returned as a forest,
+    so neither a task nor the output holds a whole cell's pairs.
     """
     masks = group_masks(4)
     seen = []
@@ -214,36 +255,46 @@ def similar_links(marks: DataFrame) -> DataFrame:
     cells = marks.select("doc_id", F.explode(F.array(*seen)).alias("cell"))
     counted = cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
     held = cut_lineage(cells.join(counted, "cell"), "wide-cells")
-    shingles = marks.select("doc_id", *[f"s{k}" for k in range(LANES)])
-    small = held.filter(F.col("n") <= CELL).join(shingles, "doc_id")
+    bits = marks.select("doc_id", *[f"s{k}" for k in range(LANES)])
+    small = held.filter(F.col("n") <= CELL).join(bits, "doc_id")
     a, b = small.alias("a"), small.alias("b")
     apart = sum((F.bit_count(F.col(f"a.s{k}").bitwiseXOR(F.col(f"b.s{k}"))) for k in range(LANES)), F.lit(0))
     bound = sum(
         (F.bit_count(embedding(F.col(f"a.s{k}")).bitwiseXOR(embedding(F.col(f"b.s{k}")))) for k in range(LANES)), F.lit(0)
     )
-    near = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (bound <= SIMILAR_BITS) & (apart <= SIMILAR_BITS)
-    pairs = a.join(b, near).select(F.col("b.doc_id").alias("u"), F.col("a.doc_id").alias("v")).distinct()
+    near = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (bound <= NEAR_BITS) & (apart <= NEAR_BITS)
+    pairs = cut_lineage(a.join(b, near).select(F.col("b.doc_id").alias("u"), F.col("a.doc_id").alias("v")).distinct(), "near-pairs")
+    large = held.filter(F.col("n") > CELL)
+
+    wanted = pairs.select("u").union(pairs.select("v")).union(large.select("doc_id")).distinct().withColumnRenamed("u", "doc_id")
+    sets = shingle_sets(whole_texts(docs).join(wanted, "doc_id", "left_semi"))
+    # Rows that share a doc_id are one document: the longest text stands for it.
+    sets = cut_lineage(sets.groupBy("doc_id").agg(F.max_by("shingles", F.size("shingles")).alias("shingles")), "shingle-sets")
+    left, right = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"_{c}")) for c in "uv")
+    shared = F.size(F.array_intersect("_u", "_v"))
+    alike = shared >= SIMILARITY * (F.size("_u") + F.size("_v") - shared)
+    verified = pairs.join(left, "u").join(right, "v").filter(alike).select("u", "v")
 
     slots = F.ceil(F.col("n") / TILE).cast("int")
     slot = F.pmod(F.xxhash64("doc_id"), slots).cast("int")
     tiles = (
-        held.filter(F.col("n") > CELL)
-        .select("doc_id", "cell", slot.alias("slot"), F.explode(F.sequence(F.lit(0), slots - 1)).alias("other"))
+        large.select("doc_id", "cell", slot.alias("slot"), F.explode(F.sequence(F.lit(0), slots - 1)).alias("other"))
         .select("doc_id", "cell", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"))
     )
-    large = tiles.join(shingles, "doc_id").groupBy("cell", "i", "j").applyInPandas(_tile_links, "u long, v long")
-    return pairs.union(large).distinct()
+    crowded = tiles.join(bits, "doc_id").join(sets, "doc_id").groupBy("cell", "i", "j").applyInPandas(_tile_links, "u long, v long")
+    return verified.union(crowded).distinct()
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
     """`doc_id, component_id` of every document whose doc_id is not null, for texts of Jaccard similarity 0.8 or more.
 
-    Similarity is that of the sets of five-word shingles, estimated from 256 bits. Cells come from fingerprints of the
-    distinct words, which change less than shingles do. Rows that share a doc_id are one document (its first marks).
+    Similarity is that of the sets of five-word shingles. Candidates share a cell of the grid over fingerprints of their
+    distinct words, which change less than shingles do. Rows that share a doc_id are one document.
     """
-    marks = wide_fingerprints(docs.filter(F.col("doc_id").isNotNull()))
+    known = docs.filter(F.col("doc_id").isNotNull())
+    marks = wide_fingerprints(known)
     marks = cut_lineage(marks.groupBy("doc_id").agg(*[F.min(c).alias(c) for c in marks.columns[1:]]), "wide-fingerprints")
-    found = components(similar_links(marks))
+    found = components(similar_links(known, marks))
     return marks.select("doc_id").join(found, F.col("doc_id") == F.col("u"), "left").select(
         "doc_id", F.coalesce("v", "doc_id").alias("component_id")
     )
