@@ -153,3 +153,14 @@ def test_repeated_bytes(spark, monkeypatch, hot):
 
 def test_repeated_bytes_of_nothing(spark):
     assert suffix.remove_repeats(cases.frame(spark, [])).count() == 0
+
+
+def test_similarities_of_sets():
+    random.seed(9)
+    sets = [np.unique(np.array(random.choices(range(300), k=random.randint(1, 200)), np.int64)) for _ in range(30)]
+    sets += [np.zeros(0, np.int64), np.arange(5), np.arange(5)]
+    got = simhash.jaccard(sets)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            union = len(set(a) | set(b))
+            assert got[i, j] == pytest.approx(len(set(a) & set(b)) / union if union else 1.0)
