@@ -199,7 +199,7 @@ def wide_choices() -> list[tuple[int, int]]:
 
 
 def jaccard(sets: list[np.ndarray]) -> np.ndarray:
-    """Similarities of all pairs of some sets, by products of their incidence matrix, a slice of columns at a time."""
+    """Similarities of all pairs of different sets, by products of their incidence matrix, a slice of columns at a time."""
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     names, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = counts[column] > 1  # what one set has alone is in no intersection
