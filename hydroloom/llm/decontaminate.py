@@ -125,11 +125,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.when(F.col("hits").isNull(), F.lit(0)).otherwise(F.size(F.array_distinct(places))).cast("long").alias("n_hit"),
         F.when(F.col("hits").isNull(), F.array().cast("array<string>")).otherwise(ids).alias("ids"),
     )
-    return counted.select(
-        "doc_id",
-        "n_words",
-        "n_hit",
-        F.size("ids").cast("long").alias("n_items"),
-        F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (F.col("n_hit") * MIN_HIT_SHARE >= F.col("n_words"))).alias("contaminated"),
+    # Written, so that a caller's filter on the result is not pushed below the steps above, where it would repeat them.
+    return cut_lineage(
+        counted.select(
+            "doc_id",
+            "n_words",
+            "n_hit",
+            F.size("ids").cast("long").alias("n_items"),
+            F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"),
+            ((F.col("n_hit") > 0) & (F.col("n_hit") * MIN_HIT_SHARE >= F.col("n_words"))).alias("contaminated"),
+        ),
+        "contamination",
     )
