@@ -25,6 +25,7 @@ RUNS = 8  # bits of the quotient inside a block
 ROWS_PER_BLOCK = 100_000
 ROWS_PER_FILTER = 1_000_000
 SALTS = 64
+BROADCAST_ROWS = 1_000_000  # fingerprints of eight bytes
 
 
 def text_keys(docs: DataFrame) -> DataFrame:
@@ -111,18 +112,21 @@ def repeated_fingerprints(keys: DataFrame, blocks: int) -> DataFrame:
 def equal_texts(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     """`sha, keep_id, group_size` of the texts whose fingerprint is in `repeated`, grouped by their bytes.
 
-    Copies are salted by document before they meet the fingerprints and counted per salt, so a hot text is
-    one row per salt when its groups come together.
+    Up to BROADCAST_ROWS fingerprints are broadcast and texts are counted before their shuffle. Beyond that both sides
+    are shuffled, salted by document; the copies of a hot text are then one row per salt when they come together.
     """
-    salted = repeated.select("fp", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     texts = (
         whole_texts(docs)
         .select("doc_id", ascii_lower(F.col("text")).alias("normal"))
         .select("doc_id", "normal", F.xxhash64("normal").alias("fp"), F.pmod(F.hash("doc_id"), F.lit(SALTS)).alias("salt"))
     )
+    if repeated.count() <= BROADCAST_ROWS:
+        found = texts.join(F.broadcast(repeated.select("fp")), "fp")
+    else:
+        salted = repeated.select("fp", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        found = texts.join(salted.hint("merge"), ["fp", "salt"])
     return (
-        texts.join(salted, ["fp", "salt"])
-        .groupBy("fp", "salt", "normal")
+        found.groupBy("fp", "salt", "normal")
         .agg(F.max("doc_id").alias("last"), F.count("*").alias("n"))
         .groupBy("fp", "normal")
         .agg(F.max("last").alias("keep_id"), F.sum("n").alias("group_size"))
@@ -139,7 +143,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     """
     keys = cut_lineage(text_keys(docs), "exact-keys")
     repeated = cut_lineage(repeated_fingerprints(keys, keys.count() // ROWS_PER_BLOCK + 16), "exact-repeated")
-    groups = equal_texts(docs, repeated)
+    # A table of its own, so that adaptive execution can split the join on a hot text.
+    groups = cut_lineage(equal_texts(docs, repeated), "exact-texts")
     return keys.join(groups, "sha", "left").select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
