@@ -65,6 +65,8 @@ def repeats(table: DataFrame) -> DataFrame:
     """`doc_id, cover`: for each document its spans that repeat an earlier one."""
     place = F.struct("doc_id", "start")
     first = table.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n")
+    # As a table of its own it meets the spans in a join whose hot partitions adaptive execution can split.
+    first = cut_lineage(first, "first-spans")
     return (
         table.join(first, ["a", "b"])
         .filter(~place.eqNullSafe(F.col("first")))
