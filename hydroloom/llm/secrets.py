@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hydroloom.llm.text import whole_texts
-from hydroloom.session import scratch_path
+from hydroloom.session import cut_lineage, scratch_path
 
 LEDGER = "sha string, rule_version string, findings array<struct<kind:string,rank:int,start:long,end:long>>"
 
@@ -104,7 +104,8 @@ def scan_versions(versions: DataFrame, ledger_path: str, rules: tuple[Rule, ...]
     )
     # Blobs without findings need no join: whatever finds no partner has none.
     hits = open_ledger(spark, ledger_path).filter((F.col("rule_version") == version) & (F.size("findings") > 0))
-    hits = hits.groupBy("sha").agg(F.first("findings").alias("findings"))
+    # A table of its own, so that adaptive execution can split the join on a hot blob.
+    hits = cut_lineage(hits.groupBy("sha").agg(F.first("findings").alias("findings")), "secret-hits")
     paths = versions.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256)).drop("text")
     empty = F.array().cast("array<struct<kind:string,rank:int,start:long,end:long>>")
     return paths.join(hits, "sha", "left").withColumn("findings", F.coalesce("findings", empty))
