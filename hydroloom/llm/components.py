@@ -37,7 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
     held = cut_lineage(own, "component-edges")
     before = _state(held)
     while before[0]:
-        held = cut_lineage(_small_star(_large_star(held)), "component-edges")
+        held = cut_lineage(_small_star(_large_star(held)), "component-edges", held)
         after = _state(held)
         if after == before:
             break
