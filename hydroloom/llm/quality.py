@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from itertools import groupby
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -26,13 +25,24 @@ CACHED_WORDS = 300_000
 REJECT_BELOW = 0.4  # below even odds, so that a doubtful document stays
 
 _SYMBOL = re.compile(r"[^\w\s.,;:!?'\"()’„“”«»¿¡–—-]")
-_KINDS = (("A", str.isupper), ("a", str.isalpha), ("0", str.isdigit))
+_RUN = re.compile(r"(.)\1+", re.DOTALL)
+
+
+class _Kinds(dict):
+    """Translation of characters to their kinds: capital A, other letter a, digit 0, all else itself."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = kind = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
+        return kind
+
+
+_kinds = _Kinds()
 
 
 def shape(word: str) -> str:
     """Kinds of characters of a word, runs of one kind as one: `Then,` is `Aa,`."""
-    marks = [next((mark for mark, test in _KINDS if test(c)), c) for c in word]
-    return "".join(mark for mark, _ in groupby(marks))
+    return _RUN.sub(r"\1", word.translate(_kinds))
 
 
 def slot(name: str) -> int:
@@ -41,10 +51,11 @@ def slot(name: str) -> int:
 
 def _word_row(word: str) -> tuple[int, ...]:
     """Letters, capitals, characters, symbol, shout, stop, slot of the shape."""
-    letters = sum(map(str.isalpha, word))
+    kinds = word.translate(_kinds)
+    capitals = kinds.count("A")
     return (
-        letters, sum(map(str.isupper, word)), len(word), int(_SYMBOL.search(word) is not None),
-        int(word.endswith("!")), int(word.endswith((".", "!", "?"))), slot("shape " + shape(word)),
+        kinds.count("a") + capitals, capitals, len(word), int(_SYMBOL.search(word) is not None),
+        int(word.endswith("!")), int(word.endswith((".", "!", "?"))), slot("shape " + _RUN.sub(r"\1", kinds)),
     )
 
 
@@ -90,21 +101,34 @@ def votes_of(values: dict[str, float | None]) -> list[int]:
     return [0 if values[name] is None else _vote(values[name], *RANGES[name]) for name in LABELLERS]
 
 
-_known: dict = {"row": {}, "table": []}
+class _Words:
+    """Numbers and rows of the words a worker has seen; a bounded cache."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.rows = np.zeros((1 << 14, 7), np.int64)
+
+    def add(self, words: set[str]) -> None:
+        if len(self.number) > CACHED_WORDS:
+            self.number.clear()
+        fresh = list(words.difference(self.number))
+        at = len(self.number)
+        while at + len(fresh) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[at : at + len(fresh)] = np.array([_word_row(word) for word in fresh], np.int64).reshape(-1, 7)
+        self.number.update(zip(fresh, range(at, at + len(fresh)), strict=True))
+
+
+_seen = _Words()
 
 
 def features(docs: DataFrame) -> DataFrame:
     """`doc_id, votes, slots, weights` of every document: the votes, and the non-zero hashed features."""
 
     def run(ids: list, texts: list) -> dict[str, list]:
-        if len(_known["row"]) > CACHED_WORDS:
-            _known.update(row={}, table=[])
-        row, table = _known["row"], _known["table"]
         split = [text.split() for text in texts]
-        for word in set().union(*split).difference(row):
-            row[word] = len(row)
-            table.append(_word_row(word))
-        held = np.array(table, np.int64).reshape(-1, 7)
+        _seen.add(set().union(*split))
+        row, held = _seen.number, _seen.rows
         found: dict[str, list] = {"doc_id": ids, "votes": [], "slots": [], "weights": []}
         for text, words in zip(texts, split, strict=True):
             order = np.fromiter(map(row.__getitem__, words), np.int64, len(words))
