@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from hydroloom.llm.components import components
 from hydroloom.llm.text import map_batches, whole_texts
-from hydroloom.session import cut_lineage
+from hydroloom.session import cut_lineage, drop_path
 
 CELL = 64
 TILE = 512
@@ -153,13 +153,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, groups
     )
 
 
-# Similar texts: the same grid over wider fingerprints, then the shingles themselves.
+# Similar texts: the same grid over wider fingerprints finds most links, the rarest shingles of each document all the others.
 
 LANES = 4
 WIDE_GROUPS = 16  # four groups of eight segments in each lane
 WIDE_CHOICES = 40
 NEAR_BITS = 64  # of 256: at a similarity of 0.8 the mean is 39, with a deviation of 6
 SIMILARITY = 0.8
+PREFIX = 5  # sets of n shingles that are similar share one of the first n // 5 + 1 of each, whatever the common order
+SAMPLE_DOCS = 50_000  # of these the common shingles are counted, which come last in that order
+COMMON = 3
 _COLUMNS = 4096
 
 
@@ -266,35 +269,131 @@ def similar_links(docs: DataFrame, marks: DataFrame) -> DataFrame:
     pairs = cut_lineage(a.join(b, near).select(F.col("b.doc_id").alias("u"), F.col("a.doc_id").alias("v")).distinct(), "near-pairs")
     large = held.filter(F.col("n") > CELL)
 
+    sets = _sets_of(docs, pairs, large)
+    verified = _verified(pairs, sets).select("u", "v")
+    crowded = _tiles(large).join(bits, "doc_id").join(sets, "doc_id").groupBy("cell", "i", "j").applyInPandas(_tile_links, "u long, v long")
+    return verified.union(crowded).distinct()
+
+
+def _sets_of(docs: DataFrame, pairs: DataFrame, large: DataFrame) -> DataFrame:
+    """`doc_id, shingles` of the documents of `pairs` (u, v) and `large`."""
     wanted = pairs.select("u").union(pairs.select("v")).union(large.select("doc_id")).distinct().withColumnRenamed("u", "doc_id")
     sets = shingle_sets(whole_texts(docs).join(wanted, "doc_id", "left_semi"))
     # Rows that share a doc_id are one document: the longest text stands for it.
-    sets = cut_lineage(sets.groupBy("doc_id").agg(F.max_by("shingles", F.size("shingles")).alias("shingles")), "shingle-sets")
+    return cut_lineage(sets.groupBy("doc_id").agg(F.max_by("shingles", F.size("shingles")).alias("shingles")), "shingle-sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of `pairs` (u, v) whose sets are similar."""
     left, right = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"_{c}")) for c in "uv")
     shared = F.size(F.array_intersect("_u", "_v"))
-    alike = shared >= SIMILARITY * (F.size("_u") + F.size("_v") - shared)
-    verified = pairs.join(left, "u").join(right, "v").filter(alike).select("u", "v")
+    # In whole numbers shared >= 0.8 * (u + v - shared).
+    return pairs.join(left, "u").join(right, "v").filter(shared * 9 >= (F.size("_u") + F.size("_v")) * 4).drop("_u", "_v")
+
 
+def _tiles(large: DataFrame) -> DataFrame:
+    """`large` (doc_id, cell, n, ...) dealt into slots of about TILE points: one row for each tile `i, j` of a point's cell."""
     slots = F.ceil(F.col("n") / TILE).cast("int")
     slot = F.pmod(F.xxhash64("doc_id"), slots).cast("int")
-    tiles = (
-        large.select("doc_id", "cell", slot.alias("slot"), F.explode(F.sequence(F.lit(0), slots - 1)).alias("other"))
-        .select("doc_id", "cell", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"))
+    dealt = large.select("*", slot.alias("slot"), F.explode(F.sequence(F.lit(0), slots - 1)).alias("other"))
+    return dealt.select(*[c for c in large.columns if c != "n"], F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"))
+
+
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes in ascending order and counts of the shingles that over COMMON of about SAMPLE_DOCS documents have."""
+    parts = -(-docs.count() // SAMPLE_DOCS) or 1
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == 0)
+    counted = shingle_sets(sample).select(F.explode("shingles").alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    found = counted.filter(F.col("n") > COMMON).toArrow()
+    names = found["name"].to_numpy().view(np.uint64)
+    order = np.argsort(names)
+    return names[order], found["n"].to_numpy()[order]
+
+
+def prefix_cells(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], shingle: int = 5) -> DataFrame:
+    """`cell, doc_id, size`: a row for each of a document's first shingles, common ones last, then by hash.
+
+    Any order that all documents share gives the same links; this one keeps cells small.
+    """
+    names, counts = common
+
+    def run(ids: list, texts: list) -> dict[str, list]:
+        sizes, firsts = [], []
+        for text in texts:
+            own = distinct_shingles(text.encode().lower().split(), shingle)
+            rank = np.zeros(len(own), np.int64)
+            if len(names):
+                at = np.minimum(np.searchsorted(names, own), len(names) - 1)
+                rank = np.where(names[at] == own, counts[at], 0)
+            sizes.append(len(own))
+            firsts.append(own[np.argsort(rank, kind="stable")[: len(own) // PREFIX + 1]])
+        lengths = [len(first) for first in firsts]
+        return {
+            "cell": np.concatenate(firsts).view(np.int64), "doc_id": np.repeat(np.array(ids, np.int64), lengths),
+            "size": np.repeat(np.array(sizes, np.int32), lengths),
+        }
+
+    return map_batches(docs, run, "cell long, doc_id long, size int", slice_rows=200)
+
+
+def _open_links(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links between the groups of one tile, by all pairs of its points that are in different groups."""
+    groups = rows["label"].to_numpy(np.int64)
+    if (groups == groups[0]).all():
+        return pd.DataFrame({"u": groups[:0], "v": groups[:0]})
+    close = jaccard([np.asarray(s, np.int64) for s in rows["shingles"]]) >= SIMILARITY
+    a, b = np.nonzero(close & (groups[:, None] > groups[None, :]))
+    return pd.DataFrame(np.unique(np.stack([groups[a], groups[b]], axis=1), axis=0), columns=["u", "v"])
+
+
+def missing_links(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """`u, v`: edges between the groups of `labels` (doc_id, label) that hold similar documents, none left out.
+
+    Similar sets of n shingles share one of the first n // 5 + 1 of each in any common order, so these are the cells. Cells
+    with the same members are one, and cells inside one group have nothing to add; the others are compared by the
+    sets themselves, large ones in tiles.
+    """
+    cells = cut_lineage(prefix_cells(docs, common_shingles(docs)), "prefix-cells")
+    repeated = cells.groupBy("cell").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
+    shared = cut_lineage(cells.join(repeated.select("cell"), "cell"), "shared-cells")
+    drop_path(docs.sparkSession, cells._scratch_path)
+    placed = cut_lineage(shared.join(labels, "doc_id"), "placed-cells")
+    mark = F.xxhash64("doc_id")
+    members = [F.sum(mark.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"), F.sum(F.shiftrightunsigned(mark, 32)).alias("high")]
+    counted = placed.groupBy("cell").agg(
+        F.count("*").alias("n"), F.min("label").alias("one"), F.max("label").alias("other"),
+        F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), *members,
     )
-    crowded = tiles.join(bits, "doc_id").join(sets, "doc_id").groupBy("cell", "i", "j").applyInPandas(_tile_links, "u long, v long")
+    wanted = counted.filter("one < other").groupBy("n", "first", "last", "low", "high").agg(F.min("cell").alias("cell"))
+    held = cut_lineage(placed.join(wanted.select("cell", "n"), "cell"), "open-cells")
+    small = held.filter(F.col("n") <= CELL)
+    a, b = small.alias("a"), small.alias("b")
+    sizes = F.col("a.size"), F.col("b.size")
+    near = (
+        (F.col("a.cell") == F.col("b.cell")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.label") != F.col("b.label"))
+        & (F.least(*sizes) * 5 >= F.greatest(*sizes) * 4)
+    )
+    names = [F.col("b.doc_id").alias("u"), F.col("a.doc_id").alias("v"), F.col("b.label").alias("lu"), F.col("a.label").alias("lv")]
+    pairs = cut_lineage(a.join(b, near).select(*names).distinct(), "open-pairs")
+    large = held.filter(F.col("n") > CELL)
+    sets = _sets_of(docs, pairs, large)
+    verified = _verified(pairs, sets).select(F.col("lu").alias("u"), F.col("lv").alias("v"))
+    crowded = _tiles(large).join(sets, "doc_id").groupBy("cell", "i", "j").applyInPandas(_open_links, "u long, v long")
     return verified.union(crowded).distinct()
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
     """`doc_id, component_id` of every document whose doc_id is not null, for texts of Jaccard similarity 0.8 or more.
 
-    Similarity is that of the sets of five-word shingles. Candidates share a cell of the grid over fingerprints of their
-    distinct words, which change less than shingles do. Rows that share a doc_id are one document.
+    Similarity is that of the sets of five-word shingles. A grid over fingerprints of the distinct words, which change less
+    than shingles do, groups most of them; `missing_links` then links these groups wherever any two of their documents are
+    similar, so no link is lost. Rows that share a doc_id are one document.
     """
     known = docs.filter(F.col("doc_id").isNotNull())
     marks = wide_fingerprints(known)
     marks = cut_lineage(marks.groupBy("doc_id").agg(*[F.min(c).alias(c) for c in marks.columns[1:]]), "wide-fingerprints")
     found = components(similar_links(known, marks))
-    return marks.select("doc_id").join(found, F.col("doc_id") == F.col("u"), "left").select(
-        "doc_id", F.coalesce("v", "doc_id").alias("component_id")
-    )
+    labels = marks.select("doc_id").join(found, F.col("doc_id") == F.col("u"), "left")
+    labels = cut_lineage(labels.select("doc_id", F.coalesce("v", "doc_id").alias("label")), "first-groups")
+    merged = components(missing_links(known, labels))
+    return labels.join(merged, F.col("label") == F.col("u"), "left").select("doc_id", F.coalesce("v", "label").alias("component_id"))

@@ -126,6 +126,38 @@ def test_similar_groups(spark):
     assert got[900] == 900 and got[901] == 901
 
 
+def plain_similar(rows):
+    sets = {}
+    for doc_id, text in rows:
+        words = (text or "").encode().lower().split()
+        sets[doc_id] = {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    ids = sorted(sets)
+    links = [(a, b) for a in ids for b in ids if a < b and 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))]
+    return cases.components(ids, links), links
+
+
+@pytest.mark.parametrize("cell", [2, 64])
+def test_similar_groups_lose_no_link(spark, monkeypatch, cell):
+    monkeypatch.setattr(simhash, "CELL", cell)
+    random.seed(12)
+    words = [f"w{i}" for i in range(4000)]
+    rows = []
+    for group in range(60):
+        base = random.choices(words, k=random.randint(60, 200))
+        own, size = list(base), len(base)
+        if group % 3 == 0:
+            own += random.choices(words, k=size * 23 // 100)
+        elif group % 3 == 1:
+            own = own[: size * 82 // 100]
+        else:
+            for at in range(10, size - 10, 60):
+                own[at] = "other"
+        rows += [(2 * group, " ".join(base)), (2 * group + 1, " ".join(own))]
+    want, links = plain_similar(rows)
+    assert len(links) >= 50
+    cases.same(simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")), list(want.items()))
+
+
 def test_merged_transforms():
     random.seed(5)
     base = bytes(random.choices(b"ab \0", k=700))
