@@ -16,6 +16,7 @@ from hydroloom.session import cut_lineage
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
+SLACK = 3  # words that may stand between those of a window in a proximity match
 MIN_HIT_SHARE = 20  # contaminated from one hit word in so many
 
 
@@ -137,3 +138,49 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         ),
         "contamination",
     )
+
+
+def proximity(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """`doc_id, item_id, start, end`: stretches of a document that hold a whole window of an item in order, looser than a hit.
+
+    A stretch begins with the window's first word, ends where its last word is first reached, and has at most `SLACK` other
+    words between them; without any it is an exact hit. Two anchors of a window then lie within `SLACK` of their offsets,
+    so postings are gathered by shifts in steps of `SLACK + 1`, each with the step before, and what enough anchors name
+    is compared with the document's own words.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    items = cut_lineage(item_table(benchmark).distinct(), "items")
+    index = cut_lineage(build_index(texts, items.select(F.explode("item").alias("term")).distinct()), "positional-index")
+    anchor = cut_lineage(anchors(items, index), "anchors")
+    step = F.floor((F.col("pos") - F.col("at")) / (SLACK + 1)).cast("int")
+    found = (
+        index.join(anchor, "term")
+        .select("doc_id", "item_id", "at", "need", F.explode(F.array(step - 1, step)).alias("step"))
+        .groupBy("doc_id", "item_id", "step")
+        .agg(F.count_distinct("at").alias("met"), F.max("need").alias("need"))
+        .filter(F.col("met") >= F.col("need"))
+        .join(items, "item_id")
+        .select(F.col("doc_id").alias("own_id"), "item_id", "item", "span", "step")
+    )
+    joined = texts.join(found, F.col("doc_id").eqNullSafe(F.col("own_id"))).withColumn("own", words(F.col("text")))
+
+    def reached(start: Column, window: Column) -> Column:
+        """End of the stretch from `start`, or -1: each word is looked for behind the one before it."""
+        stretch = F.slice("own", F.greatest(start, F.lit(0)) + 1, F.col("span") + SLACK)
+
+        def walk(at: Column, word: Column) -> Column:
+            ahead = F.array_position(F.slice(stretch, F.greatest(at, F.lit(0)) + 1, F.col("span") + SLACK), word).cast("int")
+            lost = (at < 0) | (ahead == 0) | ((at == 0) & (ahead != 1))
+            return F.when(lost, F.lit(-1)).otherwise(at + ahead)
+
+        end = F.aggregate(window, F.lit(0), walk)
+        return F.when((start < 0) | (end < 0), F.lit(-1)).otherwise(start + end)
+
+    low = F.col("step") * (SLACK + 1)
+    shifts = F.sequence(low, low + SLACK)
+    places = F.flatten(F.transform(shifts, lambda shift: F.transform(
+        F.sequence(F.lit(0), F.size("item") - F.col("span")),
+        lambda k: F.struct((shift + k).alias("start"), reached(shift + k, F.slice("item", k + 1, F.col("span"))).alias("end")),
+    )))
+    kept = F.filter(places, lambda place: place["end"] >= 0)
+    return joined.select("doc_id", "item_id", F.explode(kept).alias("place")).select("doc_id", "item_id", "place.*").distinct()

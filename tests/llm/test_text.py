@@ -1,6 +1,7 @@
 """Tokens, language, quality, secrets and decontamination."""
 
 import base64
+import random
 
 import cases
 import public_tokenizers
@@ -138,3 +139,42 @@ def test_decontamination(spark):
     nothing = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.decontaminate(cases.frame(spark), nothing).filter("contaminated or n_hit > 0").count() == 0
     assert decontaminate.decontaminate(cases.frame(spark, []), nothing).count() == 0
+
+
+def plain_proximity(docs, items):
+    found = set()
+    for doc_id, text in docs:
+        own = cases.item_words(text)
+        for item_id, item in items:
+            item = cases.item_words(item)
+            span = min(13, len(item))
+            for window in [item[k : k + span] for k in range(len(item) - span + 1 if item else 0)]:
+                for start in range(len(own)):
+                    at, most = start, min(len(own), start + span + decontaminate.SLACK)
+                    for word in window:
+                        while at < most and own[at] != word and at > start:
+                            at += 1
+                        if at >= most or own[at] != word:
+                            break
+                        at += 1
+                    else:
+                        found.add((doc_id, item_id, start, at))
+    return found
+
+
+def test_proximity_matches(spark):
+    random.seed(3)
+    passage = [f"w{k}" for k in range(40)]
+    spread = [w for k, w in enumerate(passage) for w in ([w, "more"] if k % 12 == 11 else [w])]
+    docs = [r[:2] for r in cases.documents()] + [
+        (50, " ".join(["x"] * 20 + spread)), (51, " ".join(passage)), (52, " ".join(passage[::-1])),
+        (53, " ".join(w for k in range(13) for w in [f"w{k}", "y"])), (54, "e x f"), (54, "e x x x f"), (55, "e x x x x f e"),
+    ]
+    docs += [(60 + k, " ".join(random.choices("abcd", k=60))) for k in range(4)]
+    items = [(1, " ".join(passage)), (2, "e f"), (3, "x"), (4, None), (5, " ".join(random.choices("abcd", k=7))), (5, "a b a c a"), (6, cases.PROSE)]
+    found = decontaminate.proximity(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    )
+    want = plain_proximity(docs, items)
+    assert {r[:2] for r in want} >= {(50, 1), (51, 1), (54, 2)} and not {r[:2] for r in want} & {(52, 1), (53, 1), (55, 2)}
+    cases.same(found, want)
