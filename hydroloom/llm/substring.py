@@ -1,7 +1,9 @@
 """Substring deduplication over sliding spans of sentences.
 
 A span is a run of at least two consecutive sentences with at least `MIN_WORDS` words, as short as its first sentence or as
-its last one allows. All spans of all documents are hashed and meet in one global join; a sentence goes when any span that
+its last one allows. A sentence of more than `LONG` words is cut into units, which count as sentences: cuts follow the words
+with the least hash of each `CUT` words in a row, so that a passage is cut alike wherever it stands. Of a passage of 51 words
+at least 19 words in two or more whole units are cut alike, whatever surrounds it. All spans of all documents are hashed and meet in one global join; a sentence goes when any span that
 covers it is a repeat of an earlier span (the first one by document and position stays).
 """
 
@@ -20,12 +22,29 @@ from hydroloom.llm.text import map_batches, whole_texts
 from hydroloom.session import cut_lineage
 
 MIN_WORDS = 12
+LONG = 16
+CUT = 8
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+\Z")
+_WORD = re.compile(r"\s*\S+\s*")
+
+
+def _units(sentence: str) -> list[str]:
+    """The sentence, or its units if it is long; joined they are the sentence."""
+    if len(sentence) <= 2 * LONG:  # has no more than LONG words
+        return [sentence]
+    words = _WORD.findall(sentence)
+    if len(words) <= LONG:
+        return [sentence]
+    marks = np.array([xxhash.xxh32_intdigest(word.strip().lower()) for word in words], np.int64)
+    rows = np.lib.stride_tricks.sliding_window_view(marks, CUT)[:, ::-1]
+    cuts = np.unique(np.arange(CUT - 1, len(words)) - rows.argmin(axis=1)) + 1  # of equal hashes the last one
+    ends = [*cuts.tolist(), len(words)] if cuts[-1] < len(words) else cuts.tolist()
+    return ["".join(words[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def sentences(text: str) -> list[str]:
-    """Sentences with the marks and white space behind them; joined they are the text."""
-    return _SENTENCE.findall(text)
+    """Sentences, long ones in units, with the marks and white space behind them; joined they are the text."""
+    return [unit for sentence in _SENTENCE.findall(text) for unit in _units(sentence)]
 
 
 def spans(words: list[list[str]]) -> list[tuple[int, int]]:
@@ -78,7 +97,7 @@ def repeats(table: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """`doc_id, n_sentences, n_removed, text` of every document, `text` being what is kept.
 
-    A null or empty text has no sentences; a text without marks is one sentence and never a span. Rows that share a doc_id
+    A null or empty text has no sentences; a text of at most `LONG` words without marks is one sentence and never a span. Rows that share a doc_id
     count as one document: they get the same result, and the place of a first span is theirs together. A null doc_id
     comes before all others.
     """

@@ -59,6 +59,25 @@ def test_sentence_spans(spark):
     assert substring.dedup(cases.frame(spark, [])).count() == 0
 
 
+def test_long_sentences_are_deduplicated(spark):
+    random.seed(14)
+    words = [f"Word{i}" for i in range(5000)]
+    passages = [random.choices(words, k=51) for _ in range(200)]
+    rows, alone = [], " ".join(random.choices(words, k=80))
+    for k, passage in enumerate(passages):
+        for at in random.sample(range(1, 50), k % 3):  # sentences end inside of some
+            passage[at] += "."
+        for copy in range(2):
+            around = [random.choices(words, k=random.randint(0, 30)) for _ in range(2)]
+            rows.append((2 * k + copy, " ".join([*around[0], *passage, *around[1]])))
+    rows += [(1000, alone), (1001, alone), (1002, "  ".join(alone.upper().split()))]
+    got = {r["doc_id"]: r for r in substring.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for doc_id, text in rows[:-3]:
+        assert "".join(substring.sentences(text)) == text
+        assert (got[doc_id]["n_removed"] > 0) == (doc_id % 2 == 1)
+    assert got[1000]["text"] == alone and got[1001]["text"] == got[1002]["text"] == ""
+
+
 def plain_fingerprint(text):
     words = (text or "").encode().lower().split()
     shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
