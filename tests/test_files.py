@@ -4,7 +4,7 @@ import datetime as dt
 from pathlib import Path
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from hydroloom.session import cut_lineage, scratch_path, scratch_root
@@ -80,7 +80,9 @@ def test_scan_prunes_partitions_and_pushes_filters(spark, tmp_path):
     path = str(tmp_path / "stack")
     writers.write_cell_series(s, path)
     scan = readers.scan_cell_series(spark, path, ["a"], "2001-02-01", "2001-03-31", (2, 8, 0, 5))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")  # else the plan's text ends before the last filter
     plan = scan._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "PartitionFilters" in plan and "variable" in plan.split("PartitionFilters")[1].split("]")[0]
     pushed = plan.split("PushedFilters")[1]
     assert "IsNotNull(row)" in pushed and "GreaterThanOrEqual(date,2001-02-01)" in pushed
