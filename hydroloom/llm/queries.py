@@ -7,7 +7,7 @@ import string
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hydroloom.llm import bpe, decontaminate, exact, language, quality, secrets, simhash, substring, suffix, tokens
+from hydroloom.llm import bpe, decontaminate, exact, language, quality, rules, secrets, simhash, substring, suffix, tokens
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -109,3 +109,9 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes of repeated strings of 200 bytes."""
     return suffix.remove_repeats(documents(spark, sf_dir))
+
+
+@query
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document, the plain rules' verdict, and that of the robust outlier test."""
+    return rules.judge(documents(spark, sf_dir))
