@@ -7,7 +7,7 @@ import string
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hydroloom.llm import bpe, decontaminate, exact, language, quality, rules, secrets, simhash, substring, suffix, tokens
+from hydroloom.llm import align, bpe, decontaminate, exact, language, quality, rules, secrets, simhash, substring, suffix, tokens
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -115,3 +115,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every document, the plain rules' verdict, and that of the robust outlier test."""
     return rules.judge(documents(spark, sf_dir))
+
+
+@query
+def op12_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the tokens of two vocabularies in every document."""
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return align.align_tokens(documents(spark, sf_dir), *paths, public_tokenizers.PATTERN)
