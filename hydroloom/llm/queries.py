@@ -7,7 +7,7 @@ import string
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hydroloom.llm import align, bpe, decontaminate, exact, language, quality, rules, secrets, simhash, substring, suffix, tokens
+from hydroloom.llm import align, bpe, decontaminate, exact, language, quality, rules, secrets, simhash, substring, suffix, tokens, whiten
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -122,3 +122,9 @@ def op12_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links of the tokens of two vocabularies in every document."""
     paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
     return align.align_tokens(documents(spark, sf_dir), *paths, public_tokenizers.PATTERN)
+
+
+@query
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every usable embedding."""
+    return whiten.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
