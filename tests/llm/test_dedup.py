@@ -1,6 +1,7 @@
 """Substring, exact, near-duplicate and suffix deduplication against plain versions."""
 
 import random
+import re
 
 import cases
 import numpy as np
@@ -39,23 +40,68 @@ def test_filters_merge_without_loss():
     assert dict(zip(values.tolist(), counts.tolist(), strict=True)) == want
 
 
-def test_sentence_spans(spark):
-    rows = [r for r in cases.documents() if r[0] is not None]
-    got = {r["doc_id"]: r for r in substring.dedup(cases.frame(spark, rows)).collect()}
-    seen, gone = set(), {}
-    for doc_id, text in sorted({r[:2] for r in rows}, key=lambda r: r[0]):
-        words = [part.split() for part in substring.sentences((text or "").lower())]
-        gone[doc_id] = set()
-        for start, size in substring.spans(words):
-            name = " ".join(" ".join(w) for w in words[start : start + size])
-            if name in seen:
-                gone[doc_id] |= set(range(start, start + size))
-            seen.add(name)
-    for doc_id, text in {r[:2] for r in rows}:
-        kept = [s for k, s in enumerate(substring.sentences(text or "")) if k not in gone[doc_id]]
-        assert got[doc_id]["text"] == "".join(kept)
-    assert got[9]["text"].startswith("Before.") and "miller" not in got[9]["text"]
-    assert substring.dedup(cases.frame(spark)).count() == len(cases.documents())
+def plain_sentences(text):
+    """Sentences as lists of (word, piece of text), by loops over words."""
+    out, own = [], []
+    for piece in re.findall(r"\s*\S+\s*", text or ""):
+        word = piece.strip()
+        own.append((word.lower(), piece))
+        if re.search(r"[.!?][\"')\]}”’»]*$", word) or "\n" in piece:
+            out.append(own)
+            own = []
+    out += [own] if own else []
+    units = []
+    for sentence in out:
+        if len(sentence) <= 16:
+            units.append(sentence)
+            continue
+        marks = [xxhash.xxh3_64_intdigest(w) for w, _ in sentence]
+        cuts = {max(range(i, i + 10), key=lambda k: (-marks[k], k)) + 1 for i in range(len(sentence) - 9)}
+        edges = sorted(cuts | {0, len(sentence)})
+        units += [sentence[a:b] for a, b in zip(edges, edges[1:])]
+    return units
+
+
+def plain_spans(units):
+    def words(a, b):
+        return sum(len(u) for u in units[a:b])
+
+    found = set()
+    for a in range(len(units)):
+        ends = [b for b in range(a + 2, len(units) + 1) if words(a, b) >= 12]
+        found |= {(a, ends[0])} if ends else set()
+    for b in range(len(units) + 1):
+        begins = [a for a in range(b - 1) if words(a, b) >= 12]
+        found |= {(begins[-1], b)} if begins else set()
+    return found
+
+
+def plain_dedup(rows):
+    """Every row's kept text: spans by their words, first places by id, hash of the text and position."""
+    first, cut = {}, {}
+    order = sorted({r[:2] for r in rows}, key=lambda r: (r[0] is not None, r[0] or 0, xxhash.xxh32_intdigest(r[1] or "")))
+    for row in order:
+        units = plain_sentences(row[1])
+        gone = set()
+        for a, b in sorted(plain_spans(units)):
+            name = tuple(w for u in units[a:b] for w, _ in u)
+            if first.setdefault(name, (row, a)) != (row, a):
+                gone |= set(range(a, b))
+        kept = "".join(p for k, u in enumerate(units) if k not in gone for _, p in u)
+        cut[row] = (len(units), len(gone), kept if gone else row[1] or "")
+    return [(r[0], *cut[r[:2]]) for r in rows]
+
+
+def test_sentence_spans(spark, monkeypatch):
+    p, q = (" ".join(f"{w}{i}." if i % 5 == 4 else f"{w}{i}" for i in range(30)) for w in "pq")
+    rows = cases.documents() + [(r, t, None, None, 0, 0, "", 0) for r, t in ((1, p), (None, p), (None, "unlike " * 5), (7, q), (7, p), (7, "so"))]
+    for slices in (2000, 3):
+        monkeypatch.setattr(substring, "SLICE_DOCS", slices)
+        cases.same(substring.dedup(cases.frame(spark, rows).coalesce(2)), plain_dedup(rows))
+    got = plain_dedup(rows)
+    assert ("miller" not in got[9][3] and got[9][3].startswith("Before.")) and (7, 6, 0, q) in got  # nothing unique goes with a shared id
+    docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    cases.same(substring.dedup(spark.createDataFrame(docs, "doc_id long, text string")), plain_dedup(docs))
     assert substring.dedup(cases.frame(spark, [])).count() == 0
 
 
@@ -73,7 +119,7 @@ def test_long_sentences_are_deduplicated(spark):
     rows += [(1000, alone), (1001, alone), (1002, "  ".join(alone.upper().split()))]
     got = {r["doc_id"]: r for r in substring.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for doc_id, text in rows[:-3]:
-        assert "".join(substring.sentences(text)) == text
+        assert "".join(substring.pieces_of(text)) == text
         assert (got[doc_id]["n_removed"] > 0) == (doc_id % 2 == 1)
     assert got[1000]["text"] == alone and got[1001]["text"] == got[1002]["text"] == ""
 
