@@ -1,9 +1,10 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-The index holds one posting (term, document, position) for every training token whose term occurs in the benchmark; other
-terms can match no item. Every window of an item names its two rarest terms; their postings, shifted by their offsets in the
-item, must agree on one alignment of item and document. Alignments that do are compared word by word, and the stretches where
-a whole window matches are the hits. All steps are DataFrame functions.
+Every different window of the benchmark names its two rarest terms, by their counts in the training texts. The index holds one
+posting (term, document, position) for every training token of such a term; no other token can anchor a match. Postings,
+shifted by their offsets in the item, must agree on one alignment of item and document. The windows between the anchors that
+agree are then compared with the document's own words. A window that stands several times in the benchmark is looked for
+once, so the work stays linear in texts of repeated words. All steps are DataFrame functions.
 """
 
 from __future__ import annotations
@@ -25,114 +26,119 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """`doc_id, key, text`: rows alike in doc_id and text share their key. Others may by chance, which costs a comparison, no result."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return own.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
+
+
 def item_table(items: DataFrame) -> DataFrame:
-    """`item_id, item, span`: words of each item that has any, and the length of its windows."""
-    own = items.select(F.col("item_id"), words(F.col("text")).alias("item")).filter(F.size("item") > 0)
-    return own.withColumn("span", F.least(F.size("item"), F.lit(WINDOW)))
+    """`item_no, item_id, item, span`: words of each item that has any, and the length of its windows; repeated items once."""
+    own = items.select(F.col("item_id"), words(F.col("text")).alias("item")).filter(F.size("item") > 0).distinct()
+    return own.select(F.monotonically_increasing_id().alias("item_no"), "item_id", "item", F.least(F.size("item"), F.lit(WINDOW)).alias("span"))
 
 
-def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """`term, doc_id, pos` of the training tokens whose term is in `terms` (distinct)."""
-    postings = docs.select(F.col("doc_id"), F.posexplode(words(F.col("text"))).alias("pos", "term"))
-    return postings.join(terms, "term", "left_semi").select("term", "doc_id", "pos")
+def term_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """`term, df`: training tokens of each of the (distinct) terms."""
+    tokens = texts.select(F.explode(words(F.col("text"))).alias("term"))
+    return tokens.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
 
 
-def anchors(items: DataFrame, index: DataFrame) -> DataFrame:
-    """`item_id, term, at, need`: positions of the two rarest terms of every window; `need` of them must align.
+def window_table(items: DataFrame, counts: DataFrame) -> DataFrame:
+    """`phrase, item_id, item_no, k, span, rarest`: every window, its place in the item, and its two rarest terms with theirs.
 
-    A term that the index lacks has frequency 0, so windows that hold it are anchored there and match nothing.
+    A term that no text has counts 0, so windows that hold it are anchored there and match nothing.
     """
-    frequency = index.groupBy("term").agg(F.count("*").alias("df"))
-    placed = items.select("item_id", "item", "span", F.size("item").alias("n"), F.posexplode("item").alias("at", "term"))
-    ranked = placed.join(frequency, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    per_item = ranked.groupBy("item_id", "item", "span", "n").agg(
-        F.array_sort(F.collect_list(F.struct("at", "df", "term"))).alias("own")
-    )
+    placed = items.select("item_no", "item_id", "span", F.size("item").alias("n"), F.posexplode("item").alias("at", "term"))
+    ranked = placed.join(counts, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    per_item = ranked.groupBy("item_no", "item_id", "span", "n").agg(F.array_sort(F.collect_list(F.struct("at", "df", "term"))).alias("own"))
+    starts = F.sequence(F.lit(0), F.col("n") - F.col("span"))
     windows = per_item.select(
-        "item_id", "span", F.explode(F.transform(F.sequence(F.lit(1), F.col("n") - F.col("span") + 1), lambda s: F.slice("own", s, F.col("span")))).alias("window")
-    )
-    rarest = F.slice(F.array_sort(F.transform("window", lambda p: F.struct(p["df"], p["at"], p["term"]))), 1, 2)
-    return (
-        windows.select("item_id", F.least("span", F.lit(2)).alias("need"), F.explode(rarest).alias("p"))
-        .select("item_id", F.col("p.term").alias("term"), F.col("p.at").alias("at"), "need")
-        .distinct()
+        "item_no", "item_id", "span",
+        F.explode(F.transform(starts, lambda k: F.struct(k.alias("k"), F.slice("own", k + 1, F.col("span")).alias("own")))).alias("w"),
     )
+    rarest = F.slice(F.array_sort(F.transform("w.own", lambda p: F.struct(p["df"], p["at"], p["term"]))), 1, 2)
+    phrase = F.array_join(F.transform("w.own", lambda p: p["term"]), " ")
+    return windows.select(phrase.alias("phrase"), "item_id", "item_no", F.col("w.k").alias("k"), "span", rarest.alias("rarest"))
 
 
-def alignments(index: DataFrame, anchor: DataFrame) -> DataFrame:
-    """`doc_id, item_id, shift`: alignments on which enough offset-adjusted postings of an item's anchors agree."""
-    return (
-        index.join(anchor, "term")
-        .groupBy("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("shift"))
-        .agg(F.count("*").alias("met"), F.max("need").alias("need"))
-        .filter(F.col("met") >= F.col("need"))
-        .select("doc_id", "item_id", "shift")
-    )
-
+def build_index(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """`term, key, pos` of the training tokens whose term is in `terms` (distinct)."""
+    postings = texts.select("key", F.posexplode(words(F.col("text"))).alias("pos", "term"))
+    return postings.join(terms, "term", "left_semi").select("term", "key", "pos")
 
-def _hits(found: str, own: str) -> Column:
-    """Per alignment of `found` the starts in the document of the windows that match word for word, and their length."""
 
-    def starts(a: Column) -> Column:
-        first = F.greatest(a["shift"], F.lit(0))
-        last = F.least(F.size(own), a["shift"] + F.size(a["item"]))
-        same = F.array_join(
-            F.zip_with(
-                F.slice(own, first + 1, F.greatest(last - first, F.lit(0))),
-                F.slice(a["item"], first - a["shift"] + 1, F.greatest(last - first, F.lit(0))),
-                lambda x, y: F.when(x == y, F.lit("1")).otherwise(F.lit("0")),
-            ),
-            "",
-        )
-        full = F.repeat(F.lit("1"), a["span"])
-        places = F.when(
-            F.length(same) >= a["span"],
-            F.filter(F.sequence(F.lit(0), F.length(same) - a["span"]), lambda s: F.substr(same, s + 1, a["span"]) == full),
-        ).otherwise(F.array().cast("array<int>"))
-        return F.struct(a["item_id"].alias("item_id"), a["span"].alias("span"), F.transform(places, lambda s: s + first).alias("starts"))
+def candidates(index: DataFrame, windows: DataFrame, slack: int = 0) -> DataFrame:
+    """`key, start, span, phrase`: places where the anchors of a window stand at their offsets, or up to `slack` words behind.
 
-    return F.filter(F.transform(found, starts), lambda h: F.size(h["starts"]) > 0)
+    Of equal windows one stands for all. Postings are gathered by the alignment of item and document; with slack by
+    steps of alignments, each with the next, as both anchors then lie in one of these.
+    """
+    first = windows.groupBy("phrase").agg(F.min(F.struct("item_no", "k", "span", "rarest")).alias("r")).select("phrase", "r.*")
+    anchors = first.select("item_no", F.least("span", F.lit(2)).alias("need"), F.explode("rarest").alias("p"))
+    anchors = anchors.groupBy("item_no", F.col("p.term").alias("term"), F.col("p.at").alias("at")).agg(F.min("need").alias("need"))
+    step = F.floor((F.col("pos") - F.col("at")) / (slack + 1)).cast("int")
+    met = index.join(anchors, "term").select("key", "item_no", "at", "need", F.explode(F.array(step - 1, step) if slack else F.array(step)).alias("step"))
+    agreed = (
+        met.groupBy("key", "item_no", "step")
+        .agg(F.min("at").alias("low"), F.max("at").alias("high"), F.max("need").alias("need"))
+        .filter((F.col("need") < 2) | (F.col("low") < F.col("high")))
+    )
+    bounds = F.transform("rarest", lambda p: p["at"])
+    own = first.select("item_no", "k", "span", "phrase", F.array_min(bounds).alias("from"), F.array_max(bounds).alias("to"))
+    inside = agreed.join(own, "item_no").filter((F.col("from") >= F.col("low")) & (F.col("to") <= F.col("high")))
+    shift = F.col("step") * (slack + 1) + F.col("k")
+    starts = F.sequence(shift, shift + slack)
+    return inside.select("key", F.explode(starts).alias("start"), "span", "phrase").filter("start >= 0").distinct()
+
+
+def _looked_up(docs: DataFrame, benchmark: DataFrame, slack: int) -> tuple[DataFrame, DataFrame]:
+    """(`doc_id, key, own, found` of every document, `found` being its candidates; all windows of the benchmark)."""
+    texts = keyed_texts(docs)
+    items = cut_lineage(item_table(benchmark), "items")
+    terms = items.select(F.explode("item").alias("term")).distinct()
+    windows = cut_lineage(window_table(items, term_counts(texts, terms)), "benchmark-windows")
+    rare = windows.select(F.explode("rarest.term").alias("term")).distinct()
+    index = cut_lineage(build_index(texts, rare), "positional-index")
+    found = candidates(index, windows, slack).groupBy("key").agg(F.collect_list(F.struct("start", "span", "phrase")).alias("found"))
+    # The words are made once, below the join, and kept by it.
+    return texts.join(found, "key", "left").select("doc_id", "key", words(F.col("text")).alias("own"), "found"), windows
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`doc_id, n_words, n_hit, n_items, items_sha256, contaminated` of every document.
 
     A null text has no words; an item without words matches nothing; repeated items count once, by id and words, and an id
-    with several texts is hit by any of them. Repeated
-    documents have equal results: alignments are kept by document id and compared with each row's own words. The
-    benchmark side is left to Spark's own size checks: small it is broadcast, else both sides are shuffled by term,
-    where adaptive execution splits the lists of hot terms.
+    with several texts is hit by any of them. Rows that share a doc_id, or have none, are told apart by their texts; repeated
+    rows have equal results. The benchmark side is left to Spark's own size checks: small it is broadcast, else both sides
+    are shuffled by term, where adaptive execution splits the lists of hot terms.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = cut_lineage(item_table(benchmark).distinct(), "items")
-    terms = items.select(F.explode("item").alias("term")).distinct()
-    index = cut_lineage(build_index(texts, terms), "positional-index")
-    anchor = cut_lineage(anchors(items, index), "anchors")
-    found = (
-        alignments(index, anchor)
-        .join(items, "item_id")
-        .groupBy(F.col("doc_id").alias("own_id"))
-        .agg(F.collect_set(F.struct("item_id", "shift", "span", "item")).alias("found"))
+    joined, windows = _looked_up(docs, benchmark, 0)
+    same = F.filter("found", lambda f: F.array_join(F.slice("own", f["start"] + 1, f["span"]), " ") == f["phrase"])
+    hits = joined.select("doc_id", "key", F.size("own").cast("long").alias("n_words"), F.when(F.col("found").isNotNull(), same).alias("hits"))
+    places = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["span"] - 1))))
+    counted = cut_lineage(
+        hits.select(
+            "doc_id", "key", "n_words", F.coalesce(F.size(places), F.lit(0)).cast("long").alias("n_hit"),
+            F.array_distinct(F.transform("hits", lambda h: h["phrase"])).alias("phrases"),
+        ).withColumn("n_hit", F.greatest("n_hit", F.lit(0).cast("long"))),
+        "hits",
     )
-    joined = texts.join(found, F.col("doc_id").eqNullSafe(F.col("own_id")), "left").select(
-        "doc_id", words(F.col("text")).alias("own"), F.coalesce("found", F.array().cast(found.schema["found"].dataType)).alias("found")
-    )
-    hits = joined.select("doc_id", F.size("own").cast("long").alias("n_words"), F.when(F.size("found") > 0, _hits("found", "own")).alias("hits"))
-    places = F.flatten(F.transform("hits", lambda h: F.flatten(F.transform(h["starts"], lambda s: F.sequence(s, s + h["span"] - 1)))))
-    ids = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"].cast("string"))))
-    counted = hits.select(
-        "doc_id",
-        "n_words",
-        F.when(F.col("hits").isNull(), F.lit(0)).otherwise(F.size(F.array_distinct(places))).cast("long").alias("n_hit"),
-        F.when(F.col("hits").isNull(), F.array().cast("array<string>")).otherwise(ids).alias("ids"),
+    # Equal phrases are equal windows, so a document's key and phrases stand for its result.
+    digest = F.sha2(F.array_join("phrases", "\n"), 256)
+    named = counted.filter("n_hit > 0").select(F.col("key").alias("own_key"), digest.alias("own_digest"), "phrases").distinct()
+    ids = (
+        named.select("own_key", "own_digest", F.explode("phrases").alias("phrase"))
+        .join(windows.select("phrase", F.col("item_id").cast("string").alias("id")).distinct(), "phrase")
+        .groupBy("own_key", "own_digest").agg(F.array_sort(F.collect_set("id")).alias("ids"))
     )
+    hit = counted.filter("n_hit > 0").withColumn("digest", digest)
+    full = hit.join(ids, (F.col("key") == F.col("own_key")) & (F.col("digest") == F.col("own_digest"))).select("doc_id", "n_words", "n_hit", "ids")
+    none = counted.filter("n_hit = 0").select("doc_id", "n_words", "n_hit", F.array().cast("array<string>").alias("ids"))
     # Written, so that a caller's filter on the result is not pushed below the steps above, where it would repeat them.
     return cut_lineage(
-        counted.select(
-            "doc_id",
-            "n_words",
-            "n_hit",
-            F.size("ids").cast("long").alias("n_items"),
+        full.unionByName(none).select(
+            "doc_id", "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"),
             F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"),
             ((F.col("n_hit") > 0) & (F.col("n_hit") * MIN_HIT_SHARE >= F.col("n_words"))).alias("contaminated"),
         ),
@@ -144,43 +150,21 @@ def proximity(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`doc_id, item_id, start, end`: stretches of a document that hold a whole window of an item in order, looser than a hit.
 
     A stretch begins with the window's first word, ends where its last word is first reached, and has at most `SLACK` other
-    words between them; without any it is an exact hit. Two anchors of a window then lie within `SLACK` of their offsets,
-    so postings are gathered by shifts in steps of `SLACK + 1`, each with the step before, and what enough anchors name
-    is compared with the document's own words.
+    words between them; without any it is an exact hit.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = cut_lineage(item_table(benchmark).distinct(), "items")
-    index = cut_lineage(build_index(texts, items.select(F.explode("item").alias("term")).distinct()), "positional-index")
-    anchor = cut_lineage(anchors(items, index), "anchors")
-    step = F.floor((F.col("pos") - F.col("at")) / (SLACK + 1)).cast("int")
-    found = (
-        index.join(anchor, "term")
-        .select("doc_id", "item_id", "at", "need", F.explode(F.array(step - 1, step)).alias("step"))
-        .groupBy("doc_id", "item_id", "step")
-        .agg(F.count_distinct("at").alias("met"), F.max("need").alias("need"))
-        .filter(F.col("met") >= F.col("need"))
-        .join(items, "item_id")
-        .select(F.col("doc_id").alias("own_id"), "item_id", "item", "span", "step")
-    )
-    joined = texts.join(found, F.col("doc_id").eqNullSafe(F.col("own_id"))).withColumn("own", words(F.col("text")))
+    joined, windows = _looked_up(docs, benchmark, SLACK)
 
-    def reached(start: Column, window: Column) -> Column:
-        """End of the stretch from `start`, or -1: each word is looked for behind the one before it."""
-        stretch = F.slice("own", F.greatest(start, F.lit(0)) + 1, F.col("span") + SLACK)
+    def reached(place: Column) -> Column:
+        """End of the stretch from a place, or -1: each word is looked for behind the one before it."""
+        stretch = F.slice("own", place["start"] + 1, place["span"] + SLACK)
 
         def walk(at: Column, word: Column) -> Column:
-            ahead = F.array_position(F.slice(stretch, F.greatest(at, F.lit(0)) + 1, F.col("span") + SLACK), word).cast("int")
+            ahead = F.array_position(F.slice(stretch, F.greatest(at, F.lit(0)) + 1, place["span"] + SLACK), word).cast("int")
             lost = (at < 0) | (ahead == 0) | ((at == 0) & (ahead != 1))
             return F.when(lost, F.lit(-1)).otherwise(at + ahead)
 
-        end = F.aggregate(window, F.lit(0), walk)
-        return F.when((start < 0) | (end < 0), F.lit(-1)).otherwise(start + end)
-
-    low = F.col("step") * (SLACK + 1)
-    shifts = F.sequence(low, low + SLACK)
-    places = F.flatten(F.transform(shifts, lambda shift: F.transform(
-        F.sequence(F.lit(0), F.size("item") - F.col("span")),
-        lambda k: F.struct((shift + k).alias("start"), reached(shift + k, F.slice("item", k + 1, F.col("span"))).alias("end")),
-    )))
-    kept = F.filter(places, lambda place: place["end"] >= 0)
-    return joined.select("doc_id", "item_id", F.explode(kept).alias("place")).select("doc_id", "item_id", "place.*").distinct()
+        return F.aggregate(F.split(place["phrase"], " "), F.lit(0), walk)
+
+    ends = F.transform("found", lambda f: F.struct(f["start"].alias("start"), (f["start"] + reached(f)).alias("end"), f["phrase"].alias("phrase")))
+    kept = joined.filter(F.col("found").isNotNull()).select("doc_id", F.explode(F.filter(ends, lambda e: e["end"] > e["start"])).alias("e"))
+    return kept.select("doc_id", "e.*").distinct().join(windows.select("phrase", "item_id").distinct(), "phrase").select("doc_id", "item_id", "start", "end").distinct()

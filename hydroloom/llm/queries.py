@@ -80,6 +80,12 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@query
+def benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of documents that hold a window of a benchmark item with a few other words between its own."""
+    return decontaminate.proximity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 ORACLES["op9_decontaminate"] = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{decontaminate.WORD}') AS own FROM documents),
 b AS (SELECT DISTINCT item_id, regexp_extract_all({_LOWER}, '{decontaminate.WORD}') AS item FROM benchmark),

@@ -2,6 +2,7 @@
 
 import base64
 import random
+import time
 
 import cases
 import public_tokenizers
@@ -141,6 +142,15 @@ def test_decontamination(spark):
     assert decontaminate.decontaminate(cases.frame(spark, []), nothing).count() == 0
 
 
+def test_repeated_words_stay_linear(spark):
+    docs = [(1, "a " * 20_000), (2, "a " * 12), (None, "b " + "a " * 30), (None, "a b " * 3000), (None, "c"), (1, "c")]
+    items = [(1, "a " * 2000), (2, "a " * 1999 + "b"), (3, "b a " * 500)]
+    began = time.time()
+    found = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    cases.same(found, cases.contamination(docs, items))
+    assert time.time() - began < 60
+
+
 def plain_proximity(docs, items):
     found = set()
     for doc_id, text in docs:
