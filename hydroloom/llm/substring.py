@@ -152,7 +152,7 @@ class Cut:
         np.add.at(edge, self.behind[chosen], -1)
         gone = np.cumsum(edge)[:-1] > 0
         total = np.concatenate([[0], self.ends]).tolist()
-        kept = [piece for k in np.flatnonzero(~gone).tolist() for piece in self.pieces[total[k] : total[k + 1]]]
+        kept = ["".join(self.pieces[total[k] : total[k + 1]]) for k in np.flatnonzero(~gone).tolist()]
         return int(gone.sum()), "".join(kept)
 
 
@@ -267,20 +267,25 @@ def dedup(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_sentences", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())])
 
     def remove(texts: pa.Table, firsts: pa.Table) -> pa.Table:
-        a, b = (firsts.column(c).to_numpy() for c in "ab")
-        first_id, first_place = firsts.column("doc_id").to_pylist(), firsts.column("place").to_pylist()
-        at_of = {pair: k for k, pair in enumerate(zip(a.tolist(), b.tolist(), strict=True))}
+        a, b, place = (firsts.column(c).to_numpy() for c in ("a", "b", "place"))
+        order = np.lexsort((b, a))
+        a, b, place = a[order], b[order], place[order]
+        ids = firsts.column("doc_id").combine_chunks().take(pa.array(order))
+        absent, number = np.asarray(ids.is_null()), ids.fill_null(0).to_numpy(zero_copy_only=False)
+        again = len(a) > 1 and bool((a[1:] == a[:-1]).any())  # equal first halves of different spans: not in practice
         out: dict[str, list] = {"n_sentences": [], "n_removed": [], "text": []}
-        names = np.sort(a)
         whole = texts.column("text").to_pylist()
         for doc_id, text, own in zip(texts.column("doc_id").to_pylist(), whole, cut_all(whole), strict=True):
-            chosen, tie = [], _tie(text)
-            likely = np.flatnonzero(names[np.minimum(np.searchsorted(names, own.marks[:, 0]), len(names) - 1)] == own.marks[:, 0]) if len(names) else []
-            for k in likely:
-                at = at_of.get((int(own.marks[k, 0]), int(own.marks[k, 1])))
-                if at is not None and (first_id[at], first_place[at]) != (doc_id, (tie << 31) | int(own.first[k])):
-                    chosen.append(k)
-            removed, kept = own.without(np.array(chosen, np.int64)) if chosen else (0, text)
+            removed, kept = 0, text
+            if len(a) and len(own.marks):
+                at = np.minimum(np.searchsorted(a, own.marks[:, 0]), len(a) - 1)
+                while again and (step := (a[at] == own.marks[:, 0]) & (b[at] < own.marks[:, 1]) & (at + 1 < len(a))).any():
+                    at = at + step
+                known = (a[at] == own.marks[:, 0]) & (b[at] == own.marks[:, 1])
+                first = (absent[at] == (doc_id is None)) & (number[at] == (doc_id or 0)) & (place[at] == (_tie(text) << 31) + own.first)
+                chosen = np.flatnonzero(known & ~first)
+                if len(chosen):
+                    removed, kept = own.without(chosen)
             out["n_sentences"].append(len(own.ends))
             out["n_removed"].append(removed)
             out["text"].append(kept)
