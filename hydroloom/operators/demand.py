@@ -58,8 +58,8 @@ def sector_totals(alloc: DataFrame, keys: list[str] = ()) -> DataFrame:
 
 
 def sector_consumption(totals: DataFrame, efficiency: DataFrame) -> DataFrame:
-    """Consumption = efficiency x withdrawal, per sector; sectors are few, so AQE broadcasts them."""
-    return totals.filter(F.col("sector").isNotNull() & F.col("source").isNull()).join(efficiency, "sector").withColumn(
+    """Consumption = efficiency x withdrawal, per sector, NULL without an efficiency; sectors are few, so AQE broadcasts them."""
+    return totals.filter(F.col("sector").isNotNull() & F.col("source").isNull()).join(efficiency, "sector", "left").withColumn(
         "consumption", F.col("withdrawal") * F.col("efficiency")
     )
 
@@ -158,7 +158,8 @@ def scheduled_transfer(schedule: DataFrame, bodies: DataFrame, days: DataFrame)
 
     `schedule(from_id, to_id, doy, release)`, id 0 = outside the basin; releases up to 1 are
     shares of the giver's store (of the receiver's volume when the giver is outside).
-    `bodies(body, date, volume, storage, year_built)`; `days(date)`.
+    `bodies(body, date, volume, storage, year_built)`; `days(date)`. A pair with a body that is not built yet has no row; one with a
+    body that has no row for the day keeps it, with a NULL transfer.
     """
     planned = days.withColumn("doy", F.dayofyear("date")).join(schedule, "doy").drop("doy")
 
@@ -173,4 +174,7 @@ def scheduled_transfer(schedule: DataFrame, bodies: DataFrame, days: DataFrame)
     unused = F.when(F.col("to_id") > 0, F.col("to_volume") - F.col("to_storage")).otherwise(F.lit(10e12))
     store = F.when(F.col("from_id") == 0, F.col("to_volume")).otherwise(F.col("from_storage"))
     amount = F.when(F.col("release") <= 1, store * F.col("release")).otherwise(F.col("release"))
-    return joined.filter(built).select("from_id", "to_id", "date", F.least(unused * 0.95, amount).alias("transfer"))
+    unknown = unused.isNull() | amount.isNull()
+    return joined.filter(F.coalesce(built, F.lit(True))).select(
+        "from_id", "to_id", "date", F.when(~unknown, F.least(unused * 0.95, amount)).alias("transfer")
+    )

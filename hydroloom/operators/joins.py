@@ -155,19 +155,27 @@ def latest_by_year(capacities: DataFrame, first_year: int, last_year: int) -> Da
     )
 
 
-def doy_schedule_join(df: DataFrame, schedule: DataFrame, keys: list[str], date: str = "date") -> DataFrame:
-    """Attach the entry of a 366-day schedule `(keys, doy, release)` by body and day of year."""
-    return df.withColumn("doy", F.dayofyear(date)).join(schedule, [*keys, "doy"])
+def _known(joined: DataFrame, what: str, strict: bool) -> DataFrame:
+    """Rows with their partner's mark `_met`, which goes; without a partner a strict join stops."""
+    if strict:
+        joined = joined.filter(F.coalesce("_met", F.raise_error(F.lit(f"a row has no {what}")).cast("boolean")))
+    return joined.drop("_met")
 
 
-def growth_stage_join(months: DataFrame, stages: DataFrame) -> DataFrame:
-    """KC and KY of the stage that holds the month counter.
+def doy_schedule_join(df: DataFrame, schedule: DataFrame, keys: list[str], date: str = "date", strict: bool = False) -> DataFrame:
+    """Attach the entry of a 366-day schedule `(keys, doy, release)` by body and day of year, NULL (or an error if `strict`) without one."""
+    entries = schedule.withColumn("_met", F.lit(True))
+    return _known(df.withColumn("doy", F.dayofyear(date)).join(entries, [*keys, "doy"], "left"), "schedule entry", strict)
+
+
+def growth_stage_join(months: DataFrame, stages: DataFrame, strict: bool = False) -> DataFrame:
+    """KC and KY of the stage that holds the month counter; NULL (or an error if `strict`) outside all stages.
 
     Stages `(crop, start, end, kc, ky)` are unrolled over their months (a season has few), so the
     range test becomes an equality join.
     """
-    unrolled = stages.select("crop", F.explode(F.sequence("start", "end")).alias("counter"), "kc", "ky")
-    return months.join(unrolled, ["crop", "counter"])
+    unrolled = stages.select("crop", F.explode(F.sequence("start", "end")).alias("counter"), "kc", "ky", F.lit(True).alias("_met"))
+    return _known(months.join(unrolled, ["crop", "counter"], "left"), "growth stage", strict)
 
 
 def join_inflow_series(links: DataFrame, series: DataFrame) -> DataFrame:

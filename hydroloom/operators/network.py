@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from hydroloom.operators.keyed import row_index_by_block, with_group
 from hydroloom.session import cut_lineage, drop_path
@@ -155,11 +156,11 @@ def root_of(ldd: DataFrame, roots: DataFrame | None = None) -> DataFrame:
 
 
 def basin_label(ldd: DataFrame) -> DataFrame:
-    """Basin number of each cell, counted from 1 in the order of the pits."""
+    """Basin number of each cell, counted from 1 in the order of the pits; NULL for cells that lead into a cycle."""
     root = root_of(ldd)
     pits = ldd.filter(F.col("down_id").isNull()).select(F.col("cell_id").alias("root_id"))
     number = row_index_by_block(pits, [], "root_id", F.expr("root_id div 100000"), "basin")
-    return root.join(number, "root_id").select("cell_id", F.col("basin").cast("long").alias("basin"))
+    return root.join(number, "root_id", "left").select("cell_id", F.col("basin").cast("long").alias("basin"))
 
 
 def topological_level(ldd: DataFrame) -> DataFrame:
@@ -317,16 +318,32 @@ def link_lists(tree: DataFrame, gauge: DataFrame) -> DataFrame:
     )
 
 
-def walk_downstream(ldd: DataFrame, starts: DataFrame, steps: int) -> DataFrame:
-    """(start_id, step, cell_id) for the next `steps` cells below each start, shorter at a pit."""
-    edges = ldd.filter(F.col("down_id").isNotNull())
-    walk = starts.select("start_id", F.col("cell_id").alias("_c0"))
-    for i in range(1, steps + 1):
-        walk = walk.join(edges.select(F.col("cell_id").alias(f"_c{i - 1}"), F.col("down_id").alias(f"_c{i}")), f"_c{i - 1}", "left")
-    path = F.array(*[F.col(f"_c{i}") for i in range(1, steps + 1)])
-    return walk.select("start_id", F.posexplode(path).alias("step", "cell_id")).filter(F.col("cell_id").isNotNull()).withColumn(
-        "step", F.col("step") + 1
-    )
+def down_powers(ldd: DataFrame, steps: int) -> list[DataFrame]:
+    """Tables (cell_id, ahead_id): the cell 1, 2, 4, ... steps below, as far as paths of `steps` need them; rows end at a pit.
+
+    Each is joined from the one before. Kept with a network they serve every walk, as each costs one row a cell.
+    """
+    tables = [ldd.filter(F.col("down_id").isNotNull()).select("cell_id", F.col("down_id").alias("ahead_id"))]
+    while 2 ** len(tables) <= steps:
+        last = tables[-1]
+        next_ = last.select(F.col("cell_id").alias("ahead_id"), F.col("ahead_id").alias("_far"))
+        tables.append(cut_lineage(last.join(next_, "ahead_id").select("cell_id", F.col("_far").alias("ahead_id")), "down-power"))
+    return tables
+
+
+def walk_downstream(ldd: DataFrame, starts: DataFrame, steps: int, powers: list[DataFrame] | None = None) -> DataFrame:
+    """(start_id, step, cell_id) for the next `steps` cells below each start, shorter at a pit.
+
+    Round k adds to every cell known so far the one 2**k further down, so a thousand steps are ten joins.
+    """
+    walk = starts.select("start_id", F.lit(0).alias("step"), "cell_id")
+    for k, table in enumerate(down_powers(ldd, steps) if powers is None else powers):
+        reach = 2**k
+        further = walk.filter(F.col("step") + reach <= steps).join(table, "cell_id").select(
+            "start_id", (F.col("step") + reach).cast("int").alias("step"), F.col("ahead_id").alias("cell_id")
+        )
+        walk = cut_lineage(walk.unionByName(further), "walk", walk)
+    return walk.filter("step > 0").select("start_id", "step", "cell_id")
 
 
 def distinct_inlet_cells(ldd: DataFrame, links: DataFrame, gauge: DataFrame) -> DataFrame:
@@ -438,16 +455,28 @@ def cut_network_at_bodies(ldd: DataFrame, bodies: DataFrame) -> DataFrame:
 
 
 def buffer_zone(bodies: DataFrame, size: int) -> DataFrame:
-    """Water bodies grown by a rectangle of `size` cells; the smallest id wins, own cells keep theirs."""
-    offsets = [(-(j // 2) if j % 2 else j // 2) for j in range(1, size + 1)]
-    steps = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a in offsets for b in offsets])
-    grown = (
-        bodies.filter(F.col("body") > 0)
-        .select("body", "row", "col", F.explode(steps).alias("o"))
-        .groupBy((F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col"))
-        .agg(F.min("body").alias("_near"))
-    )
-    return bodies.join(grown, ["row", "col"], "left").select(
+    """Water bodies grown by a rectangle of `size` cells; the smallest id wins, own cells keep theirs.
+
+    The least id around a cell is a least over rows of the least over columns: two sliding windows along single grid lines,
+    over the box of the cells, where absent ones count as without a body. Rows do not grow with `size`.
+    """
+    box = bodies.agg(F.min("row"), F.max("row"), F.min("col"), F.max("col")).first()
+    near = F.lit(None).cast("long").alias("_near")
+    if box[0] is None:
+        around = bodies.select("row", "col", near)
+    else:
+        row0, row1, col0, col1 = box
+        width = col1 - col0 + 1
+        dense = bodies.sparkSession.range((row1 - row0 + 1) * width).select(
+            (F.lit(row0) + F.expr(f"id div {width}")).alias("row"), (F.lit(col0) + F.col("id") % width).alias("col")
+        )
+        own = bodies.filter(F.col("body") > 0).groupBy("row", "col").agg(F.min("body").alias("_own"))
+        before, behind = size // 2, (size - 1) // 2  # an even size reaches one cell further down and right
+        down = W.partitionBy("col").orderBy("row").rowsBetween(-before, behind)
+        right = W.partitionBy("row").orderBy("col").rowsBetween(-before, behind)
+        lines = dense.join(own, ["row", "col"], "left").withColumn("_line", F.min("_own").over(down))
+        around = lines.withColumn("_near", F.min("_line").over(right)).select("row", "col", "_near")
+    return bodies.join(around, ["row", "col"], "left").select(
         "cell_id", "row", "col", F.when(F.col("body") > 0, F.col("body")).otherwise(F.coalesce("_near", F.lit(0))).alias("buffer")
     )
 
@@ -471,18 +500,20 @@ def flow_distance_factor(code: Column, length: Column) -> Column:
 def lake_inflow_sum(ldd: DataFrame, flows: DataFrame, cell: DataFrame, bodies: DataFrame, outlets: DataFrame) -> DataFrame:
     """Inflow of each water body at its outlet: upstream discharge x 86400 + runoff x area.
 
-    `flows(cell_id, date, discharge, runoff)`.
+    `flows(cell_id, date, discharge, runoff)` is read once: every cell has the roles it plays for a body. Of several outlets the
+    one with the smallest cell id carries the volume.
     """
     body = bodies.filter(F.col("body") > 0).select("cell_id", "body")
     into = (
-        ldd.filter(F.col("down_id").isNotNull())
-        .join(body.withColumnRenamed("cell_id", "down_id"), "down_id").select("cell_id", "body")
-        .join(flows.select("cell_id", "date", "discharge"), "cell_id")
-        .select("body", "date", (F.col("discharge") * 86400).alias("volume"))
-    )
-    local = (
-        body.join(flows.select("cell_id", "date", "runoff"), "cell_id").join(cell.select("cell_id", "area"), "cell_id")
-        .select("body", "date", (F.col("runoff") * F.col("area")).alias("volume"))
+        ldd.filter(F.col("down_id").isNotNull()).join(body.withColumnRenamed("cell_id", "down_id"), "down_id")
+        .select("cell_id", "body", F.lit(86400.0).alias("by_discharge"), F.lit(0.0).alias("by_runoff"))
     )
-    total = into.unionByName(local).groupBy("body", "date").agg(F.sum("volume").alias("inflow"))
-    return total.join(outlets.withColumnRenamed("cell_id", "outlet_id"), "body")
+    local = body.join(cell.select("cell_id", "area"), "cell_id").select("cell_id", "body", F.lit(0.0).alias("by_discharge"), F.col("area").cast("double").alias("by_runoff"))
+    roles = into.unionByName(local).groupBy("cell_id", "body").agg(F.sum("by_discharge").alias("by_discharge"), F.sum("by_runoff").alias("by_runoff"))
+    # A role without weight takes no part, so that a missing runoff does not hide a discharge.
+    parts = [F.when(F.col(f"by_{c}") > 0, F.coalesce(F.col(c) * F.col(f"by_{c}"), F.lit(0.0))).otherwise(0.0) for c in ("discharge", "runoff")]
+    known = [F.when((F.col(f"by_{c}") > 0) & F.col(c).isNotNull(), True) for c in ("discharge", "runoff")]
+    volume = F.when(F.coalesce(*known), parts[0] + parts[1])
+    total = flows.join(roles, "cell_id").groupBy("body", "date").agg(F.sum(volume).alias("inflow"))
+    one = outlets.groupBy("body").agg(F.min("cell_id").alias("outlet_id"))
+    return total.join(one, "body")

@@ -49,10 +49,11 @@ def _(v):
     return demand.sector_totals(v.sql(ALLOC), ["month"])
 
 
-@query("sector_consumption", f"""with a as ({ALLOC}), e as (select l_returnflag as sector, avg(l_discount) * 10 as efficiency from lineitem group by 1)
-select month, sector, sum(value) as withdrawal, round(sum(value) * any_value(efficiency), 5) as consumption from a join e using (sector) group by 1, 2""")
+@query("sector_consumption", f"""with a as ({ALLOC}), e as (select l_returnflag as sector, avg(l_discount) * 10 as efficiency from lineitem where l_returnflag <> 'N' group by 1)
+select month, sector, sum(value) as withdrawal, round(sum(value) * any_value(efficiency), 5) as consumption from a left join e using (sector) group by 1, 2""")
 def _(v):
-    eff = v.table("lineitem").groupBy(C("l_returnflag").alias("sector")).agg((F.avg("l_discount") * 10).alias("efficiency"))
+    # One sector has no efficiency and keeps its row.
+    eff = v.table("lineitem").filter("l_returnflag <> 'N'").groupBy(C("l_returnflag").alias("sector")).agg((F.avg("l_discount") * 10).alias("efficiency"))
     out = demand.sector_consumption(demand.sector_totals(v.sql(ALLOC), ["month"]), eff)
     return out.select("month", "sector", "withdrawal", F.round("consumption", 5).alias("consumption"))
 
@@ -134,9 +135,10 @@ BODIES = """select l_suppkey as body, cast(l_shipdate as date) as date, 7e1 as v
 
 @query("scheduled_transfer", f"""with s as ({TRANSFER}), b as ({BODIES}), d as (select distinct date from b),
 j as (select s.from_id, s.to_id, d.date, release, f.storage as fs, f.year_built as fb, t.volume as tv, t.storage as ts, t.year_built as tb
-  from s join d on dayofyear(d.date) = s.doy left join b f on f.body = s.from_id and f.date = d.date left join b t on t.body = s.to_id and t.date = d.date)
-select from_id, to_id, date, round(least(case when to_id > 0 then tv - ts else 10e12 end * 0.95, case when release <= 1 then case when from_id = 0 then tv else fs end * release else release end), 6) as transfer
-  from j where (from_id = 0 or fb <= year(date)) and (to_id = 0 or tb <= year(date))""")
+  from s join d on dayofyear(d.date) = s.doy left join b f on f.body = s.from_id and f.date = d.date left join b t on t.body = s.to_id and t.date = d.date),
+k as (select *, case when to_id > 0 then tv - ts else 10e12 end * 0.95 as room, case when release <= 1 then case when from_id = 0 then tv else fs end * release else release end as amount from j)
+select from_id, to_id, date, round(case when room is not null and amount is not null then least(room, amount) end, 6) as transfer
+  from k where coalesce((from_id = 0 or fb <= year(date)) and (to_id = 0 or tb <= year(date)), true)""")
 def _(v):
     bodies = v.sql(BODIES)
     out = demand.scheduled_transfer(v.sql(TRANSFER), bodies, bodies.select("date").distinct())

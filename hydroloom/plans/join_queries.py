@@ -149,16 +149,13 @@ def _(v):
 
 
 # Two entries a month for every station: 24 days of the year, spread by the station's number.
-SCHEDULE = """select s_suppkey as station_id, cast(1 + (k * 15 + s_suppkey) % 366 as int) as doy, s_acctbal / 10 + k as release
-  from (select s_suppkey, s_acctbal, unnest(range(24)) as k from supplier)"""
-
-
-@query("doy_schedule_join", f"""with s as ({SCHEDULE}) select p.station_id, p.date, s.release from (select station_id, date from pairs) p
-  join s on s.station_id = p.station_id and s.doy = dayofyear(p.date)""")
+# The schedule covers all 366 days but every 61st; dates of these keep their row.
+@query("doy_schedule_join", """with s as (select s_suppkey as station_id, doy, s_acctbal / 10 + doy as release from supplier, range(1, 367) t(doy) where (doy + s_suppkey) % 61 <> 0)
+select p.station_id, p.date, s.release from (select station_id, date from pairs) p left join s on s.station_id = p.station_id and s.doy = dayofyear(p.date)""")
 def _(v):
-    k = F.explode(F.sequence(F.lit(0), F.lit(23))).alias("k")
-    s = v.table("supplier").select(F.col("s_suppkey").alias("station_id"), "s_acctbal", k).select(
-        "station_id", (1 + (F.col("k") * 15 + F.col("station_id")) % 366).cast("int").alias("doy"), (F.col("s_acctbal") / 10 + F.col("k")).alias("release")
+    days = F.explode(F.sequence(F.lit(1), F.lit(366))).alias("doy")
+    s = v.table("supplier").select(F.col("s_suppkey").alias("station_id"), "s_acctbal", days).filter((F.col("doy") + F.col("station_id")) % 61 != 0).select(
+        "station_id", "doy", (F.col("s_acctbal") / 10 + F.col("doy")).alias("release")
     )
     return joins.doy_schedule_join(v.pairs.select("station_id", "date"), s, ["station_id"]).select("station_id", "date", "release")
 
@@ -168,7 +165,7 @@ STAGES = """select l_partkey as crop, cast(l_linenumber * 2 - 1 as int) as stage
 
 
 @query("growth_stage_join", f"""with s as ({STAGES}), m as (select cell_id as crop, date, month(date) as counter from cell_day)
-select m.crop, m.date, kc, ky from m join s on s.crop = m.crop and m.counter between stage_start and stage_end""")
+select m.crop, m.date, kc, ky from m left join s on s.crop = m.crop and m.counter between stage_start and stage_end""")
 def _(v):
     stages = v.sql(STAGES).withColumnRenamed("stage_start", "start").withColumnRenamed("stage_end", "end")
     months = v.cell_day.select(F.col("cell_id").alias("crop"), "date", F.month("date").alias("counter"))

@@ -264,7 +264,7 @@ def _(v):
   select body, date, value * 86400 as volume from river r join kept k on k.cell_id = r.down_id join cell_day d on d.cell_id = r.cell_id
   union all select body, date, value * area / 1000 from kept join cell_day using (cell_id) join (select cell_id, area from cell) using (cell_id)),
 t as (select body, date, sum(volume) as inflow from f group by 1, 2)
-select t.body, date, round(inflow, 5) as inflow, cell_id as outlet_id from t join out2 using (body)""")
+select t.body, date, round(inflow, 5) as inflow, outlet_id from t join (select body, min(cell_id) as outlet_id from out2 group by 1) o using (body)""")
 def _(v):
     bodies, outlets = network.waterbody_outlet(v.river, v.water_body)
     flows = v.cell_day.select("cell_id", "date", F.col("value").alias("discharge"), (F.col("value") / 1000).alias("runoff"))

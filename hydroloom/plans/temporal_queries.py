@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from hydroloom.functions import dates
-from hydroloom.operators import network, temporal
+from hydroloom.operators import incremental, network, temporal
 from hydroloom.plans.registry import query
+from hydroloom.session import scratch_path
 
 KEYS = ["variable", "cell_id"]
 SPIN = "1996-01-01"
@@ -174,6 +175,24 @@ def _(v):
     return _r(temporal.aggregate_outputs(v.cell_series, requests, _spin(), v.cell, gauge, nearest, tree), 5)
 
 
+MONTH_KINDS = [t for t in temporal.MAP_KINDS if t != "daily"]
+FOLDED = " union all ".join(
+    f"select '{t}' as temporal, variable, target_id, date, round(value, 5) as value from ({PERIODS[t].format(t='map', spin=SPIN)}) x(variable, target_id, date, value)"
+    for t in MONTH_KINDS
+)
+
+
+@query("incremental_outputs", f"""with e as (select max(date) as e from cell_series),
+map as (select variable, cell_id as target_id, date, value from cell_series) {FOLDED}""")
+def _(v):
+    # Two runs over the same store: the second one reads the days behind the first one's last, in the middle of a month.
+    store, keys = scratch_path(v.spark, "month-store"), ["variable", "target_id"]
+    series = v.cell_series.select("variable", F.col("cell_id").alias("target_id"), "date", "value")
+    incremental.fold_days(series.filter("date <= date'1997-05-14'"), store, keys, _spin())
+    incremental.fold_days(series, store, keys, _spin())
+    return _r(incremental.outputs(v.spark, store, MONTH_KINDS, keys, _spin()), 5)
+
+
 @query("env_flow_stats", "select cell_id, round(avg(value), 6) as maf, round(quantile_cont(value, 0.1), 6) as q90 from cell_day group by 1")
 def _(v):
     return temporal.env_flow_stats(v.cell_day).select("cell_id", F.round("maf", 6).alias("maf"), F.round("q90", 6).alias("q90"))

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +9,7 @@ from pyspark.sql import types as T
 from hydroloom import schemas
 from hydroloom.functions import dates
 from hydroloom.functions.clean import null_sentinels
+from hydroloom.sources import manifest
 
 _FILE = "_metadata.file_path"
 
@@ -133,16 +130,20 @@ def scan_cell_series(
     if start is not None:
         df = df.filter((F.col("date") >= F.lit(start).cast("date")) & (F.col("year") >= int(start[:4])))
     if start is not None and late_start != "allow":
-        first = df.agg(F.min("date")).first()[0]
-        if first is not None and first > dt.date.fromisoformat(start):
-            if late_start == "raise":
-                raise ValueError(f"the data begin on {first}, after {start}")
-            early = spark.range(1).select(
-                F.explode(F.sequence(F.lit(start).cast("date"), F.date_sub(F.lit(first), 1))).alias("_day")
-            )
-            model = whole.filter((F.col("date") >= F.lit(first)) & (F.col("date") < F.add_months(F.lit(first), 12)))
-            back = model.withColumn("_doy", F.dayofyear("date")).join(early.withColumn("_doy", F.least(F.dayofyear("_day"), F.lit(365))), "_doy")
-            df = df.unionByName(back.withColumn("date", F.col("_day")).withColumn("year", F.year("_day")).select(*df.columns))
+        # First dates of the variables come from the manifest: no data file is opened for them.
+        late = manifest.first_dates(spark, path).filter(F.col("first") > F.lit(start).cast("date"))
+        if variables is not None:
+            late = late.filter(F.col("variable").isin(*variables))
+        if late_start == "raise":
+            found = late.orderBy("first", "variable").first()
+            if found is not None:
+                raise ValueError(f"the data begin on {found['first']}, after {start} ({found['variable']})")
+        else:
+            days = late.select(F.col("variable").alias("_late"), "first", F.explode(F.sequence(F.lit(start).cast("date"), F.date_sub("first", 1))).alias("_day"))
+            days = days.withColumn("_doy", F.least(F.dayofyear("_day"), F.lit(365)))
+            same = (F.col("variable") == F.col("_late")) & (F.dayofyear("date") == F.col("_doy"))
+            model = whole.join(days, same & (F.col("date") >= F.col("first")) & (F.col("date") < F.add_months("first", 12)))
+            df = df.unionByName(model.withColumn("date", F.col("_day")).withColumn("year", F.year("_day")).select(*df.columns))
     if end is not None:
         df = df.filter((F.col("date") <= F.lit(end).cast("date")) & (F.col("year") <= int(end[:4])))
     value = null_sentinels(F.col("value"))
@@ -168,20 +169,19 @@ def scan_static(cell: DataFrame, name: str, value: float | str) -> DataFrame:
 
 
 def catalog_files(spark: SparkSession, path: str, start: str, end: str) -> DataFrame:
-    """Files of a map stack that overlap the run, in order of their first date: (file, first_date, last_date, rank).
+    """Files of a map stack that overlap the run, in order of their first date: (variable, file, first_date, last_date, rows, rank).
 
-    The window runs over one row per file of a variable.
+    Only the stack's manifest is read. The window runs over one row per file of a variable.
     """
     from pyspark.sql import Window as W
 
-    stack = spark.read.parquet(path)
-    if "year" in stack.columns:  # partitions outside the run are not even listed
-        stack = stack.filter(F.col("year").between(int(start[:4]), int(end[:4])))
-    spans = stack.select(F.col(_FILE).alias("file"), "variable", "date").groupBy("variable", "file").agg(
-        F.min("date").alias("first_date"), F.max("date").alias("last_date")
+    spans = manifest.read(spark, path).filter(F.col("file").isNotNull())
+    kept = spans.filter(
+        F.col("year").between(int(start[:4]), int(end[:4]))
+        & (F.col("last_date") >= F.lit(start).cast("date")) & (F.col("first_date") <= F.lit(end).cast("date"))
     )
-    kept = spans.filter((F.col("last_date") >= F.lit(start).cast("date")) & (F.col("first_date") <= F.lit(end).cast("date")))
-    return kept.withColumn("rank", F.row_number().over(W.partitionBy("variable").orderBy("first_date", "file")))
+    ranked = kept.withColumn("rank", F.row_number().over(W.partitionBy("variable").orderBy("first_date", "file")))
+    return ranked.select("variable", "file", "first_date", "last_date", "rows", "rank")
 
 
 def load_state(cell: DataFrame, snapshot: DataFrame, variable: str, default: float = 0.0) -> DataFrame:
@@ -216,9 +216,3 @@ def read_release_schedule(bodies: DataFrame, release: DataFrame, supply: DataFra
     else:
         out = out.join(long(supply, "supply"), ["body", "doy"], "left")
     return out.na.fill(-1.0, ["release", "supply"])
-
-
-def read_many(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Files of one variable in order, with `file_rank` for `runs.union_files`."""
-    parts = [spark.read.parquet(p).withColumn("file_rank", F.lit(i)) for i, p in enumerate(paths)]
-    return reduce(DataFrame.unionByName, parts)

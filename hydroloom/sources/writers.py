@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hydroloom.functions import dates
-from hydroloom.session import cut_lineage
+from hydroloom.session import cut_lineage, drop_path
+from hydroloom.sources import manifest
 
 
 def stamp(series: DataFrame, kind: str) -> DataFrame:
@@ -27,7 +28,7 @@ def write_cell_series(
     Range partitioning samples the keys, so a variable that holds most rows is spread over many
     files. A file has all days of its cells: month and year aggregates are complete before their
     shuffle, and boxes of cells skip row groups. A path that exists is an error unless `mode` says more, so that a
-    second run cannot double the rows.
+    second run cannot double the rows. The stack's manifest is brought up to date afterwards.
     """
     out = stamp(series, kind).withColumn("year", F.year("date"))
     (
@@ -35,6 +36,7 @@ def write_cell_series(
         .sortWithinPartitions("variable", "year", "cell_id", "date")
         .write.mode(mode).option("partitionOverwriteMode", partitions).partitionBy("variable", "year").parquet(path)
     )
+    manifest.refresh(series.sparkSession, path)
 
 
 def _write_lines(lines: DataFrame, path: str) -> None:
@@ -115,11 +117,13 @@ def write_clip_catalog(series: DataFrame, target: str, skip: str = "RCP_CO2") ->
     listed = f"{target}/_variables"
     try:
         wanted = wanted.join(spark.read.schema("variable string").parquet(listed), "variable", "left_anti")
-    except AnalysisException:
-        pass  # nothing written yet
+    except AnalysisException as error:
+        if not manifest.is_missing(error):
+            raise
     wanted = cut_lineage(wanted, "clip")
     write_cell_series(wanted, target, mode="overwrite", partitions="dynamic")
     wanted.select("variable").distinct().write.mode("append").parquet(listed)
+    drop_path(spark, wanted._scratch_path)
 
 
 def snapshot_state(states: DataFrame, snapshot_dates: DataFrame, path: str) -> None:

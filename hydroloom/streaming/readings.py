@@ -141,8 +141,8 @@ def stream_quota_alarm(days: DataFrame, quota: float) -> DataFrame:
 
 
 def stream_static_join(readings: DataFrame, station: DataFrame) -> DataFrame:
-    """Readings with the attributes of their station; the static side is planned by its size in each batch."""
-    return readings.join(station, "gauge_id")
+    """Readings with the attributes of their station, NULL for an unknown one; the static side is planned by its size in each batch."""
+    return readings.join(station, "gauge_id", "left")
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, schema: T.StructType | str | None = None) -> DataFrame:

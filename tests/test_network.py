@@ -177,8 +177,8 @@ def test_a_long_chain_of_gauges_is_folded_by_doubling(spark, monkeypatch):
     written = []
     cut = network.cut_lineage
 
-    def counted(df, label):
-        table = cut(df, label)
+    def counted(df, label, instead_of=None):
+        table = cut(df, label, instead_of)
         written.append(table.count())
         return table
 
