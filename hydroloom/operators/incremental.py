@@ -11,7 +11,7 @@ import datetime as dt
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hydroloom.operators.temporal import from_months, month_parts
@@ -50,37 +50,43 @@ def _after(series: DataFrame, day: dt.date) -> DataFrame:
 
 
 def _write(parts: DataFrame, store: str) -> None:
-    parts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(f"{store}/parts")
+    """Replace the months of `parts`; small months become one file, large ones are split by adaptive execution."""
+    parts.hint("rebalance", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(f"{store}/parts")
 
 
 def fold_days(series: DataFrame, store: str, keys: list[str], spin: Column) -> dt.date | None:
     """Fold the days of `series(keys, date, value)` behind the frontier into the store; returns the new frontier.
 
-    Only those days are read, and of the store only the month the frontier lies in. Months are replaced whole, and what a month
-    already holds is told by its own last date, so a run that failed between parts and frontier is simply run again.
+    Only those days are read, and of the store only the month the frontier lies in, if that is not complete. Months are replaced
+    whole, and what a month already holds is told by its own last date, so a run that failed between parts and frontier is
+    simply run again.
     """
     spark = series.sparkSession
     known = frontier(spark, store)
     new = series.select(*keys, "date", "value") if known is None else _after(series, known).select(*keys, "date", "value")
     old = None
-    if known is not None:
-        open_month = known.replace(day=1)
-        old = read_parts(spark, store).filter(F.col("month") == F.lit(open_month))
+    if known is not None and (known + dt.timedelta(days=1)).day > 1:
+        open_month = F.lit(known.replace(day=1))
+        old = read_parts(spark, store).filter(F.col("month") == open_month)
         held = old.agg(F.max("last_date")).first()[0]
         if held is not None and held > known:
-            new = new.filter((F.trunc("date", "month") > F.lit(open_month)) | (F.col("date") > F.lit(held)))
-    seen = Observation()
-    days = new.observe(seen, F.max("date").alias("upto"), F.count(F.lit(1)).alias("rows"))
-    parts = month_parts(days, keys, spin)
+            new = new.filter((F.trunc("date", "month") > open_month) | (F.col("date") > F.lit(held)))
+    parts = month_parts(new, keys, spin)
     if old is not None:
         parts = merged(parts.unionByName(old.select(*parts.columns)), keys)
     _write(parts, store)
-    upto = seen.get["upto"]
-    if old is not None and held is not None:
-        upto = max(upto or held, held)
+    try:
+        written = read_parts(spark, store)
+    except AnalysisException:
+        if known is None:
+            return None  # a first run without any day
+        raise
+    if known is not None:
+        written = written.filter(F.col("month") >= F.lit(known.replace(day=1)))
+    upto = written.agg(F.max("last_date")).first()[0]
     if upto is not None and upto != known:
         spark.createDataFrame([(upto,)], "upto date").coalesce(1).write.mode("append").parquet(f"{store}/frontier")
-    return upto or known
+    return upto
 
 
 def refold_months(series: DataFrame, store: str, keys: list[str], spin: Column, months: list[dt.date]) -> None:
