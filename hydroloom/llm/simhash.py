@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from hydroloom.llm.components import components
 from hydroloom.llm.text import map_batches, whole_texts
-from hydroloom.session import cut_lineage, drop_path
+from hydroloom.session import cut_lineage
 
 CELL = 64
 TILE = 512
@@ -163,6 +163,7 @@ SIMILARITY = 0.8
 PREFIX = 5  # sets of n shingles that are similar share one of the first n // 5 + 1 of each, whatever the common order
 SAMPLE_DOCS = 50_000  # of these the common shingles are counted, which come last in that order
 COMMON = 3
+BROADCAST_IDS = 1_000_000  # 8 MB of ids
 _COLUMNS = 4096
 
 
@@ -220,35 +221,12 @@ def jaccard(sets: list[np.ndarray]) -> np.ndarray:
     return np.where(union > 0, both / np.maximum(union, 1), 1.0)
 
 
-def _tile_links(rows: pd.DataFrame) -> pd.DataFrame:
-    """Links inside one tile (two slots of a large cell): each point with the smallest one it is connected to in the tile."""
-    rows = rows.sort_values("doc_id")
-    marks = rows[[f"s{k}" for k in range(LANES)]].to_numpy(np.int64).view(np.uint64)
-    apart = sum(np.bitwise_count(marks[:, None, k] ^ marks[None, :, k]).astype(np.int16) for k in range(LANES))
-    near = apart <= NEAR_BITS
-    some = np.flatnonzero(near.sum(axis=1) > 1)
-    ids = rows["doc_id"].to_numpy()[some]
-    if not len(some):
-        return pd.DataFrame({"u": ids, "v": ids})
-    sets = [np.asarray(s, np.int64) for s in rows["shingles"].iloc[some]]
-    close = near[np.ix_(some, some)] & (jaccard(sets) >= SIMILARITY)
-    np.fill_diagonal(close, True)
-    label = np.arange(len(some))
-    while True:
-        moved = np.where(close, label[None, :], len(some)).min(axis=1)
-        if (moved == label).all():
-            break
-        label = moved
-    far = label != np.arange(len(some))
-    return pd.DataFrame({"u": ids[far], "v": ids[label[far]]})
-
-
 def similar_links(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """`u, v`: edges whose components are those of all pairs that share a cell and are similar.
+    """`u, v`: documents linked with the first document of a cell they share, where both are similar.
 
-    A pair within NEAR_BITS, by the Manhattan bound first, is compared by its sets of shingles. Large cells are dealt into slots;
-    every pair of slots is a tile of at most about twice TILE points, compared in one task and returned as a forest,
-    so neither a task nor the output holds a whole cell's pairs.
+    All points of a cell are joined with its first one alone, under the Manhattan bound and then by the bits themselves; of a
+    document's partners the nearest is compared by the sets. So the rows are linear in the points, however large a cell is;
+    what stays unlinked is left to `missing_links`, which is exact.
     """
     masks = group_masks(4)
     seen = []
@@ -256,31 +234,27 @@ def similar_links(docs: DataFrame, marks: DataFrame) -> DataFrame:
         parts = [embedding(F.col(f"w{g // 4}")).bitwiseAND(F.lit(signed(masks[g % 4]))) for g in pair]
         seen.append(F.xxhash64(F.lit(number), *parts))
     cells = marks.select("doc_id", F.explode(F.array(*seen)).alias("cell"))
-    counted = cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
-    held = cut_lineage(cells.join(counted, "cell"), "wide-cells")
-    bits = marks.select("doc_id", *[f"s{k}" for k in range(LANES)])
-    small = held.filter(F.col("n") <= CELL).join(bits, "doc_id")
-    a, b = small.alias("a"), small.alias("b")
-    apart = sum((F.bit_count(F.col(f"a.s{k}").bitwiseXOR(F.col(f"b.s{k}"))) for k in range(LANES)), F.lit(0))
-    bound = sum(
-        (F.bit_count(embedding(F.col(f"a.s{k}")).bitwiseXOR(embedding(F.col(f"b.s{k}")))) for k in range(LANES)), F.lit(0)
-    )
-    near = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (bound <= NEAR_BITS) & (apart <= NEAR_BITS)
-    pairs = cut_lineage(a.join(b, near).select(F.col("b.doc_id").alias("u"), F.col("a.doc_id").alias("v")).distinct(), "near-pairs")
-    large = held.filter(F.col("n") > CELL)
-
-    sets = _sets_of(docs, pairs, large)
-    verified = _verified(pairs, sets).select("u", "v")
-    crowded = _tiles(large).join(bits, "doc_id").join(sets, "doc_id").groupBy("cell", "i", "j").applyInPandas(_tile_links, "u long, v long")
-    return verified.union(crowded).distinct()
-
-
-def _sets_of(docs: DataFrame, pairs: DataFrame, large: DataFrame) -> DataFrame:
-    """`doc_id, shingles` of the documents of `pairs` (u, v) and `large`."""
-    wanted = pairs.select("u").union(pairs.select("v")).union(large.select("doc_id")).distinct().withColumnRenamed("u", "doc_id")
-    sets = shingle_sets(whole_texts(docs).join(wanted, "doc_id", "left_semi"))
+    first = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("doc_id").alias("v")).filter("n > 1").drop("n")
+    stars = cells.withColumnRenamed("doc_id", "u").join(first, "cell").filter("u <> v").select("u", "v").distinct()
+    stars = cut_lineage(stars, "near-stars")
+    bits = [f"s{k}" for k in range(LANES)]
+    a, b = (marks.select(F.col("doc_id").alias(c), *[F.col(s).alias(f"{c}_{s}") for s in bits]) for c in "uv")
+    apart = sum((F.bit_count(F.col(f"u_{s}").bitwiseXOR(F.col(f"v_{s}"))) for s in bits), F.lit(0))
+    bound = sum((F.bit_count(embedding(F.col(f"u_{s}")).bitwiseXOR(embedding(F.col(f"v_{s}")))) for s in bits), F.lit(0))
+    near = stars.join(a, "u").join(b, "v").filter((bound <= NEAR_BITS) & (apart <= NEAR_BITS))
+    pairs = near.groupBy("u").agg(F.min(F.struct(apart.alias("apart"), "v")).alias("best")).select("u", "best.v")
+    pairs = cut_lineage(pairs, "near-pairs", stars)
+    return _verified(pairs, _sets_of(docs, pairs.select("u").union(pairs.select("v")))).select("u", "v")
+
+
+def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """`doc_id, shingles` of the documents of `ids`."""
+    wanted = cut_lineage(ids.toDF("doc_id").distinct(), "wanted-documents")
+    # Ids are sent to the texts while they are few; beyond that both sides are shuffled.
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    sets = shingle_sets(whole_texts(docs).join(side, "doc_id", "left_semi"))
     # Rows that share a doc_id are one document: the longest text stands for it.
-    return cut_lineage(sets.groupBy("doc_id").agg(F.max_by("shingles", F.size("shingles")).alias("shingles")), "shingle-sets")
+    return cut_lineage(sets.groupBy("doc_id").agg(F.max_by("shingles", F.size("shingles")).alias("shingles")), "shingle-sets", wanted)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -355,9 +329,7 @@ def missing_links(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     cells = cut_lineage(prefix_cells(docs, common_shingles(docs)), "prefix-cells")
     repeated = cells.groupBy("cell").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
-    shared = cut_lineage(cells.join(repeated.select("cell"), "cell"), "shared-cells")
-    drop_path(docs.sparkSession, cells._scratch_path)
-    placed = cut_lineage(shared.join(labels, "doc_id"), "placed-cells")
+    placed = cut_lineage(cells.join(repeated.select("cell"), "cell").join(labels, "doc_id"), "placed-cells", cells)
     mark = F.xxhash64("doc_id")
     members = [F.sum(mark.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"), F.sum(F.shiftrightunsigned(mark, 32)).alias("high")]
     counted = placed.groupBy("cell").agg(
@@ -365,7 +337,7 @@ def missing_links(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), *members,
     )
     wanted = counted.filter("one < other").groupBy("n", "first", "last", "low", "high").agg(F.min("cell").alias("cell"))
-    held = cut_lineage(placed.join(wanted.select("cell", "n"), "cell"), "open-cells")
+    held = cut_lineage(placed.join(wanted.select("cell", "n"), "cell"), "open-cells", placed)
     small = held.filter(F.col("n") <= CELL)
     a, b = small.alias("a"), small.alias("b")
     sizes = F.col("a.size"), F.col("b.size")
@@ -376,7 +348,7 @@ def missing_links(docs: DataFrame, labels: DataFrame) -> DataFrame:
     names = [F.col("b.doc_id").alias("u"), F.col("a.doc_id").alias("v"), F.col("b.label").alias("lu"), F.col("a.label").alias("lv")]
     pairs = cut_lineage(a.join(b, near).select(*names).distinct(), "open-pairs")
     large = held.filter(F.col("n") > CELL)
-    sets = _sets_of(docs, pairs, large)
+    sets = _sets_of(docs, pairs.select("u").union(pairs.select("v")).union(large.select("doc_id")))
     verified = _verified(pairs, sets).select(F.col("lu").alias("u"), F.col("lv").alias("v"))
     crowded = _tiles(large).join(sets, "doc_id").groupBy("cell", "i", "j").applyInPandas(_open_links, "u long, v long")
     return verified.union(crowded).distinct()
