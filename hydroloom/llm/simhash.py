@@ -163,6 +163,7 @@ SIMILARITY = 0.8
 PREFIX = 5  # sets of n shingles that are similar share one of the first n // 5 + 1 of each, whatever the common order
 SAMPLE_DOCS = 50_000  # of these the common shingles are counted, which come last in that order
 COMMON = 3
+BITMAP = 16  # longs of a document's bitmap of shingles
 BROADCAST_IDS = 1_000_000  # 8 MB of ids
 _COLUMNS = 4096
 
@@ -171,29 +172,62 @@ def distinct_shingles(words: list[bytes], size: int) -> np.ndarray:
     return np.unique(shingle_hashes(words, size))
 
 
+def _digest(shingles: np.ndarray) -> int:
+    """Sum of the hashes, which tells sets of one size apart."""
+    return int(shingles.sum(dtype=np.uint64)) >> 1
+
+
 def wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """`doc_id`, four lanes `w0..w3` over the distinct words and four `s0..s3` over the distinct shingles."""
+    """`doc_id, size, digest` of the distinct shingles, four lanes `w0..w3` over the distinct words and four `s0..s3` over
+    the shingles, and `b0..`: the bits that the shingles set in a map of BITMAP longs."""
+    names = ["size", "digest", *[f"w{k}" for k in range(LANES)], *[f"s{k}" for k in range(LANES)], *[f"b{k}" for k in range(BITMAP)]]
 
     def run(ids: list, texts: list) -> dict[str, list]:
-        names = [f"w{k}" for k in range(LANES)] + [f"s{k}" for k in range(LANES)]
         rows = []
         for text in texts:
             words = text.encode().lower().split()
             single = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in set(words)), np.uint64)
-            rows.append(lanes(single, LANES) + lanes(distinct_shingles(words, shingle), LANES))
+            own = distinct_shingles(words, shingle)
+            bits = np.zeros(64 * BITMAP, np.uint8)
+            bits[own % np.uint64(64 * BITMAP)] = 1
+            bitmap = np.packbits(bits, bitorder="little").view(np.int64).tolist()
+            rows.append([len(own), _digest(own), *lanes(single, LANES), *lanes(own, LANES), *bitmap])
         return {"doc_id": ids} | {name: [row[k] for row in rows] for k, name in enumerate(names)}
 
-    schema = "doc_id long, " + ", ".join(f"{kind}{k} long" for kind in "ws" for k in range(LANES))
-    return map_batches(docs, run, schema, slice_rows=200)
+    return map_batches(docs, run, "doc_id long, " + ", ".join(f"{name} long" for name in names), slice_rows=200)
 
 
 def shingle_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """`doc_id, shingles`: hashes of the distinct shingles."""
+    """`doc_id, size, digest, shingles`: hashes of the distinct shingles."""
 
     def run(ids: list, texts: list) -> dict[str, list]:
-        return {"doc_id": ids, "shingles": [distinct_shingles(t.encode().lower().split(), shingle).view(np.int64) for t in texts]}
+        own = [distinct_shingles(t.encode().lower().split(), shingle) for t in texts]
+        return {"doc_id": ids, "size": list(map(len, own)), "digest": list(map(_digest, own)), "shingles": [o.view(np.int64) for o in own]}
+
+    return map_batches(docs, run, "doc_id long, size long, digest long, shingles array<long>", slice_rows=200)
+
+
+def _longest(rows: DataFrame) -> DataFrame:
+    """One row for each doc_id: the one with the most shingles stands for rows that share it."""
+    names = [c for c in rows.columns if c != "doc_id"]
+    return rows.groupBy("doc_id").agg(F.max(F.struct(*names)).alias("r")).select("doc_id", "r.*")
+
+
+def possible(pairs: DataFrame, marks: DataFrame, columns: list[str] = ()) -> DataFrame:
+    """`pairs` (u, v) that may be similar, with `columns` of both sides as `u_...` and `v_...`; no similar pair is lost.
+
+    A bit of one map that the other lacks stands for at least one shingle the other lacks, which bounds what both share.
+    """
+    bits = [f"b{k}" for k in range(BITMAP)]
+    a, b = (marks.select(F.col("doc_id").alias(c), *[F.col(s).alias(f"{c}_{s}") for s in ("size", *bits, *columns)]) for c in "uv")
+
+    def most(x: str, y: str) -> Column:
+        alone = sum((F.bit_count(F.col(f"{x}_{s}").bitwiseAND(F.bitwise_not(f"{y}_{s}"))) for s in bits), F.lit(0))
+        return F.col(f"{x}_size") - alone
 
-    return map_batches(docs, run, "doc_id long, shingles array<long>", slice_rows=200)
+    near = F.least(most("u", "v"), most("v", "u")) * 9 >= (F.col("u_size") + F.col("v_size")) * 4
+    kept = [f"{c}_{s}" for c in "uv" for s in columns]
+    return pairs.join(a, "u").join(b, "v").filter(near).select(*pairs.columns, *kept)
 
 
 def wide_choices() -> list[tuple[int, int]]:
@@ -238,10 +272,9 @@ def similar_links(docs: DataFrame, marks: DataFrame) -> DataFrame:
     stars = cells.withColumnRenamed("doc_id", "u").join(first, "cell").filter("u <> v").select("u", "v").distinct()
     stars = cut_lineage(stars, "near-stars")
     bits = [f"s{k}" for k in range(LANES)]
-    a, b = (marks.select(F.col("doc_id").alias(c), *[F.col(s).alias(f"{c}_{s}") for s in bits]) for c in "uv")
     apart = sum((F.bit_count(F.col(f"u_{s}").bitwiseXOR(F.col(f"v_{s}"))) for s in bits), F.lit(0))
     bound = sum((F.bit_count(embedding(F.col(f"u_{s}")).bitwiseXOR(embedding(F.col(f"v_{s}")))) for s in bits), F.lit(0))
-    near = stars.join(a, "u").join(b, "v").filter((bound <= NEAR_BITS) & (apart <= NEAR_BITS))
+    near = possible(stars, marks, bits).filter((bound <= NEAR_BITS) & (apart <= NEAR_BITS))
     pairs = near.groupBy("u").agg(F.min(F.struct(apart.alias("apart"), "v")).alias("best")).select("u", "best.v")
     pairs = cut_lineage(pairs, "near-pairs", stars)
     return _verified(pairs, _sets_of(docs, pairs.select("u").union(pairs.select("v")))).select("u", "v")
@@ -253,8 +286,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     # Ids are sent to the texts while they are few; beyond that both sides are shuffled.
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     sets = shingle_sets(whole_texts(docs).join(side, "doc_id", "left_semi"))
-    # Rows that share a doc_id are one document: the longest text stands for it.
-    return cut_lineage(sets.groupBy("doc_id").agg(F.max_by("shingles", F.size("shingles")).alias("shingles")), "shingle-sets", wanted)
+    return cut_lineage(_longest(sets).select("doc_id", "shingles"), "shingle-sets", wanted)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -320,7 +352,7 @@ def _open_links(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(np.unique(np.stack([groups[a], groups[b]], axis=1), axis=0), columns=["u", "v"])
 
 
-def missing_links(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def missing_links(docs: DataFrame, labels: DataFrame, marks: DataFrame) -> DataFrame:
     """`u, v`: edges between the groups of `labels` (doc_id, label) that hold similar documents, none left out.
 
     Similar sets of n shingles share one of the first n // 5 + 1 of each in any common order, so these are the cells. Cells
@@ -347,6 +379,7 @@ def missing_links(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
     names = [F.col("b.doc_id").alias("u"), F.col("a.doc_id").alias("v"), F.col("b.label").alias("lu"), F.col("a.label").alias("lv")]
     pairs = cut_lineage(a.join(b, near).select(*names).distinct(), "open-pairs")
+    pairs = cut_lineage(possible(pairs, marks), "open-pairs", pairs)  # few are left whose sets must be sent to each other
     large = held.filter(F.col("n") > CELL)
     sets = _sets_of(docs, pairs.select("u").union(pairs.select("v")).union(large.select("doc_id")))
     verified = _verified(pairs, sets).select(F.col("lu").alias("u"), F.col("lv").alias("v"))
@@ -362,10 +395,9 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     similar, so no link is lost. Rows that share a doc_id are one document.
     """
     known = docs.filter(F.col("doc_id").isNotNull())
-    marks = wide_fingerprints(known)
-    marks = cut_lineage(marks.groupBy("doc_id").agg(*[F.min(c).alias(c) for c in marks.columns[1:]]), "wide-fingerprints")
+    marks = cut_lineage(_longest(wide_fingerprints(known)), "wide-fingerprints")
     found = components(similar_links(known, marks))
     labels = marks.select("doc_id").join(found, F.col("doc_id") == F.col("u"), "left")
     labels = cut_lineage(labels.select("doc_id", F.coalesce("v", "doc_id").alias("label")), "first-groups")
-    merged = components(missing_links(known, labels))
+    merged = components(missing_links(known, labels, marks))
     return labels.join(merged, F.col("label") == F.col("u"), "left").select("doc_id", F.coalesce("v", "label").alias("component_id"))
