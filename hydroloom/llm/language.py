@@ -9,6 +9,7 @@ its training text, so the filter's size is bounded by parameters whatever the co
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,7 +27,9 @@ HASHES = 3
 SLICE = 63  # languages per word of a slot
 UNDETERMINED = "und"
 CACHED_WORDS = 300_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+# Superscripts, fractions and number letters are word characters but no letters.
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
