@@ -11,7 +11,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from struct import pack
 
 import numpy as np
@@ -25,6 +27,7 @@ CELLS = 1 << 19
 LONG_PIECE = 1024
 CACHED_PIECES = 600_000
 _SLOT_BITS = 20
+_PLACE_BITS = 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,6 +59,7 @@ class Merges:
             self.ranks[at[won]] = values[waiting[won]]
             waiting, at, step = waiting[~won], (at[~won] + 1) & (len(self.slots) - 1), step + 1
         self.steps = step
+        self._pairs: dict[int, int] | None = None
 
     @staticmethod
     def _key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -147,24 +151,41 @@ class Merges:
         return out
 
     def _encode_long(self, piece: bytes) -> list[int]:
-        """One row of its own, merged in place."""
-        ids = self.first[np.frombuffer(piece, np.uint8)].copy()
-        ranks = self.rank(ids[:-1], ids[1:])
-        size = len(ids)
-        while size > 1:
-            at = int(ranks[: size - 1].argmin())
-            rank = ranks[at]
-            if rank == NONE:
-                break
-            ids[at] = rank
-            ids[at + 1 : size - 1] = ids[at + 2 : size]
-            ranks[at : size - 2] = ranks[at + 1 : size - 1]
-            size -= 1
-            if at < size - 1:
-                ranks[at] = self.rank(ids[at : at + 1], ids[at + 1 : at + 2])[0]
-            if at:
-                ranks[at - 1] = self.rank(ids[at - 1 : at], ids[at : at + 1])[0]
-        return ids[:size].tolist()
+        """One row of its own as a linked list: a heap holds its pairs by rank, then place, so work grows as n log n."""
+        row = self.first[np.frombuffer(piece, np.uint8)]
+        ids, size = array("i", row.tobytes()), len(row)
+        after, before = array("q", range(1, size + 1)), array("q", range(-1, size - 1))
+        ranks = self.rank(row[:-1], row[1:])
+        merging = np.flatnonzero(ranks != NONE)
+        heap = ((ranks[merging].astype(np.int64) << _PLACE_BITS) | merging).tolist()
+        heapify(heap)
+        known = self._by_pair()
+        while heap:
+            rank, at = divmod(heappop(heap), 1 << _PLACE_BITS)
+            right = after[at]
+            # A pair that changed since it was pushed is skipped; its new form has an entry of its own.
+            if ids[at] < 0 or right == size or known.get((ids[at] << 32) | ids[right]) != rank:
+                continue
+            ids[at], ids[right] = rank, -1
+            after[at] = further = after[right]
+            if further < size:
+                before[further] = at
+                joined = known.get((rank << 32) | ids[further])
+                if joined is not None:
+                    heappush(heap, (joined << _PLACE_BITS) | at)
+            left = before[at]
+            if left >= 0:
+                joined = known.get((ids[left] << 32) | rank)
+                if joined is not None:
+                    heappush(heap, (joined << _PLACE_BITS) | left)
+        return [token for token in ids if token >= 0]
+
+    def _by_pair(self) -> dict[int, int]:
+        """The hash table's entries as a dictionary, for lookups one at a time; made when first needed."""
+        if self._pairs is None:
+            used = np.flatnonzero(self.slots >= 0)
+            self._pairs = dict(zip(self.slots[used].tolist(), self.ranks[used].tolist(), strict=True))
+        return self._pairs
 
 
 def read_ranks(path: str) -> bytes:
