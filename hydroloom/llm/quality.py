@@ -22,6 +22,7 @@ DIMENSIONS = 1024
 SAMPLE_ROWS = 8_000  # bound of the rows that the scorer is fitted on; votes and posteriors cover all rows
 EM_ROUNDS = 100
 CACHED_WORDS = 300_000
+_LARGEST = 2**63 - 1
 REJECT_BELOW = 0.4  # below even odds, so that a doubtful document stays
 
 _SYMBOL = re.compile(r"[^\w\s.,;:!?'\"()’„“”«»¿¡–—-]")
@@ -190,14 +191,17 @@ def classify(docs: DataFrame) -> DataFrame:
 
     A null or empty text votes bad where a labeller needs no length. Repeated rows count as often as they come and have equal results.
     The votes of all documents enter the estimate; their patterns, at most 3 to the number of labellers, are all that
-    reaches the driver, besides the features of at most about SAMPLE_ROWS documents chosen by a hash of their id.
+    reaches the driver, besides the features of at most SAMPLE_ROWS documents, the least by a hash of id and features.
     """
     held = cut_lineage(features(docs), "quality-features")
     patterns = [(r["votes"], r["n"]) for r in held.groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes").collect()]
     good = posteriors(patterns)
-    rate = min(1.0, SAMPLE_ROWS / max(1, sum(n for _, n in patterns)))
-    chosen = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(1_000_000)) < F.lit(int(rate * 1_000_000))
-    sample = held.filter(chosen).select("votes", "slots", "weights").toPandas()
+    total = sum(n for _, n in patterns)
+    # A threshold on 63 bits leaves little more rows than wanted, of which the least by hash are taken.
+    place = F.xxhash64("doc_id", "votes", "slots", "weights").bitwiseAND(F.lit(_LARGEST))
+    least = min(_LARGEST, 2 * SAMPLE_ROWS * _LARGEST // max(1, total))
+    chosen = held.withColumn("place", place).filter(F.col("place") <= least).orderBy("place").limit(SAMPLE_ROWS)
+    sample = chosen.select("votes", "slots", "weights").toPandas()
     matrix = np.zeros((len(sample), DIMENSIONS), np.float64)
     for at, row in enumerate(sample.itertuples()):
         matrix[at, row.slots] = row.weights
@@ -207,7 +211,7 @@ def classify(docs: DataFrame) -> DataFrame:
         F.zip_with("slots", "weights", lambda s, w: w * F.element_at(weights, s + 1)), F.lit(float(scorer[-1])), lambda a, x: a + x
     )
     scored = held.select("doc_id", (1 / (1 + F.exp(-logit))).alias("score"), "votes")
-    by_pattern = F.create_map(*[F.lit(x) for pair in good.items() for x in pair]) if good else F.create_map(F.lit(""), F.lit(0.0))
-    return scored.select(
-        "doc_id", "score", (F.col("score") >= REJECT_BELOW).alias("accepted"), "votes", by_pattern[F.col("votes")].alias("posterior")
+    by_pattern = held.sparkSession.createDataFrame(list(good.items()), "votes string, posterior double")
+    return scored.join(F.broadcast(by_pattern), "votes").select(
+        "doc_id", "score", (F.col("score") >= REJECT_BELOW).alias("accepted"), "votes", "posterior"
     )
