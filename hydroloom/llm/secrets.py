@@ -85,12 +85,21 @@ def open_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LEDGER).parquet(path)
 
 
+def _free_name(name: str, taken: list[str]) -> str:
+    """`name`, with underscores behind it while a column has it (in either case)."""
+    held = {c.lower() for c in taken}
+    while name in held:
+        name += "_"
+    return name
+
+
 def scan_versions(versions: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Findings of every version: the columns of `versions` but `text`, then `sha, findings`.
 
     Only blobs that the ledger has not seen with these rules are scanned; they are appended to it. One text of equal ones
     meets the others before the shuffle (partial aggregation), so a hot blob is one row per task. A null text is the
     empty blob. Several runs must not append to one ledger at the same time; a run that is repeated finds its blobs there.
+    A column of the caller named `sha` or `findings` stays as it is; the result's own then ends in an underscore.
     """
     spark = versions.sparkSession
     version = rule_version(rules)
@@ -102,13 +111,15 @@ def scan_versions(versions: DataFrame, ledger_path: str, rules: tuple[Rule, ...]
         .select("sha", F.lit(version).alias("rule_version"), scan_text(F.col("text"), rules).alias("findings"))
         .write.mode("append").parquet(ledger_path)
     )
+    own = [c for c in versions.columns if c != "text"]
+    sha, findings = _free_name("sha", own), _free_name("findings", own)
     # Blobs without findings need no join: whatever finds no partner has none.
     hits = open_ledger(spark, ledger_path).filter((F.col("rule_version") == version) & (F.size("findings") > 0))
     # A table of its own, so that adaptive execution can split the join on a hot blob.
-    hits = cut_lineage(hits.groupBy("sha").agg(F.first("findings").alias("findings")), "secret-hits")
-    paths = versions.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256)).drop("text")
+    hits = cut_lineage(hits.groupBy(F.col("sha").alias(sha)).agg(F.first("findings").alias(findings)), "secret-hits")
+    paths = versions.withColumn(sha, F.sha2(F.coalesce("text", F.lit("")), 256)).drop("text")
     empty = F.array().cast("array<struct<kind:string,rank:int,start:long,end:long>>")
-    return paths.join(hits, "sha", "left").withColumn("findings", F.coalesce("findings", empty))
+    return paths.join(hits, sha, "left").withColumn(findings, F.coalesce(findings, empty)).select(*[f"`{c}`" for c in own], sha, findings)
 
 
 def document_secrets(docs: DataFrame, ledger_path: str | None = None) -> DataFrame:
