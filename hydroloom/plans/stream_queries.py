@@ -6,7 +6,7 @@ from hydroloom import schemas
 from hydroloom.functions.dates import date_schedule
 from hydroloom.plans.registry import query
 from hydroloom.session import scratch_path
-from hydroloom.streaming import readings
+from hydroloom.streaming import months, readings
 
 C = F.col
 # A window is closed once the latest reading minus the allowed lateness has passed its end.
@@ -20,8 +20,8 @@ def _readings(v):
     return raw.select(C("user_id").alias("gauge_id"), "ts", C("event_type").alias("variable"), "value")
 
 
-def _run(v, stream, label):
-    return readings.run_to_table(stream, scratch_path(v.spark, label), scratch_path(v.spark, f"{label}-state"))
+def _run(v, stream, label, run=readings.run_to_table):
+    return run(stream, scratch_path(v.spark, label), scratch_path(v.spark, f"{label}-state"))
 
 
 @query("stream_daily", f"with {DAYS} select gauge_id, variable, date, n, round(total, 6) as total, round(mean, 6) as mean from d")
@@ -48,8 +48,8 @@ def _stretched(v):
 
 def _closed_days(v):
     path = scratch_path(v.spark, "days")
-    table = readings.run_to_table(readings.stream_daily(_stretched(v)), path, scratch_path(v.spark, "days-state"))
-    return readings.closed_days(v.spark, path, table.schema)
+    months.commit_days(readings.stream_daily(_stretched(v)), path, scratch_path(v.spark, "days-state"))
+    return months.closed_days(v.spark, path)
 
 
 STRETCH = """r as (select gauge_id, make_timestamp(epoch_us(timestamp '2024-01-01') + (epoch_us(ts) - epoch_us(timestamp '2024-01-01')) * 6) as ts, variable, value from reading),
@@ -60,8 +60,8 @@ d as (select gauge_id, variable, ts::date as date, count(*) as n, sum(value) as
 @query("stream_month_total", f"""with {STRETCH} select gauge_id, variable, date_trunc('month', date)::date as month, sum(n)::bigint as n, round(sum(total), 6) as total
   from d, e where date_trunc('month', date) + interval 1 month + interval 1 day <= closed group by 1, 2, 3""")
 def _(v):
-    stream = readings.stream_month_total(_closed_days(v))
-    return _run(v, stream, "months").withColumn("total", F.round("total", 6))
+    stream = months.stream_month_total(_closed_days(v))
+    return _run(v, stream, "months", months.run).withColumn("total", F.round("total", 6))
 
 
 @query("stream_quota_alarm", f"""with {STRETCH}, g as (select gauge_id, date_trunc('month', date)::date as month, date, sum(total) as total from d, e
@@ -69,8 +69,8 @@ def _(v):
 c as (select *, sum(total) over (partition by gauge_id, month order by date) as month_to_date from g)
 select gauge_id, month, min(date) as date, round(arg_min(month_to_date, date), 6) as month_to_date from c where month_to_date > 123.456 group by 1, 2""")
 def _(v):
-    stream = readings.stream_quota_alarm(_closed_days(v), 123.456)
-    return _run(v, stream, "alarm").withColumn("month_to_date", F.round("month_to_date", 6))
+    stream = months.stream_quota_alarm(_closed_days(v), 123.456)
+    return _run(v, stream, "alarm", months.run).withColumn("month_to_date", F.round("month_to_date", 6))
 
 
 @query("stream_snapshot", f"""with {DAYS} select gauge_id, variable, date, n, round(total, 6) as total from d

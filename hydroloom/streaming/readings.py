@@ -1,4 +1,4 @@
-"""Streams of gauge readings: daily and slot windows, month totals, quota alarms, snapshots.
+"""Streams of gauge readings: daily and slot windows, snapshots, enrichment; `months` builds on the closed days.
 
 Input rows are `(gauge_id, ts, variable, value)`. Readings may come late up to a bound; what is
 later still is dropped by the watermark, as in any event-time aggregation.
@@ -6,16 +6,13 @@ later still is dropped by the watermark, as in any event-time aggregation.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LATENESS = "2 days"
 MICROS_PER_DAY = 86_400_000_000
+STORE_SETTING = "spark.sql.streaming.stateStore.providerClass"
 
 
 def _day_of(instant: Column) -> Column:
@@ -23,11 +20,6 @@ def _day_of(instant: Column) -> Column:
     return F.date_from_unix_date(F.floor(F.unix_micros(instant) / MICROS_PER_DAY).cast("int"))
 
 
-def _midnight(day: Column) -> Column:
-    """First instant of a UTC day."""
-    return F.timestamp_micros(F.unix_date(day).cast("long") * MICROS_PER_DAY)
-
-
 def read_stream(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet", files_per_batch: int = 1000) -> DataFrame:
     """File stream of readings; the bound on files keeps a restart after a pause from one huge batch."""
     return (
@@ -62,97 +54,33 @@ def slot_totals(daily: DataFrame) -> DataFrame:
     return daily.groupBy("gauge_id", "variable", "slot").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
-def _month_end_ms(month) -> int:
-    """First instant after a month, in epoch milliseconds."""
-    return int((pd.Timestamp(month) + pd.offsets.MonthBegin(1)).value // 1_000_000)
-
-
-def closed_days(spark: SparkSession, daily_table: str, schema: T.StructType) -> DataFrame:
-    """Stream over the table that `stream_daily` appends to.
-
-    Whole batches of closed days arrive in order, so no further lateness is allowed behind it. A
-    hot gauge reaches the state as days, not as readings. No bound on files here: a batch of the
-    daily stream must not be split, or its earlier days would count as late.
-    """
-    return spark.readStream.schema(schema).parquet(daily_table)
-
-
-def month_axis(date: Column) -> Column:
-    """Event time on which every calendar month is exactly one day long.
-
-    Months differ in length, so they are no windows of real time. On this axis, which runs in the
-    same order, month number k covers day k, and a one-day window is a month.
-    """
-    month = F.year(date) * 12 + F.month(date) - 1
-    part = (F.dayofmonth(date) - 0.5) / F.dayofmonth(F.last_day(date))
-    return F.timestamp_micros(((month + part) * MICROS_PER_DAY).cast("long"))
-
-
-def stream_month_total(days: DataFrame) -> DataFrame:
-    """Month totals per gauge and variable from `closed_days`, each emitted once, when a day of the
-    next month has closed."""
-    total = (
-        days.withColumn("axis", month_axis(F.col("date"))).withWatermark("axis", "0 seconds")
-        .groupBy(F.window("axis", "1 day").alias("w"), "gauge_id", "variable")
-        .agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-        .withColumn("k", (F.unix_micros("w.start") / MICROS_PER_DAY).cast("int"))
-    )
-    month = F.make_date(F.floor(F.col("k") / 12).cast("int"), F.pmod("k", F.lit(12)) + 1, F.lit(1))
-    return total.select("gauge_id", "variable", month.alias("month"), "n", "total")
-
-
-def _watch_quota(quota: float):
-    """Month-to-date total per (gauge, month) and whether it has passed the quota; only the first such day is reported."""
-
-    def watch(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        total, alarmed = state.get if state.exists else (0.0, False)
-        # At most one row per variable and day of one month.
-        days = pd.concat(list(batches)).groupby("date", as_index=False)["total"].sum().sort_values("date")
-        upto = total + days["total"].cumsum()
-        passed = days[upto > quota].head(0 if alarmed else 1)
-        end = _month_end_ms(key[1])
-        if state.getCurrentWatermarkMs() < end:
-            state.update((float(upto.iloc[-1]), bool(alarmed or len(passed))))
-            state.setTimeoutTimestamp(end)
-        elif state.exists:
-            state.remove()
-        if len(passed):
-            yield pd.DataFrame(
-                {"gauge_id": key[0], "month": key[1], "date": passed["date"], "month_to_date": upto[passed.index]}
-            )
-
-    return watch
-
-
-ALARM_SCHEMA = "gauge_id long, month date, date date, month_to_date double"
-
-
-def stream_quota_alarm(days: DataFrame, quota: float) -> DataFrame:
-    """First day of each gauge and month on which the withdrawals so far pass the quota, from `closed_days`."""
-    dated = days.withColumn("ts", _midnight(F.date_add("date", 1))).withWatermark("ts", "0 seconds").withColumn(
-        "month", F.trunc("date", "MM")
-    )
-    return dated.groupBy("gauge_id", "month").applyInPandasWithState(
-        _watch_quota(quota), ALARM_SCHEMA, "total double, alarmed boolean", "append", GroupStateTimeout.EventTimeTimeout
-    )
-
-
 def stream_static_join(readings: DataFrame, station: DataFrame) -> DataFrame:
     """Readings with the attributes of their station, NULL for an unknown one; the static side is planned by its size in each batch."""
     return readings.join(station, "gauge_id", "left")
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Run a stream over what is available into a parquet table and return the table."""
-    query = (
-        stream.writeStream.format("parquet").option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(availableNow=True).start(path)
-    )
-    query.awaitTermination()
+def run_to_table(
+    stream: DataFrame, path: str, checkpoint: str, schema: T.StructType | str | None = None, state_store: str | None = None
+) -> DataFrame:
+    """Run a stream over what is available into a parquet table and return the table.
+
+    `state_store` is the provider class of its state, where it needs another one than the session's.
+    """
     spark = stream.sparkSession
+    before = spark.conf.get(STORE_SETTING, None)
+    if state_store:
+        spark.conf.set(STORE_SETTING, state_store)
+    try:
+        query = (
+            stream.writeStream.format("parquet").option("checkpointLocation", checkpoint)
+            .outputMode("append").trigger(availableNow=True).start(path)
+        )
+        query.awaitTermination()
+    finally:
+        if state_store and before is None:
+            spark.conf.unset(STORE_SETTING)
+        elif state_store:
+            spark.conf.set(STORE_SETTING, before)
     return spark.read.schema(schema or stream.schema).parquet(path)
 
 

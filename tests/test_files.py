@@ -140,29 +140,6 @@ def test_late_readings_within_the_bound_count(spark, tmp_path):
     assert got[dt.date(2024, 1, 2)] == (1, 1.0) and dt.date(2024, 1, 9) not in got
 
 
-@pytest.mark.parametrize("kind", ["total", "alarm"])
-def test_months_close_once(spark, tmp_path, kind):
-    schema = "gauge_id long, variable string, date date, n long, total double, mean double"
-    source, state, out = (str(tmp_path / n) for n in ("days", "state", "out"))
-
-    def feed(first, last):
-        days = [(1, "q", first + dt.timedelta(days=i), 1, 2.0, 2.0) for i in range((last - first).days + 1)]
-        spark.createDataFrame(days, schema).coalesce(1).write.mode("append").parquet(source)
-        frame = spark.createDataFrame([], schema)
-        stream = readings.closed_days(spark, source, frame.schema)
-        stream = readings.stream_month_total(stream) if kind == "total" else readings.stream_quota_alarm(stream, 41.0)
-        return readings.run_to_table(stream, out, state)
-
-    feed(dt.date(2024, 1, 10), dt.date(2024, 1, 25))
-    table = feed(dt.date(2024, 1, 26), dt.date(2024, 3, 2))
-    if kind == "total":
-        got = {r["month"]: r["total"] for r in table.collect()}
-        assert got == {dt.date(2024, 1, 1): 44.0, dt.date(2024, 2, 1): 58.0}
-    else:
-        # 21 days of 2.0 pass 41: the 30th in January, the 21st in February.
-        assert sorted(r["date"] for r in table.collect()) == [dt.date(2024, 1, 30), dt.date(2024, 2, 21)]
-
-
 def test_a_stack_that_begins_late_or_is_cut_with_a_buffer(spark, tmp_path):
     path = f"file://{tmp_path}/late"
     data = [("a", dt.date(2001, 1, 1) + dt.timedelta(days=d), r * 10 + c, r, c, float(d)) for d in range(730) for r in range(4) for c in range(4)]
