@@ -207,3 +207,47 @@ def test_a_hot_cycle_is_cut(spark):
         assert rows(cut) == [(2, None, True)]
     finally:
         spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+
+
+def _served(down, links, at):
+    """Inlet cells by serving the inflows of each gauge one by one in the order of their ids."""
+    found, taken = [], set()
+    for g, i in sorted(links):
+        cell, step = down.get(at[i]), 1
+        while cell is not None and (g, cell) in taken:
+            cell, step = down.get(cell), step + 1
+        taken.add((g, cell))
+        found.append((g, i, step if cell is not None else step - 1, cell))
+    return sorted(found, key=lambda r: r[1])
+
+
+def test_inlets_like_one_by_one(spark):
+    draw = random.Random(5)
+    down = {c: draw.randint(max(0, c - 4), c - 1) if c else None for c in range(120)}
+    at = {i: draw.choice([draw.randint(0, 119), 90, 100]) for i in range(70)}
+    links = [(i % 2, i) for i in at]
+    got = network.distinct_inlet_cells(
+        spark.createDataFrame(list(down.items()), "cell_id long, down_id long"), spark.createDataFrame(links, "gauge_id long, inflow_id long"),
+        spark.createDataFrame(list(at.items()), "gauge_id long, cell_id long"),
+    )
+    assert rows(got, "inflow_id") == _served(down, links, at)
+
+
+def test_ten_thousand_inlets_from_one_cell(spark, monkeypatch):
+    written = []
+    cut = network.cut_lineage
+    monkeypatch.setattr(network, "cut_lineage", lambda df, label, *old: written.append(label) or cut(df, label, *old))
+    n = 10_000
+    ldd = spark.range(n + 1).select(F.col("id").alias("cell_id"), F.when(F.col("id") > 0, F.col("id") - 1).alias("down_id"))
+    inflow = spark.range(n).select(F.lit(7).cast("long").alias("gauge_id"), F.col("id").alias("inflow_id"))
+    at = spark.range(n).select(F.col("id").alias("gauge_id"), F.lit(n).cast("long").alias("cell_id"))
+    got = network.distinct_inlet_cells(ldd, inflow, at)
+    assert got.filter(f"cell_id = {n} - 1 - inflow_id and step = inflow_id + 1").count() == n
+    assert written.count("inlet") == 4 and written.count("down-power") == 13
+
+
+def test_inlets_in_a_cycle_end(spark):
+    ldd = spark.createDataFrame([(1, 2), (2, 1)], "cell_id long, down_id long")
+    links = spark.createDataFrame([(9, i) for i in range(4)], "gauge_id long, inflow_id long")
+    with pytest.raises(ValueError, match="cycle"):
+        network.distinct_inlet_cells(ldd, links, spark.createDataFrame([(i, 1) for i in range(4)], "gauge_id long, cell_id long"))
