@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from hydroloom.operators.keyed import row_index_by_block, with_group
+from hydroloom.operators.keyed import row_index_by_block, running_by_block, with_group
 from hydroloom.session import cut_lineage, drop_path
 
 MAX_ROUNDS = 64  # paths of up to 2**64 cells; a loop that needs more raises
@@ -227,25 +227,35 @@ def tree_roots(tree: DataFrame) -> DataFrame:
     return root.select(F.col("cell_id").alias("gauge_id"), F.col("root_id").alias("lowest_id"), (F.col("distance") + 1).alias("depth"))
 
 
-def gauge_closure(tree: DataFrame) -> DataFrame:
+def gauge_intervals(tree: DataFrame) -> DataFrame:
+    """(gauge_id, enter, leave): numbers of an Euler tour of the gauge trees.
+
+    `enter` counts the gauges from 0, a gauge before those above it, so a gauge and all above it hold the numbers `enter` to
+    `leave`: a basin is a range of numbers. One row a gauge, however deep the trees are: sizes come up by `down_tree`, and a
+    gauge's number is the sum, over itself and the gauges below, of one and the sizes of the neighbours before it.
+    """
+    sizes = cut_lineage(down_tree(tree, tree.select("gauge_id", F.lit(1).cast("long").alias("size")), {"size": "sum"}), "tree-sizes")
+    placed = tree.join(sizes, "gauge_id")
+    before = running_by_block(placed, ["parent_id"], "gauge_id", F.expr("gauge_id div 100000"), {"upto": ("sum", F.col("size"))})
+    enter = _path_sums(tree, before.select("gauge_id", (F.col("upto") - F.col("size") + 1).alias("extra")))
+    first = (F.col("extra") - 1).alias("enter")
+    return enter.join(sizes, "gauge_id").select("gauge_id", first, (F.col("extra") + F.col("size") - 2).alias("leave"))
+
+
+TOUR_BLOCK = 4096  # numbers a row lists at once
+
+
+def gauge_closure(tree: DataFrame, intervals: DataFrame | None = None) -> DataFrame:
     """(gauge_id, below_id): every gauge with itself and all gauges below it.
 
-    Pairs carry their distance. Each round joins the one farthest pair of a gauge with the pairs
-    of the gauge it reached, which doubles the reach.
+    Nothing of that size is written: a gauge's range of tour numbers is listed, in blocks, and joined by number, so the pairs
+    arise where they are asked for, and a filter on `below_id` leaves the ranges of the chosen gauges only.
     """
-    own = tree.select("gauge_id", F.col("gauge_id").alias("below_id"), F.lit(0).alias("distance"))
-    step = tree.filter(F.col("parent_id").isNotNull()).select("gauge_id", F.col("parent_id").alias("below_id"), F.lit(1).alias("distance"))
-    reach = 1
-    pairs, active = _cut_and_count(own.unionByName(step), "closure", F.col("distance") == reach)
-    for _ in range(MAX_ROUNDS):
-        if active == 0:
-            break
-        far = pairs.filter(F.col("distance") == reach).select("gauge_id", F.col("below_id").alias("_via"))
-        onward = pairs.filter(F.col("distance") > 0).select(F.col("gauge_id").alias("_via"), "below_id", "distance")
-        more = far.join(onward, "_via").select("gauge_id", "below_id", (F.col("distance") + reach).alias("distance"))
-        reach *= 2
-        pairs, active = _cut_and_count(pairs.unionByName(more), "closure", F.col("distance") == reach, pairs)
-    return pairs.select("gauge_id", "below_id")
+    tour = cut_lineage(gauge_intervals(tree), "tour") if intervals is None else intervals
+    block = F.explode(F.sequence("enter", "leave", F.lit(TOUR_BLOCK).cast("long"))).alias("_from")
+    blocks = tour.select(F.col("gauge_id").alias("below_id"), block, "leave")
+    numbers = blocks.select("below_id", F.explode(F.sequence("_from", F.least(F.col("leave"), F.col("_from") + (TOUR_BLOCK - 1)))).alias("enter"))
+    return numbers.join(tour.select("gauge_id", "enter"), "enter").select("gauge_id", "below_id")
 
 
 def gauge_membership(nearest: DataFrame, closure: DataFrame, gauge: DataFrame) -> DataFrame:

@@ -251,3 +251,36 @@ def test_inlets_in_a_cycle_end(spark):
     links = spark.createDataFrame([(9, i) for i in range(4)], "gauge_id long, inflow_id long")
     with pytest.raises(ValueError, match="cycle"):
         network.distinct_inlet_cells(ldd, links, spark.createDataFrame([(i, 1) for i in range(4)], "gauge_id long, cell_id long"))
+
+
+def test_basins_are_ranges_of_the_tour(spark):
+    draw = random.Random(3)
+    up = {g: draw.choice([None, *range(max(0, g - 6), g)]) if g else None for g in range(60)}
+    tree = spark.createDataFrame(list(up.items()), "gauge_id long, parent_id long")
+    tour = {g: (a, b) for g, a, b in network.gauge_intervals(tree).collect()}
+    assert sorted(a for a, _ in tour.values()) == list(range(60))
+    below = set()
+    for g in up:
+        at = g
+        while at is not None:
+            below.add((g, at))
+            at = up[at]
+    assert {(g, h) for g in up for h in up if tour[h][0] <= tour[g][0] <= tour[h][1]} == below
+    assert rows(network.gauge_closure(tree)) == sorted(below)
+
+
+def test_a_long_chain_of_gauges_stays_linear(spark, monkeypatch):
+    n = 2000
+    written = []
+    cut = network.cut_lineage
+
+    def counted(df, *rest):
+        table = cut(df, *rest)
+        written.append(table.count())
+        return table
+
+    monkeypatch.setattr(network, "cut_lineage", counted)
+    chain = spark.range(n).select(F.col("id").alias("gauge_id"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"))
+    pairs = network.gauge_closure(chain)
+    assert max(written) <= n
+    assert pairs.filter("below_id = 1500").count() == 500 and pairs.count() == n * (n + 1) // 2
