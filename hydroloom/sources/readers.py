@@ -114,8 +114,8 @@ def scan_cell_series(
     the parquet scan. `zeros` replaces missing values, `buffer` widens the box by cells for an interpolation at its edge.
 
     Data that begin after `start` are taken as they are (`late_start="allow"`), stop the call (`"raise"`), or are extended back
-    by the same days of their first year (`"extend"`; 29 February takes the 28th). Each variable has its own first date, from the
-    stack's manifest.
+    by the same days of their first year (`"extend"`): day n of a year takes the n-th day from the variable's first date on, if the
+    stack holds it. Each variable has its own first date, from the stack's manifest.
     """
     if late_start not in ("allow", "raise", "extend"):
         raise ValueError(f"late_start is allow, raise or extend, not {late_start!r}")
@@ -141,10 +141,8 @@ def scan_cell_series(
                 raise ValueError(f"the data begin on {found['first']}, after {start} ({found['variable']})")
         else:
             days = late.select(F.col("variable").alias("_late"), "first", F.explode(F.sequence(F.lit(start).cast("date"), F.date_sub("first", 1))).alias("_day"))
-            # A year from any first day on has each day of the calendar once, but for 29 February.
-            days = days.withColumn("_key", F.when(F.date_format("_day", "MMdd") == "0229", "0228").otherwise(F.date_format("_day", "MMdd")))
-            same = (F.col("variable") == F.col("_late")) & (F.date_format("date", "MMdd") == F.col("_key"))
-            model = whole.join(days, same & (F.col("date") >= F.col("first")) & (F.col("date") < F.add_months("first", 12)))
+            days = days.withColumn("_model", F.expr("date_add(first, dayofyear(_day) - 1)"))
+            model = whole.join(days, (F.col("variable") == F.col("_late")) & (F.col("date") == F.col("_model")))
             df = df.unionByName(model.withColumn("date", F.col("_day")).withColumn("year", F.year("_day")).select(*df.columns))
     if end is not None:
         df = df.filter((F.col("date") <= F.lit(end).cast("date")) & (F.col("year") <= int(end[:4])))
