@@ -163,8 +163,12 @@ def _known(joined: DataFrame, what: str, strict: bool) -> DataFrame:
 
 
 def doy_schedule_join(df: DataFrame, schedule: DataFrame, keys: list[str], date: str = "date", strict: bool = False) -> DataFrame:
-    """Attach the entry of a 366-day schedule `(keys, doy, release)` by body and day of year, NULL (or an error if `strict`) without one."""
-    entries = schedule.withColumn("_met", F.lit(True))
+    """Attach the entry of a 366-day schedule `(keys, doy, release)` by body and day of year, NULL (or an error if `strict`) without one.
+
+    A schedule is often unrolled from a short table of bodies, whose size Spark takes for that of the 366 times longer
+    schedule; so both sides are shuffled whatever the estimate says.
+    """
+    entries = schedule.withColumn("_met", F.lit(True)).hint("merge")
     return _known(df.withColumn("doy", F.dayofyear(date)).join(entries, [*keys, "doy"], "left"), "schedule entry", strict)
 
 

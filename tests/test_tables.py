@@ -287,3 +287,26 @@ def test_catalog_options(spark):
     assert "unmetDemand" in set(catalog.flux_catalog(spark, {"unlimited"}, edition=2).toPandas().variable)
     with pytest.raises(ValueError):
         catalog.flux_catalog(spark, {"nothing"})
+
+
+def _broadcasts(df):
+    return "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_unrolled_schedule_is_not_broadcast(spark):
+    """A schedule unrolled from few bodies looks as small as they are; it is shuffled like the days it meets."""
+    days = F.explode(F.sequence(F.lit(1), F.lit(366))).alias("doy")
+    schedule = spark.range(3).select(F.col("id").alias("body"), days).filter("doy <> 60").withColumn("release", F.col("doy") / 2)
+    dated = spark.sql("select 1L as body, date'1996-02-29' as date union all select 2L, date'1996-12-31' union all select 7L, date'1996-01-01'")
+    out = joins.doy_schedule_join(dated, schedule, ["body"])
+    assert not _broadcasts(out)
+    assert rows(out.select("body", "doy", "release")) == [(1, 60, None), (2, 366, 183.0), (7, 1, None)]
+
+
+def test_a_lookup_beyond_its_limit_is_shuffled(spark, monkeypatch):
+    spark.conf.set("spark.hydroloom.lookupBytes", "100")
+    try:
+        out = keyed.lookup(spark.range(20), spark.range(20).withColumn("v", F.col("id") * 2), ["id"], ["v"])
+    finally:
+        spark.conf.unset("spark.hydroloom.lookupBytes")
+    assert not _broadcasts(out) and out.filter("v = 2 * id").count() == 20
