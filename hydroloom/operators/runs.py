@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from hydroloom.operators.keyed import row_index_by_block
+from hydroloom.operators.keyed import lookup, row_index_by_block
 from hydroloom.session import cut_lineage
 
 # Blend width, mutation spread and rate, and the shares of blends and mutations.
@@ -165,11 +165,13 @@ def closest_name(name: Column, catalogue: list[str]) -> Column:
 def zone_param_assign(cells: DataFrame, best: DataFrame, ranges: DataFrame) -> DataFrame:
     """Parameter value of each cell: its region's best, the start value in region -1, else 0.
 
-    `cells(cell_id, region)`, `best(region, name, param)`.
+    `cells(cell_id, region)`, `best(region, name, param)`. Results of regions without a cell are left out first, and the rest is
+    counted: as a short table it spares a shuffle by a few hot regions.
     """
     packed = packed_ranges(ranges, "name", "start")
     rows = cells.select("cell_id", "region", F.explode(packed).alias("r")).select("cell_id", "region", "r.*")
-    joined = rows.join(best, ["region", "name"], "left")
+    own = best.join(cells.select("region").distinct(), "region", "left_semi")
+    joined = lookup(rows, own, ["region", "name"], ["param"], how="left")
     value = F.when(F.col("region") == -1, F.col("start")).otherwise(F.coalesce("param", F.lit(0.0)))
     return joined.select("name", "cell_id", value.alias("value"))
 

@@ -154,17 +154,25 @@ REGIONS = "select p_partkey as cell_id, cast(case when p_size % 11 = 0 then -1 e
 BESTPARAM = """select s_suppkey as region, p_brand as name, 2e0 + avg(p_retailprice) / 7 + s_suppkey as param from supplier join part on p_size = s_suppkey % 31 group by 1, 2"""
 
 
+def _bestparam(v):
+    # The rows of BESTPARAM: all stations of a size share its means, so parts are averaged before they meet stations.
+    mean = v.table("part").groupBy("p_size", C("p_brand").alias("name")).agg(F.avg("p_retailprice").alias("mean"))
+    station = v.table("supplier").select(C("s_suppkey").alias("region")).distinct()
+    both = station.join(mean, C("p_size") == C("region") % 31)
+    return both.select("region", "name", (2.0 + C("mean") / 7 + C("region")).alias("param"))
+
+
 @query("zone_param_assign", f"""with g as ({REGIONS}), b as ({BESTPARAM}), r as ({RANGES})
 select r.name, g.cell_id, round(case when g.region = -1 then start else coalesce(param, 0) end, 6) as value
   from g cross join r left join b on b.region = g.region and b.name = r.name""")
 def _(v):
-    return runs.zone_param_assign(v.sql(REGIONS), v.sql(BESTPARAM), v.sql(RANGES)).withColumn("value", F.round("value", 6))
+    return runs.zone_param_assign(v.sql(REGIONS), _bestparam(v), v.sql(RANGES)).withColumn("value", F.round("value", 6))
 
 
 @query("run_counts", f"""with g as ({REGIONS}), b as ({BESTPARAM}) select count(*) filter (region in (select region from b)) as n_with,
   count(*) filter (region not in (select region from b)) as n_without from (select distinct region from g)""")
 def _(v):
-    return runs.run_counts(v.sql(REGIONS), v.sql(BESTPARAM))
+    return runs.run_counts(v.sql(REGIONS), _bestparam(v))
 
 
 @query("union_files", """select cell_id, date, arg_min(value, f) as value from (select l_partkey as cell_id, l_shipdate::date as date, case l_linestatus when 'F' then 1 else 2 end as f,

@@ -310,3 +310,28 @@ def test_a_lookup_beyond_its_limit_is_shuffled(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.hydroloom.lookupBytes")
     assert not _broadcasts(out) and out.filter("v = 2 * id").count() == 20
+
+
+def test_region_parameters_leave_out_regions_without_cells(spark):
+    cells = spark.createDataFrame([(1, 5), (2, -1), (3, 6), (4, None)], "cell_id long, region long")
+    best = spark.range(5, 4000).select(F.col("id").alias("region"), F.lit("a").alias("name"), F.col("id").cast("double").alias("param"))
+    ranges = spark.createDataFrame([("a", 1.5), ("b", 2.5)], "name string, start double")
+    got = rows(runs.zone_param_assign(cells, best.filter("region <> 6"), ranges))
+    assert got == [("a", 1, 5.0), ("a", 2, 1.5), ("a", 3, 0.0), ("a", 4, 0.0), ("b", 1, 0.0), ("b", 2, 2.5), ("b", 3, 0.0), ("b", 4, 0.0)]
+    plan = runs.zone_param_assign(cells, best, ranges)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
+
+
+def test_best_parameters_do_not_pair_stations_with_parts(spark, tmp_path):
+    """300 stations and 3,000 parts of one size were 900,000 rows; a doubled station changes nothing."""
+    from hydroloom.plans import run_queries
+    from hydroloom.plans.views import Views
+
+    spark.range(3000).select(F.lit(3).alias("p_size"), F.concat(F.lit("B"), F.col("id") % 2).alias("p_brand"), F.col("id").cast("double").alias("p_retailprice")).write.parquet(str(tmp_path / "part.parquet"))
+    stations = spark.range(300).select((F.col("id") * 31 + 3).alias("s_suppkey"))
+    stations.unionByName(stations.limit(1)).write.parquet(str(tmp_path / "supplier.parquet"))
+    v = Views(spark, str(tmp_path))
+    got, want = run_queries._bestparam(v), v.sql(run_queries.BESTPARAM)
+    key = lambda df: [(a, b, round(c, 6)) for a, b, c in rows(df, "region", "name")]
+    assert key(got) == key(want) and got.count() == 600
+    assert "avg" in got._jdf.queryExecution().optimizedPlan().toString().split("Join")[1]
