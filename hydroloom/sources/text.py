@@ -20,14 +20,16 @@ def join_ids(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
 
 def coord_pairs(df: DataFrame, text: str) -> DataFrame:
     """(pos, lon, lat) rows of a `lon lat lon lat ...` list."""
-    parts = F.split(F.trim(F.col(text)), r"\s+")
+    # The words are a column of their own: inside the lambda the list would be split again for every pair.
+    listed = df.withColumn("_parts", F.split(F.trim(F.col(text)), r"\s+"))
+    parts = F.col("_parts")
     # Even positions are longitudes; the value after each one is its latitude.
     pairs = F.transform(
         F.sequence(F.lit(0), F.floor(F.size(parts) / 2).cast("int") - 1),
         lambda i: F.struct(F.get(parts, i * 2).cast("double").alias("lon"), F.get(parts, i * 2 + 1).cast("double").alias("lat")),
     )
     others = [c for c in df.columns if c != text]
-    return df.select(*others, F.posexplode(pairs).alias("pos", "_p")).select(*others, "pos", "_p.lon", "_p.lat")
+    return listed.select(*others, F.posexplode(pairs).alias("pos", "_p")).select(*others, "pos", "_p.lon", "_p.lat")
 
 
 def coord_text(points: DataFrame, keys: list[str], order: str, name: str = "coords") -> DataFrame:

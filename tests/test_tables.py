@@ -1,6 +1,7 @@
 """Balances, periods, allocation, columns and keyed helpers on small fixtures."""
 
 import datetime as dt
+import time
 
 import pytest
 from helpers import rows
@@ -335,3 +336,14 @@ def test_best_parameters_do_not_pair_stations_with_parts(spark, tmp_path):
     key = lambda df: [(a, b, round(c, 6)) for a, b, c in rows(df, "region", "name")]
     assert key(got) == key(want) and got.count() == 600
     assert "avg" in got._jdf.queryExecution().optimizedPlan().toString().split("Join")[1]
+
+
+def test_long_coordinate_lists_are_split_once(spark):
+    from hydroloom.sources.text import coord_pairs
+
+    text = " ".join(f"{i}.5 {i}.25" for i in range(30_000))
+    frame = spark.createDataFrame([(1, text), (2, "7.5 8.5 9"), (3, None)], "nation int, coords string")
+    started = time.monotonic()
+    got = coord_pairs(frame, "coords").agg(F.count("*"), F.sum("lon"), F.max("pos")).first()
+    assert tuple(got) == (30_001, sum(i + 0.5 for i in range(30_000)) + 7.5, 29_999)
+    assert time.monotonic() - started < 60
