@@ -160,15 +160,24 @@ def scheduled_transfer(schedule: DataFrame, bodies: DataFrame, days: DataFrame)
     shares of the giver's store (of the receiver's volume when the giver is outside).
     `bodies(body, date, volume, storage, year_built)`; `days(date)`. A pair with a body that is not built yet has no row; one with a
     body that has no row for the day keeps it, with a NULL transfer.
-    """
-    planned = days.withColumn("doy", F.dayofyear("date")).join(schedule, "doy").drop("doy")
-
-    def side(p: str) -> DataFrame:
-        return bodies.select(
-            F.col("body").alias(f"{p}_id"), "date", F.col("volume").alias(f"{p}_volume"), F.col("storage").alias(f"{p}_storage"), F.col("year_built").alias(f"{p}_built")
-        )
 
-    joined = planned.join(side("from"), ["from_id", "date"], "left").join(side("to"), ["to_id", "date"], "left")
+    The schedule meets the givers before it is unrolled over the days: a day of the year brings the list of its dates, one per
+    year. Receivers are those the schedule names, and few of them spare the unrolled rows a shuffle.
+    """
+    dated = days.withColumn("doy", F.dayofyear("date"))
+    given = F.struct("date", F.col("storage").alias("from_storage"), F.col("year_built").alias("from_built"))
+    givers = bodies.select(F.col("body").alias("from_id"), F.dayofyear("date").alias("doy"), given.alias("_g")).groupBy("from_id", "doy").agg(
+        F.collect_list("_g").alias("_given")
+    )
+    planned = lookup(schedule.join(givers, ["from_id", "doy"], "left"), dated, ["doy"], ["date"])
+    own = F.explode_outer(F.filter("_given", lambda g: g["date"] == F.col("date")))
+    planned = planned.select("from_id", "to_id", "date", "release", own.alias("_g")).select(
+        "from_id", "to_id", "date", "release", "_g.from_storage", "_g.from_built"
+    )
+    receivers = bodies.select(
+        F.col("body").alias("to_id"), "date", F.col("volume").alias("to_volume"), F.col("storage").alias("to_storage"), F.col("year_built").alias("to_built")
+    ).join(schedule.select("to_id").distinct(), "to_id", "left_semi")
+    joined = lookup(planned, receivers, ["to_id", "date"], ["to_volume", "to_storage", "to_built"], how="left")
     year = F.year("date")
     built = ((F.col("from_id") == 0) | (F.col("from_built") <= year)) & ((F.col("to_id") == 0) | (F.col("to_built") <= year))
     unused = F.when(F.col("to_id") > 0, F.col("to_volume") - F.col("to_storage")).otherwise(F.lit(10e12))

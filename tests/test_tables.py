@@ -347,3 +347,22 @@ def test_long_coordinate_lists_are_split_once(spark):
     got = coord_pairs(frame, "coords").agg(F.count("*"), F.sum("lon"), F.max("pos")).first()
     assert tuple(got) == (30_001, sum(i + 0.5 for i in range(30_000)) + 7.5, 29_999)
     assert time.monotonic() - started < 60
+
+
+def test_transfers_keep_every_day_and_repeated_rows(spark):
+    d = [dt.date(1996, 2, 29), dt.date(1997, 2, 28), dt.date(1998, 2, 28), dt.date(1997, 3, 1)]
+    schedule = spark.createDataFrame([(1, 2, 59, 0.5), (1, 2, 60, 3.0), (0, 2, 59, 0.25), (9, 2, 59, 0.5), (1, 0, 59, 0.5)], "from_id long, to_id long, doy int, release double")
+    bodies = spark.createDataFrame(
+        [(1, d[1], 50.0, 8.0, 1990), (1, d[1], 50.0, 9.0, 1990), (1, d[2], 50.0, 10.0, 1998), (1, d[0], 50.0, 6.0, 1990), (2, d[1], 20.0, 4.0, 1990), (2, d[2], 20.0, 19.0, 1990), (2, d[0], 20.0, 5.0, 2000)],
+        "body long, date date, volume double, storage double, year_built int",
+    )
+    days = spark.createDataFrame([(x,) for x in d], "date date")
+    got = rows(demand.scheduled_transfer(schedule, bodies, days))
+    want = [
+        (0, 2, d[1], 5.0), (0, 2, d[2], 0.95), (1, 0, d[1], 4.0), (1, 0, d[1], 4.5), (1, 0, d[2], 5.0), (1, 2, d[1], 4.0), (1, 2, d[1], 4.5),
+        (1, 2, d[3], None), (1, 2, d[2], 0.95), (9, 2, d[1], None), (9, 2, d[2], None),
+    ]
+    assert got == want
+    # The unrolled days are not shuffled: only the schedule, its givers and the receivers are.
+    plan = demand.scheduled_transfer(schedule, bodies, days)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") >= 2
