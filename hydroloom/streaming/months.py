@@ -3,14 +3,16 @@
 `commit_days` runs a daily stream into a table of commits, one per micro-batch. `closed_days` reads that table as a stream
 again, any number of files at a time. Two facts make this safe:
 
-* In append mode every day of a commit is later than all days of the commits before it. So the commit's first day (its floor) is
-  the event time of all its rows: a commit that is split over batches has no late rows.
-* A commit ends with a mark, a row without a gauge whose event time is noon of the commit's last day. Files are read in
+* In append mode every day of a commit is later than all days of the commits before it; inside a commit the months follow each
+  other in the same way, as parts of their own. So a part's first day (its floor) is the event time of all its rows: a
+  part that is split over batches has no late rows, and its rows belong to the month of their event time.
+* A part ends with a mark, a row without a gauge whose event time is noon of the part's last day. Files are read in
   the order of their times and the mark is the latest, so the watermark passes a day's morning once the day is complete.
 
-State is kept per gauge and month as value state; timers on event time emit and clear it. Groups come as rows, not as
-pandas frames, which have no integer or equal keys once a key is NULL. It needs RocksDB as
-state store (`run`) and a file system whose renames are atomic.
+Event times stand on an axis on which every month has 31 days, so that a month is a window of fixed length.
+Month totals are an aggregation that closes with the watermark. Quota alarms keep value state per gauge and month; timers on
+event time emit and clear it. Groups come as rows, not as pandas frames, which have no integer or equal keys once a key
+is NULL. It needs RocksDB as state store (`run`) and a file system whose renames are atomic.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ DAY_SCHEMA = "gauge_id long, variable string, date date, n long, total double"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SLACK = "1 second"  # the watermark stays behind a commit's floor, else the commit's own rows would be late
 MORNING_MS, NOON = 6 * 3_600_000, "12 hours"
-EPOCH = datetime.date(1970, 1, 1)
+EPOCH_YEAR, MONTH_DAYS = 1970, 31  # the axis of event times
 DAY_MS = 86_400_000
 
 
@@ -61,21 +63,29 @@ def commit_batch(batch: DataFrame, path: str, batch_id: int) -> bool:
     place, _ = _files(spark, staged)
     system.delete(place, True)
     days = batch.selectExpr("gauge_id", "variable", "date", "n", "total")
-    days.write.parquet(f"{staged}/days")
-    first, last = spark.read.schema(DAY_SCHEMA).parquet(f"{staged}/days").agg(F.min("date"), F.max("date")).first()
-    if first is not None:
-        system.rename(_files(spark, f"{staged}/days")[0], _files(spark, f"{staged}/days-{first}")[0])
+    days.withColumn("month", F.trunc("date", "MM")).write.partitionBy("month").parquet(f"{staged}/days")
+    found = spark.read.schema(f"{DAY_SCHEMA}, month date").parquet(f"{staged}/days")
+    spans = sorted(tuple(r) for r in found.groupBy("month").agg(F.min("date"), F.max("date")).collect())
+    for month, first, last in spans:
+        # Parts are written one after the other, as files are read in the order of their times.
+        part = f"{staged}/days/month={month}"
+        if len(spans) == 1:
+            system.rename(_files(spark, part)[0], _files(spark, f"{staged}/days-{first}")[0])
+        else:
+            spark.read.schema(DAY_SCHEMA).parquet(part).write.parquet(f"{staged}/days-{first}")
         mark = spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in days.schema]).withColumn("date", F.lit(last))
         while True:
             mark.coalesce(1).write.mode("overwrite").parquet(f"{staged}/mark-{last}")
             if _stamp(spark, f"{staged}/mark-{last}") > _stamp(spark, f"{staged}/days-{first}"):
                 break
             time.sleep(1)  # a file system with coarse times
-        if not system.rename(place, target):
-            raise RuntimeError(f"commit {batch_id} could not be moved to {path}")
-    else:
+    if not spans:
         drop_path(spark, staged)
-    return first is not None
+        return False
+    drop_path(spark, f"{staged}/days")
+    if not system.rename(place, target):
+        raise RuntimeError(f"commit {batch_id} could not be moved to {path}")
+    return True
 
 
 def commit_days(daily: DataFrame, path: str, checkpoint: str) -> None:
@@ -98,50 +108,24 @@ def closed_days(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
     )
     part = F.regexp_extract(F.col("_metadata.file_path"), r"/(days|mark)-(\d+-\d+-\d+)/[^/]*$", 1)
     named = F.regexp_extract(F.col("_metadata.file_path"), r"/(days|mark)-(\d+-\d+-\d+)/[^/]*$", 2)
-    midnight = F.timestamp_micros(F.unix_date(named.cast("date")).cast("long") * DAY_MS * 1000)
+    day = named.cast("date")
+    months = (F.year(day) - EPOCH_YEAR) * 12 + F.month(day) - 1
+    midnight = F.timestamp_micros((months * MONTH_DAYS + F.dayofmonth(day) - 1).cast("long") * DAY_MS * 1000)
     mark = part == "mark"
     closed = F.when(mark, midnight + F.expr(f"interval {NOON}")).otherwise(midnight)
     return raw.select("gauge_id", "variable", "date", "n", "total", mark.alias("mark"), closed.alias("closed")).withWatermark("closed", SLACK)
 
 
 def _morning(day: datetime.date) -> int:
-    """Six in the morning of a UTC day in epoch milliseconds: behind the floor of a commit, before its mark."""
-    return (day - EPOCH).days * DAY_MS + MORNING_MS
+    """Six in the morning of a UTC day on the axis of event times, in milliseconds: behind the floor of a part, before its mark."""
+    months = (day.year - EPOCH_YEAR) * 12 + day.month - 1
+    return (months * MONTH_DAYS + day.day - 1) * DAY_MS + MORNING_MS
 
 
 def _next_month(month: datetime.date) -> datetime.date:
     return (month.replace(day=28) + datetime.timedelta(days=4)).replace(day=1)
 
 
-class MonthTotal(StatefulProcessor):
-    """Count and sum of a (gauge, variable, month), emitted by a timer on the first day of the next month."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.sums = handle.getValueState("sums", "n long, total double")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        days = [r for r in rows if not r.mark]
-        if days:
-            known = self.sums.get()
-            n, total = known or (0, None)
-            values = [r.total for r in days if r.total is not None]
-            if values:
-                total = sum(values, total or 0.0)
-            self.sums.update((n + sum(r.n for r in days), total))
-            if known is None:
-                self.handle.registerTimer(_morning(_next_month(key[2])))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        n, total = self.sums.get()
-        self.sums.clear()
-        yield Row(gauge_id=key[0], variable=key[1], month=key[2], n=n, total=total)
-
-    def close(self) -> None:
-        pass
-
-
 class QuotaAlarm(StatefulProcessor):
     """First day of a (gauge, month) on which the total since the month's first day passes the quota.
 
@@ -199,10 +183,16 @@ class QuotaAlarm(StatefulProcessor):
 
 
 def stream_month_total(days: DataFrame) -> DataFrame:
-    """Month totals per gauge and variable from `closed_days`, each emitted once, when a day of the next month has closed."""
-    return days.withColumn("month", F.trunc("date", "MM")).groupBy("gauge_id", "variable", "month").transformWithState(
-        MonthTotal(), "gauge_id long, variable string, month date, n long, total double", "Append", "EventTime"
-    )
+    """Month totals per gauge and variable from `closed_days`, each emitted once, when a day of the next month has closed.
+
+    A part of the commits has days of one month only, so a window over the event time holds a month.
+    """
+    window = F.window("closed", f"{MONTH_DAYS} days").alias("w")
+    sums = days.groupBy("gauge_id", "variable", window).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    months = (F.unix_micros("w.start") / (MONTH_DAYS * DAY_MS * 1000)).cast("int")
+    month = F.add_months(F.make_date(F.lit(EPOCH_YEAR), F.lit(1), F.lit(1)), months).alias("month")
+    # Marks have no count; they leave after the sums, as a filter before them would keep them from the watermark.
+    return sums.filter("n is not null").select("gauge_id", "variable", month, "n", "total")
 
 
 def stream_quota_alarm(days: DataFrame, quota: float) -> DataFrame:

@@ -87,3 +87,21 @@ def test_a_commit_is_added_once(spark, tmp_path):
     assert not months.commit_batch(days.limit(0), source, 9)
     seen = spark.read.schema(months.DAY_SCHEMA).option("recursiveFileLookup", "true").parquet(source)
     assert rows(seen.filter("gauge_id is not null").select("gauge_id", "date")) == [(1, dt.date(2024, 1, 1)), (1, dt.date(2024, 1, 2))]
+
+
+def test_a_commit_has_a_part_for_each_month(spark, tmp_path):
+    """Files are read in the order of their times: months of a commit must follow each other, each with its mark."""
+    source = str(tmp_path / "days")
+    days = spark.createDataFrame([(1, "q", d, 1, 2.0, 2.0) for d in _span(dt.date(2023, 12, 30), dt.date(2024, 2, 2))], DAILY).repartition(5)
+    assert months.commit_batch(days, source, 0)
+    files = sorted((f.stat().st_mtime_ns, f.parent.name) for f in (tmp_path / "days").rglob("*.parquet"))
+    order = list(dict.fromkeys(name for _, name in files))
+    assert order == ["days-2023-12-30", "mark-2023-12-31", "days-2024-01-01", "mark-2024-01-31", "days-2024-02-01", "mark-2024-02-02"]
+    assert spark.read.schema(months.DAY_SCHEMA).option("recursiveFileLookup", "true").parquet(source).filter("n is not null").count() == 35
+
+
+def test_month_totals_need_no_python(spark, tmp_path):
+    source = str(tmp_path / "days")
+    assert months.commit_batch(spark.createDataFrame([(1, "q", dt.date(2024, 1, 1), 1, 2.0, 2.0)], DAILY), source, 0)
+    plan = months.stream_month_total(months.closed_days(spark, source))._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithState" not in plan and "Aggregate" in plan
