@@ -365,11 +365,12 @@ def distinct_inlet_cells(ldd: DataFrame, links: DataFrame, gauge: DataFrame) ->
     each has the place that serving them one by one would give it. Ten thousand inflows on one cell take two rounds, each
     with a join per power of two of the farthest move; only inflows that push each other on one by one take a round each.
     An inflow whose path ends before a free cell keeps its row, with a NULL cell and the number of cells it tried.
+    Tables of cells are shuffled: numbers in order pack so well that their files would pass for tables small enough to send around.
     """
     edges = ldd.select("cell_id", "down_id")
     cells = edges.count()
-    starts = links.join(gauge.select(F.col("gauge_id").alias("inflow_id"), F.col("cell_id").alias("start_id")), "inflow_id")
-    first = starts.join(edges.withColumnRenamed("cell_id", "start_id"), "start_id", "left").select(
+    starts = links.join(gauge.select(F.col("gauge_id").alias("inflow_id"), F.col("cell_id").alias("start_id")).hint("merge"), "inflow_id")
+    first = starts.join(edges.withColumnRenamed("cell_id", "start_id").hint("merge"), "start_id", "left").select(
         "gauge_id", "inflow_id", "start_id", F.lit(1).cast("long").alias("step"), F.col("down_id").alias("cell_id")
     )
     state, powers = cut_lineage(first, "inlet"), None
@@ -394,7 +395,7 @@ def distinct_inlet_cells(ldd: DataFrame, links: DataFrame, gauge: DataFrame) ->
             moved = state.withColumn("step", F.col("step") + F.col("move"))
             for k, table in enumerate(powers[: found["move"].bit_length()]):
                 here = F.col("move").bitwiseAND(F.lit(2**k)) > 0
-                ahead = table.select(F.col("cell_id").alias("_from"), "ahead_id")
+                ahead = table.select(F.col("cell_id").alias("_from"), "ahead_id").hint("merge")
                 moved = moved.join(ahead, here & (F.col("cell_id") == F.col("_from")), "left").withColumn(
                     "cell_id", F.when(here, F.col("ahead_id")).otherwise(F.col("cell_id"))
                 ).drop("_from", "ahead_id")

@@ -284,3 +284,23 @@ def test_a_long_chain_of_gauges_stays_linear(spark, monkeypatch):
     pairs = network.gauge_closure(chain)
     assert max(written) <= n
     assert pairs.filter("below_id = 1500").count() == 500 and pairs.count() == n * (n + 1) // 2
+
+
+def test_inlet_cells_are_found_without_sending_cells_around(spark, monkeypatch):
+    """Tables of ordered cells are small files; none of them is broadcast."""
+    seen = []
+    real = network.cut_lineage
+
+    def watched(df, label, *more):
+        if label == "inlet":
+            seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, label, *more)
+
+    monkeypatch.setattr(network, "cut_lineage", watched)
+    chain = spark.range(100).select(F.col("id").alias("cell_id"), F.when(F.col("id") > 0, F.col("id") - 1).alias("down_id"))
+    links = spark.range(70, 74).select(F.lit(1).cast("long").alias("gauge_id"), F.col("id").alias("inflow_id"))
+    gauge = spark.range(70, 74).select(F.col("id").alias("gauge_id"), F.lit(50).cast("long").alias("cell_id"))
+    got = rows(network.distinct_inlet_cells(chain, links, gauge))
+    assert got == [(1, 70, 1, 49), (1, 71, 2, 48), (1, 72, 3, 47), (1, 73, 4, 46)]
+    joins = [p for p in seen if "_from" in p or "start_id" in p and "Join" in p]
+    assert joins and not any("BroadcastHashJoin" in p and "_k_" not in p for p in joins)
