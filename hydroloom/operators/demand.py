@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hydroloom.functions.clean import safe_divide
-from hydroloom.operators.keyed import lookup
+from hydroloom.operators.keyed import dealt, lookup
 
 
 def demand_to_depth(mcm: Column, area: Column, days: Column, scale: Column | None = None) -> Column:
@@ -26,11 +26,17 @@ def pin_demand_year(date: Column, year: int) -> Column:
 
 def cover_weighted_sum(cover: DataFrame, values: DataFrame) -> DataFrame:
     """Sum over cover classes of fraction x value: `cover(cell_id, cover, fraction)`,
-    `values(cell_id, date, variable, cover, value)`."""
+    `values(cell_id, date, variable, cover, value)`.
+
+    The classes of a cell come as a list, so that all values of a cell and day are in one task: its sums hold one entry for
+    them, not one per class, and need no second shuffle. Tasks are as many as the values need.
+    """
+    classes = cover.groupBy("cell_id").agg(F.collect_list(F.struct("cover", "fraction")).alias("_classes"))
+    own = F.explode(F.filter("_classes", lambda k: k["cover"] == F.col("cover"))).alias("_k")
     return (
-        values.join(cover, ["cell_id", "cover"])
+        dealt(values.select("cell_id", "date", "variable", "cover", "value"), ["cell_id"]).join(classes.hint("merge"), "cell_id").select("cell_id", "date", "variable", "value", own)
         .groupBy("cell_id", "date", "variable")
-        .agg(F.sum(F.col("fraction") * F.col("value")).alias("value"))
+        .agg(F.sum(F.col("_k.fraction") * F.col("value")).alias("value"))
     )
 
 
