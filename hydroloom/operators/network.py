@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from hydroloom.operators.keyed import row_index_by_block, running_by_block, with_group
+from hydroloom.operators.keyed import row_index_by_block, running_by_block, tasks_for, with_group
 from hydroloom.session import cut_lineage, drop_path
 
 MAX_ROUNDS = 64  # paths of up to 2**64 cells; a loop that needs more raises
@@ -204,16 +204,21 @@ def down_tree(tree: DataFrame, values: DataFrame, folds: dict[str, str], keys: l
     """Fold (sum, min or max) of `values(gauge_id, keys, columns)` over each gauge and all gauges above it.
 
     After round k a gauge holds its own value and those less than 2**k steps above it: each round hands the values to the
-    gauge 2**k steps below and folds. So values are written about log2(depth) times, never once per pair of gauges.
+    gauge 2**k steps below and folds. So values are written about log2(depth) times, never once per pair of gauges. Each
+    round is dealt over tasks by the rows it holds, at most twice those of the round before.
     """
     aggs = [_FOLDS[how](c).alias(c) for c, how in folds.items()]
     held = values.select("gauge_id", *keys, *folds).groupBy("gauge_id", *keys).agg(*aggs)
     step, active = _cut_and_count(tree.select("gauge_id", F.col("parent_id").alias("ptr")), "tree", F.col("ptr").isNotNull())
+    if active == 0:
+        return held
+    held, rows = _cut_and_count(held, "tree-values", F.lit(True))
     for _ in range(MAX_ROUNDS):
         if active == 0:
             return held
         given = held.join(step.filter(F.col("ptr").isNotNull()), "gauge_id").select(F.col("ptr").alias("gauge_id"), *keys, *folds)
-        held = cut_lineage(held.unionByName(given).groupBy("gauge_id", *keys).agg(*aggs), "tree-values", held)
+        both = held.unionByName(given).repartition(tasks_for(2 * rows), "gauge_id", *keys)
+        held, rows = _cut_and_count(both.groupBy("gauge_id", *keys).agg(*aggs), "tree-values", F.lit(True), held)
         jump = step.select(F.col("gauge_id").alias("ptr"), F.col("ptr").alias("_next"))
         step, active = _cut_and_count(
             step.join(jump, "ptr", "left").select("gauge_id", F.col("_next").alias("ptr")), "tree", F.col("ptr").isNotNull(), step

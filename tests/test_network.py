@@ -304,3 +304,18 @@ def test_inlet_cells_are_found_without_sending_cells_around(spark, monkeypatch):
     assert got == [(1, 70, 1, 49), (1, 71, 2, 48), (1, 72, 3, 47), (1, 73, 4, 46)]
     joins = [p for p in seen if "_from" in p or "start_id" in p and "Join" in p]
     assert joins and not any("BroadcastHashJoin" in p and "_k_" not in p for p in joins)
+
+
+def test_sums_down_a_tree_are_dealt_by_their_rows(spark, monkeypatch):
+    from hydroloom.operators import keyed
+
+    seen = []
+    monkeypatch.setattr(keyed, "TASK_ROWS", 10)
+    real = network._cut_and_count
+    monkeypatch.setattr(network, "_cut_and_count", lambda df, label, *more: seen.append((label, df)) or real(df, label, *more))
+    tree = spark.range(5).select(F.col("id").alias("gauge_id"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"))
+    values = spark.range(100).select((F.col("id") % 5).alias("gauge_id"), F.expr("id div 5").alias("day"), F.lit(1.0).alias("value"))
+    got = network.down_tree(tree, values, {"value": "sum"}, ["day"])
+    assert rows(got.groupBy("gauge_id").agg(F.sum("value"))) == [(0, 100.0), (1, 80.0), (2, 60.0), (3, 40.0), (4, 20.0)]
+    rounds = [df for label, df in seen if label == "tree-values"][1:]
+    assert rounds and all("REPARTITION_BY_NUM, [plan_id" in p and ", 20), REPARTITION" in p for p in (df._jdf.queryExecution().executedPlan().toString() for df in rounds))
