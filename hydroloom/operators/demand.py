@@ -29,7 +29,7 @@ def cover_weighted_sum(cover: DataFrame, values: DataFrame) -> DataFrame:
     `values(cell_id, date, variable, cover, value)`.
 
     The classes of a cell come as a list, so that all values of a cell and day are in one task: its sums hold one entry for
-    them, not one per class, and need no second shuffle. Tasks are as many as the values need.
+    them, not one per class, and need no second shuffle.
     """
     classes = cover.groupBy("cell_id").agg(F.collect_list(F.struct("cover", "fraction")).alias("_classes"))
     own = F.explode(F.filter("_classes", lambda k: k["cover"] == F.col("cover"))).alias("_k")
