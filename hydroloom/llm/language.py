@@ -30,9 +30,18 @@ CACHED_WORDS = 300_000
 # Superscripts, fractions and number letters are word characters but no letters.
 _NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 _LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+_RUNS = re.compile(r"[^\W\d_]+")  # runs that may hold such characters: a long class is slow, so few runs meet it
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def letter_words(text: str) -> list[str]:
+    """Runs of letters of a text in lower case."""
+    runs = _RUNS.findall(text.lower())
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [word for run in runs for word in ((run,) if run.isalpha() else _LETTERS.findall(run))]
+
+
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all n-grams of the words, each framed by a space, and the number of the word each belongs to."""
     framed = np.frombuffer((" " + "  ".join(words) + " ").encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -62,7 +71,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
         for batch in source:
             by_lang: dict[str, Counter] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by_lang.setdefault(lang, Counter()).update(_LETTERS.findall(text.lower()))
+                by_lang.setdefault(lang, Counter()).update(letter_words(text))
             for lang, words in by_lang.items():
                 if not words:
                     continue
@@ -152,7 +161,7 @@ def _score(texts: list[str], filters: Filters) -> list[tuple[str, float]]:
     if _known.get("filters") is not filters or len(_known["row"]) > CACHED_WORDS:
         _known.update(filters=filters, row={}, table=np.zeros((0, len(filters.languages) + 1), np.int32))
     row = _known["row"]
-    split = [_LETTERS.findall(text.lower()) for text in texts]
+    split = [letter_words(text) for text in texts]
     fresh = list(set().union(*split).difference(row)) if split else []
     if fresh:
         row.update(zip(fresh, range(len(row), len(row) + len(fresh)), strict=True))

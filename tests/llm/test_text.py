@@ -4,6 +4,7 @@ import base64
 import collections
 import math
 import random
+import re
 import time
 import zlib
 
@@ -73,6 +74,23 @@ def test_language_of_held_out_documents(spark):
     assert total > 150 and right >= 0.98 * total
 
 
+def test_letters_are_found_at_the_speed_of_a_short_class():
+    mixed = "Ab½c d²e Straße x_y 12 ①② Ωmega ٣a 漢字"
+    assert language.letter_words(mixed) == ["ab", "c", "d", "e", "straße", "x", "y", "ωmega", "a", "漢字"]
+    text = "plain words of a text, Привет мир. " * 5000
+
+    def fastest(split):
+        times = []
+        for _ in range(5):
+            begun = time.perf_counter()
+            split(text)
+            times.append(time.perf_counter() - begun)
+        return min(times)
+
+    plain = re.compile(r"[^\W\d_]+")
+    assert fastest(language.letter_words) < 3 * fastest(lambda t: plain.findall(t.lower()))
+
+
 def test_language_of_awkward_documents(spark):
     got = {r["doc_id"]: r for r in language.identify(cases.frame(spark)).collect()}
     assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (0, 1, 2, 3))
