@@ -310,36 +310,32 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     parts = -(-docs.count() // SAMPLE_DOCS) or 1
     sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == 0)
     counted = shingle_sets(sample).select(F.explode("shingles").alias("name")).groupBy("name").agg(F.count("*").alias("n"))
-    found = counted.filter(F.col("n") > COMMON).toArrow()
+    found = cut_lineage(counted.filter(F.col("n") > COMMON), "common-shingles").toArrow()
     names = found["name"].to_numpy().view(np.uint64)
     order = np.argsort(names)
     return names[order], found["n"].to_numpy()[order]
 
 
 def prefix_cells(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], shingle: int = 5) -> DataFrame:
-    """`cell, doc_id, size`: a row for each of a document's first shingles, common ones last, then by hash.
+    """`cell, doc_id`: a row for each of a document's first shingles, common ones last, then by hash.
 
     Any order that all documents share gives the same links; this one keeps cells small.
     """
     names, counts = common
 
     def run(ids: list, texts: list) -> dict[str, list]:
-        sizes, firsts = [], []
+        firsts = []
         for text in texts:
             own = distinct_shingles(text.encode().lower().split(), shingle)
             rank = np.zeros(len(own), np.int64)
             if len(names):
                 at = np.minimum(np.searchsorted(names, own), len(names) - 1)
                 rank = np.where(names[at] == own, counts[at], 0)
-            sizes.append(len(own))
             firsts.append(own[np.argsort(rank, kind="stable")[: len(own) // PREFIX + 1]])
         lengths = [len(first) for first in firsts]
-        return {
-            "cell": np.concatenate(firsts).view(np.int64), "doc_id": np.repeat(np.array(ids, np.int64), lengths),
-            "size": np.repeat(np.array(sizes, np.int32), lengths),
-        }
+        return {"cell": np.concatenate(firsts).view(np.int64), "doc_id": np.repeat(np.array(ids, np.int64), lengths)}
 
-    return map_batches(docs, run, "cell long, doc_id long, size int", slice_rows=200)
+    return map_batches(docs, run, "cell long, doc_id long", slice_rows=200)
 
 
 def _open_links(rows: pd.DataFrame) -> pd.DataFrame:
@@ -359,9 +355,12 @@ def missing_links(docs: DataFrame, labels: DataFrame, marks: DataFrame) -> DataF
     with the same members are one, and cells inside one group have nothing to add; the others are compared by the
     sets themselves, large ones in tiles.
     """
-    cells = cut_lineage(prefix_cells(docs, common_shingles(docs)), "prefix-cells")
+    # Both sides of the join read one shuffle: most cells have one document and end here.
+    cells = prefix_cells(docs, common_shingles(docs)).repartition("cell")
     repeated = cells.groupBy("cell").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
-    placed = cut_lineage(cells.join(repeated.select("cell"), "cell").join(labels, "doc_id"), "placed-cells", cells)
+    shared = cut_lineage(cells.join(repeated.select("cell"), "cell"), "shared-cells")
+    sized = labels.join(marks.select("doc_id", "size"), "doc_id")
+    placed = cut_lineage(shared.join(sized, "doc_id"), "placed-cells", shared)
     mark = F.xxhash64("doc_id")
     members = [F.sum(mark.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"), F.sum(F.shiftrightunsigned(mark, 32)).alias("high")]
     counted = placed.groupBy("cell").agg(

@@ -7,7 +7,7 @@ import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
-from hydroloom.session import cut_lineage, scratch_path, scratch_root
+from hydroloom.session import SHUFFLE_CLEANUP, cut_lineage, scratch_path, scratch_root
 from hydroloom.sources import readers, text, writers
 from hydroloom.streaming import readings
 
@@ -107,6 +107,18 @@ def test_coordinate_lists(spark):
     assert rows(text.split_ids(ids, "ids", "id")) == [("x", "G1"), ("x", "G2")]
 
 
+def test_cut_lineage_leaves_no_shuffle_behind(spark):
+    def shuffled() -> set[str]:
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        names = (files.apply(i).getName() for i in range(files.size()))
+        return {name for name in names if name.startswith("shuffle_")}
+
+    before = shuffled()
+    table = cut_lineage(spark.range(10_000).groupBy((F.col("id") % 5000).alias("k")).count(), "t")
+    assert not shuffled() - before
+    assert table.count() == 5000 and spark.conf.get(SHUFFLE_CLEANUP) == "false"
+
+
 def test_cut_lineage_uses_the_configured_folder(spark, tmp_path):
     assert scratch_root(spark)
     table = cut_lineage(spark.range(5), "t")
