@@ -107,9 +107,9 @@ def _folder(v):
     path = scratch_path(v.spark, "folder")
     # One folder `station=<id>.csv` per station; the reader takes the station from the name.
     rows = v.pairs.filter("o is not null").select(
-        F.concat(C("station_id").cast("string"), F.lit(".csv")).alias("station"), F.concat_ws(",", F.date_format("date", "yyyy-MM-dd"), F.format_string("%.4f", "o")).alias("line")
+        F.concat(C("station_id").cast("string"), F.lit(".csv")).alias("station"), C("date").alias("position"), F.concat_ws(",", F.date_format("date", "yyyy-MM-dd"), F.format_string("%.4f", "o")).alias("line")
     )
-    rows.repartition("station").write.partitionBy("station").text(path)
+    writers.write_lines(rows, path, "station")
     stations = v.table("supplier").select(F.concat(F.lit("station="), C("s_suppkey")).alias("station_id")).unionByName(
         v.table("nation").select(F.concat(F.lit("nation="), C("n_nationkey")).alias("station_id"))
     )

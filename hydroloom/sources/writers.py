@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+import os
+import re
+import uuid
+from pathlib import Path
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,10 +47,74 @@ def write_cell_series(
     manifest.refresh(series.sparkSession, path)
 
 
-def _write_lines(lines: DataFrame, path: str) -> None:
-    """Lines `(file, position, line)` in order, one folder per file."""
-    ordered = lines.repartition("file").sortWithinPartitions("file", "position")
-    ordered.select("file", "line").write.partitionBy("file").text(path)
+# Characters that Spark escapes in the folder name of a partition.
+_ESCAPED = re.compile(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""")
+
+
+def _folder_name(by: str, key: str | None) -> str:
+    """Folder of a partition as Spark names it."""
+    if not key:
+        return f"{by}=__HIVE_DEFAULT_PARTITION__"
+    return f"{by}=" + _ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", key)
+
+
+def _file_writer(by: str, root: str):
+    """Writes sorted `(by, line)` rows, a file for each key, and returns the number of files."""
+
+    def write(batches):
+        attempt = TaskContext.get().taskAttemptId()
+        out = key = place = None
+        n = 0
+
+        def close():
+            if out is not None:
+                out.close()
+                # A task that runs again puts the same file in the place of the first one.
+                os.replace(out.name, place)
+
+        for batch in batches:
+            keys, lines = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for k, same in itertools.groupby(range(len(keys)), keys.__getitem__):
+                if out is None or k != key:
+                    close()
+                    folder = os.path.join(root, _folder_name(by, k))
+                    os.makedirs(folder, exist_ok=True)
+                    # The empty key shares its folder with the missing one.
+                    place = os.path.join(folder, "part-00001.txt" if k == "" else "part-00000.txt")
+                    # Readers pass over a name like this, should the task end here.
+                    out, key, n = open(os.path.join(folder, f"_{attempt}"), "w", encoding="utf-8", newline=""), k, n + 1
+                out.write("".join(f"{lines[i] or ''}\n" for i in same))
+        close()
+        yield pa.RecordBatch.from_pydict({"files": pa.array([n], pa.int64())})
+
+    return write
+
+
+def write_lines(lines: DataFrame, path: str, by: str = "file") -> None:
+    """Lines `(by, position, line)` in order, one folder and file per value of `by`.
+
+    On a mounted file system the tasks write the files themselves, into a folder that takes its name once all are complete: Hadoop's
+    local file system starts a process for the access rights of every file and folder. Elsewhere Spark's writer is used.
+    """
+    spark = lines.sparkSession
+    ordered = lines.select(F.col(by).cast("string").alias(by), "position", "line").repartition(by).sortWithinPartitions(by, "position").select(by, "line")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.getUri().getScheme() != "file":
+        ordered.write.partitionBy(by).text(path)
+        return
+    target = place.toUri().getPath()
+    if os.path.lexists(target):
+        raise FileExistsError(f"path already exists: {path}")
+    work = os.path.join(os.path.dirname(os.path.abspath(target)), f"_{uuid.uuid4().hex}")
+    os.makedirs(work)
+    try:
+        ordered.mapInArrow(_file_writer(by, work), "files long").agg(F.sum("files")).collect()
+        Path(work, "_SUCCESS").touch()
+        os.rename(work, target)
+    except BaseException:
+        drop_path(spark, work)
+        raise
 
 
 def _format_value(value) -> "F.Column":
@@ -76,7 +148,7 @@ def write_tss(series: DataFrame, path: str, names: list[str], title: str = "time
     top = series.select("file").distinct().select(
         "file", F.posexplode(F.array(*[F.lit(h) for h in head])).alias("position", "line")
     ).select("file", (F.col("position") - width - 3).cast("long").alias("position"), "line")
-    _write_lines(top.unionByName(body), path)
+    write_lines(top.unionByName(body), path)
 
 
 def write_series_csv(series: DataFrame, path: str, points: list[tuple[str, float, float]], kind: str = "daily", title: str = "Timeseries") -> None:
@@ -98,7 +170,7 @@ def write_series_csv(series: DataFrame, path: str, points: list[tuple[str, float
     top = series.select("file").distinct().select("file", F.posexplode(F.array(*[F.lit(h) for h in head])).alias("position", "line")).select(
         "file", (F.col("position") - 10).cast("long").alias("position"), "line"
     )
-    _write_lines(top.unionByName(body), path)
+    write_lines(top.unionByName(body), path)
 
 
 def write_point_series(series: DataFrame, path: str) -> None:

@@ -5,6 +5,7 @@ from pathlib import Path
 
 import pytest
 from helpers import rows
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from hydroloom.session import SHUFFLE_CLEANUP, cut_lineage, scratch_path, scratch_root
@@ -169,3 +170,28 @@ def test_a_stack_that_begins_late_or_is_cut_with_a_buffer(spark, tmp_path):
     assert len(got) == 62 and got[dt.date(2001, 1, 5)] == 4.0
     # 2000 is a leap year: its first of December is day 336, the second of December in 2001.
     assert got[dt.date(2000, 12, 1)] == 335.0
+
+
+def test_files_of_lines_are_named_like_partitions(spark, tmp_path, monkeypatch):
+    keys = ["a b", "x/y=1", "100%", "ä[1]^{", "", None, "q\"'\\:*?#"]
+    data = [(k, p, f"{k}-{p}") for k in keys for p in range(30)] + [("a b", 99, None)]
+    s = spark.createDataFrame(data, "key string, position long, line string")
+    s.select("key", "line").write.partitionBy("key").text(str(tmp_path / "spark"))
+    # The tasks write the files: Spark's writer is not asked.
+    monkeypatch.setattr(DataFrameWriter, "text", None)
+    writers.write_lines(s.orderBy(F.rand(1)), str(tmp_path / "own"), "key")
+
+    def folders(name):
+        return {p.name for p in Path(tmp_path, name).iterdir() if p.is_dir()}
+
+    assert folders("own") == folders("spark") and len(folders("own")) == 6
+    assert Path(tmp_path, "own", "_SUCCESS").exists() and not list(Path(tmp_path, "own").glob("*/_*"))
+    (part,) = Path(tmp_path, "own", "key=a b").iterdir()
+    assert part.read_text() == "".join(f"a b-{p}\n" for p in range(30)) + "\n"
+    back = spark.read.text(str(tmp_path / "own"))
+    assert rows(back.filter("value <> ''").groupBy("key").count(), "count", "key") == rows(
+        spark.read.text(str(tmp_path / "spark")).filter("value <> ''").groupBy("key").count(), "count", "key"
+    )
+    with pytest.raises(FileExistsError):
+        writers.write_lines(s, str(tmp_path / "own"), "key")
+    assert {p.name for p in tmp_path.iterdir()} == {"own", "spark"}
