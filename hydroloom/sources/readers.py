@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from hydroloom import schemas
 from hydroloom.functions import dates
 from hydroloom.functions.clean import null_sentinels
+from hydroloom.session import cut_lineage
 from hydroloom.sources import manifest
 
 _FILE = "_metadata.file_path"
@@ -30,21 +31,22 @@ def read_tss(spark: SparkSession, path: str, start: Column, fill: float | None =
     of a step and N - 1 values. Lines are told apart by their number, so a title may start with a number and a name may hold
     blanks; only the header lines of a file are gathered. Unreadable values and 1e31 become `fill`.
     """
-    lines = _lines(spark, path)
+    # The files are read once; headers and data come from a table of their lines.
+    lines = cut_lineage(_lines(spark, path), "tss")
     # Row ids count up along a file inside its first block, which holds the header.
-    first = lines.filter("pos.b = 0").groupBy("file").agg(F.min("pos.i").alias("_first"))
-    numbered = lines.join(first, "file").withColumn("no", F.when(F.col("pos.b") == 0, F.col("pos.i") - F.col("_first")))
-    width = numbered.filter("no = 1").select("file", F.col("line").try_cast("int").alias("width"))
-    sized = numbered.join(width, "file")
+    top = lines.filter("pos.b = 0")
+    heads = top.join(top.groupBy("file").agg(F.min("pos.i").alias("_first")), "file").withColumn("no", F.col("pos.i") - F.col("_first"))
+    width = heads.filter("no = 1").select("file", F.col("line").try_cast("int").alias("width"))
     header = (
-        sized.filter((F.col("no") >= 3) & (F.col("no") <= F.col("width") + 1)).groupBy("file")
+        heads.join(width, "file").filter((F.col("no") >= 3) & (F.col("no") <= F.col("width") + 1)).groupBy("file", "_first", "width")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("no", "line"))), lambda x: x["line"]).alias("names"))
     )
+    sized = lines.join(header, "file").withColumn("no", F.when(F.col("pos.b") == 0, F.col("pos.i") - F.col("_first")))
     behind = F.col("no").isNull() | (F.col("no") > F.col("width") + 1)
     data = sized.filter(behind).withColumn("p", F.split("line", r"\s+")).filter((F.size("p") > 1) & F.get("p", F.lit(0)).rlike(r"^\d+$"))
-    rows = data.select("file", F.get("p", F.lit(0)).cast("int").alias("step"), F.posexplode(F.slice("p", 2, F.size("p"))).alias("k", "text"))
+    rows = data.select("file", "names", F.get("p", F.lit(0)).cast("int").alias("step"), F.posexplode(F.slice("p", 2, F.size("p"))).alias("k", "text"))
     value = F.coalesce(null_sentinels(F.col("text").try_cast("double"), "series"), F.lit(fill).cast("double"))
-    return rows.join(header, "file").select(
+    return rows.select(
         "file", F.get("names", F.col("k")).alias("name"), "step", dates.step_date(start, F.col("step")).alias("date"), value.alias("value")
     )
 

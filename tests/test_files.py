@@ -195,3 +195,11 @@ def test_files_of_lines_are_named_like_partitions(spark, tmp_path, monkeypatch):
     with pytest.raises(FileExistsError):
         writers.write_lines(s, str(tmp_path / "own"), "key")
     assert {p.name for p in tmp_path.iterdir()} == {"own", "spark"}
+
+
+def test_old_text_series_is_read_once(spark, tmp_path):
+    for name in "abc":
+        (tmp_path / f"{name}.tss").write_text(TSS)
+    out = readers.read_tss(spark, str(tmp_path), F.lit("1990-01-01").cast("date"))
+    assert "FileScan text" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 12 and out.select("file").distinct().count() == 3
