@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from hydroloom.operators.keyed import attach, lag_by_block
+from hydroloom.operators.keyed import counted, lag_by_block, tasks_for
 from hydroloom.session import cut_lineage
 
 
@@ -106,22 +106,24 @@ def asof_nearest_day(series: DataFrame, slices: DataFrame, keys: list[str]) -> D
     """Join each dated row with the slice of the nearest date, the earlier one on a tie.
 
     Both tables are merged per key; positions before and after come from running aggregates that
-    work year by year, so a long series is never ordered in one task.
+    work year by year, so a long series is never ordered in one task. What other years hand to a year is one more row of it,
+    and years are dealt over tasks by the number of rows.
     """
     rows = series.withColumn("_row", F.lit(True)).withColumn("_at", F.lit(None).cast("struct<d:date,v:double>"))
     marks = slices.select(*keys, "date", F.struct(F.col("date").alias("d"), F.col("map_value").cast("double").alias("v")).alias("_at"))
-    both = rows.unionByName(marks, allowMissingColumns=True).withColumn("_b", F.year("date"))
-    ends = both.groupBy(*keys, "_b").agg(F.max("_at").alias("_last"), F.min("_at").alias("_head"))
+    both, n = counted(rows.unionByName(marks, allowMissingColumns=True).withColumn("_b", F.year("date")))
+    group, tasks = [*keys, "_b"], tasks_for(n)
+    ends = both.select(*group, "_at").repartition(tasks, *group).groupBy(*group).agg(F.max("_at").alias("_last"), F.min("_at").alias("_head"))
     years = W.partitionBy(*keys).orderBy("_b")
     ends = ends.select(
-        *keys, "_b", F.max("_last").over(years.rowsBetween(W.unboundedPreceding, -1)).alias("_low"),
+        *group, F.max("_last").over(years.rowsBetween(W.unboundedPreceding, -1)).alias("_low"),
         F.min("_head").over(years.rowsBetween(1, W.unboundedFollowing)).alias("_high"),
     )
     # Frames by date: a slice of the same day is before and after alike.
-    inside = W.partitionBy(*keys, "_b").orderBy("date")
-    near = attach(both, ends, [*keys, "_b"]).withColumn(
-        "_low", F.coalesce(F.max("_at").over(inside.rangeBetween(W.unboundedPreceding, 0)), "_low")
-    ).withColumn("_high", F.coalesce(F.min("_at").over(inside.rangeBetween(0, W.unboundedFollowing)), "_high"))
+    whole, inside = W.partitionBy(*group), W.partitionBy(*group).orderBy("date")
+    near = both.unionByName(ends, allowMissingColumns=True).repartition(tasks, *group).withColumn(
+        "_low", F.coalesce(F.max("_at").over(inside.rangeBetween(W.unboundedPreceding, 0)), F.max("_low").over(whole))
+    ).withColumn("_high", F.coalesce(F.min("_at").over(inside.rangeBetween(0, W.unboundedFollowing)), F.max("_high").over(whole)))
     d_low = F.datediff("date", F.col("_low.d"))
     d_high = F.datediff(F.col("_high.d"), "date")
     take_low = F.col("_high").isNull() | (F.col("_low").isNotNull() & (d_low <= d_high))

@@ -384,3 +384,18 @@ def test_lagged_shares_are_dealt_by_their_number(spark, monkeypatch):
     out = channel.triangular_lag(flows, 3.0)
     assert out.rdd.getNumPartitions() == 12
     assert sum(r["flow"] for r in out.collect()) == pytest.approx(40.0)
+
+
+def test_nearest_days_are_dealt_by_rows_and_lose_no_row(spark, monkeypatch):
+    monkeypatch.setattr(keyed, "TASK_ROWS", 10)
+    day = lambda n: dt.date(2000, 1, 1) + dt.timedelta(days=n)
+    points = [(k, day(n)) for k in ("a", None) for n in range(0, 2000, 40)] + [("a", None), ("b", day(5))]
+    marks = [(k, day(n), float(n)) for k in ("a", None) for n in (100, 130, 1500)] + [("a", day(130), -1.0)]
+    out = joins.asof_nearest_day(
+        spark.createDataFrame(points, "k string, date date"), spark.createDataFrame(marks, "k string, date date, map_value double"), ["k"]
+    )
+    assert out.rdd.getNumPartitions() >= 11
+    got = rows(out.select("k", "date", "slice_date"))
+    want = [(k, d, min((m for q, m, _ in marks if q == k), key=lambda m: (abs((m - d).days), m), default=None) if d else None) for k, d in points]
+    assert [g for g in got if g[1]] == sorted((w for w in want if w[1]), key=lambda r: tuple((x is None, x) for x in r))
+    assert len(got) == len(points)
