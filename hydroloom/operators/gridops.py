@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hydroloom.functions.clean import MAP_SENTINEL, cap_display, display_radius, safe_divide
 from hydroloom.grid import GridRatio, GridSpec
+from hydroloom.operators.keyed import counted, tasks_for
 
 
 def clip_to_box(cells: DataFrame, row0: int, row1: int, col0: int, col1: int) -> DataFrame:
@@ -117,7 +118,8 @@ def _joined(fine: DataFrame, coarse: DataFrame, n: int) -> DataFrame:
 def _patches(coarse: DataFrame, rows: int, cols: int, value: str, keys: list[str]) -> DataFrame:
     """Per lower corner (r0, c0) the four values around a patch, edges repeated.
 
-    Each coarse cell is sent to the few patches it is a corner of, so fine cells need one join.
+    Each coarse cell is sent to the few patches it is a corner of, so fine cells need one join. Patches are dealt by their
+    place over tasks that hold so many corners, and the join finds them there.
     """
 
     def corners(axis: str, n: int) -> Column:
@@ -127,12 +129,13 @@ def _patches(coarse: DataFrame, rows: int, cols: int, value: str, keys: list[str
         last = F.when(x == n - 1, F.array(F.struct(x.alias("o"), F.lit(1).alias("p")))).otherwise(F.slice(own, 1, 0))
         return F.concat(own, first, last)
 
-    spread = coarse.withColumn("_y", F.explode(corners("row", rows))).withColumn("_x", F.explode(corners("col", cols)))
-    pick = {
-        f"_v{i}{j}": F.max(F.when((F.col("_y.p") == i) & (F.col("_x.p") == j), F.col(value))) for i in (0, 1) for j in (0, 1)
-    }
-    return spread.groupBy(*keys, F.col("_y.o").cast("int").alias("_r0"), F.col("_x.o").cast("int").alias("_c0")).agg(
-        *[c.alias(n) for n, c in pick.items()]
+    table, n = counted(coarse.select(*keys, "row", "col", value))
+    spread = table.withColumn("_y", F.explode(corners("row", rows))).withColumn("_x", F.explode(corners("col", cols)))
+    corner = spread.select(
+        *keys, value, F.col("_y.o").cast("int").alias("_r0"), F.col("_x.o").cast("int").alias("_c0"), (F.col("_y.p") * 2 + F.col("_x.p")).alias("_p")
+    ).repartition(tasks_for(n * 4), "_r0", "_c0")
+    return corner.groupBy(*keys, "_r0", "_c0").agg(
+        *[F.max(F.when(F.col("_p") == i * 2 + j, F.col(value))).alias(f"_v{i}{j}") for i in (0, 1) for j in (0, 1)]
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hydroloom.functions import channel, clean, dates, evaporation, land
 from hydroloom.grid import GridSpec
-from hydroloom.operators import balance, catalog, demand, joins, keyed, periods, runs, skill, temporal, zonal
+from hydroloom.operators import balance, catalog, demand, gridops, joins, keyed, periods, runs, skill, temporal, zonal
 
 
 def day(n, start=dt.date(2000, 1, 1)):
@@ -399,3 +399,14 @@ def test_nearest_days_are_dealt_by_rows_and_lose_no_row(spark, monkeypatch):
     want = [(k, d, min((m for q, m, _ in marks if q == k), key=lambda m: (abs((m - d).days), m), default=None) if d else None) for k, d in points]
     assert [g for g in got if g[1]] == sorted((w for w in want if w[1]), key=lambda r: tuple((x is None, x) for x in r))
     assert len(got) == len(points)
+
+
+def test_patches_are_dealt_by_corners(spark, monkeypatch):
+    monkeypatch.setattr(keyed, "TASK_ROWS", 10)
+    coarse = spark.range(100).select(
+        (F.col("id") % 5).cast("int").alias("date"), F.expr("cast(id div 5 div 4 as int)").alias("row"), F.expr("cast(id div 5 % 4 as int)").alias("col"), F.col("id").cast("double").alias("v")
+    )
+    patches = gridops._patches(coarse, 5, 4, "v", ["date"])
+    assert patches.rdd.getNumPartitions() >= 40
+    got = {(r["date"], r["_r0"], r["_c0"]): r["_v11"] for r in patches.collect()}
+    assert len(got) == 5 * 6 * 5 and got[(2, 0, 0)] == 27.0 and got[(0, -1, -1)] == 0.0
