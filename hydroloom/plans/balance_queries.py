@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from hydroloom.operators import balance
-from hydroloom.operators.keyed import lookup
+from hydroloom.operators.keyed import lookup, tasks_for
 from hydroloom.plans.registry import query
 
 DAILY = """d as (select variable, date, sum(value * area) as dv, sum(value) as ps, arg_min(value, cell_id) as fc
@@ -205,7 +205,9 @@ def _(v):
 @query("total_water_storage", """select cell_id, date, round(value + tavg + value * 3 / area + value * 2 / area + precip, 6) as tws
   from cell_day join meteo using (cell_id, date) join (select cell_id, area from cell) using (cell_id)""")
 def _(v):
-    t = v.cell_day.join(v.meteo, ["cell_id", "date"]).join(v.cell.select("cell_id", "area"), "cell_id")
+    # Sums and weather of a cell and day meet in tasks of a bounded number of rows, whatever the bytes of their shuffles.
+    tasks, day = tasks_for(v.table("lineitem").count()), ["cell_id", "date"]
+    t = v.cell_day.repartition(tasks, *day).join(v.meteo.select(*day, "tavg", "precip").repartition(tasks, *day), day).join(v.cell.select("cell_id", "area"), "cell_id")
     c = F.col
     tws = balance.total_water_storage(c("value"), c("tavg"), c("value") * 3, c("value") * 2, c("area"), c("precip"))
     return t.select("cell_id", "date", F.round(tws, 6).alias("tws"))

@@ -410,3 +410,17 @@ def test_patches_are_dealt_by_corners(spark, monkeypatch):
     assert patches.rdd.getNumPartitions() >= 40
     got = {(r["date"], r["_r0"], r["_c0"]): r["_v11"] for r in patches.collect()}
     assert len(got) == 5 * 6 * 5 and got[(2, 0, 0)] == 27.0 and got[(0, -1, -1)] == 0.0
+
+
+def test_water_storage_is_joined_in_tasks_of_bounded_rows(spark, tmp_path, monkeypatch):
+    import __spark_entry__
+
+    lines = [(c, c % 5, dt.datetime(2000, 1, 1 + d), float(c), 0.1, 0.2) for c in range(20) for d in range(30)]
+    spark.createDataFrame(lines, "l_partkey long, l_suppkey long, l_shipdate timestamp, l_quantity double, l_discount double, l_tax double").write.parquet(
+        f"{tmp_path}/lineitem.parquet"
+    )
+    spark.range(20).select(F.col("id").alias("p_partkey"), F.lit(900.0).alias("p_retailprice"), F.lit(1).alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(keyed, "TASK_ROWS", 10)
+    out = __spark_entry__.queries()["total_water_storage"](spark, str(tmp_path))
+    assert out.rdd.getNumPartitions() >= 60
+    assert out.count() == 600
