@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from hydroloom.operators.keyed import row_index_by_block, running_by_block, tasks_for, with_group
+from hydroloom.operators.keyed import lookup, row_index_by_block, running_by_block, tasks_for, with_group
 from hydroloom.session import cut_lineage, drop_path
 
 MAX_ROUNDS = 64  # paths of up to 2**64 cells; a loop that needs more raises
@@ -205,7 +205,8 @@ def down_tree(tree: DataFrame, values: DataFrame, folds: dict[str, str], keys: l
 
     After round k a gauge holds its own value and those less than 2**k steps above it: each round hands the values to the
     gauge 2**k steps below and folds. So values are written about log2(depth) times, never once per pair of gauges. Each
-    round is dealt over tasks by the rows it holds, at most twice those of the round before.
+    round is dealt over tasks by the rows it holds, at most twice those of the round before. Values whose `keys` have few
+    rows each are dealt by `keys` once and stay there for all rounds (`_down_by_keys`).
     """
     aggs = [_FOLDS[how](c).alias(c) for c, how in folds.items()]
     held = values.select("gauge_id", *keys, *folds).groupBy("gauge_id", *keys).agg(*aggs)
@@ -213,6 +214,11 @@ def down_tree(tree: DataFrame, values: DataFrame, folds: dict[str, str], keys: l
     if active == 0:
         return held
     held, rows = _cut_and_count(held, "tree-values", F.lit(True))
+    if keys:
+        largest = held.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        # A task holds several groups, else they would be dealt unevenly.
+        if tasks_for(KEY_GROUPS * largest) == 1:
+            return _down_by_keys(step, held, rows, aggs, list(folds), keys)
     for _ in range(MAX_ROUNDS):
         if active == 0:
             return held
@@ -226,6 +232,33 @@ def down_tree(tree: DataFrame, values: DataFrame, folds: dict[str, str], keys: l
     raise RuntimeError("the gauge tree has a cycle")
 
 
+KEY_GROUPS = 4  # least number of key groups in a task of `_down_by_keys`
+KEY_GROWTH = 8  # rows that a value is counted as there, since it goes to several gauges
+
+
+def _down_by_keys(step: DataFrame, held: DataFrame, rows: int, aggs: list[Column], columns: list[str], keys: list[str]) -> DataFrame:
+    """`down_tree` without a shuffle or a table for each round: the way down changes the gauge of a value and never its `keys`.
+
+    Only the steps are doubled in tables, one row a gauge. A round hands the values to one, two and three steps of
+    its length, so the next one is four times as long.
+    """
+    held = held.repartition(tasks_for(KEY_GROWTH * rows), *keys)
+    for _ in range(MAX_ROUNDS // 2):
+        one = step.filter("ptr is not null").select("gauge_id", F.col("ptr").alias("p1"))
+        two = cut_lineage(one.join(one.select(F.col("gauge_id").alias("p1"), F.col("p1").alias("p2")), "p1", "left"), "tree")
+        beyond = two.select(F.col("gauge_id").alias("p2"), F.col("p1").alias("p3"), F.col("p2").alias("ptr"))
+        four, active = _cut_and_count(two.join(beyond, "p2", "left"), "tree", F.col("ptr").isNotNull(), two)
+        below = F.array_compact(F.array("p1", "p2", "p3"))
+        given = lookup(held, four, ["gauge_id"], ["p1", "p2", "p3"], how="left").select(
+            F.explode(F.concat(F.array("gauge_id"), below)).alias("gauge_id"), *keys, *columns
+        )
+        held = given.groupBy("gauge_id", *keys).agg(*aggs)
+        if active == 0:
+            return held
+        step = four.select("gauge_id", "ptr")
+    raise RuntimeError("the gauge tree has a cycle")
+
+
 def tree_roots(tree: DataFrame) -> DataFrame:
     """(gauge_id, lowest_id, depth): the most downstream gauge of each, and how many gauges lie on the way, both included."""
     root = root_of(tree.select(F.col("gauge_id").alias("cell_id"), F.col("parent_id").alias("down_id")))

@@ -186,6 +186,44 @@ def from_months(parts: DataFrame, kind: str, keys: list[str], spin: Column, end:
     return out.select(*keys, F.col("date") if "date" in out.columns else none.alias("date"), "value")
 
 
+def _period_rows(parts: DataFrame, kinds: list[str], keys: list[str], spin: Column, end: Column) -> list[DataFrame]:
+    """`keys, temporal, date, value` of several kinds at once, as `from_months` makes them one by one.
+
+    Kinds of the same length of period share a pass over the parts, and years and whole runs a shuffle.
+    """
+    month, year = F.col("month"), F.col("date")
+    none = F.lit(None).cast("date")
+    made = []
+
+    def long(table: DataFrame, values: dict[str, Column], flags: list[str], kept: Column) -> None:
+        asked = {kind: value for kind, value in values.items() if kind in kinds}
+        if asked:
+            wide = table.select(*keys, "date", *flags, *[value.alias(kind) for kind, value in asked.items()])
+            made.append(wide.unpivot([*keys, "date", *flags], list(asked), "temporal", "value").filter(kept).drop(*flags))
+
+    kind = F.col("temporal")
+    monthly = parts.select(
+        "*", month.alias("date"), (F.last_day(month) <= end).alias("_whole"), (F.col("last_date") == F.last_day(month)).alias("_at_end")
+    )
+    sums = {"monthtot": F.col("total"), "monthavg": F.col("total") / dates.days_in_month(month)}
+    lasts = {"monthend": F.col("last"), "annualend": F.col("last")}
+    long(monthly, sums, ["_whole"], F.col("_whole"))
+    at_end = monthly.filter("_at_end")
+    long(at_end, {"monthend": lasts["monthend"]}, [], F.lit(True))
+    long(at_end.filter(F.month(month) == 12).withColumn("date", dates.year_start(month)), {"annualend": lasts["annualend"]}, [], F.lit(True))
+    yearly = parts.groupBy(*keys, dates.year_start(month).alias("date")).agg(F.sum("total").alias("_sum")).filter(dates.year_end(year) <= end)
+    long(yearly, {"annualtot": F.col("_sum"), "annualavg": F.col("_sum") / dates.days_in_year(year)}, [], F.lit(True))
+    runs = parts.groupBy(*keys).agg(
+        F.sum("since").alias("_since"), (F.sum("n_since") > 0).alias("_any"), F.max_by("last", "last_date").alias("_last")
+    )
+    days = F.datediff(end, spin) + 1
+    whole = {"totaltot": F.col("_since"), "totalavg": F.col("_since") / days, "totalend": F.col("_last"), "once": F.col("_last")}
+    long(runs.withColumn("date", none), whole, ["_any"], F.col("_any") | kind.isin("totalend", "once"))
+    if "12month" in kinds:
+        made.append(from_months(parts, "12month", keys, spin, end).select(*keys, "date", F.lit("12month").alias("temporal"), "value"))
+    return made
+
+
 def aggregate_outputs(
     series: DataFrame,
     requests: list[tuple[str, str, str]],
@@ -200,7 +238,8 @@ def aggregate_outputs(
 
     The series is read once for the month parts of each place (cells, gauge cells, gauge basins), written as a table that
     all kinds of periods read, and once more for daily maps; so the number of passes does not grow with the number of
-    requests. Sums and averages over basins share one pass, as every kind is linear over cells.
+    requests. Sums and averages over basins share one pass, as every kind is linear over cells, and so do kinds
+    of the same length of period. A series that is costly to make should be written before.
     """
     for request in requests:
         check_request(*request, known=known)
@@ -230,17 +269,36 @@ def aggregate_outputs(
         if any(s == "areaavg" for _, _, s in asked):
             area = network.for_all_gauges(catchment_area(cell, nearest, tree), gauge).withColumnRenamed("gauge_id", "target_id")
             area = cut_lineage(area, "gauge-areas")
-        for temporal, spatial in dict.fromkeys((t, s) for _, t, s in asked):
-            chosen = F.col("variable").isin(*{v for v, t, s in asked if (t, s) == (temporal, spatial)})
-            if temporal == "daily":
-                out = placed.filter(chosen)
-            else:
-                out = from_months(months.filter(chosen), temporal, keys, spin, end)
-            if spatial == "areaavg":
-                out = out.join(area, "target_id").withColumn("value", safe_divide(F.col("value"), F.col("catchment_area")))
-            parts.append(
-                out.select("variable", F.lit(temporal).alias("temporal"), F.lit(spatial).alias("spatial"), "target_id", "date", "value")
+        pairs: dict[tuple[str, str], set[str]] = {}
+        for name, temporal, spatial in asked:
+            pairs.setdefault((temporal, spatial), set()).add(name)
+        kinds = list(dict.fromkeys(t for t, _ in pairs))
+        made = [] if months is None else _period_rows(months, kinds, keys, spin, end)
+        if "daily" in kinds:
+            made.append(placed.select(*keys, "date", F.lit("daily").alias("temporal"), "value"))
+        out = reduce(DataFrame.unionByName, made)
+        if area is None:
+            out = out.withColumn("spatial", F.lit(place_kinds[0]))
+        else:
+            # A value stands for the sum, and once more, over the area, for the average.
+            out = lookup(out, area.withColumn("_known", F.lit(True)), ["target_id"], ["catchment_area", "_known"], how="left")
+            out = out.withColumn("spatial", F.explode(F.array(*[F.lit(s) for s in dict.fromkeys(s for _, s in pairs)])))
+            average = F.col("spatial") == "areaavg"
+            out = out.filter(~average | F.col("_known")).withColumn(
+                "value", F.when(average, safe_divide(F.col("value"), F.col("catchment_area"))).otherwise(F.col("value"))
             )
+        names = {v for v, _, _ in asked}
+        every = {s for _, s in pairs}
+        if any(chosen != names for chosen in pairs.values()) or len(pairs) < len(kinds) * len(every):
+            alike: dict[tuple[str, ...], list[tuple[str, str]]] = {}
+            for pair, chosen in pairs.items():
+                alike.setdefault(tuple(sorted(chosen)), []).append(pair)
+            wanted = [
+                F.col("variable").isin(*chosen) & F.concat_ws(" ", "temporal", "spatial").isin(*[" ".join(pair) for pair in group])
+                for chosen, group in alike.items()
+            ]
+            out = out.filter(reduce(Column.__or__, wanted))
+        parts.append(out.select("variable", "temporal", "spatial", "target_id", "date", "value"))
     return reduce(DataFrame.unionByName, parts)
 
 

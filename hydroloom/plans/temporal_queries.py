@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from hydroloom.functions import dates
 from hydroloom.operators import incremental, network, temporal
 from hydroloom.plans.registry import query
-from hydroloom.session import scratch_path
+from hydroloom.session import cut_lineage, scratch_path
 
 KEYS = ["variable", "cell_id"]
 SPIN = "1996-01-01"
@@ -136,7 +136,8 @@ def _(v):
         ("NO", "monthtot", "map"), ("NF", "monthtot", "map"), ("RF", "daily", "tss"),
         ("AF", "annualtot", "areasum"), ("AO", "annualtot", "areasum"), ("RO", "totaltot", "map"),
     ]
-    return _r(temporal.aggregate_outputs(v.cell_series, requests, _spin(), v.cell, gauge, nearest, tree), 3)
+    series = cut_lineage(v.cell_series, "cell-series")
+    return _r(temporal.aggregate_outputs(series, requests, _spin(), v.cell, gauge, nearest, tree), 3)
 
 
 # Each kind of period over a table t(variable, target_id, date, value); E is the end of the run.
@@ -170,9 +171,10 @@ areaavg as (select variable, target_id, date, value / total as value from areasu
 {ALL_PAIRS}""")
 def _(v):
     nearest, tree, gauge = _gauges(v)
-    names = [r["variable"] for r in v.cell_series.select("variable").distinct().orderBy("variable").collect()]
+    series = cut_lineage(v.cell_series, "cell-series")
+    names = [r["variable"] for r in series.select("variable").distinct().orderBy("variable").collect()]
     requests = [(name, t, s) for name in names for t, s in PAIRS]
-    return _r(temporal.aggregate_outputs(v.cell_series, requests, _spin(), v.cell, gauge, nearest, tree), 5)
+    return _r(temporal.aggregate_outputs(series, requests, _spin(), v.cell, gauge, nearest, tree), 5)
 
 
 MONTH_KINDS = [t for t in temporal.MAP_KINDS if t != "daily"]

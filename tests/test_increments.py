@@ -175,3 +175,42 @@ def test_a_transfer_without_its_bodies_is_null(spark):
     bodies = spark.createDataFrame([(1, day, 10.0, 9.0, 1990), (2, day, 20.0, 4.0, 1995)], "body long, date date, volume double, storage double, year_built int")
     got = rows(demand.scheduled_transfer(schedule, bodies, bodies.select("date").distinct()).select("from_id", "to_id", "transfer"))
     assert got == [(0, 2, 10.0), (1, 2, 3.0), (1, 3, None), (2, 1, 0.95)]
+
+
+def test_kinds_of_a_period_share_a_pass(spark):
+    first, last = dt.date(2000, 1, 5), dt.date(2001, 3, 31)
+    series = _series(spark, first, last)
+    kinds = [t for t in temporal.MAP_KINDS if t != "daily"]
+    requests = [(name, t, "map") for name in "ab" for t in kinds] + [("a", "daily", "map")]
+    got = temporal.aggregate_outputs(series, requests, _spin())
+    # Years, whole runs and the twelve months have a shuffle each, not one a kind.
+    assert _plan(got).count("hashpartitioning(variable") == 3
+    months = temporal.month_parts(series, KEYS, _spin())
+    want = [temporal.from_months(months, k, KEYS, _spin(), F.lit(last)).select("variable", F.lit(k).alias("temporal"), "cell_id", "date", F.round("value", 6)) for k in kinds]
+    want.append(series.filter("variable = 'a'").select("variable", F.lit("daily").alias("temporal"), "cell_id", "date", F.round("value", 6)))
+    for each in want:
+        kind = each.first()["temporal"]
+        own = got.filter(F.col("temporal") == kind).select("variable", "temporal", "target_id", "date", F.round("value", 6))
+        assert rows(own) == rows(each), kind
+
+
+def test_sums_and_averages_of_gauges_are_given_as_asked(spark):
+    series = _series(spark, dt.date(2000, 1, 5), dt.date(2000, 12, 31))
+    cell = spark.createDataFrame([(0, 2.0), (1, 3.0), (2, 5.0)], "cell_id long, area double")
+    ldd = spark.createDataFrame([(0, None), (1, 0), (2, 1)], "cell_id long, down_id long")
+    gauge = spark.createDataFrame([(7, 0), (8, 1)], "gauge_id long, cell_id long")
+    nearest = network.subcatchment(ldd, gauge)
+    tree = network.gauge_tree(ldd, gauge, nearest)
+    requests = [("a", "monthtot", "areasum"), ("a", "monthtot", "areaavg"), ("b", "totaltot", "areasum"), ("b", "daily", "areaavg")]
+    got = temporal.aggregate_outputs(series, requests, _spin(), cell, gauge, nearest, tree)
+    area, above, want = {0: 2.0, 1: 3.0, 2: 5.0}, {7: (0, 1, 2), 8: (1, 2)}, {}
+    for v, date, c, value in series.collect():
+        for g in above:
+            if c not in above[g]:
+                continue
+            size = sum(area[x] for x in above[g])
+            for t, s, d in [("monthtot", "areasum", date.replace(day=1)), ("monthtot", "areaavg", date.replace(day=1)), ("totaltot", "areasum", None), ("daily", "areaavg", date)]:
+                if (v, t, s) in requests and (t != "totaltot" or date >= dt.date(2000, 2, 10)):
+                    want[v, t, s, g, d] = want.get((v, t, s, g, d), 0.0) + value * area[c] / (size if s == "areaavg" else 1)
+    made = {r[:5]: r[5] for r in map(tuple, got.collect())}
+    assert made.keys() == want.keys() and all(made[k] == pytest.approx(want[k]) for k in want)

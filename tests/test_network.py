@@ -319,3 +319,24 @@ def test_sums_down_a_tree_are_dealt_by_their_rows(spark, monkeypatch):
     assert rows(got.groupBy("gauge_id").agg(F.sum("value"))) == [(0, 100.0), (1, 80.0), (2, 60.0), (3, 40.0), (4, 20.0)]
     rounds = [df for label, df in seen if label == "tree-values"][1:]
     assert rounds and all("REPARTITION_BY_NUM, [plan_id" in p and ", 20), REPARTITION" in p for p in (df._jdf.queryExecution().executedPlan().toString() for df in rounds))
+
+
+def test_sums_down_a_tree_stay_with_their_keys(spark, monkeypatch):
+    """Keys with few rows each: values are written once, not once a round, and no round shuffles them."""
+    labels = []
+    real = network._cut_and_count
+    monkeypatch.setattr(network, "_cut_and_count", lambda df, label, *more: labels.append(label) or real(df, label, *more))
+    parent = {g: None if g == 0 else g - 1 if g < 40 else g - 17 for g in range(60)}
+    tree = spark.createDataFrame(list(parent.items()), "gauge_id long, parent_id long")
+    data = [(g, day, float(g * 7 % 11)) for g in range(0, 60, 3) for day in (None, 1, 2) if (g + (day or 0)) % 4]
+    data += [(5, 1, 2.0), (5, 1, None), (77, 2, 3.0)]
+    got = network.down_tree(tree, spark.createDataFrame(data, "gauge_id long, day int, value double"), {"value": "sum"}, ["day"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 1 and "ENSURE_REQUIREMENTS" not in plan
+    want = {}
+    for g, day, value in data:
+        while g is not None:
+            want[g, day] = want.get((g, day), 0.0) + (value or 0.0)
+            g = parent.get(g)
+    assert sorted(rows(got), key=str) == sorted(((g, day, value) for (g, day), value in want.items()), key=str)
+    assert labels.count("tree-values") == 1
