@@ -10,29 +10,28 @@ again, any number of files at a time. Two facts make this safe:
   the order of their times and the mark is the latest, so the watermark passes a day's morning once the day is complete.
 
 Event times stand on an axis on which every month has 31 days, so that a month is a window of fixed length.
-Month totals are an aggregation that closes with the watermark. Quota alarms keep value state per gauge and month; timers on
-event time emit and clear it. Groups come as rows, not as pandas frames, which have no integer or equal keys once a key
-is NULL. It needs RocksDB as state store (`run`) and a file system whose renames are atomic.
+Month totals are an aggregation that closes with the watermark, with RocksDB as state store (`run`). Quota alarms are merged
+batch by batch with a table of the open month's totals (`QuotaAlarms`). Both need a file system whose renames are atomic.
 """
 
 from __future__ import annotations
 
-import datetime
 import time
-from collections import defaultdict
-from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import Window as W
 
 from hydroloom.session import drop_path
 from hydroloom.streaming import readings
 
 DAY_SCHEMA = "gauge_id long, variable string, date date, n long, total double"
+ALARM_SCHEMA = "gauge_id long, month date, date date, month_to_date double"
+QUOTA_SCHEMA = "gauge_id long, month date, date date, total double, alarmed boolean, mark boolean, found struct<date:date,month_to_date:double>"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SLACK = "1 second"  # the watermark stays behind a commit's floor, else the commit's own rows would be late
-MORNING_MS, NOON = 6 * 3_600_000, "12 hours"
+NOON = "12 hours"
 EPOCH_YEAR, MONTH_DAYS = 1970, 31  # the axis of event times
 DAY_MS = 86_400_000
 
@@ -116,70 +115,79 @@ def closed_days(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
     return raw.select("gauge_id", "variable", "date", "n", "total", mark.alias("mark"), closed.alias("closed")).withWatermark("closed", SLACK)
 
 
-def _morning(day: datetime.date) -> int:
-    """Six in the morning of a UTC day on the axis of event times, in milliseconds: behind the floor of a part, before its mark."""
-    months = (day.year - EPOCH_YEAR) * 12 + day.month - 1
-    return (months * MONTH_DAYS + day.day - 1) * DAY_MS + MORNING_MS
+@dataclass
+class QuotaAlarms:
+    """First day of each gauge and month on which the total since the month's first day passes the quota, as a merge in
+    each batch of `days`.
 
-
-def _next_month(month: datetime.date) -> datetime.date:
-    return (month.replace(day=28) + datetime.timedelta(days=4)).replace(day=1)
-
-
-class QuotaAlarm(StatefulProcessor):
-    """First day of a (gauge, month) on which the total since the month's first day passes the quota.
-
-    Days wait in the state until their commit is complete, since files of one day may come in different batches; a timer on
-    the latest of them then adds up what is complete, in order. A timer on the next month's first day clears the state.
+    The state is a table, one version a batch: totals of the open month, and days whose part has not shown its mark, since
+    files of one day may come in different batches. A day is complete once a mark of it or of a later day was read. A batch
+    joins its complete days to the state by one shuffle and writes its alarms to a folder of its own, so a batch that runs
+    again, from the version before it, replaces what it wrote.
     """
 
-    def __init__(self, quota: float) -> None:
-        self.quota = quota
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        # At most as many waiting days as the month has.
-        self.month = handle.getValueState("month", "total double, alarmed boolean, days array<date>, totals array<double>")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        days = defaultdict(float)
-        for row in rows:
-            if not row.mark:
-                days[row.date] += row.total or 0.0
-        if days:
-            known = self.month.get()
-            total, alarmed, waiting, totals = known or (0.0, False, [], [])
-            latest = max(days)
-            for date, more in zip(waiting, totals):
-                days[date] += more
-            self.month.update((total, alarmed, list(days), list(days.values())))
-            self.handle.registerTimer(_morning(latest))
-            if known is None:
-                self.handle.registerTimer(_morning(_next_month(key[1])))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        expiry, known = expiredTimerInfo.getExpiryTimeInMs(), self.month.get()
-        if known is None:  # timers of days fire after the one that cleared their month
-            return
-        total, alarmed, days, totals = known
-        found, left = None, []
-        for date, more in sorted(zip(days, totals)):
-            if _morning(date) > expiry:
-                left.append((date, more))
-                continue
-            total += more
-            if total > self.quota and not alarmed:
-                alarmed, found = True, (date, total)
-        if expiry >= _morning(_next_month(key[1])):
-            self.month.clear()
-        else:
-            self.month.update((total, alarmed, [d for d, _ in left], [t for _, t in left]))
-        if found:
-            yield Row(gauge_id=key[0], month=key[1], date=found[0], month_to_date=found[1])
-
-    def close(self) -> None:
-        pass
+    days: DataFrame
+    quota: float
+
+    def run(self, path: str, checkpoint: str) -> DataFrame:
+        spark = self.days.sparkSession
+        versions = f"{checkpoint}/quota"
+        for folder in (path, versions):
+            place, system = _files(spark, folder)
+            system.mkdirs(place)
+        query = (
+            self.days.writeStream.foreachBatch(lambda batch, batch_id: self._merge(batch, batch_id, path, versions))
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+        found = spark.read.schema(ALARM_SCHEMA).option("recursiveFileLookup", "true").parquet(path)
+        return found.select("gauge_id", "month", "date", "month_to_date")
+
+    def _merge(self, batch: DataFrame, batch_id: int, path: str, versions: str) -> None:
+        spark = batch.sparkSession
+        place, system = _files(spark, versions)
+        known = sorted(int(f.getPath().getName().split("-")[1]) for f in system.listStatus(place))
+        before = [n for n in known if n < batch_id]
+        rows = batch.select(
+            "gauge_id", F.trunc("date", "MM").alias("month"), "date", F.coalesce("total", F.lit(0.0)).alias("total"),
+            F.lit(False).alias("alarmed"), "mark",
+        )
+        if before:
+            rows = rows.unionByName(spark.read.schema(QUOTA_SCHEMA).parquet(f"{versions}/version-{before[-1]}").drop("found"))
+        closed = rows.filter("mark").agg(F.max("date")).first()[0]
+        given = rows.filter("not mark")
+        ready = given.filter(F.lit(False) if closed is None else F.col("date").isNull() | (F.col("date") <= F.lit(closed)))
+        waiting = given if closed is None else given.filter(F.col("date") > F.lit(closed))
+        # The total so far has no date and comes first; rows of a day share its running sum.
+        own = W.partitionBy("gauge_id", "month")
+        so_far = F.sum("total").over(own.orderBy("date"))
+        passed = F.col("date").isNotNull() & (F.col("so_far") > self.quota) & ~F.isnan("so_far")
+        merged = (
+            ready.withColumn("so_far", so_far).groupBy("gauge_id", "month")
+            .agg(
+                F.max(F.struct("date", "so_far"))["so_far"].alias("total"), F.bool_or("alarmed").alias("_before"),
+                F.min(F.when(passed, F.struct("date", F.col("so_far").alias("month_to_date")))).alias("_first"),
+            )
+            .withColumn("found", F.when(~F.col("_before"), F.col("_first")))
+            .withColumn("alarmed", F.col("_before") | F.col("found").isNotNull())
+        )
+        if closed is not None:
+            merged = merged.filter((F.col("month") >= F.lit(closed.replace(day=1))) | F.col("found").isNotNull())
+        none = F.lit(None)
+        columns = ["gauge_id", "month", "date", "total", "alarmed", "mark", "found"]
+        version = f"{versions}/version-{batch_id}"
+        state = merged.select("gauge_id", "month", none.cast("date").alias("date"), "total", "alarmed", F.lit(False).alias("mark"), "found")
+        empty = none.cast("struct<date:date,month_to_date:double>").alias("found")
+        state = state.unionByName(waiting.select("*", empty).select(columns))
+        last = spark.range(1).select(
+            none.cast("long").alias("gauge_id"), none.cast("date").alias("month"), F.lit(closed).cast("date").alias("date"),
+            none.cast("double").alias("total"), F.lit(False).alias("alarmed"), F.lit(True).alias("mark"), empty,
+        )
+        state.unionByName(last).write.mode("overwrite").parquet(version)
+        alarms = spark.read.schema(QUOTA_SCHEMA).parquet(version).filter("found is not null")
+        alarms.select("gauge_id", "month", "found.date", "found.month_to_date").write.mode("overwrite").parquet(f"{path}/batch-{batch_id}")
+        for n in before[:-1]:
+            drop_path(spark, f"{versions}/version-{n}")
 
 
 def stream_month_total(days: DataFrame) -> DataFrame:
@@ -195,13 +203,13 @@ def stream_month_total(days: DataFrame) -> DataFrame:
     return sums.filter("n is not null").select("gauge_id", "variable", month, "n", "total")
 
 
-def stream_quota_alarm(days: DataFrame, quota: float) -> DataFrame:
+def stream_quota_alarm(days: DataFrame, quota: float) -> QuotaAlarms:
     """First day of each gauge and month on which the withdrawals so far pass the quota, from `closed_days`; all variables add up."""
-    return days.withColumn("month", F.trunc("date", "MM")).groupBy("gauge_id", "month").transformWithState(
-        QuotaAlarm(quota), "gauge_id long, month date, date date, month_to_date double", "Append", "EventTime"
-    )
+    return QuotaAlarms(days, quota)
 
 
-def run(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """`readings.run_to_table` with the state store that state variables and timers need."""
+def run(stream: DataFrame | QuotaAlarms, path: str, checkpoint: str) -> DataFrame:
+    """Run a stream over what is available into a table: alarms by their merge, others by `readings.run_to_table` with RocksDB."""
+    if isinstance(stream, QuotaAlarms):
+        return stream.run(path, checkpoint)
     return readings.run_to_table(stream, path, checkpoint, state_store=STATE_STORE)

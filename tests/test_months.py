@@ -105,3 +105,30 @@ def test_month_totals_need_no_python(spark, tmp_path):
     assert months.commit_batch(spark.createDataFrame([(1, "q", dt.date(2024, 1, 1), 1, 2.0, 2.0)], DAILY), source, 0)
     plan = months.stream_month_total(months.closed_days(spark, source))._jdf.queryExecution().analyzed().toString()
     assert "TransformWithState" not in plan and "Aggregate" in plan
+
+
+def test_quota_alarms_need_no_python_and_can_run_again(spark, tmp_path):
+    """The state is merged by Spark; a batch that runs again replaces its rows, and a day waits for its mark."""
+    path, versions = str(tmp_path / "out"), str(tmp_path / "versions")
+    for folder in (path, versions):
+        (tmp_path / folder).mkdir()
+    schema = "gauge_id long, date date, total double, mark boolean"
+    day = lambda d: dt.date(2024, 1, d)
+    batches = [
+        [(1, day(1), 3.0, False), (None, day(1), None, False), (None, day(2), None, True)],
+        [(1, day(3), 1.0, False), (1, day(4), 5.0, False), (None, day(3), 9.0, False)],
+        [(1, day(3), 2.0, False), (None, day(4), None, True)],
+        [(1, dt.date(2024, 2, 1), 6.0, False), (1, day(5), 1.0, False), (None, dt.date(2024, 2, 1), None, True)],
+    ]
+    for batch_id, batch in enumerate(batches):
+        frame = spark.createDataFrame(batch, schema)
+        alarms = months.stream_quota_alarm(frame, 5.0)
+        assert not isinstance(alarms, type(frame))  # no stateful operator of Python rows
+        for _ in range(2):
+            alarms._merge(frame, batch_id, path, versions)
+        got = spark.read.schema(months.ALARM_SCHEMA).option("recursiveFileLookup", "true").parquet(path)
+        want = [(None, day(1), day(3), 9.0), (1, day(1), day(3), 6.0)] if batch_id >= 2 else []
+        want += [(1, dt.date(2024, 2, 1), dt.date(2024, 2, 1), 6.0)] if batch_id == 3 else []
+        assert sorted(rows(got), key=str) == sorted(want, key=str)
+    kept = spark.read.schema(months.QUOTA_SCHEMA).parquet(f"{versions}/version-3")
+    assert rows(kept.filter("not mark and found is null").select("month")) == []
