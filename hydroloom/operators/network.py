@@ -216,8 +216,9 @@ def down_tree(tree: DataFrame, values: DataFrame, folds: dict[str, str], keys: l
     held, rows = _cut_and_count(held, "tree-values", F.lit(True))
     if keys:
         largest = held.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-        # A task holds several groups, else they would be dealt unevenly.
-        if tasks_for(KEY_GROUPS * largest) == 1:
+        repeated = step.groupBy("gauge_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
+        # A task holds several groups, else they would be dealt unevenly; a gauge that comes twice gives its values twice.
+        if tasks_for(KEY_GROUPS * largest) == 1 and not repeated:
             return _down_by_keys(step, held, rows, aggs, list(folds), keys)
     for _ in range(MAX_ROUNDS):
         if active == 0:

@@ -280,12 +280,16 @@ def aggregate_outputs(
         if area is None:
             out = out.withColumn("spatial", F.lit(place_kinds[0]))
         else:
-            # A value stands for the sum, and once more, over the area, for the average.
-            out = lookup(out, area.withColumn("_known", F.lit(True)), ["target_id"], ["catchment_area", "_known"], how="left")
-            out = out.withColumn("spatial", F.explode(F.array(*[F.lit(s) for s in dict.fromkeys(s for _, s in pairs)])))
-            average = F.col("spatial") == "areaavg"
-            out = out.filter(~average | F.col("_known")).withColumn(
-                "value", F.when(average, safe_divide(F.col("value"), F.col("catchment_area"))).otherwise(F.col("value"))
+            # A value stands for the sum, and once more, over each area of its gauge, for the average.
+            kind = area.schema["catchment_area"].dataType
+            areas = area.groupBy("target_id").agg(F.collect_list(F.struct("catchment_area")).alias("_areas"))
+            rest = F.array().cast(f"array<struct<spatial:string,_area:{kind.simpleString()}>>")
+            own = F.transform("_areas", lambda a: F.struct(F.lit("areaavg").alias("spatial"), a["catchment_area"].alias("_area")))
+            total = F.array(F.struct(F.lit("areasum").alias("spatial"), F.lit(None).cast(kind).alias("_area")))
+            given = F.concat(total if any(s == "areasum" for _, s in pairs) else rest, F.coalesce(own, rest))
+            out = lookup(out, areas, ["target_id"], ["_areas"], how="left")
+            out = out.select(*keys, "date", "temporal", "value", F.inline(given)).withColumn(
+                "value", F.when(F.col("spatial") == "areaavg", safe_divide(F.col("value"), F.col("_area"))).otherwise(F.col("value"))
             )
         names = {v for v, _, _ in asked}
         every = {s for _, s in pairs}

@@ -214,3 +214,8 @@ def test_sums_and_averages_of_gauges_are_given_as_asked(spark):
                     want[v, t, s, g, d] = want.get((v, t, s, g, d), 0.0) + value * area[c] / (size if s == "areaavg" else 1)
     made = {r[:5]: r[5] for r in map(tuple, got.collect())}
     assert made.keys() == want.keys() and all(made[k] == pytest.approx(want[k]) for k in want)
+    # An area that comes twice gives its averages twice, not its sums, as a join of the averages alone would.
+    twice = temporal.aggregate_outputs(series, requests, _spin(), cell, gauge.union(gauge.filter("gauge_id = 8")), nearest, tree)
+    count = dict(rows(twice.groupBy("spatial").count()))
+    days, whole = 181, 12  # gauge 8 has two areas, and two rows a day that month sums add up
+    assert count == {"areasum": (whole + 1) * 2, "areaavg": whole * (1 + 2) + days * (1 + 2 * 2)}

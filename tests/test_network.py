@@ -340,3 +340,9 @@ def test_sums_down_a_tree_stay_with_their_keys(spark, monkeypatch):
             g = parent.get(g)
     assert sorted(rows(got), key=str) == sorted(((g, day, value) for (g, day), value in want.items()), key=str)
     assert labels.count("tree-values") == 1
+
+
+def test_a_gauge_that_comes_twice_gives_its_values_twice(spark):
+    tree = spark.createDataFrame([(0, None), (1, 0), (1, 0), (2, 1)], "gauge_id long, parent_id long")
+    values = spark.createDataFrame([(g, 1, 1.0) for g in range(3)], "gauge_id long, day int, value double")
+    assert rows(network.down_tree(tree, values, {"value": "sum"}, ["day"])) == [(0, 1, 5.0), (1, 1, 2.0), (2, 1, 1.0)]
