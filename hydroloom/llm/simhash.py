@@ -331,7 +331,8 @@ def prefix_cells(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], shingle
             if len(names):
                 at = np.minimum(np.searchsorted(names, own), len(names) - 1)
                 rank = np.where(names[at] == own, counts[at], 0)
-            firsts.append(own[np.argsort(rank, kind="stable")[: len(own) // PREFIX + 1]])
+            # Texts without words have equal, empty sets; a cell of their own links them.
+            firsts.append(own[np.argsort(rank, kind="stable")[: len(own) // PREFIX + 1]] if len(own) else np.zeros(1, np.uint64))
         lengths = [len(first) for first in firsts]
         return {"cell": np.concatenate(firsts).view(np.int64), "doc_id": np.repeat(np.array(ids, np.int64), lengths)}
 

@@ -223,6 +223,18 @@ def test_similar_groups_lose_no_link(spark, monkeypatch, cell):
     cases.same(simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")), list(want.items()))
 
 
+@pytest.mark.parametrize("cell", [1, 64])
+def test_texts_without_words_are_linked(spark, monkeypatch, cell):
+    # Each in a group of its own, as where other texts come first in all cells of the grid.
+    monkeypatch.setattr(simhash, "CELL", cell)
+    rows = [(1, ""), (2, " "), (3, None), (4, "\n\t"), (5, "one word"), (6, "another")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", F.col("doc_id").alias("label"))
+    marks = simhash.wide_fingerprints(docs)
+    found = [tuple(r) for r in simhash.missing_links(docs, labels, marks).collect()]
+    assert cases.components(range(1, 7), found) == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 6}
+
+
 def test_merged_transforms():
     random.seed(5)
     base = bytes(random.choices(b"ab \0", k=700))
