@@ -161,8 +161,11 @@ WIDE_CHOICES = 40
 NEAR_BITS = 64  # of 256: at a similarity of 0.8 the mean is 39, with a deviation of 6
 SIMILARITY = 0.8
 PREFIX = 5  # sets of n shingles that are similar share one of the first n // 5 + 1 of each, whatever the common order
-SAMPLE_DOCS = 50_000  # of these the common shingles are counted, which come last in that order
+SAMPLE_DOCS = 50_000  # of these, and of one in SAMPLE_PARTS at least, the common shingles are counted, which come last in that order
+SAMPLE_PARTS = 4
 COMMON = 3
+COMMON_ROWS = 2_000_000  # 32 MB; of more the most common ones come last
+DENSE = 2  # possible links a point, beyond which the points of a cell are compared by their sets
 BITMAP = 16  # longs of a document's bitmap of shingles
 BROADCAST_IDS = 1_000_000  # 8 MB of ids
 _COLUMNS = 4096
@@ -271,13 +274,18 @@ def similar_links(docs: DataFrame, marks: DataFrame) -> DataFrame:
     first = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("doc_id").alias("v")).filter("n > 1").drop("n")
     stars = cells.withColumnRenamed("doc_id", "u").join(first, "cell").filter("u <> v").select("u", "v").distinct()
     stars = cut_lineage(stars, "near-stars")
+    # Most cells of many documents are shared by chance; sizes tell that for a few bytes a row.
+    u, v = (marks.select(F.col("doc_id").alias(c), F.col("size").alias(f"n{c}")) for c in "uv")
+    alike = stars.join(u, "u").join(v, "v").filter(F.least("nu", "nv") * 5 >= F.greatest("nu", "nv") * 4).select("u", "v")
+    stars = cut_lineage(alike, "near-stars", stars)
     bits = [f"s{k}" for k in range(LANES)]
     apart = sum((F.bit_count(F.col(f"u_{s}").bitwiseXOR(F.col(f"v_{s}"))) for s in bits), F.lit(0))
     bound = sum((F.bit_count(embedding(F.col(f"u_{s}")).bitwiseXOR(embedding(F.col(f"v_{s}")))) for s in bits), F.lit(0))
     near = possible(stars, marks, bits).filter((bound <= NEAR_BITS) & (apart <= NEAR_BITS))
     pairs = near.groupBy("u").agg(F.min(F.struct(apart.alias("apart"), "v")).alias("best")).select("u", "best.v")
     pairs = cut_lineage(pairs, "near-pairs", stars)
-    return _verified(pairs, _sets_of(docs, pairs.select("u").union(pairs.select("v")))).select("u", "v")
+    sets = _sets_of(docs, pairs.select("u").union(pairs.select("v")))
+    return cut_lineage(_verified(pairs, sets).select("u", "v"), "near-links", sets)
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -297,20 +305,40 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").filter(shared * 9 >= (F.size("_u") + F.size("_v")) * 4).drop("_u", "_v")
 
 
+def least_cells(u: str, v: str) -> Column:
+    """Of the first n // 5 + 1 shingles of two similar sets of these sizes at least so many are the same.
+
+    Similar sets share 4 / 9 of the sum of their sizes or more. All but these are what a set can have of its own among its first
+    ones; the rest begins the shared ones in the common order, so the shorter of both rests is among the first ones of either.
+    """
+    shared = F.expr(f"(({u} + {v}) * 4 + 8) div 9")
+    return F.least(*[F.expr(f"{n} div {PREFIX} + 1 - {n}") + shared for n in (u, v)])
+
+
 def _tiles(large: DataFrame) -> DataFrame:
-    """`large` (doc_id, cell, n, ...) dealt into slots of about TILE points: one row for each tile `i, j` of a point's cell."""
+    """`large` (doc_id, cell, n, ...) dealt into slots of about TILE points: a row, with its `slot`, for each tile `i, j` of a point's cell."""
     slots = F.ceil(F.col("n") / TILE).cast("int")
     slot = F.pmod(F.xxhash64("doc_id"), slots).cast("int")
     dealt = large.select("*", slot.alias("slot"), F.explode(F.sequence(F.lit(0), slots - 1)).alias("other"))
-    return dealt.select(*[c for c in large.columns if c != "n"], F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"))
+    return dealt.select(*[c for c in large.columns if c != "n"], "slot", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"))
 
 
 def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes in ascending order and counts of the shingles that over COMMON of about SAMPLE_DOCS documents have."""
-    parts = -(-docs.count() // SAMPLE_DOCS) or 1
+    """Hashes in ascending order and counts of the shingles that over COMMON documents of a sample have.
+
+    The sample grows with the table, else the cells of shingles that it does not show would grow instead.
+    """
+    parts = min(-(-docs.count() // SAMPLE_DOCS) or 1, SAMPLE_PARTS)
     sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == 0)
     counted = shingle_sets(sample).select(F.explode("shingles").alias("name")).groupBy("name").agg(F.count("*").alias("n"))
-    found = cut_lineage(counted.filter(F.col("n") > COMMON), "common-shingles").toArrow()
+    table = cut_lineage(counted.filter(F.col("n") > COMMON), "common-shingles")
+    least, rows = COMMON, 0
+    for n, times in sorted(map(tuple, table.groupBy("n").count().collect()), reverse=True):
+        rows += times
+        if rows > COMMON_ROWS:
+            least = n
+            break
+    found = table.filter(F.col("n") > least).toArrow()
     names = found["name"].to_numpy().view(np.uint64)
     order = np.argsort(names)
     return names[order], found["n"].to_numpy()[order]
@@ -339,6 +367,27 @@ def prefix_cells(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], shingle
     return map_batches(docs, run, "cell long, doc_id long", slice_rows=200)
 
 
+def _tile_pairs(rows: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of one tile that may be similar by labels, sizes and bitmaps; of a dense tile one row that names it alone."""
+    names = ["u", "v", "lu", "lv", "nu", "nv", "m"]
+    place = {c: rows[c].iloc[0] for c in ("cell", "i", "j")}
+    ids, labels, sizes = (rows[c].to_numpy(np.int64) for c in ("doc_id", "label", "size"))
+    maps = np.ascontiguousarray(rows[[f"b{k}" for k in range(BITMAP)]].to_numpy(np.int64))
+    bits = np.unpackbits(maps.view(np.uint8), axis=1).astype(np.float32)
+    both = bits @ bits.T
+    most = sizes[:, None] - (bits.sum(axis=1)[:, None] - both)
+    close = np.minimum(most, most.T) * 9 >= (sizes[:, None] + sizes[None, :]) * 4
+    close &= (labels[:, None] != labels[None, :]) & (ids[:, None] > ids[None, :])
+    if place["i"] != place["j"]:  # the pairs inside a slot are those of its own tile
+        slots = rows["slot"].to_numpy()
+        close &= slots[:, None] != slots[None, :]
+    a, b = np.nonzero(close)
+    if len(a) > DENSE * len(rows):
+        return pd.DataFrame([dict.fromkeys(names, 0) | place | {"dense": True}])
+    values = [ids[a], ids[b], labels[a], labels[b], sizes[a], sizes[b], np.full(len(a), rows["m"].iloc[0], np.int64)]
+    return pd.DataFrame(dict(zip(names, values, strict=True)) | place | {"dense": False})
+
+
 def _open_links(rows: pd.DataFrame) -> pd.DataFrame:
     """Links between the groups of one tile, by all pairs of its points that are in different groups."""
     groups = rows["label"].to_numpy(np.int64)
@@ -349,12 +398,31 @@ def _open_links(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(np.unique(np.stack([groups[a], groups[b]], axis=1), axis=0), columns=["u", "v"])
 
 
+def _crowds(crowd: DataFrame) -> DataFrame:
+    """The dense cells (cell, n, doc_id, label) of documents that share some as one cell, where this makes fewer rows in tiles.
+
+    Near copies share most of their cells, and would have their sets sent and compared in each of them.
+    """
+    first = crowd.groupBy("cell").agg(F.min("doc_id").alias("v"))
+    found = components(crowd.join(first, "cell").select(F.col("doc_id").alias("u"), "v"))
+    grouped = crowd.join(found, F.col("doc_id") == F.col("u"), "left").withColumn("group", F.coalesce("v", "doc_id")).drop("u", "v")
+    grouped = cut_lineage(grouped, "dense-groups", crowd)
+    once = grouped.select("group", "doc_id", "label").distinct()
+    cost = F.col("n") * F.ceil(F.col("n") / TILE)
+    whole = once.groupBy("group").agg(F.count("*").alias("n")).withColumn("whole", cost)
+    apart = grouped.select("group", "cell", "n").distinct().groupBy("group").agg(F.sum(cost).alias("apart"))
+    chosen = whole.join(apart, "group").filter("whole <= apart").select("group", F.col("n").alias("size"))
+    merged = once.join(chosen, "group").select(F.col("group").alias("cell"), F.col("size").alias("n"), "doc_id", "label")
+    return cut_lineage(merged.union(grouped.join(chosen, "group", "left_anti").select("cell", "n", "doc_id", "label")), "dense-cells", grouped)
+
+
 def missing_links(docs: DataFrame, labels: DataFrame, marks: DataFrame) -> DataFrame:
     """`u, v`: edges between the groups of `labels` (doc_id, label) that hold similar documents, none left out.
 
     Similar sets of n shingles share one of the first n // 5 + 1 of each in any common order, so these are the cells. Cells
-    with the same members are one, and cells inside one group have nothing to add; the others are compared by the
-    sets themselves, large ones in tiles.
+    with the same members are one, and cells inside one group have nothing to add. A pair of the others has its cells counted,
+    since similar sets must share several, and what is left is compared by the sets themselves. Large cells make their pairs in tiles;
+    the points of dense cells are compared with each other by their sets instead.
     """
     # Both sides of the join read one shuffle: most cells have one document and end here.
     cells = prefix_cells(docs, common_shingles(docs)).repartition("cell")
@@ -368,8 +436,10 @@ def missing_links(docs: DataFrame, labels: DataFrame, marks: DataFrame) -> DataF
         F.count("*").alias("n"), F.min("label").alias("one"), F.max("label").alias("other"),
         F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), *members,
     )
-    wanted = counted.filter("one < other").groupBy("n", "first", "last", "low", "high").agg(F.min("cell").alias("cell"))
-    held = cut_lineage(placed.join(wanted.select("cell", "n"), "cell"), "open-cells", placed)
+    wanted = counted.filter("one < other").groupBy("n", "first", "last", "low", "high").agg(
+        F.min("cell").alias("cell"), F.count("*").alias("m")
+    )
+    held = cut_lineage(placed.join(wanted.select("cell", "n", "m"), "cell"), "open-cells", placed)
     small = held.filter(F.col("n") <= CELL)
     a, b = small.alias("a"), small.alias("b")
     sizes = F.col("a.size"), F.col("b.size")
@@ -377,14 +447,32 @@ def missing_links(docs: DataFrame, labels: DataFrame, marks: DataFrame) -> DataF
         (F.col("a.cell") == F.col("b.cell")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.label") != F.col("b.label"))
         & (F.least(*sizes) * 5 >= F.greatest(*sizes) * 4)
     )
-    names = [F.col("b.doc_id").alias("u"), F.col("a.doc_id").alias("v"), F.col("b.label").alias("lu"), F.col("a.label").alias("lv")]
-    pairs = cut_lineage(a.join(b, near).select(*names).distinct(), "open-pairs")
-    pairs = cut_lineage(possible(pairs, marks), "open-pairs", pairs)  # few are left whose sets must be sent to each other
+    names = [
+        F.col("b.doc_id").alias("u"), F.col("a.doc_id").alias("v"), F.col("b.label").alias("lu"), F.col("a.label").alias("lv"),
+        F.col("b.size").alias("nu"), F.col("a.size").alias("nv"), F.col("a.m").alias("m"),
+    ]
     large = held.filter(F.col("n") > CELL)
-    sets = _sets_of(docs, pairs.select("u").union(pairs.select("v")).union(large.select("doc_id")))
+    tiles = _tiles(large)
+    maps = marks.select("doc_id", *[f"b{k}" for k in range(BITMAP)])
+    rows = ", ".join(f"{c} long" for c in ("u", "v", "lu", "lv", "nu", "nv", "m")) + ", cell long, i int, j int, dense boolean"
+
+    def made(some: DataFrame) -> DataFrame:
+        return cut_lineage(some.join(maps, "doc_id").groupBy("cell", "i", "j").applyInPandas(_tile_pairs, rows), "tile-pairs")
+
+    # A cell whose first tile is dense makes no other one.
+    first = made(tiles.filter("j = 0"))
+    tiled = first.union(made(tiles.filter("j > 0").join(first.filter("dense").select("cell"), "cell", "left_anti")))
+    met = a.join(b, near).select(*names).union(tiled.filter(~F.col("dense")).select("u", "v", "lu", "lv", "nu", "nv", "m"))
+    pairs = met.groupBy("u", "v", "lu", "lv", "nu", "nv").agg(F.sum("m").alias("cells")).filter(F.col("cells") >= least_cells("nu", "nv"))
+    pairs = cut_lineage(pairs.select("u", "v", "lu", "lv"), "open-pairs")
+    pairs = cut_lineage(possible(pairs, marks), "open-pairs", pairs)  # few are left whose sets must be sent to each other
+    # Pairs of a dense cell are compared there, so it does not matter that their cells were not all counted.
+    crowd = large.join(tiled.filter("dense").select("cell").distinct(), "cell").select("cell", "n", "doc_id", "label").distinct()
+    crowd = _crowds(cut_lineage(crowd, "dense-cells", held))
+    sets = _sets_of(docs, pairs.select("u").union(pairs.select("v")).union(crowd.select("doc_id")))
     verified = _verified(pairs, sets).select(F.col("lu").alias("u"), F.col("lv").alias("v"))
-    crowded = _tiles(large).join(sets, "doc_id").groupBy("cell", "i", "j").applyInPandas(_open_links, "u long, v long")
-    return verified.union(crowded).distinct()
+    crowded = _tiles(crowd).join(sets, "doc_id").groupBy("cell", "i", "j").applyInPandas(_open_links, "u long, v long")
+    return cut_lineage(verified.union(crowded).distinct(), "open-links", sets)
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:

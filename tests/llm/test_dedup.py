@@ -223,6 +223,77 @@ def test_similar_groups_lose_no_link(spark, monkeypatch, cell):
     cases.same(simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")), list(want.items()))
 
 
+def test_least_cells_is_a_bound(spark):
+    random.seed(31)
+    made = []
+    for _ in range(3000):
+        both, left, right = random.randint(1, 60), random.randint(0, 14), random.randint(0, 14)
+        order = list(range(both + left + right))
+        random.shuffle(order)
+        a, b = sorted(order[: both + left]), sorted(order[:both] + order[both + left :])
+        first = len(set(a[: len(a) // 5 + 1]) & set(b[: len(b) // 5 + 1]))
+        if 9 * both >= 4 * (len(a) + len(b)):
+            made.append((len(a), len(b), first))
+    made.append((0, 0, 1))
+    rows = spark.createDataFrame(made, "nu long, nv long, found long").withColumn("least", simhash.least_cells("nu", "nv")).collect()
+    assert len(rows) > 500 and all(1 <= r["least"] <= r["found"] for r in rows)
+    assert max(r["least"] for r in rows) > 4 and any(r["least"] == r["found"] for r in rows)
+
+
+@pytest.mark.parametrize(("cell", "tile", "dense"), [(2, 512, 0), (2, 4, 1000), (2, 4, 1), (6, 512, 1000), (64, 512, 2)])
+def test_open_cells_of_many_documents(spark, monkeypatch, cell, tile, dense):
+    # Texts around one passage; the grid's groups are left out, so the exact step has all the work.
+    for name, value in (("CELL", cell), ("TILE", tile), ("DENSE", dense)):
+        monkeypatch.setattr(simhash, name, value)
+    random.seed(5)
+    words = [f"w{i}" for i in range(500)]
+    passage = random.choices(words, k=40)
+    rows = []
+    for doc_id in range(90):
+        own = passage + random.choices(words, k=random.choice((2, 4, 8, 40)))
+        rows.append((doc_id, " ".join(own[random.choice((0, 0, 3)) :])))
+    want, links = plain_similar(rows)
+    assert 5 < len(set(want.values())) < 80
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = simhash.missing_links(docs, docs.select("doc_id", F.col("doc_id").alias("label")), simhash.wide_fingerprints(docs))
+    assert cases.components(range(90), [tuple(r) for r in found.collect()]) == want
+
+
+def test_points_of_many_dense_cells_are_sent_once(spark, monkeypatch):
+    # 1-6 share three cells, 7-9 one with them; 20 and 21 another. Twelve rows in tiles become nine and the others stay.
+    monkeypatch.setattr(simhash, "TILE", 100)
+    cells = {1: range(1, 7), 2: range(1, 7), 3: range(1, 7), 4: (6, 7, 8, 9), 5: (20, 21)}
+    rows = [(cell, len(ids), i, 100 + i) for cell, ids in cells.items() for i in ids]
+    crowd = spark.createDataFrame(rows, "cell long, n long, doc_id long, label long")
+    got = {tuple(r) for r in simhash._crowds(crowd).collect()}
+    assert got == {(1, 9, i, 100 + i) for i in range(1, 10)} | {(20, 2, i, 100 + i) for i in (20, 21)}
+    # A chain of cells that share one document each: together they would make more rows.
+    monkeypatch.setattr(simhash, "TILE", 2)
+    chain = [(cell, 3, 2 * cell + k, 0) for cell in range(1, 9) for k in range(3)]
+    assert {tuple(r) for r in simhash._crowds(spark.createDataFrame(chain, crowd.schema)).collect()} == set(chain)
+
+
+def test_few_sets_are_sent(spark, monkeypatch):
+    # Long texts with a passage in common: pairs of them share cells, but too few for similar sets.
+    random.seed(6)
+    words = [f"w{i}" for i in range(5000)]
+    passage = random.choices(words, k=120)
+    rows = [(i, " ".join(passage + random.choices(words, k=2500 + i))) for i in range(40)]
+    sent = []
+    monkeypatch.setattr(simhash, "_sets_of", lambda docs, ids, real=simhash._sets_of: sent.append(ids.distinct().count()) or real(docs, ids))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = simhash.missing_links(docs, docs.select("doc_id", F.col("doc_id").alias("label")), simhash.wide_fingerprints(docs))
+    assert found.count() == 0 and sent == [0]
+
+
+@pytest.mark.parametrize("most", [2, 2_000_000])
+def test_order_of_common_shingles(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "COMMON_ROWS", most)
+    rows = [(i, "a b c d e" + (" f" if i < 8 else "") + (" g" if i < 6 else "")) for i in range(10)]
+    names, counts = simhash.common_shingles(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(counts.tolist()) == ([8, 10] if most == 2 else [6, 8, 10]) and names.tolist() == sorted(names.tolist())
+
+
 @pytest.mark.parametrize("cell", [1, 64])
 def test_texts_without_words_are_linked(spark, monkeypatch, cell):
     # Each in a group of its own, as where other texts come first in all cells of the grid.
