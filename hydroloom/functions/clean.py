@@ -66,3 +66,18 @@ def cap_display(v: Column, limit: float = 5e8) -> Column:
 
 def display_radius(v: Column) -> Column:
     return F.greatest(F.lit(1.0), v / 100)
+
+
+def round_double(x: Column, digits: int) -> Column:
+    """`F.round` of a double, in plain arithmetic wherever that gives the same number.
+
+    `F.round` goes through the decimal digits of the double. Away from a tie these name the same whole number of units as a
+    product does, and that number over a power of ten (both exact) is the double nearest to the decimal. Ties, large
+    numbers and what is no number take the way of `F.round`.
+    """
+    unit = F.lit(float(10**digits))
+    scaled = x * unit
+    whole = F.rint(scaled)
+    # A product is off by 2**-53 of itself, so far less than a thousandth below 2**40.
+    plain = (F.abs(scaled) < F.lit(float(1 << 40))) & (F.abs(scaled - whole) < F.lit(0.499))
+    return F.when(plain, (whole + F.lit(0.0)) / unit).otherwise(F.round(x, digits))

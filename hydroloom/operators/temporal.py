@@ -286,9 +286,10 @@ def aggregate_outputs(
             rest = F.array().cast(f"array<struct<spatial:string,_area:{kind.simpleString()}>>")
             own = F.transform("_areas", lambda a: F.struct(F.lit("areaavg").alias("spatial"), a["catchment_area"].alias("_area")))
             total = F.array(F.struct(F.lit("areasum").alias("spatial"), F.lit(None).cast(kind).alias("_area")))
-            given = F.concat(total if any(s == "areasum" for _, s in pairs) else rest, F.coalesce(own, rest))
-            out = lookup(out, areas, ["target_id"], ["_areas"], how="left")
-            out = out.select(*keys, "date", "temporal", "value", F.inline(given)).withColumn(
+            alone = total if any(s == "areasum" for _, s in pairs) else rest
+            # The array is made once a gauge, not once a row of the series.
+            out = lookup(out, areas.select("target_id", F.concat(alone, own).alias("_given")), ["target_id"], ["_given"], how="left")
+            out = out.select(*keys, "date", "temporal", "value", F.inline(F.coalesce("_given", alone))).withColumn(
                 "value", F.when(F.col("spatial") == "areaavg", safe_divide(F.col("value"), F.col("_area"))).otherwise(F.col("value"))
             )
         names = {v for v, _, _ in asked}

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from hydroloom.functions import dates
+from hydroloom.functions.clean import round_double
 from hydroloom.operators import incremental, network, temporal
 from hydroloom.plans.registry import query
 from hydroloom.session import cut_lineage, scratch_path
@@ -174,7 +175,8 @@ def _(v):
     series = cut_lineage(v.cell_series, "cell-series")
     names = [r["variable"] for r in series.select("variable").distinct().orderBy("variable").collect()]
     requests = [(name, t, s) for name in names for t, s in PAIRS]
-    return _r(temporal.aggregate_outputs(series, requests, _spin(), v.cell, gauge, nearest, tree), 5)
+    out = temporal.aggregate_outputs(series, requests, _spin(), v.cell, gauge, nearest, tree)
+    return out.withColumn("value", round_double(F.col("value"), 5))
 
 
 MONTH_KINDS = [t for t in temporal.MAP_KINDS if t != "daily"]

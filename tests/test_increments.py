@@ -6,6 +6,7 @@ import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
+from hydroloom.functions.clean import round_double
 from hydroloom.operators import demand, incremental, joins, network, temporal
 from hydroloom.sources import manifest, readers, writers
 
@@ -219,3 +220,25 @@ def test_sums_and_averages_of_gauges_are_given_as_asked(spark):
     count = dict(rows(twice.groupBy("spatial").count()))
     days, whole = 181, 12  # gauge 8 has two areas, and two rows a day that month sums add up
     assert count == {"areasum": (whole + 1) * 2, "areaavg": whole * (1 + 2) + days * (1 + 2 * 2)}
+
+
+def test_round_double_is_round(spark):
+    values = [0.0, -0.0, 1e-9, -1e-9, 5e-6, -5e-6, 1.000005, 2.5e-5, 1.005, -1.005, 123456789.123455, 1e11, 1e300, -1e18, None]
+    values += [float("nan"), float("inf"), float("-inf")] + [k / 31 for k in range(-4000, 4000)] + [k / 10**6 for k in range(-40005, 40005, 7)]
+    frame = spark.createDataFrame([(x,) for x in values], "x double")
+    for digits in (0, 3, 5):
+        both = frame.select(F.round("x", digits).cast("string").alias("a"), round_double(F.col("x"), digits).cast("string").alias("b"))
+        assert both.filter(~F.col("a").eqNullSafe(F.col("b"))).count() == 0
+
+
+def test_areas_are_made_ready_once_a_gauge(spark):
+    series = _series(spark, dt.date(2000, 1, 5), dt.date(2000, 1, 31))
+    cell = spark.createDataFrame([(0, 2.0), (1, 3.0)], "cell_id long, area double")
+    ldd = spark.createDataFrame([(0, None), (1, 0)], "cell_id long, down_id long")
+    gauge = spark.createDataFrame([(7, 0), (8, 1)], "gauge_id long, cell_id long")
+    nearest = network.subcatchment(ldd, gauge)
+    tree = network.gauge_tree(ldd, gauge, nearest)
+    requests = [("a", "daily", s) for s in ("areasum", "areaavg")]
+    plan = _plan(temporal.aggregate_outputs(series, requests, _spin(), cell, gauge, nearest, tree))
+    # Rows of the series only unroll the array that comes with their gauge.
+    assert "Generate inline(coalesce(_given" in plan and "Generate inline(concat(" not in plan
